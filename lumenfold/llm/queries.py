@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, language_id, lm_scoring, packing, quality, token_counts, warc
+from . import decontaminate, exact_dedup, language_id, lm_scoring, ngram_join, packing, quality, token_counts, warc
 
 #: The tokenizer whose ids packing and token counts use; found where its package is installed.
 TOKENIZER = "word_bpe_49k.json"
@@ -26,6 +26,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), longest=2048, end_id=1)
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_join(table(spark, sf_dir, "documents"), percent=80, width=5)
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(table(spark, sf_dir, "documents"))
 
@@ -64,7 +68,7 @@ FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op3_quality, op4_decontamination, op5_exact_dedup, op6_token_counts, op7_lm_scoring, op8_warc, op10_language_id)}
+    return {f.__name__: f for f in (op1_packing, op2_ngram_join, op3_quality, op4_decontamination, op5_exact_dedup, op6_token_counts, op7_lm_scoring, op8_warc, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
