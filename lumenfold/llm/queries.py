@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, language_id, lm_scoring, ngram_join, packing, quality, token_counts, warc
+from . import decontaminate, exact_dedup, language_id, lm_scoring, ngram_join, packing, quality, suffix_dedup, token_counts, warc
 
 #: The tokenizer whose ids packing and token counts use; found where its package is installed.
 TOKENIZER = "word_bpe_49k.json"
@@ -54,6 +54,10 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.capture_histories(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured")
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), length=50)
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = language_id.identify(docs, language_id.learn(docs))
@@ -68,7 +72,7 @@ FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_ngram_join, op3_quality, op4_decontamination, op5_exact_dedup, op6_token_counts, op7_lm_scoring, op8_warc, op10_language_id)}
+    return {f.__name__: f for f in (op1_packing, op2_ngram_join, op3_quality, op4_decontamination, op5_exact_dedup, op6_token_counts, op7_lm_scoring, op8_warc, op9_suffix_dedup, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
