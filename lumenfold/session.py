@@ -28,6 +28,7 @@ def session(master: str = "local[8]", shuffle_partitions: int = 8, memory: str =
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship(spark)
     return spark
 
 
