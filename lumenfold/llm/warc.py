@@ -14,11 +14,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mapped, parts_for, shared_dir, small_batches, stored
+from .common import mapped, shared_dir, small_batches, stored
 
 RECORD_END, HTTP_HEAD = "\r\n\r\n", "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
-#: Bytes of one archive file before compression, about; a reader holds one file.
-FILE_BYTES = 16 << 20
+#: Records of one archive file at most; a reader holds one file.
+FILE_RECORDS = 5_000
 FIELDS = {
     "url_key": pa.string(), "captured": pa.string(), "page_id": pa.int64(), "url": pa.string(), "record_type": pa.string(), "refers_to": pa.int64(),
     "payload_bytes": pa.int64(), "payload_digest": pa.string(), "archive": pa.string(), "position": pa.int64(), "length": pa.int64(), "run": pa.string(), "seq": pa.int64(),
@@ -36,7 +36,7 @@ def base32_of_hex(hexed: Column) -> Column:
 
 
 def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> None:
-    """One WARC record for each row of pages, in files of about FILE_BYTES under `path`.
+    """One WARC record for each row of pages, in files of at most FILE_RECORDS under `path`.
 
     Of records with equal payloads of at least `min_bytes` bytes the one with the largest page_id is a response; the
     others are revisit records that refer to it and hold no payload. Smaller payloads are all responses. Null html is
@@ -64,9 +64,7 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, id_col: str
         F.when(F.col("kind") == "revisit", F.concat(F.lit("\r\nWARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\nWARC-Refers-To: <urn:page:"), name(F.col("response_id")), F.lit(">"))).otherwise(""),
         F.lit("\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: "), F.octet_length(block).cast("string"), F.lit(RECORD_END),
     )
-    total = rows.agg(F.sum("n") + 600 * F.count("*")).first()[0] or 0
-    out = every.select(F.concat(head, block).alias("value"), F.xxhash64("page_id", "url").alias("__to")).repartition(parts_for(spark, total, FILE_BYTES), "__to").select("value")
-    out.write.text(path, compression="gzip", lineSep=RECORD_END)
+    every.select(F.concat(head, block).alias("value")).write.option("maxRecordsPerFile", FILE_RECORDS).text(path, compression="gzip", lineSep=RECORD_END)
 
 
 def surt(url: str) -> str:
