@@ -67,7 +67,7 @@ class Automaton:
                     return 1
                 to = step[at].get(x)
             at = to
-        while at:
+        while at > 0:
             total += pops[at]
             at = fail[at]
         return total if at == 0 else 1
