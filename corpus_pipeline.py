@@ -13,8 +13,8 @@ from lumenfold.llm.queries import table, tokenizer_path
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go."""
-    return quality.keep_good(docs)
+    """Documents that the quality classifier rejects go: poor ones, and toxic ones by listed and learned insults."""
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

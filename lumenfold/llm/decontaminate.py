@@ -21,7 +21,7 @@ TABLE_BITS = 22
 SHIFT = 1 << 30
 GAP = bytes(Q)
 SIGNS = bytes(32 if x < 128 and not chr(x).isalnum() else x for x in range(256))
-FIELDS = {"doc_id": pa.int64(), "item_id": pa.int64(), "start": pa.int64(), "end": pa.int64(), "edits": pa.int64(), "shared_qgrams": pa.int64(), "regions": pa.int64()}
+FIELDS = {"doc_id": pa.int64(), "item_id": pa.int64(), "start": pa.int64(), "end": pa.int64(), "edits": pa.int64(), "shared_qgrams": pa.int64(), "regions": pa.int64(), "text_key": pa.int64()}
 
 
 def normal(text: bytes) -> bytes:
@@ -140,7 +140,7 @@ def align(item: bytes, region: bytes, edits: int) -> tuple[int, int, int] | None
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """One row for each document and benchmark passage that occurs in it: doc_id, item_id, start, end (bytes of the
-    normalised text), edits, shared_qgrams, regions (verified bands).
+    normalised text), edits, shared_qgrams, regions (verified bands), text_key (hash of the document's text).
 
     Texts are normalised (lower case, signs and white space to single spaces). A passage occurs where a stretch of the
     text is within budget() edits of it; of several places the one with fewest edits, then the first, is given. Passages
@@ -148,7 +148,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, id_co
     rows, as do rows with the same doc_id. Every document is read whole. Passages are read on the driver in blocks of at
     most BLOCK_BYTES, and each block is one scan of the documents. Without passages or documents there are no rows.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("body"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("body"), F.xxhash64(text_col).alias("key"))
     blocks: list[list[tuple[int, bytes]]] = [[]]
     size, out = 0, None
     for row in benchmark.select(F.col(item_col).cast("long"), item_text_col).toLocalIterator():
@@ -166,7 +166,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, id_co
             own = Index(index.value, rate)
             for batch in batches:
                 texts = [normal(x) for x in utf8(batch, "body")]
-                ids, starts = batch.column("id").to_pylist(), np.cumsum([0, *(len(x) + Q for x in texts)])
+                ids, text_keys, starts = batch.column("id").to_pylist(), batch.column("key").to_pylist(), np.cumsum([0, *(len(x) + Q for x in texts)])
                 text = GAP.join(texts)
                 best: dict[tuple[int, int], tuple] = {}
                 seen: dict[tuple[int, int], set] = {}
@@ -177,15 +177,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, id_co
                         place = (got[0], max(0, first), low + got[2] - int(starts[of]), shared)
                         seen.setdefault((of, o), set()).add(place[2])
                         best[of, o] = min(best.get((of, o), place), place)
-                found = [(ids[of], own.items[o][0], p[1], p[2], p[0], p[3], len(seen[of, o])) for (of, o), p in sorted(best.items())]
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*found) if found else [[]] * 7, FIELDS.values(), strict=True)], names=list(FIELDS))
+                found = [(ids[of], own.items[o][0], p[1], p[2], p[0], p[3], len(seen[of, o]), text_keys[of]) for (of, o), p in sorted(best.items())]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*found) if found else [[]] * 8, FIELDS.values(), strict=True)], names=list(FIELDS))
 
-        part = mapped(rows, search, "doc_id long, item_id long, start long, end long, edits long, shared_qgrams long, regions long")
+        part = mapped(rows, search, "doc_id long, item_id long, start long, end long, edits long, shared_qgrams long, regions long, text_key long")
         out = part if out is None else out.unionByName(part)
     return out
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **more) -> DataFrame:
-    """The rows of `docs` in which no passage occurs, with all their columns; rows that share an id go together."""
-    lost = contaminated(docs, benchmark, id_col=id_col, **more).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(lost, F.col(id_col).eqNullSafe(F.col("__id")), "left_anti")
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:
+    """The rows of `docs` in which no passage occurs, with all their columns; each row is judged by its own text."""
+    lost = contaminated(docs, benchmark, id_col=id_col, text_col=text_col, **more).select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct()
+    return docs.join(lost, F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__key")), "left_anti")

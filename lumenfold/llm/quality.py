@@ -12,15 +12,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mapped, stored, utf8
+from .common import mapped, smallest_hashes, stored, utf8
+from .language_id import words_of
 
 #: Buckets of the linear scorer; the bound on the rows it is fitted on (those with the smallest hashes of their texts' features).
 BUCKETS, FIT_ROWS = 1 << 12, 20_000
+#: Labelled rows that insults are learned from, at most (those with the smallest hashes of their id); in how many toxic
+#: texts a word must stand, and its share of toxic ones were both kinds of text equally many.
+FIT_LABELS, LEAST_TOXIC, LEAST_SHARE = 50_000, 8, 0.98
 # Insults that make a text toxic when they stand as words of their own.
 INSULTS = "asshole bastard bitch clown cretin cunt degenerate disgusting dumbass faggot filth freak idiot idiots imbecile jackass loser losers moron morons pathetic retard retarded scum scumbag slut stupid subhuman trash vermin whore worthless".split()
 LABELLERS = ["symbols", "tables", "shouting", "repeats", "adjacent", "lines", "words", "length", "shapes", "runs"]
 SHAPE = bytes(65 if 65 <= x <= 90 else 97 if 97 <= x <= 122 or x >= 128 else 48 if 48 <= x <= 57 else x for x in range(256))
-RUNS, JUNK, DIGITS = re.compile(rb"a{2,}|A{2,}|0{2,}"), re.compile(rb"[^\w\s]{2,}"), re.compile(rb"[^a-z\x80-\xff ]+")
+RUNS, JUNK = re.compile(rb"a{2,}|A{2,}|0{2,}"), re.compile(rb"[^\w\s]{2,}")
 
 
 def vote(value: float, good: float, bad: float) -> int:
@@ -30,8 +34,8 @@ def vote(value: float, good: float, bad: float) -> int:
     return 1 if value >= good else 0 if value <= bad else -1
 
 
-def measure(text: bytes) -> tuple[list[int], dict[int, float], int]:
-    """(votes, hashed features, insults) of a text."""
+def measure(text: bytes, insults: dict[bytes, int]) -> tuple[list[int], dict[int, float], int]:
+    """(votes, hashed features, weight of insults) of a text."""
     words = text.split()
     n = max(len(words), 1)
     shaped = text.translate(SHAPE)
@@ -63,24 +67,48 @@ def measure(text: bytes) -> tuple[list[int], dict[int, float], int]:
     for k, v in shapes.most_common(40):
         at = zlib.crc32(b"shape" + k[:16]) % BUCKETS
         features[at] = features.get(at, 0.0) + v / n
-    clean = DIGITS.sub(b" ", text.lower()).split()
-    insults = sum(map(set(x.encode() for x in INSULTS).__contains__, clean))
-    return votes, features, insults
+    return votes, features, sum(map(insults.get, filter(insults.__contains__, words_of(text))))
 
 
-def measured(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, votes (a string of 0, 1 and -), buckets, values, n_words, insults of every text, in one scan."""
+def learn_insults(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", toxic_col: str = "toxic") -> set[bytes]:
+    """Words that stand in LEAST_TOXIC toxic texts or more and hardly in others, of at most FIT_LABELS labelled rows."""
+    some = labels.where(F.col(toxic_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), (F.col(toxic_col) > 0).alias("toxic"))
+    some = stored(smallest_hashes(some, FIT_LABELS, "id", "toxic"), "labelled")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("body")).join(F.broadcast(some), "id").select("toxic", "body")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, n = (Counter(), Counter()), [0, 0]
+        for batch in batches:
+            for toxic, text in zip(batch.column("toxic").to_pylist(), utf8(batch, "body"), strict=True):
+                seen[toxic].update(set(words_of(text)))
+                n[toxic] += 1
+        seen[0][b""], seen[1][b""] = n
+        words = list(seen[1])  # a word that no toxic text has here may have some elsewhere; its clean count follows below
+        rest = [x for x in seen[0] if x not in seen[1]]
+        every = words + rest
+        yield pa.RecordBatch.from_arrays([pa.array(every, pa.binary()), pa.array([seen[1][x] for x in every], pa.int64()), pa.array([seen[0][x] for x in every], pa.int64())], names=["word", "toxic", "clean"])
+
+    table = stored(mapped(rows, count, "word binary, toxic long, clean long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).where((F.col("toxic") >= LEAST_TOXIC) | (F.length("word") == 0)), "toxic-words")
+    total = table.where(F.length("word") == 0).first()
+    if not total or not total["toxic"] or not total["clean"]:
+        return set()
+    share = F.col("toxic") / total["toxic"] / (F.col("toxic") / total["toxic"] + F.col("clean") / total["clean"])
+    return {bytes(r["word"]) for r in table.where((F.length("word") > 0) & (share >= LEAST_SHARE)).select("word").toLocalIterator()}
+
+
+def measured(docs: DataFrame, insults: dict[bytes, int], id_col: str, text_col: str) -> DataFrame:
+    """id, key (hash of the text), votes (a string of 0, 1 and -), buckets, values, n_words, insults of every text, in one scan."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [measure(x) for x in utf8(batch, "body")]
+            out = [measure(x, insults) for x in utf8(batch, "body")]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(["".join("-" if v < 0 else str(v) for v in x[0]) for x in out], pa.string()), pa.array([list(x[1]) for x in out], pa.list_(pa.int32())), pa.array([list(x[1].values()) for x in out], pa.list_(pa.float32())), pa.array([x[2] for x in out], pa.int64())],
-                names=["id", "votes", "buckets", "weights", "insults"],
+                [batch.column("id"), batch.column("key"), pa.array(["".join("-" if v < 0 else str(v) for v in x[0]) for x in out], pa.string()), pa.array([list(x[1]) for x in out], pa.list_(pa.int32())), pa.array([list(x[1].values()) for x in out], pa.list_(pa.float32())), pa.array([x[2] for x in out], pa.int64())],
+                names=["id", "key", "votes", "buckets", "weights", "insults"],
             )
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("body"))
-    return mapped(rows, run, "id long, votes string, buckets array<int>, weights array<float>, insults long")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("body"), F.xxhash64(text_col).alias("key"))
+    return mapped(rows, run, "id long, key long, votes string, buckets array<int>, weights array<float>, insults long")
 
 
 def posteriors(patterns: dict[str, int], rounds: int = 50) -> dict[str, float]:
@@ -123,19 +151,21 @@ def fit(rows: list[tuple[list[int], list[float], float]], epochs: int = 30, rate
     return w
 
 
-def score_quality(docs: DataFrame, threshold: float = 0.5, insults_most: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, votes, posterior, quality_score, insults, toxic, kept: one row per input row.
+def score_quality(docs: DataFrame, labels: DataFrame | None = None, threshold: float = 0.5, insults_most: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, text_key, votes, posterior, quality_score, insults, toxic, kept: one row per input row.
 
     Ten labellers vote on every whole text. EM over the counts of their vote patterns (at most 3^10) estimates accuracies
     and posteriors. A linear scorer over hashed word shapes and measures is fitted to the posteriors of at most FIT_ROWS
-    texts, those first by the hash of their id and votes, and scores all. A text is toxic with more than `insults_most`
-    words of the insult list; kept says that it is neither toxic nor below `threshold`. Null and empty texts score by the
-    same rules (no words: the length labeller votes against). Only the id and the text are read.
+    texts, chosen by the hash of their id and text, and scores all. A text is toxic if its insults weigh more than
+    `insults_most`: 2 for each listed word, 1 for each that learn_insults() takes from `labels` (id, toxic). kept says that
+    it is neither toxic nor below `threshold`. Null and empty texts score by the same rules (no words: the length labeller votes against). Only the id and the text are read.
     """
-    rows = stored(measured(docs, id_col, text_col), "measures")
+    learned = learn_insults(docs, labels, id_col, text_col) if labels is not None else set()
+    insults = dict.fromkeys(learned, 1) | {x.encode(): 2 for x in INSULTS}
+    rows = stored(measured(docs, insults, id_col, text_col), "measures")
     counts = {r["votes"]: r["n"] for r in rows.groupBy("votes").agg(F.count("*").alias("n")).collect()}  # at most 3^10 rows
     good = posteriors(counts)
-    sample = rows.orderBy(F.xxhash64("id", "votes"), "id", "votes").limit(FIT_ROWS).select("votes", "buckets", "weights").collect()
+    sample = smallest_hashes(rows, FIT_ROWS, "id", "key").select("votes", "buckets", "weights").collect()
     w = fit([(r["buckets"], r["weights"], good[r["votes"]]) for r in sample])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,15 +176,14 @@ def score_quality(docs: DataFrame, threshold: float = 0.5, insults_most: int = 0
             score = 1 / (1 + np.exp(-np.array(sums)))
             toxic = np.array(batch.column("insults").to_pylist(), np.int64) > insults_most
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("votes"), pa.array([good[v] for v in batch.column("votes").to_pylist()], pa.float64()), pa.array(score, pa.float64()), batch.column("insults"), pa.array(toxic, pa.bool_()), pa.array((score >= threshold) & ~toxic, pa.bool_())],
-                names=["doc_id", "votes", "posterior", "quality_score", "insults", "toxic", "kept"],
+                [batch.column("id"), batch.column("key"), batch.column("votes"), pa.array([good[v] for v in batch.column("votes").to_pylist()], pa.float64()), pa.array(score, pa.float64()), batch.column("insults"), pa.array(toxic, pa.bool_()), pa.array((score >= threshold) & ~toxic, pa.bool_())],
+                names=["doc_id", "text_key", "votes", "posterior", "quality_score", "insults", "toxic", "kept"],
             )
 
-    return mapped(rows, run, "doc_id long, votes string, posterior double, quality_score double, insults long, toxic boolean, kept boolean")
+    return mapped(rows, run, "doc_id long, text_key long, votes string, posterior double, quality_score double, insults long, toxic boolean, kept boolean")
 
 
-def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:
-    """The rows of `docs` that the classifier keeps, with all their columns. Of rows that share an id, one that is
-    rejected takes the others along; rows without an id are judged by their own text only when no other has none."""
-    lost = score_quality(docs, id_col=id_col, text_col=text_col, **more).where("not kept").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(lost, F.col(id_col).eqNullSafe(F.col("__id")), "left_anti")
+def keep_good(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:
+    """The rows of `docs` that the classifier keeps, with all their columns; each row is judged by its own text."""
+    lost = score_quality(docs, labels, id_col=id_col, text_col=text_col, **more).where("not kept").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct()
+    return docs.join(lost, F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__key")), "left_anti")
