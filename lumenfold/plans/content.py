@@ -172,6 +172,7 @@ SQL = {
     "entry_pages": f"SELECT page_id, {BARE} = '/en/7817' AS entry FROM ({URL})",
     "url_parts": f"SELECT page_id, scheme, host, {BARE} AS path FROM ({URL})",
     "url_scores": f"SELECT page_id, (CASE WHEN regexp_matches(p, '/(?:19|20)[0-9][0-9]') THEN 3 ELSE 0 END + CASE WHEN {_segments(rules.ARTICLE_SEGMENTS)} THEN 3 ELSE 0 END + CASE WHEN regexp_matches(p, '\\.(html|htm|shtml)$') THEN 2 ELSE 0 END + 2 + CASE WHEN len(s) >= 2 THEN 1 ELSE 0 END - CASE WHEN {_segments(rules.NAV_SEGMENTS)} THEN 3 ELSE 0 END)::BIGINT AS score FROM (SELECT page_id, lower(path) AS p, list_filter(string_split(lower(path), '/'), lambda x: x <> '') AS s FROM ({URL}))",
+    "html_titles": "SELECT page_id, trim(replace(replace(replace(replace(replace(regexp_extract(html, '<h1[^>]*>(.*?)</h1>', 1, 's'), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#39;', chr(39)), '&amp;', '&')) AS title FROM pages",
     "robots_allowed": f"SELECT page_id, NOT starts_with(path, '/en/') OR starts_with(path, '/en/7') AS allowed FROM ({URL})",
     "throttle_schedule": f"SELECT page_id, (row_number() OVER (PARTITION BY host ORDER BY page_id) - 1)::DOUBLE AS not_before FROM ({URL})",
     "cosine_topk": TOPK,
