@@ -86,6 +86,13 @@ def pages(total: Column, size: int) -> Column:
     return F.greatest(F.lit(1), F.ceil(total / size))
 
 
+def envelope(found: DataFrame, items: DataFrame, number: int, size: int) -> DataFrame:
+    """One JSON row as a REST list has it: total, page, page_size, items (one page, so bounded by its size)."""
+    rows = items.agg(F.collect_list(F.struct(*items.columns)).alias("items"))
+    total = found.agg(F.count("*").alias("total"))
+    return total.crossJoin(rows).select(F.to_json(F.struct("total", F.lit(number).alias("page"), F.lit(size).alias("page_size"), "items")).alias("body"))  # one row each
+
+
 def list_items(found: DataFrame, categories: DataFrame, sources: DataFrame, tags: DataFrame, sizes: DataFrame, decisions: DataFrame) -> DataFrame:
     """Items of one page: small tables are joined after the page was cut, so joins see its rows only."""
     c = categories.select(F.col("id").alias("primary_category_id"), F.col("name").alias("category_name"))

@@ -58,13 +58,13 @@ def write_back(articles: DataFrame, classified: str = "classified", fallback: bo
     }).drop(classified)
 
 
-def parse_pages(pages: DataFrame, site_url: Column, exclude: Column | None = None) -> DataFrame:
+def parse_pages(pages: DataFrame, site_url: Column, exclude: Column | None = None, parser=html.parse_html) -> DataFrame:  # noqa: ANN001
     """Articles of fetched pages (url, raw_html, ...): entry pages are filtered before parsing; then no HTML or no
-    article is an error; then the quality cascade; what is left is pending."""
+    article is an error; then the quality cascade; what is left is pending. `parser` makes the struct of parse_html()."""
     entry = urls.is_entry_page(F.col("url"), site_url)
     plain = pages.withColumn("entry", entry)
     blank = F.lit(None).cast("struct<title:string,content:string,published_at:timestamp,author:string,error:string>")
-    done = plain.where("entry").withColumn("parsed", blank).unionByName(plain.where("not entry").withColumn("parsed", html.parse_html(F.col("raw_html"))))
+    done = plain.where("entry").withColumn("parsed", blank).unionByName(plain.where("not entry").withColumn("parsed", parser(F.col("raw_html"))))
     p = F.col("parsed")
     reason = F.when(F.col("entry"), rules.ENTRY_REASON).otherwise(F.coalesce(p["error"], quality_reason(p["title"], p["content"], F.col("raw_html"), exclude)))
     status = F.when(F.col("entry"), "filtered").when(p["error"].isNotNull(), "error").when(reason.isNotNull(), "filtered").otherwise("pending")

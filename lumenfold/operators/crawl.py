@@ -36,6 +36,11 @@ def allowed_by_robots(pages: DataFrame, robots: DataFrame, agent: str = "*") ->
     return rows.join(hit, "url", "left").withColumn("allowed", F.coalesce(F.col("rule.allow") == 1, F.lit(True))).drop("__origin", "__path", "rule")
 
 
+def gate(pages: DataFrame, allow: bool) -> DataFrame:
+    """The constant policies: all pages are allowed, or none."""
+    return pages.withColumn("allowed", F.lit(allow))
+
+
 def schedule(pages: DataFrame, seconds: float, order: str = "position") -> DataFrame:
     """`not_before`: seconds from the start at which each page may be fetched, so that hits of one host keep their
     distance. A host's pages are ranked within it; hosts are independent."""

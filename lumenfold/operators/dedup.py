@@ -212,3 +212,26 @@ def preview(prints: DataFrame, current: float, proposed: float, low: float = rul
     old, new = tier(s, current, low), tier(s, proposed, low)
     change = F.when((old != "near") & (new == "near"), "would_merge").when((old == "near") & (new != "near"), "would_unmerge").otherwise("unchanged")
     return within.unionByName(across).groupBy(change.alias("change")).agg(F.sum("w").alias("pairs")).where("pairs > 0")
+
+
+def preview_stored(prints: DataFrame, group_members: DataFrame, edges: DataFrame, proposed: float, low: float = rules.RELATED_THRESHOLD) -> DataFrame:
+    """article_id, other_article_id, similarity, current, proposed, change: pairs of articles with other contents whose
+    stored state is not what another threshold would give. group_members: group_key, id; edges: article_id,
+    target_article_id of related pairs. Stored pairs and pairs at `low` or above are looked at; no other can change."""
+    values = stored(prints.select("simhash").distinct(), "preview-values")
+    distance = most_distance(min(proposed, low))
+    near = (near_values if distance < 16 else all_values)(values, distance)
+    near = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "distance")).unionByName(values.select(F.col("simhash").alias("a"), F.col("simhash").alias("b"), F.lit(0).alias("distance")))
+    x = prints.select(F.col("id").alias("article_id"), F.col("simhash").alias("a"), F.col("content_hash").alias("h"))
+    y = prints.select(F.col("id").alias("other_article_id"), F.col("simhash").alias("b"), F.col("content_hash").alias("k"))
+    alike = x.join(near, "a").join(y, "b").where("article_id < other_article_id").select("article_id", "other_article_id")
+    g = group_members.select("group_key", "id")
+    merged = g.withColumnRenamed("id", "article_id").join(g.withColumnRenamed("id", "other_article_id"), "group_key").where("article_id < other_article_id").select("article_id", "other_article_id", F.lit("near_duplicate").alias("state"))
+    linked = edges.select(F.least("article_id", "target_article_id").alias("article_id"), F.greatest("article_id", "target_article_id").alias("other_article_id"), F.lit("related").alias("state")).where("article_id < other_article_id")
+    state = merged.unionByName(linked).groupBy("article_id", "other_article_id").agg(F.min("state").alias("state"))  # merged before related
+    pairs = alike.join(state, ["article_id", "other_article_id"], "full").join(x, "article_id").join(y, "other_article_id").where("h <> k")
+    s = text.simhash_similarity(F.col("a"), F.col("b"))
+    new = F.when(s >= proposed, "near_duplicate").when(s >= low, "related").otherwise("none")
+    rows = pairs.select("article_id", "other_article_id", F.round(s, 4).alias("similarity"), F.coalesce("state", F.lit("none")).alias("current"), new.alias("proposed")).where("current <> proposed")
+    change = F.when(F.col("proposed") == "near_duplicate", "would_merge").when(F.col("current") == "near_duplicate", "would_unmerge").when(F.col("proposed") == "related", "would_relate").otherwise("would_unrelate")
+    return rows.withColumn("change", change)

@@ -141,6 +141,35 @@ def save_extractions(cache: DataFrame, results: DataFrame) -> DataFrame:
     )
 
 
+def extract_points(articles: DataFrame, client, limit: int = 200) -> DataFrame:  # noqa: ANN001
+    """article_id, fingerprint, ok, points, tokens, error of a model's extraction, for at most `limit` articles.
+
+    client(title, content) gives (reply, tokens); it is injected, runs in Arrow batches, and a failure is its row's error.
+    A reply without a list of points is a failure. Content is cut to 8,000 characters, as the model's input is bounded."""
+
+    def run(batches):  # noqa: ANN001, ANN202
+        for batch in batches:
+            rows = []
+            for row in batch.itertuples():
+                try:
+                    reply, tokens = client(row.title, row.content)
+                    rows.append((row.article_id, row.fingerprint, reply, int(tokens), None))
+                except Exception as e:  # noqa: BLE001
+                    rows.append((row.article_id, row.fingerprint, None, 0, str(e)))
+            yield pd.DataFrame(rows, columns=["article_id", "fingerprint", "reply", "tokens", "error"])
+
+    own = articles.select("article_id", "fingerprint", F.coalesce("title", F.lit("")).alias("title"), F.substring(F.coalesce("content", F.lit("")), 1, 8000).alias("content")).orderBy("article_id").limit(limit)
+    got = own.mapInPandas(run, "article_id long, fingerprint string, reply string, tokens long, error string").withColumn("points", typed_points(F.col("reply")))
+    return got.select("article_id", "fingerprint", F.col("points").isNotNull().alias("ok"), "points", "tokens", F.when(F.col("points").isNull(), F.coalesce("error", F.lit("no points"))).alias("error"))
+
+
+def stub_client(title: str, content: str) -> tuple[str, int]:
+    """A model for tests and dry runs: the title is the only point."""
+    import json
+
+    return json.dumps({"points": [{"name": title, "summary": content[:200], "claims": []}]}), len(content) // 4
+
+
 def retry_set(articles: DataFrame, extractions: DataFrame, limit: int) -> DataFrame:
     return articles.join(extractions.where("status <> 'ok'").select(F.col("article_id").alias("id")), "id").orderBy("id").limit(limit)
 

@@ -99,6 +99,14 @@ def threshold_preview_stricter(spark, sf_dir):  # noqa: ANN001, ANN201
     return dedup.preview(prints(spark, sf_dir), 0.90, 0.95).where("change <> 'unchanged'")
 
 
+def threshold_preview_changes(spark, sf_dir):  # noqa: ANN001, ANN201
+    """What a threshold of 0.85 would change in the stored groups and related pairs."""
+    p = prints(spark, sf_dir)
+    linked = stored(dedup.links(p), "links")
+    changes = dedup.preview_stored(p, dedup.groups(linked), dedup.related(p, linked), 0.85)
+    return changes.groupBy("change").agg(F.count("*").alias("pairs"))
+
+
 def hit_report(spark, sf_dir):  # noqa: ANN001, ANN201
     rows = dedup.hit_report(relations(spark, sf_dir), articles(spark, sf_dir))
     return rows.where("not is_primary").select("article_id", "target_article_id", "relation_type", "article_title", "target_title")
@@ -150,7 +158,7 @@ def article_detail(spark, sf_dir):  # noqa: ANN001, ANN201
 
 QUERIES = {f.__name__: f for f in (
     content_fingerprint, simhash64, simhash64_native, exact_duplicate_groups, exact_hidden_members, nearest_near, nearest_related, dedup_links, dedup_groups, group_primary, group_reelection, relation_rows, group_sizes,
-    group_overview, related_bidirectional, threshold_preview, threshold_preview_stricter, hit_report, visible_documents_page, visible_total, insights_dedup_stats, insights_category_distribution, article_list, article_detail,
+    group_overview, related_bidirectional, threshold_preview, threshold_preview_stricter, threshold_preview_changes, hit_report, visible_documents_page, visible_total, insights_dedup_stats, insights_category_distribution, article_list, article_detail,
 )}
 ELECTION = "is_accessible DESC, weight DESC, published_at ASC NULLS LAST, length(content) DESC, length(trim(title)) - CASE WHEN regexp_matches(lower(title), '首页|无标题|untitled|404|导航|目录') THEN 100 ELSE 0 END DESC, crawled_at, id"
 ELECTED = f"{ARTICLES}, e AS (SELECT group_key, root, g.id, a.title, row_number() OVER (PARTITION BY group_key ORDER BY {ELECTION.replace(', id', ', g.id')}) AS n FROM g JOIN a ON g.id = a.id)"
@@ -172,6 +180,11 @@ SQL = {
     "related_bidirectional": f"WITH {LINKS}, f AS ({NEAREST.format(d=32)}), r AS (SELECT id AS article_id, nearest AS related_id FROM f WHERE id NOT IN (SELECT id FROM l)) SELECT * FROM r UNION SELECT related_id, article_id FROM r",
     "threshold_preview": PREVIEW.format(prints=PRINTS, change="'would_merge'", test="d > 6 AND d <= 9"),
     "threshold_preview_stricter": PREVIEW.format(prints=PRINTS, change="'would_unmerge'", test="d <= 6 AND d > 3"),
+    "threshold_preview_changes": f"""WITH RECURSIVE {GROUPS}, f AS ({NEAREST.format(d=32)}), e AS (SELECT nearest AS u, id AS v FROM f WHERE id NOT IN (SELECT id FROM l)),
+  q AS (SELECT bit_count(xor(a.simhash, b.simhash)) AS d, CASE WHEN ga.root = gb.root THEN 'near' WHEN e.u IS NOT NULL THEN 'related' ELSE 'none' END AS cur FROM p a JOIN p b ON a.id < b.id AND a.content_hash <> b.content_hash
+    LEFT JOIN g ga ON ga.id = a.id LEFT JOIN g gb ON gb.id = b.id LEFT JOIN e ON e.u = a.id AND e.v = b.id),
+  w AS (SELECT cur, CASE WHEN d <= 9 THEN 'near' WHEN d <= 32 THEN 'related' ELSE 'none' END AS new FROM q)
+  SELECT CASE WHEN new = 'near' THEN 'would_merge' WHEN cur = 'near' THEN 'would_unmerge' WHEN new = 'related' THEN 'would_relate' ELSE 'would_unrelate' END AS change, count(*) AS pairs FROM w WHERE cur <> new GROUP BY 1""",
     "visible_documents_page": f"WITH {HIDDEN} SELECT id, coalesce(published_at, crawled_at) AS time, category FROM v ORDER BY 2 DESC, 1 LIMIT 50 OFFSET 50",
     "visible_total": f"WITH {HIDDEN} SELECT count(*) AS total, greatest(1, ceil(count(*) / 50.0))::BIGINT AS pages FROM v",
     "insights_category_distribution": f"WITH {PRINTS}, {ARTICLES}, c AS (SELECT unnest(['de', 'en', 'es', 'fr', 'it']) AS id) SELECT upper(c.id) AS name, count(v.id) AS articles FROM c LEFT JOIN (SELECT * FROM a WHERE status <> 'filtered' AND id NOT IN (SELECT id FROM x WHERE first_id < id)) v ON v.category = c.id GROUP BY 1",

@@ -283,3 +283,23 @@ def test_ids_are_stable(spark):
     a, b = (spark.range(1).select(store.natural_id("art", F.lit("u"))).first()[0] for _ in range(2))
     assert a == b and a.startswith("art_")
     assert text.simhash_of([]) == 0
+
+
+def test_extraction(spark):
+    a = spark.createDataFrame([(1, "f1", "One", "text"), (2, "f2", "Two", "boom"), (3, "f3", " ", "text")], "article_id long, fingerprint string, title string, content string")
+
+    def client(title, content):
+        if content == "boom":
+            raise TimeoutError("slow")
+        return knowledge.stub_client(title, content)
+
+    got = {r["article_id"]: (r["ok"], [p["name"] for p in r["points"] or []], r["error"]) for r in knowledge.extract_points(a, client).collect()}
+    assert got == {1: (True, ["One"], None), 2: (False, [], "slow"), 3: (True, [], None)}
+
+
+def test_envelope(spark):
+    import json
+
+    body = json.loads(browse.envelope(spark.range(5), spark.range(2), 1, 2).first()["body"])
+    assert body == {"total": 5, "page": 1, "page_size": 2, "items": [{"id": 0}, {"id": 1}]}
+    assert {r["allowed"] for r in crawl.gate(spark.range(2), False).collect()} == {False}
