@@ -29,8 +29,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sha = F.sha2("body", 256).alias("text_sha256")
     again = rows.join(keys, ["n_bytes", "prefix"], "left_semi")
     full = stored(again.select("id", F.monotonically_increasing_id().alias("rid"), "n_bytes", sha), "full-hashes")
-    groups = full.groupBy("n_bytes", "text_sha256").agg(F.max(F.struct("id", "rid")).alias("keep"), F.count("*").alias("group_size"))
-    dealt = full.join(groups, ["n_bytes", "text_sha256"]).select("id", F.col("keep.id").alias("keep_id"), "group_size", (F.col("rid") == F.col("keep.rid")).alias("kept"), "text_sha256")
+    # Kept as a table, so that the join below has its own exchanges and Spark can split a group that very many rows share.
+    groups = full.groupBy("n_bytes", "text_sha256").agg(F.max(F.struct("id", "rid")).alias("keep"), F.count("*").alias("size")).where("size > 1")
+    groups = stored(groups, "equal-texts")
+    dealt = full.join(groups, ["n_bytes", "text_sha256"], "left").select(
+        "id", F.when(F.col("size").isNull(), F.col("id")).otherwise(F.col("keep.id")).alias("keep_id"), F.coalesce("size", F.lit(1)).cast("long").alias("group_size"), F.coalesce(F.col("rid") == F.col("keep.rid"), F.lit(True)).alias("kept"), "text_sha256"
+    )
     alone = rows.join(keys, ["n_bytes", "prefix"], "left_anti").select("id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), sha if digest else F.lit(None).cast("string").alias("text_sha256"))
     return dealt.unionByName(alone).withColumnRenamed("id", id_col)
 
