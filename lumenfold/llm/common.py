@@ -5,6 +5,7 @@ Nothing here is collected to the driver unless its size has a stated bound.
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -35,10 +36,17 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     """Write a table to the shared folder and read it back: later steps neither recompute it nor depend on live executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    tidy(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let go of finished plans, so that Spark drops their shuffle files now and not when the driver's memory is full."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def small_batches(spark: SparkSession) -> None:
     """Keep Arrow batches of long texts small, and see that workers can import this package."""
     ship(spark)
@@ -77,6 +85,26 @@ def mix64(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
+def smallest_hashes(df: DataFrame, most: int, *columns: str) -> DataFrame:
+    """At most `most` rows, chosen by a hash of the columns: the same rows wherever they lie. Rows above the hash that a
+    quarter more would stay below are cut where they are read, so little meets in one place."""
+    h, bound = F.xxhash64(*columns), 2**63 - 1
+    total = df.count()
+    if total > most:
+        bound = min(bound, int(-(2**63) + 2**64 * 1.25 * most / total))
+    return df.where(h <= F.lit(bound)).orderBy(h, *columns).limit(most)
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    """base ** k modulo 2 ** 64 for k below n."""
+    out, done = np.ones(n, np.uint64), 1
+    while done < n:
+        more = min(done, n - done)
+        out[done : done + more] = out[:more] * np.uint64(pow(base, done, 1 << 64))
+        done += more
+    return out
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of an edge list: (id, component), component the smallest id.
 

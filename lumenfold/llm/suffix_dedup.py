@@ -15,28 +15,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import answered, dealt, mapped, mix64, part_id, parts_for, stored, text_bytes, utf8
+from .common import mapped, mix64, part_id, parts_for, powers, stored, text_bytes, tidy, utf8
 from .ngram_join import NULL_ID, SHARES, buckets_of, share
 
-#: Bytes of an anchor's gram; bytes of text of one chunk; bytes of runs that are sorted at once.
-Q, CHUNK_BYTES, SORT_BYTES = 26, 20 << 20, 1 << 21
+#: Bytes of an anchor's gram; bytes of text of one chunk; bytes of runs that are sorted at once; bytes packed at once.
+Q, CHUNK_BYTES, SORT_BYTES, PACK_BYTES = 26, 16 << 20, 1 << 19, 24 << 20
 #: An anchor that more documents have sends each string by itself, to the bucket of its own hash.
-HOT = 20_000
+HOT = 2_000
 STEP = 1 << 19
+_ODD = mix64(np.arange(300, 304, dtype=np.uint64)) | np.uint64(1)
 _TABLE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _BASE = 0x5851F42D4C957F2D
 
 
-def powers(base: int, n: int) -> np.ndarray:
-    out = np.ones(n, np.uint64)
-    done = 1
-    while done < n:
-        more = min(done, n - done)
-        out[done : done + more] = out[:more] * np.uint64(pow(base, done, 1 << 64))
-        done += more
-    return out
-
-
 _UP = powers(_BASE, STEP + 4096)
 _DOWN = powers(pow(_BASE, -1, 1 << 64), STEP + 4096)
 
@@ -100,10 +91,10 @@ class Runs:
         for at in range(0, max(0, total - length + 1), STEP):
             stop = min(at + STEP, total - length + 1)  # strings that start here
             grams = stop - at + wide - 1
-            words = np.ndarray((grams + Q,), "<u8", self.buffer, at, strides=(1,)) if at + grams + Q + 8 <= len(self.buffer) else np.ndarray((grams + Q - 8,), "<u8", self.buffer, at, strides=(1,))
-            h = words[:grams]
-            for k in (8, 16, Q - 8):
-                h = mix64(h) + words[k : k + grams]
+            words = np.ndarray((grams + Q - 8,), "<u8", self.buffer, at, strides=(1,))
+            h = words[:grams] * _ODD[0]
+            for k, odd in zip((8, 16, Q - 8), _ODD[1:], strict=True):
+                h += words[k : k + grams] * odd
             h = mix64(h)
             low = (h >> np.uint64(20) << np.uint64(20)) | np.arange(grams, dtype=np.uint64)
             done = 1
@@ -113,10 +104,11 @@ class Runs:
             if done < wide:
                 low = np.minimum(low[: len(low) - wide + done], low[wide - done :])
             anchor = (low & np.uint64(0xFFFFF)).astype(np.int64)
-            place = np.arange(at, stop)
-            doc = np.searchsorted(self.starts, place, side="right") - 1
-            ok = place + length <= self.starts[doc + 1]
-            anchor[~ok] = -1
+            first_doc, last_doc = np.searchsorted(self.starts, (at, stop - 1), side="right") - 1
+            of = np.arange(first_doc, last_doc + 1)
+            inside = np.minimum(self.starts[of + 1], stop) - np.maximum(self.starts[of], at)
+            doc = np.repeat(of, inside)
+            anchor[np.arange(at, stop) + length > np.repeat(self.starts[of + 1], inside)] = -1
             cut = np.append(True, (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1]))
             first = np.flatnonzero(cut)
             count = np.diff(np.append(first, len(anchor)))
@@ -207,38 +199,64 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
         raise ValueError(f"length must be from {Q + 1} to {Q + 63}")
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("body"))
-    total = text_bytes(docs, text_col)
-    chunks = parts_for(spark, total, CHUNK_BYTES)
+    chunks = parts_for(spark, text_bytes(docs, text_col), CHUNK_BYTES)
+    sha = lambda x: hashlib.sha256(x).hexdigest()
+    joined = lambda parts, t: np.concatenate([np.zeros(0, t), *parts])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Texts as compressed blocks, one of each chunk for some megabytes of input."""
+        import zstandard
+
+        press, held, weight = zstandard.ZstdCompressor(level=3), {}, 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for chunk, of in held.items():
+                ids, texts = zip(*of, strict=True)
+                yield share([(chunk, chunk, "text", np.array(ids, "<i8").tobytes(), np.array(list(map(len, texts)), "<i8").tobytes(), press.compress(b"".join(texts)))])
 
-    def loads(batches: Iterator[pa.RecordBatch], replies: list | None = None) -> Iterator[tuple[np.ndarray, Runs]]:
-        """(ids, runs) of a chunk's batches; reply rows are put aside."""
         for batch in batches:
-            if replies is not None:
-                ask = batch.column("a").is_valid()
-                replies += [(a, b) for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True) if a is not None]
-                batch = batch.filter(pa.compute.invert(ask))
-            if batch.num_rows:
-                ids = np.array([NULL_ID if x is None else x for x in batch.column("id").to_pylist()], np.int64)
-                texts = utf8(batch, "body")
-                yield ids, texts, Runs([b"" if i == NULL_ID else x for i, x in zip(ids, texts, strict=True)], length)
+            for chunk, i, text in zip(batch.column("chunk").to_pylist(), batch.column("id").to_pylist(), utf8(batch, "body"), strict=True):
+                held.setdefault(chunk, []).append((NULL_ID if i is None else i, text))
+                weight += len(text)
+            if weight > PACK_BYTES:
+                yield from flush()
+                held, weight = {}, 0
+        yield from flush()
+
+    def loads(batches: Iterator[pa.RecordBatch], replies: dict[str, list] | None = None) -> Iterator[tuple[np.ndarray, list[bytes], Runs]]:
+        """(ids, texts, runs) of a chunk's blocks; reply rows, which come before, are put aside by their kind."""
+        import zstandard
+
+        press = zstandard.ZstdDecompressor()
+        for batch in batches:
+            for kind, a, b, c in zip(*(batch.column(x).to_pylist() for x in ("kind", "a", "b", "c")), strict=True):
+                if kind != "text":
+                    replies.setdefault(kind, []).append((a, b, c))
+                    continue
+                ids, sizes, data = np.frombuffer(a, "<i8"), np.frombuffer(b, "<i8"), press.decompress(c, max_output_size=int(np.frombuffer(b, "<i8").sum()) or 1) if len(c) else b""
+                ends = np.cumsum(sizes)
+                texts = [data[e - n : e] for n, e in zip(sizes.tolist(), ends.tolist(), strict=True)]
+                yield ids, texts, Runs([b"" if i == NULL_ID else x for i, x in zip(ids.tolist(), texts, strict=True)], length)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, of, weight = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
+        keys, of = [], []
         for ids, _, runs in loads(batches):
-            pair = np.unique(np.rec.fromarrays([runs.anchor, ids[runs.doc]], names="a,d")) if len(runs.anchor) else np.rec.fromarrays([runs.anchor, runs.doc], names="a,d")
-            keys.append(pair.a), of.append(pair.d)
-        key, doc = np.concatenate(keys), np.concatenate(of)
-        by = np.lexsort((doc, key))
+            keys.append(runs.anchor)
+            of.append(ids[runs.doc])
+        key, doc = joined(keys, np.uint64), joined(of, np.int64)
+        by = np.argsort(key, kind="stable")
         key, doc = key[by], doc[by]
-        new = np.append(True, (key[1:] != key[:-1]) | (doc[1:] != doc[:-1]))[: len(key)]
-        key, n = np.unique(key[new], return_counts=True)
+        head = np.append(True, key[1:] != key[:-1])[: len(key)]
+        other = np.append(False, (key[1:] == key[:-1]) & (doc[1:] != doc[:-1]))[: len(key)]  # at least so many documents but one
+        first = np.flatnonzero(head)
+        n = 1 + (np.add.reduceat(other.astype(np.int64), first) if len(first) else np.zeros(0, np.int64))
+        key = key[first]
         cuts = np.searchsorted(buckets_of(key, chunks), np.arange(chunks + 1))
         low = (key & np.uint64(0xFFFFFFFF)).astype("<u4")
-        for k in range(chunks):
+        for k in np.flatnonzero(cuts[1:] > cuts[:-1]).tolist():
             own = slice(cuts[k], cuts[k + 1])
-            if cuts[k] < cuts[k + 1]:
-                several = np.flatnonzero(n[own] > 1).astype("<u4")
-                yield share([(k, part_id(), "ask", low[own].tobytes(), several.tobytes(), n[own][several].astype("<u4").tobytes())])
+            several = np.flatnonzero(n[own] > 1).astype("<u4")
+            yield share([(k, part_id(), "ask", low[own].tobytes(), several.tobytes(), n[own][several].astype("<u4").tobytes())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked = []
@@ -257,49 +275,123 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
                 at += len(low)
                 key = lead << np.uint64(32) | low.astype(np.uint64)
                 if (n > 1).any():
-                    yield share([(0, chunk, "got", key[(n > 1) & (n <= HOT)].tobytes(), key[n > HOT].tobytes())])
+                    yield share([(chunk, chunk, "keys", key[(n > 1) & (n <= HOT)].tobytes(), key[n > HOT].tobytes())])
 
     def bucket_key(anchor: np.ndarray) -> np.ndarray:
         return buckets_of(anchor, chunks).astype(np.uint64) << np.uint64(32) | (anchor & np.uint64(0xFFFFFFFF))
 
-    def known(replies: list) -> tuple[np.ndarray, np.ndarray]:
-        return tuple(np.unique(np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(x[i], "<u8") for x in replies)])) for i in (0, 1))
+    class Known:
+        """What a chunk was told: shared anchors, hot ones, the smallest document of runs by hash, masks of runs."""
+
+        def __init__(self, replies: dict[str, list]):
+            keys = replies.get("keys", [])
+            self.some, self.hot = (np.unique(joined([np.frombuffer(x[i], "<u8") for x in keys], np.uint64)) for i in (0, 1))
+            self.h, self.least, self.raw = (joined([np.frombuffer(x[i], t) for x in replies.get("least", [])], t) for i, t in enumerate((np.uint64, np.int64, np.uint8)))
+            by = np.argsort(self.h, kind="stable")
+            self.h, self.least, self.raw = self.h[by], self.least[by], self.raw[by]
+            self.run, self.mask = (joined([np.frombuffer(x[i], "<u8") for x in replies.get("masks", [])], np.uint64) for i in (0, 1))
+            by = np.argsort(self.run, kind="stable")
+            self.run, self.mask = self.run[by], self.mask[by]
+
+        def chosen(self, runs: Runs) -> tuple[Runs, np.ndarray, np.ndarray]:
+            """(runs of shared anchors, hashes of their bytes, where they are sorted)."""
+            key = bucket_key(runs.anchor)
+            at = np.minimum(np.searchsorted(self.some, key), max(0, len(self.some) - 1))
+            real = self.some[at] == key if len(self.some) else np.zeros(len(key), bool)
+            if len(self.hot):
+                many = np.isin(key, self.hot)
+                hot = np.unique(runs.anchor[many])
+                runs = runs.pick(np.flatnonzero(real | many)).split(hot)
+                h = runs.hashes()
+                return runs, h, np.where(np.isin(runs.anchor, hot), h, runs.anchor)
+            runs = runs.pick(np.flatnonzero(real))
+            return runs, runs.hashes(), runs.anchor
+
+        def told(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """(is there a reply, smallest document, to be sent) of runs."""
+            at = np.minimum(np.searchsorted(self.h, h), max(0, len(self.h) - 1))
+            found = self.h[at] == h if len(self.h) else np.zeros(len(h), bool)
+            return found, self.least[at] if len(self.h) else np.zeros(len(h), np.int64), self.raw[at].astype(bool) if len(self.h) else found
+
+        def masks(self, h: np.ndarray) -> np.ndarray:
+            at = np.minimum(np.searchsorted(self.run, h), max(0, len(self.run) - 1))
+            return np.where(self.run[at] == h, self.mask[at], 0).astype(np.uint64) if len(self.run) else np.zeros(len(h), np.uint64)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Ask for the smallest document of each run's bytes; of a chunk's equal runs the smallest document asks."""
+        replies: dict[str, list] = {}
+        parts, known = [], None
+        for ids, _, runs in loads(batches, replies):
+            known = known or Known(replies)
+            runs, h, where = known.chosen(runs)
+            parts.append((h, where, ids[runs.doc]))
+        if not parts:
+            return
+        h, where, doc = (np.concatenate([p[i] for p in parts]) for i in range(3))
+        by = np.lexsort((doc, h))
+        h, where, doc = h[by], where[by], doc[by]
+        first = np.flatnonzero(np.append(True, h[1:] != h[:-1])[: len(h)])
+        last = np.append(first[1:], len(h))[: len(first)] - 1
+        several = (doc[first] != doc[last]).astype(np.uint8)
+        h, where, doc = h[first], where[first], doc[first]
+        by = np.argsort(where, kind="stable")
+        cuts = np.searchsorted(buckets_of(where[by], chunks), np.arange(chunks + 1))
+        for k in np.flatnonzero(cuts[1:] > cuts[:-1]).tolist():
+            own = by[cuts[k] : cuts[k + 1]]
+            yield share([(k, part_id(), "runs", h[own].tobytes(), (where[own] & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes(), doc[own].tobytes(), several[own].tobytes())])
 
-    def chosen(runs: Runs, some: np.ndarray, hot: np.ndarray) -> tuple[Runs, np.ndarray, np.ndarray]:
-        """(runs of shared anchors, hashes of their bytes, where they are sorted)."""
-        key = bucket_key(runs.anchor)
-        many = np.isin(key, hot)
-        runs = runs.pick(np.flatnonzero(many | np.isin(key, some)))
-        runs = runs.split(np.unique(runs.anchor[np.isin(bucket_key(runs.anchor), hot)]))
-        h = runs.hashes()
-        return runs, h, np.where(np.isin(bucket_key(runs.anchor), hot), h, runs.anchor)
+    def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got: list[tuple] = []
+        for batch in batches:
+            for row in zip(*(batch.column(x).to_pylist() for x in ("chunk", "a", "b", "c", "d")), strict=True):
+                got.append((row[0], *(np.frombuffer(x, t) for x, t in zip(row[1:], ("<u8", "<u4", "<i8", np.uint8), strict=True))))
+        if not got:
+            return
+        h, where, doc, several = (np.concatenate([x[i] for x in got]) for i in range(1, 5))
+        by = np.lexsort((doc, h, where))
+        head = np.append(True, (h[by][1:] != h[by][:-1]) | (where[by][1:] != where[by][:-1]))
+        sizes = np.diff(np.append(np.flatnonzero(head), len(by)))
+        low = np.empty(len(h), np.int64)
+        low[by] = np.repeat(doc[by][head], sizes)
+        # Runs with one anchor but other bytes may still share strings.
+        cut = np.append(True, where[by][head][1:] != where[by][head][:-1])
+        kinds = np.bincount(np.cumsum(cut) - 1)[np.cumsum(cut) - 1]
+        raw = np.empty(len(h), bool)
+        raw[by] = np.repeat(kinds > 1, sizes)
+        raw &= doc == low
+        tell = raw | (low < doc) | (several > 0)
+        at = 0
+        for chunk, own, *_ in got:
+            own = slice(at, at + len(own))
+            at = own.stop
+            t = tell[own]
+            if t.any():
+                yield share([(int(chunk), int(chunk), "least", h[own][t].tobytes(), low[own][t].tobytes(), raw[own][t].astype(np.uint8).tobytes())])
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        replies: list = []
-        parts, sets = [], None
+        """The bytes of runs that must be compared with others of their anchor."""
+        replies: dict[str, list] = {}
+        parts, known = [], None
         for ids, _, runs in loads(batches, replies):
-            sets = sets or known(replies)
-            runs, h, where = chosen(runs, *sets)
-            # Of a batch's equal runs the one of the smallest document goes on.
-            by = np.lexsort((ids[runs.doc], h))
-            by = np.sort(by[np.append(True, h[by][1:] != h[by][:-1])[: len(by)]])
-            data, sizes = runs.pick(by).bytes_of()
-            parts.append((h[by], where[by], ids[runs.doc[by]], sizes, data))
+            known = known or Known(replies)
+            runs, h, where = known.chosen(runs)
+            found, low, raw = known.told(h)
+            own = np.flatnonzero(found & raw & (ids[runs.doc] == low))
+            own = own[np.sort(np.unique(h[own], return_index=True)[1])]
+            data, sizes = runs.pick(own).bytes_of()
+            parts.append((h[own], where[own], ids[runs.doc[own]], sizes, data))
         if not parts:
             return
         h, where, doc, sizes = (np.concatenate([p[i] for p in parts]) for i in range(4))
         text = np.frombuffer(b"".join(p[4] for p in parts), np.uint8)
         starts = np.cumsum(sizes) - sizes
-        by = np.lexsort((doc, h))
-        by = by[np.append(True, h[by][1:] != h[by][:-1])[: len(by)]]
-        by = by[np.argsort(where[by], kind="stable")]
+        by = np.argsort(where, kind="stable")
         cuts = np.searchsorted(buckets_of(where[by], chunks), np.arange(chunks + 1))
-        for k in range(chunks):
+        for k in np.flatnonzero(cuts[1:] > cuts[:-1]).tolist():
             own = by[cuts[k] : cuts[k + 1]]
-            if len(own):
-                n = sizes[own]
-                data = text[np.repeat(starts[own] - np.cumsum(n) + n, n) + np.arange(n.sum())].tobytes()
-                yield share([(k, part_id(), "runs", h[own].tobytes(), where[own].tobytes(), doc[own].tobytes(), n.astype("<u4").tobytes(), data)])
+            n = sizes[own]
+            data = text[np.repeat(starts[own] - np.cumsum(n) + n, n) + np.arange(n.sum())].tobytes()
+            yield share([(k, part_id(), "bytes", h[own].tobytes(), where[own].tobytes(), doc[own].tobytes(), n.astype("<u4").tobytes(), data)])
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got: list[tuple] = []
@@ -313,76 +405,68 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
         del got
         sizes = sizes.astype(np.int64)
         starts = np.cumsum(sizes) - sizes
-        strings = (sizes - length + 1).astype(np.uint64)
-        full = (np.uint64(1) << strings) - np.uint64(1)
-        by = np.lexsort((doc, h, where))
-        head = np.append(True, h[by][1:] != h[by][:-1])
-        least = np.repeat(doc[by][head], np.diff(np.append(np.flatnonzero(head), len(by))))
+        by = np.argsort(where, kind="stable")
+        cut = np.flatnonzero(np.append(True, where[by][1:] != where[by][:-1]))
+        block = (np.cumsum(np.add.reduceat(sizes[by], cut)) - 1) // SORT_BYTES  # whole anchors together
+        block = np.repeat(block, np.diff(np.append(cut, len(by))))
         mask = np.zeros(len(h), np.uint64)
-        mask[by] = np.where(doc[by] > least, full[by], 0)
-        tops = by[head]  # the first of each group of equal runs, by anchor
-        # An anchor with one run has nothing to compare with.
-        cut = np.append(True, where[tops][1:] != where[tops][:-1])
-        group = np.cumsum(cut) - 1
-        tops = tops[np.bincount(group)[group] > 1]
-        cut = np.flatnonzero(np.append(True, where[tops][1:] != where[tops][:-1]))[: len(tops)]
-        size = np.add.reduceat(sizes[tops], cut) if len(tops) else np.zeros(0, np.int64)
-        block = (np.cumsum(size) - 1) // SORT_BYTES  # whole anchors together, about SORT_BYTES at a time
-        block = np.repeat(block, np.diff(np.append(cut, len(tops))))
-        for k in np.unique(block):
-            own = tops[block == k]
+        edges = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
+        for a, z in zip(edges, np.append(edges, len(by))[1:], strict=True):
+            own = by[a:z]
             n = sizes[own]
             data = text[np.repeat(starts[own] - np.cumsum(n) + n, n) + np.arange(n.sum())].tobytes()
-            mask[own] |= sort_and_mark(data, n, doc[own], length)
-        # Copies of the first run of a group in other chunks with its document get its mask.
-        same = doc[by] == least
-        mask[by[same]] = np.repeat(mask[by[head]], np.diff(np.append(np.flatnonzero(head), len(by))))[same]
-        edge = np.flatnonzero(np.append(True, chunk[1:] != chunk[:-1]))
-        for a, z in zip(edge, np.append(edge[1:], len(chunk)), strict=True):
-            yield share([(0, int(chunk[a]), "masks", where[a:z].tobytes(), np.stack([h[a:z], doc[a:z].view(np.uint64), mask[a:z]]).tobytes())])
-
-    sha = lambda x: hashlib.sha256(x).hexdigest()
+            mask[own] = sort_and_mark(data, n, doc[own], length)
+        by = np.argsort(chunk, kind="stable")
+        by = by[mask[by] != 0]
+        edges = np.flatnonzero(np.append(True, chunk[by][1:] != chunk[by][:-1])[: len(by)])
+        for a, z in zip(edges, np.append(edges, len(by))[1:], strict=True):
+            own = by[a:z]
+            yield share([(int(chunk[own[0]]), int(chunk[own[0]]), "masks", h[own].tobytes(), mask[own].tobytes())])
 
     def cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        replies: list = []
-        table = None
+        replies: dict[str, list] = {}
+        known = None
         for ids, texts, runs in loads(batches, replies):
-            if table is None:
-                anchors = [x for x in replies if x[0][:1] == b"k"]
-                sets = known([(a[1:], b) for a, b in anchors])
-                masks = [np.frombuffer(b, np.uint64).reshape(3, -1) for a, b in replies if a[:1] == b"m"]
-                table = np.concatenate([np.zeros((3, 0), np.uint64), *masks], 1)
-                table = table[:, np.argsort(table[0], kind="stable")]
-                replies.clear()
-            runs, h, _ = chosen(runs, *sets)
-            at = np.minimum(np.searchsorted(table[0], h), max(0, table.shape[1] - 1))
-            found = table[0][at] == h if table.shape[1] else np.zeros(len(h), bool)
-            runs, at = runs.pick(np.flatnonzero(found)), at[found]
-            everything = ids[runs.doc] > table[1][at].view(np.int64)
-            mask = np.where(everything, (np.uint64(1) << runs.count.astype(np.uint64)) - np.uint64(1), table[2][at])
-            delta = np.zeros(len(runs.buffer) + 1, np.int32)
+            known = known or Known(replies)
+            replies.clear()
+            runs, h, _ = known.chosen(runs)
+            found, low, _ = known.told(h)
+            runs, h, low = runs.pick(np.flatnonzero(found)), h[found], low[found]
+            own = ids[runs.doc]
+            mask = np.where(own > low, (np.uint64(1) << runs.count.astype(np.uint64)) - np.uint64(1), np.where(own == low, known.masks(h), np.uint64(0)))
+            begins = np.zeros(len(runs.buffer) + 1, np.int32)
             for k in range(int(runs.count.max()) if len(runs.count) else 0):
-                on = runs.first[(mask >> np.uint64(k)) & np.uint64(1) == 1] + k
-                np.add.at(delta, on, 1), np.add.at(delta, on + length, -1)
-            gone = np.cumsum(delta) > 0
+                begins[runs.first[(mask >> np.uint64(k)) & np.uint64(1) == 1] + k] = 1
+            sums = np.cumsum(begins)
+            sums[length:] -= sums[:-length].copy()
+            gone = sums > 0
             sizes, removed, spans, kept = [], [], [], []
             for i, text in enumerate(texts):
-                own = gone[runs.starts[i] : runs.starts[i + 1]]
-                n = int(np.count_nonzero(own))
+                on = gone[runs.starts[i] : runs.starts[i + 1]]
+                n = int(np.count_nonzero(on))
                 sizes.append(len(text)), removed.append(n)
-                spans.append(int(own[0]) + int(np.count_nonzero(own[1:] & ~own[:-1])) if n else 0)
-                kept.append(np.frombuffer(text, np.uint8)[~own].tobytes() if n else text)
-            out = [batch_ids(ids), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array([sha(x) for x in kept], pa.string())]
+                spans.append(int(on[0]) + int(np.count_nonzero(on[1:] & ~on[:-1])) if n else 0)
+                kept.append(np.frombuffer(text, np.uint8)[~on].tobytes() if n else text)
+            out = [pa.array(ids, pa.int64(), mask=ids == NULL_ID), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array([sha(x) for x in kept], pa.string())]
             names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
             yield pa.RecordBatch.from_arrays([*out, *([pa.array(kept, pa.binary())] if with_text else [])], names=[*names, *(["kept"] if with_text else [])])
 
-    def batch_ids(ids: np.ndarray) -> pa.Array:
-        return pa.array(ids, pa.int64(), mask=ids == NULL_ID)
+    # The same texts are read five times, each time with more replies; blocks are a third of the texts.
+    chunk = F.pmod(F.xxhash64("id", "body"), F.lit(chunks)).cast("int")
+    blocks = stored(mapped(rows.withColumn("chunk", chunk), pack, SHARES), "text-blocks")
+
+    def with_replies(*replies: DataFrame) -> DataFrame:
+        every = blocks
+        for r in replies:
+            every = every.unionByName(r)
+        return every.repartitionById(chunks, "to").sortWithinPartitions(F.col("kind") == "text")
+
+    def exchange(asked: DataFrame, answer, tag: str) -> DataFrame:  # noqa: ANN001
+        return stored(mapped(asked.repartitionById(chunks, "to"), answer, SHARES), tag)
 
-    asked = mapped(dealt(rows, chunks, "id", "body"), ask, SHARES).repartitionById(chunks, "to")
-    anchors = stored(mapped(asked, count, SHARES), "shared-anchors").select(F.col("chunk").cast("int").alias("chunk"), "a", "b")
-    sent = mapped(answered(rows, anchors, chunks, "id", "body"), send, SHARES).repartitionById(chunks, "to")
-    masks = stored(mapped(sent, sort, SHARES), "repeat-masks").select(F.col("chunk").cast("int").alias("chunk"), F.lit(b"m").alias("a"), "b")
-    both = anchors.withColumn("a", F.concat(F.lit(b"k"), "a")).unionByName(masks)
+    keys = exchange(mapped(with_replies(), ask, SHARES), count, "shared-anchors")
+    lows = exchange(mapped(with_replies(keys), compare, SHARES), least, "smallest-documents")
+    masks = exchange(mapped(with_replies(keys, lows), send, SHARES), sort, "repeat-masks")
+    tidy(spark)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_text else "")
-    return mapped(answered(rows, both, chunks, "id", "body"), cover, schema)
+    return mapped(with_replies(keys, lows, masks), cover, schema)
