@@ -27,7 +27,11 @@ PAD = b"\n" * ORDER
 
 def canonical(text: bytes) -> bytes:
     """The bytes that are scored: A-Z lowered, words each followed by one space, then one more space as the end."""
-    return b"".join(x + b" " for x in text.lower().split()) + b" "
+    return written_out(text.lower().split())
+
+
+def written_out(words: list[bytes]) -> bytes:
+    return b" ".join([*words, b"", b""]) if words else b" "
 
 
 def slots(gram: np.ndarray, order: int, bit: int) -> np.ndarray:
@@ -124,7 +128,7 @@ class Mixer:
 class GramTable:
     """A bounded hash table from grams to slots of parallel arrays, with two probes; what finds no room is left out."""
 
-    def __init__(self, bits: int = 21):
+    def __init__(self, bits: int = 22):
         self.mask = np.uint64((1 << bits) - 1)
         self.keys = np.zeros(1 << bits, np.uint64)
 
@@ -221,25 +225,23 @@ def gather(rows: DataFrame, parts: int) -> DataFrame:
         for batch in batches:
             trained = []
             for text, held in zip(utf8(batch, "body"), batch.column("held").to_pylist(), strict=True):
-                words[held].update(text.lower().split())
+                words[held].update(of := text.lower().split())
                 if not held:
-                    trained.append(canonical(text))
+                    trained.append(written_out(of))
             for gram, _ in slices(trained):
                 counts.see(gram)
-        blocks: list[list[bytes]] = [[] for _ in range(parts)]
+        blocks: dict[int, list[bytes]] = {}
         for word in words[0].keys() | words[1].keys():
-            blocks[zlib.crc32(word) % parts].append(word)
-        for to, block in enumerate(blocks):
-            if block:
-                yield flow([(to, chunk, "words", b" ".join(block), np.array([words[0][x] for x in block], "<i8").tobytes())])
+            blocks.setdefault(zlib.crc32(word) % parts, []).append(word)
+        for to, block in blocks.items():
+            yield flow([(to, chunk, "words", b" ".join(block), np.array([words[0][x] for x in block], "<i8").tobytes())])
         gram, n = counts.result()
         to = (mix64(gram) % np.uint64(parts)).astype(np.int64)
         by = np.argsort(to, kind="stable")
         ends = np.searchsorted(to[by], np.arange(parts + 1))
-        for k in range(parts):
-            if ends[k] < ends[k + 1]:
-                own = by[ends[k] : ends[k + 1]]
-                yield flow([(k, chunk, "grams", gram[own].tobytes(), n[own].astype("<i8").tobytes())])
+        for k in np.flatnonzero(ends[1:] > ends[:-1]).tolist():
+            own = by[ends[k] : ends[k + 1]]
+            yield flow([(k, chunk, "grams", gram[own].tobytes(), n[own].astype("<i8").tobytes())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: Counter = Counter()
@@ -260,7 +262,7 @@ def gather(rows: DataFrame, parts: int) -> DataFrame:
         for chunk, a in asked:
             yield flow([(to, chunk, "words", a, np.array([totals[x] for x in a.split(b" ")], "<i8").tobytes())])
         known = [x for x in totals.values() if x]
-        yield flow([(to, -1, "sums", b"", np.array([sum(known), len(known)], "<i8").tobytes())])
+        yield flow([(to, -1, "sums", b"", np.array([sum(known), len(known)], ">i8").tobytes())])
         keys, times = summed(np.concatenate(gram), np.concatenate(n))
         by = np.argsort(mix64(keys))  # an order that has nothing to do with the grams, the same in every run
         for at in range(0, len(by), 1 << 18):
@@ -371,10 +373,9 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     parts = parts_for(docs.sparkSession, text_bytes(docs, text_col), CHUNK_BYTES)
     counts = gather(rows, parts)
     ends = rows.where("not held").count()
-    sums = np.zeros(2, np.int64)
-    for r in counts.where("kind = 'sums'").select("b").toLocalIterator():  # 16 bytes a bucket
-        sums += np.frombuffer(r["b"], "<i8")
-    n, v = int(sums[0]) + ends, int(sums[1]) + (ends > 0)
+    number = lambda at: F.coalesce(F.sum(F.conv(F.hex(F.substring("b", at, 8)), 16, 10).cast("long")), F.lit(0))
+    sums = counts.where("kind = 'sums'").agg(number(1), number(9)).first()
+    n, v = sums[0] + ends, sums[1] + (ends > 0)
     n_grams = counts.where("kind = 'grams'").agg(F.sum(F.length("a"))).first()[0] or 0
     mixer = build(counts, n_grams // 8)
     tables, weights, refine, key = mixer.tables, mixer.weights, mixer.refine, uuid.uuid4().hex
@@ -389,15 +390,15 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
             batch = batch.filter(pa.array(~ask))
             if not batch.num_rows:
                 continue
-            texts, tokens, have, base = utf8(batch, "body"), [], [], []
+            texts, tokens, have, base, written = utf8(batch, "body"), [], [], [], []
             lead = -math.log10(n + v + 1)
             for text in texts:
                 words = text.lower().split()
                 c = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
                 tokens.append(len(c) + 1)
+                written.append(written_out(words))
                 have.append(int((c > 0).sum()) + (ends > 0))
                 base.append(float(np.log10(c + 1.0).sum()) + math.log10(ends + 1) + tokens[-1] * lead)
-            written = [canonical(x) for x in texts]
             total = np.zeros(len(texts))
             for gram, of in slices(written):
                 total += np.bincount(of, gram_scores(model, key, gram), len(texts))

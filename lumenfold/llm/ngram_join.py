@@ -21,10 +21,10 @@ from pyspark.sql import functions as F
 from .common import answered, components, dealt, mapped, mix64, part_id, parts_for, stored, text_bytes, utf8
 
 #: Shingles of one chunk; bytes of text for one bucket; shingles of the sets of one block of a tile.
-CHUNK, BUCKET_BYTES, BLOCK = 3_000_000, 12 << 20, 1_500_000
+CHUNK, BUCKET_BYTES, BLOCK = 2_000_000, 12 << 20, 1_500_000
 #: Ids that may be sent to every executor (8 MB); more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
-CACHE_WORDS = 400_000
+CACHE_WORDS = 300_000
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -101,10 +101,9 @@ def shared_counts(rows: DataFrame, buckets: int, width: int) -> DataFrame:
             low = (h & np.uint64(0xFFFFFFFF)).astype("<u4")[own][by]
             more = (several & np.uint64(0xFFFFFFFF)).astype("<u4")
             who = who[by]
-            for k in range(buckets):
-                if cuts[k] < cuts[k + 1] or scuts[k] < scuts[k + 1]:
-                    each = np.bincount(who[cuts[k] : cuts[k + 1]], minlength=len(sets)).astype("<u4")
-                    yield share([(k, chunk, "ask", low[cuts[k] : cuts[k + 1]].tobytes(), each.tobytes(), more[scuts[k] : scuts[k + 1]].tobytes())])
+            for k in np.flatnonzero((cuts[1:] > cuts[:-1]) | (scuts[1:] > scuts[:-1])).tolist():
+                each = np.bincount(who[cuts[k] : cuts[k + 1]], minlength=len(sets)).astype("<u4")
+                yield share([(k, chunk, "ask", low[cuts[k] : cuts[k + 1]].tobytes(), each.tobytes(), more[scuts[k] : scuts[k + 1]].tobytes())])
 
         weight = 0
         for batch in batches:
@@ -174,9 +173,8 @@ def frequent_prefixes(sets: DataFrame, chunks: int, percent: int) -> DataFrame:
                     held.append(np.frombuffer(h, "<u8"))
         keys, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *held]), return_counts=True)
         cuts = np.searchsorted(buckets_of(keys, chunks), np.arange(chunks + 1))
-        for k in range(chunks):
-            if cuts[k] < cuts[k + 1]:
-                yield share([(k, part_id(), "ask", keys[cuts[k] : cuts[k + 1]].tobytes(), n[cuts[k] : cuts[k + 1]].astype("<u4").tobytes())])
+        for k in np.flatnonzero(cuts[1:] > cuts[:-1]).tolist():
+            yield share([(k, part_id(), "ask", keys[cuts[k] : cuts[k + 1]].tobytes(), n[cuts[k] : cuts[k + 1]].astype("<u4").tobytes())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked = [(c, np.frombuffer(a, "<u8"), np.frombuffer(b, "<u4")) for x in batches for c, a, b in zip(x.column("chunk").to_pylist(), x.column("a").to_pylist(), x.column("b").to_pylist(), strict=True)]
@@ -421,6 +419,7 @@ def jaccard_join(docs: DataFrame, percent: int = 80, width: int = 5, id_col: str
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", **more) -> DataFrame:
-    """The rows of `docs` whose doc_id is the smallest of its component, with all columns; rows that share it all stay."""
+    """The rows of `docs` whose doc_id is the smallest of its component, with all columns. Rows that share a
+    doc_id go together, if one of them is linked to a smaller one; rows without one stay."""
     lost = jaccard_join(docs, id_col=id_col, **more).where("doc_id <> component_id").select(F.col("doc_id").alias("__id")).distinct()
     return docs.join(lost, F.col(id_col).eqNullSafe(F.col("__id")), "left_anti")
