@@ -109,7 +109,7 @@ def threshold_preview_changes(spark, sf_dir):  # noqa: ANN001, ANN201
 
 def hit_report(spark, sf_dir):  # noqa: ANN001, ANN201
     rows = dedup.hit_report(relations(spark, sf_dir), articles(spark, sf_dir))
-    return rows.where("not is_primary").select("article_id", "target_article_id", "relation_type", "article_title", "target_title")
+    return rows.where("not is_primary").select("article_id", "target_article_id", "article_title", "target_title")
 
 
 def visible_rows(spark, sf_dir):  # noqa: ANN001, ANN201
@@ -153,7 +153,7 @@ def article_detail(spark, sf_dir):  # noqa: ANN001, ANN201
     some = rel.groupBy("group_key").agg(F.count("*").alias("n"), F.max("article_id").alias("last")).orderBy(F.desc("n"), "group_key").first()
     edges = rel.limit(0).select("article_id", "target_article_id")
     out = browse.detail(articles(spark, sf_dir), rel, edges, some["last"] if some else -1)
-    return out.select("id", F.size("sources").alias("sources"), F.size("related").alias("related"))
+    return out.select("id", F.size("sources").cast("long").alias("sources"), F.size("related").cast("long").alias("related"))
 
 
 QUERIES = {f.__name__: f for f in (
@@ -185,6 +185,8 @@ SQL = {
     LEFT JOIN g ga ON ga.id = a.id LEFT JOIN g gb ON gb.id = b.id LEFT JOIN e ON e.u = a.id AND e.v = b.id),
   w AS (SELECT cur, CASE WHEN d <= 9 THEN 'near' WHEN d <= 32 THEN 'related' ELSE 'none' END AS new FROM q)
   SELECT CASE WHEN new = 'near' THEN 'would_merge' WHEN cur = 'near' THEN 'would_unmerge' WHEN new = 'related' THEN 'would_relate' ELSE 'would_unrelate' END AS change, count(*) AS pairs FROM w WHERE cur <> new GROUP BY 1""",
+    "hit_report": f"WITH RECURSIVE {GROUPS}, {ELECTED} SELECT e.id AS article_id, f.id AS target_article_id, e.title AS article_title, f.title AS target_title FROM e JOIN e f ON e.group_key = f.group_key AND f.n = 1 WHERE e.n > 1",
+    "article_detail": f"WITH RECURSIVE {GROUPS}, {ELECTED} SELECT id, sources, 0::BIGINT AS related FROM (SELECT group_key, max(id) FILTER (WHERE n = 1) AS id, count(*) AS sources FROM e GROUP BY 1 ORDER BY 3 DESC, 1 LIMIT 1)",
     "visible_documents_page": f"WITH {HIDDEN} SELECT id, coalesce(published_at, crawled_at) AS time, category FROM v ORDER BY 2 DESC, 1 LIMIT 50 OFFSET 50",
     "visible_total": f"WITH {HIDDEN} SELECT count(*) AS total, greatest(1, ceil(count(*) / 50.0))::BIGINT AS pages FROM v",
     "insights_category_distribution": f"WITH {PRINTS}, {ARTICLES}, c AS (SELECT unnest(['de', 'en', 'es', 'fr', 'it']) AS id) SELECT upper(c.id) AS name, count(v.id) AS articles FROM c LEFT JOIN (SELECT * FROM a WHERE status <> 'filtered' AND id NOT IN (SELECT id FROM x WHERE first_id < id)) v ON v.category = c.id GROUP BY 1",
