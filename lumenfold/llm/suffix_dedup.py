@@ -114,7 +114,8 @@ class Runs:
             count = np.diff(np.append(first, len(anchor)))
             real = anchor[first] >= 0
             first, count = first[real], count[real]
-            parts.append((h[anchor[first]], doc[first], first + at, count))
+            # The least of many hashes is small; mixed again, anchors are spread evenly over the buckets.
+            parts.append((mix64(h[anchor[first]] + np.uint64(1)), doc[first], first + at, count))
         self.anchor, self.doc, self.first, self.count = (np.concatenate([np.zeros(0, t), *(p[i] for p in parts)]) for i, t in enumerate((np.uint64, np.int64, np.int64, np.int64)))
 
     def pick(self, which: np.ndarray) -> Runs:
