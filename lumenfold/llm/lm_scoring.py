@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import uuid
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -15,10 +14,13 @@ from pyspark.sql import functions as F
 
 from .common import answered, dealt, mapped, mix64, part_id, parts_for, stored, text_bytes, utf8
 
-#: Bytes of context of the longest predictor; bits of each order's slot numbers (4 bytes a slot: the model has 32 MB).
-ORDER = 5
+#: Bytes of context of the longest predictor. Contexts of LOW bytes or fewer are counted in one table for all (at most
+#: 2^24 grams); longer ones within the bucket of their last LOW + 1 bytes (at most 2^24 grams for each such key).
+ORDER, LOW = 5, 2
+#: Bits of each order's slot numbers, for a model of one text whose counts are hashed.
 SLOT_BITS = (8, 16, 19, 20, 21, 22)
-SLAB = 1 << 16
+#: Tasks that sum the table of short contexts; grams of one block, at least, unless it is the bucket's last.
+LOW_TASKS, BLOCK = 64, 1 << 18
 #: Bytes of text in one chunk, at most about; tasks that build tables.
 CHUNK_BYTES, TABLE_TASKS = 24 << 20, 64
 GATES, APM = 6 * 8 * 6, 33
@@ -52,22 +54,27 @@ def squash(x: np.ndarray) -> np.ndarray:
 class Mixer:
     """Bit predictors of contexts of 0 to ORDER bytes, combined by gated weights and refined by an adaptive map.
 
-    Tables hold how often each hashed context saw a 0 and a 1. The weight set is chosen by the bit's place and by how
-    much the longest contexts have seen; the last stage interpolates a table over (bit's place and gate, mixed odds).
+    tallies() says how often each context saw a 0 and a 1; here, from hashed tables. The weight set is chosen by the bit's
+    place and by how much the longest contexts have seen; the last stage interpolates a table over (bit's place and gate,
+    mixed odds). Weight sets of different bits have nothing in common, so each bit is gone through on its own.
     """
 
-    def __init__(self, zeros: np.ndarray, ones: np.ndarray, weights: np.ndarray | None = None, refine: np.ndarray | None = None):
+    def __init__(self, zeros: list[np.ndarray], ones: list[np.ndarray], weights: np.ndarray | None = None, refine: np.ndarray | None = None):
         self.n = zeros, ones
         self.weights = np.full((GATES, ORDER + 2), 0.3) if weights is None else weights
         self.refine = refine
 
+    def tallies(self, gram: np.ndarray, bit: int) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+        """(the bit itself, (zeros, ones) of each order's context with the bits before)."""
+        at = [slots(gram, order, bit) for order in range(ORDER + 1)]
+        return ((gram >> np.uint64(7 - bit)) & np.uint64(1)).astype(np.int64), [(self.n[0][k][x], self.n[1][k][x]) for k, x in enumerate(at)]
+
     def inputs(self, gram: np.ndarray, bit: int, without: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(stretched predictions with a bias, gate, the bit itself). `without`: as if this occurrence had not been counted."""
-        y = ((gram >> np.uint64(7 - bit)) & np.uint64(1)).astype(np.int64)
+        y, tallies = self.tallies(gram, bit)
         x, seen = np.empty((len(gram), ORDER + 2)), []
-        for order in range(ORDER + 1):
-            at = slots(gram, order, bit)
-            n0, n1 = self.n[0][order][at].astype(np.float64), self.n[1][order][at].astype(np.float64)
+        for order, (n0, n1) in enumerate(tallies):
+            n0, n1 = n0.astype(np.float64), n1.astype(np.float64)
             if without:
                 n0 = np.maximum(n0 - (y == 0), 0)
                 n1 = np.maximum(n1 - (y == 1), 0)
@@ -83,9 +90,9 @@ class Mixer:
 
     def train(self, gram: np.ndarray, times: np.ndarray, rate: float = 0.02, step: int = 2048) -> None:
         """Online gradient steps on coding cost over these grams, each weighted by how often it occurs."""
-        for at in range(0, len(gram), step):
-            g, t = gram[at : at + step], np.minimum(times[at : at + step], 256).astype(np.float64)
-            for bit in range(8):
+        for bit in range(8):
+            for at in range(0, len(gram), step):
+                g, t = gram[at : at + step], np.minimum(times[at : at + step], 256).astype(np.float64)
                 x, gate, y = self.inputs(g, bit, True)
                 miss = (y - squash(self.mixed(x, gate))) * t
                 sums = np.stack([np.bincount(gate, miss * x[:, k], GATES) for k in range(x.shape[1])], 1)
@@ -97,32 +104,108 @@ class Mixer:
         low = np.minimum(place.astype(np.int64), APM - 2)
         return gate * APM + low, place - low
 
-    def outcomes(self, gram: np.ndarray, times: np.ndarray) -> np.ndarray:
+    def outcomes(self, gram: np.ndarray, times: np.ndarray, step: int = 1 << 15) -> np.ndarray:
         """(zeros, ones) seen at each spot of the adaptive map, for these grams."""
         out = np.zeros((2, GATES * APM))
         for bit in range(8):
-            x, gate, y = self.inputs(gram, bit, True)
-            at, part = self.spots(self.mixed(x, gate), gate)
-            for k in (0, 1):
-                of = times * (y == k)
-                out[k] += np.bincount(at, of * (1 - part), GATES * APM) + np.bincount(at + 1, of * part, GATES * APM)
+            for i in range(0, len(gram), step):
+                x, gate, y = self.inputs(gram[i : i + step], bit, True)
+                at, part = self.spots(self.mixed(x, gate), gate)
+                for k in (0, 1):
+                    of = times[i : i + step] * (y == k)
+                    out[k] += np.bincount(at, of * (1 - part), GATES * APM) + np.bincount(at + 1, of * part, GATES * APM)
         return out
 
-    def log10(self, gram: np.ndarray) -> np.ndarray:
+    def log10(self, gram: np.ndarray, step: int = 1 << 15) -> np.ndarray:
         """log10 probability of each gram's last byte after its context."""
         total = np.zeros(len(gram))
         for bit in range(8):
-            x, gate, y = self.inputs(gram, bit, False)
-            mixed = self.mixed(x, gate)
-            p = squash(mixed)
-            if self.refine is not None:
-                at, part = self.spots(mixed, gate)
-                p = 0.5 * p + 0.5 * (self.refine[at] * (1 - part) + self.refine[at + 1] * part)
-            p = np.clip(p, 1e-6, 1 - 1e-6)
-            total += np.log10(np.where(y == 1, p, 1 - p))
+            for i in range(0, len(gram), step):
+                x, gate, y = self.inputs(gram[i : i + step], bit, False)
+                mixed = self.mixed(x, gate)
+                p = squash(mixed)
+                if self.refine is not None:
+                    at, part = self.spots(mixed, gate)
+                    p = 0.5 * p + 0.5 * (self.refine[at] * (1 - part) + self.refine[at + 1] * part)
+                p = np.clip(p, 1e-6, 1 - 1e-6)
+                total[i : i + step] += np.log10(np.where(y == 1, p, 1 - p))
         return total
 
 
+class BlockMixer(Mixer):
+    """A mixer with exact counts, however large the corpus. It holds one block of distinct grams with all that share their
+    last LOW + 1 bytes of context, and `low`: the whole corpus's distinct grams of LOW bytes of context, sorted, with
+    their counts. Its methods take places in the block for grams."""
+
+    def __init__(self, low: tuple[np.ndarray, np.ndarray], weights: np.ndarray | None = None, refine: np.ndarray | None = None):
+        super().__init__([], [], weights, refine)
+        self.low = low
+
+    def hold(self, gram: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Take this block; the places of its grams."""
+        self.gram, self.bit, self.keys = gram, -1, []
+        after = np.unique(gram >> np.uint64(8) & np.uint64((1 << 8 * LOW) - 1))
+        own = np.isin(self.low[0] >> np.uint64(8), after)
+        for order in range(ORDER + 1):
+            key = gram & np.uint64((1 << 8 * (order + 1)) - 1)
+            if order > LOW:
+                keys, at = np.unique(key, return_inverse=True)
+                times = np.bincount(at, n, len(keys)).astype(np.int64)
+            else:
+                of = (self.low[0][own], self.low[1][own]) if order == LOW else self.low
+                keys, times = of if order == LOW else summed(of[0] & np.uint64((1 << 8 * (order + 1)) - 1), of[1])
+                at = np.searchsorted(keys, key)
+            self.keys.append((keys, times, at))
+        return np.arange(len(gram))
+
+    def tallies(self, gram: np.ndarray, bit: int) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+        if bit != self.bit:
+            self.bit, self.sums = bit, []
+            for keys, times, _ in self.keys:  # sorted keys: those with the same first bits stand together
+                own, every = runs(keys >> np.uint64(7 - bit), times), runs(keys >> np.uint64(8 - bit), times)
+                self.sums.append((own, every - own))
+        y = ((self.gram[gram] >> np.uint64(7 - bit)) & np.uint64(1)).astype(np.int64)
+        out = []
+        for (_, _, at), (own, other) in zip(self.keys, self.sums, strict=True):
+            same, rest = own[at[gram]], other[at[gram]]
+            out.append((np.where(y == 0, same, rest), np.where(y == 1, same, rest)))
+        return y, out
+
+
+def runs(keys: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """For each place of sorted keys the sum of n over all places with its key."""
+    new = np.append(True, keys[1:] != keys[:-1])[: len(keys)]
+    return np.add.reduceat(n, np.flatnonzero(new))[np.cumsum(new) - 1] if len(keys) else n
+
+
+def turned(gram: np.ndarray) -> np.ndarray:
+    """The gram with the LOW + 1 bytes before its last one moved to the front, so that a bucket's keys sort together."""
+    near = gram >> np.uint64(8) & np.uint64((1 << 24) - 1)
+    return near << np.uint64(24) | (gram >> np.uint64(32)) << np.uint64(8) | gram & np.uint64(255)
+
+
+def turned_back(key: np.ndarray) -> np.ndarray:
+    near, rest = key >> np.uint64(24), key & np.uint64((1 << 24) - 1)
+    return (rest >> np.uint64(8)) << np.uint64(32) | near << np.uint64(8) | rest & np.uint64(255)
+
+
+def planes(sorted_: np.ndarray, width: int) -> bytes:
+    """Differences of ascending numbers, the lowest bytes of all first: most higher ones are zeros and pack well."""
+    return np.diff(sorted_, prepend=sorted_.dtype.type(0)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def of_planes(data: bytes, width: int) -> np.ndarray:
+    x = np.zeros((len(data) // width, 8), np.uint8)
+    x[:, :width] = np.frombuffer(data, np.uint8).reshape(width, -1).T
+    return np.cumsum(x.view("<u8")[:, 0], dtype=np.uint64)
+
+
+def counts_of(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, np.uint8).reshape(8, -1).T.copy().view("<i8")[:, 0]
+
+
+def count_bytes(n: np.ndarray) -> bytes:
+    return n.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes()
 
 
 class GramTable:
@@ -162,17 +245,20 @@ class GramCounts:
         self.table, self.rest = GramTable(), []
         self.n = np.zeros(len(self.table.keys), np.int64)
 
-    def see(self, gram: np.ndarray) -> None:
+    def see(self, gram: np.ndarray, times: int = 1) -> None:
+        """Count these grams `times` times each; with 0 they are only listed."""
         at = self.table.find(gram)
-        self.n += np.bincount(at[at >= 0], minlength=len(self.n))
+        if times:
+            self.n += np.bincount(at[at >= 0], minlength=len(self.n)) * times
         if len(new := gram[at < 0]):
             new, n = np.unique(new, return_counts=True)
+            n *= times
             at = self.table.add(new)
             self.n[at[at >= 0]] += n[at >= 0]
             self.rest.append((new[at < 0], n[at < 0]))
 
     def result(self) -> tuple[np.ndarray, np.ndarray]:
-        own = np.flatnonzero(self.n)
+        own = np.flatnonzero(self.table.keys)
         gram, n = np.concatenate([self.table.keys[own] - np.uint64(1), *(x[0] for x in self.rest)]), np.concatenate([self.n[own], *(x[1] for x in self.rest)])
         return summed(gram, n)
 
@@ -216,110 +302,106 @@ def flow(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def gather(rows: DataFrame, parts: int) -> DataFrame:
-    """Corpus counts: for each chunk of documents the training counts of its words (kind `words`, chunk, words, counts),
-    and all distinct training grams with their counts (kind `grams`). Each chunk and bucket exchange one block."""
+    """Corpus counts: for each chunk of documents the training counts of its words (kind `words`, chunk, words, counts);
+    all distinct grams with their training counts (kind `grams`), whole by the last LOW + 1 bytes of context; the same
+    summed by the last LOW bytes (kind `low`); the grams of each chunk and bucket (kind `asked`). Each chunk and bucket
+    exchange one block of words and one of grams."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: list[Counter] = [Counter(), Counter()]
         counts, chunk = GramCounts(), part_id()
         for batch in batches:
-            trained = []
+            written: list[list[bytes]] = [[], []]
             for text, held in zip(utf8(batch, "body"), batch.column("held").to_pylist(), strict=True):
                 words[held].update(of := text.lower().split())
-                if not held:
-                    trained.append(written_out(of))
-            for gram, _ in slices(trained):
-                counts.see(gram)
+                written[held].append(written_out(of))
+            for held in (0, 1):
+                for gram, _ in slices(written[held]):
+                    counts.see(gram, 1 - held)
         blocks: dict[int, list[bytes]] = {}
         for word in words[0].keys() | words[1].keys():
             blocks.setdefault(zlib.crc32(word) % parts, []).append(word)
         for to, block in blocks.items():
             yield flow([(to, chunk, "words", b" ".join(block), np.array([words[0][x] for x in block], "<i8").tobytes())])
         gram, n = counts.result()
-        to = (mix64(gram) % np.uint64(parts)).astype(np.int64)
-        by = np.argsort(to, kind="stable")
+        key = turned(gram)
+        to = (mix64(key >> np.uint64(24)) % np.uint64(parts)).astype(np.int64)
+        by = np.lexsort((key, to))
         ends = np.searchsorted(to[by], np.arange(parts + 1))
         for k in np.flatnonzero(ends[1:] > ends[:-1]).tolist():
             own = by[ends[k] : ends[k + 1]]
-            yield flow([(k, chunk, "grams", gram[own].tobytes(), n[own].astype("<i8").tobytes())])
+            yield flow([(k, chunk, "grams", planes(key[own], 6), count_bytes(n[own]))])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: Counter = Counter()
-        asked, gram, n, to = [], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], part_id()
+        asked, key, n, to = [], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], part_id()
         for batch in batches:
             for chunk, kind, a, b in zip(*(batch.column(x).to_pylist() for x in ("chunk", "kind", "a", "b")), strict=True):
-                own = np.frombuffer(b, "<i8")
                 if kind == "grams":
-                    gram.append(np.frombuffer(a, np.uint64)), n.append(own)
-                    if len(gram) > 16:
-                        one = summed(np.concatenate(gram), np.concatenate(n))
-                        gram, n = [one[0]], [one[1]]
+                    yield flow([(to, chunk, "asked", a, b"")])
+                    key.append(of_planes(a, 6)), n.append(counts_of(b))
+                    if len(key) > 16:
+                        one = summed(np.concatenate(key), np.concatenate(n))
+                        key, n = [one[0]], [one[1]]
                     continue
                 block = a.split(b" ")
-                for word, k in zip(block, own.tolist(), strict=True):
+                for word, k in zip(block, np.frombuffer(b, "<i8").tolist(), strict=True):
                     totals[word] += k
                 asked.append((chunk, a))
         for chunk, a in asked:
             yield flow([(to, chunk, "words", a, np.array([totals[x] for x in a.split(b" ")], "<i8").tobytes())])
         known = [x for x in totals.values() if x]
         yield flow([(to, -1, "sums", b"", np.array([sum(known), len(known)], ">i8").tobytes())])
-        keys, times = summed(np.concatenate(gram), np.concatenate(n))
-        by = np.argsort(mix64(keys))  # an order that has nothing to do with the grams, the same in every run
-        for at in range(0, len(by), 1 << 18):
-            own = by[at : at + (1 << 18)]
-            yield flow([(to, -1, "grams", keys[own].tobytes(), times[own].astype("<i8").tobytes())])
+        keys, times = summed(np.concatenate(key), np.concatenate(n))
+        near = np.flatnonzero(np.append(True, keys[1:] >> np.uint64(24) != keys[:-1] >> np.uint64(24))[: len(keys)])
+        at = 0
+        while at < len(keys):
+            next_ = np.searchsorted(near, at + BLOCK)
+            end = int(near[next_]) if next_ < len(near) else len(keys)
+            yield flow([(to, -1, "grams", planes(keys[at:end], 6), count_bytes(times[at:end]))])
+            at = end
+        low, times = summed(turned_back(keys) & np.uint64((1 << 8 * (LOW + 1)) - 1), times)
+        task = (mix64(low) % np.uint64(LOW_TASKS)).astype(np.int64)
+        for k in np.unique(task).tolist():
+            yield flow([(k, -1, "low", planes(low[task == k], 3), count_bytes(times[task == k]))])
 
     asked = mapped(dealt(rows, parts, "id", "body"), ask, FLOW)
     return stored(mapped(asked.repartitionById(parts, "to"), count, FLOW), "lm-counts")
 
 
-def build(counts: DataFrame, n_grams: int) -> Mixer:
-    """The model from the distinct training grams: hashed tables, then weights, then the adaptive map. Each step runs over
-    all grams in at most TABLE_TASKS tasks whose bounded results are summed."""
+def build(counts: DataFrame, n_grams: int) -> BlockMixer:
+    """The model from the distinct grams: the table of short contexts, then weights, then the adaptive map. The last two
+    each run over all training grams in at most TABLE_TASKS tasks whose bounded results are summed."""
     spark = counts.sparkSession
     tasks = max(1, min(TABLE_TASKS, -(-n_grams // 1_000_000)))
     grams_ = counts.where("kind = 'grams'").repartition(tasks, "to").sortWithinPartitions("to", F.xxhash64("a"))
 
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         for batch in batches:
-            for a, b in zip(batch.column("a"), batch.column("b"), strict=True):
-                yield np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), "<i8")
-
-    def tabulate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = [np.zeros(2 << bits, np.float32) for bits in SLOT_BITS]
-        for gram, n in pairs(batches):
-            for bit in range(8):
-                y = (gram >> np.uint64(7 - bit)) & np.uint64(1)
-                for order, table in enumerate(tables):
-                    np.add.at(table, slots(gram, order, bit) * 2 + y.astype(np.int64), n.astype(np.float32))
-        for order, table in enumerate(tables):
-            for k, at in enumerate(range(0, len(table), 2 * SLAB)):
-                if table[at : at + 2 * SLAB].any():
-                    yield flow([(order, k, "slab", b"", table[at : at + 2 * SLAB].tobytes())])
+            a, b = ([np.zeros(0, np.uint64), *(of_planes(x, 3) for x in batch.column("a").to_pylist())], [np.zeros(0, np.int64), *map(counts_of, batch.column("b").to_pylist())])
+            key, n = summed(np.concatenate([key, *a]), np.concatenate([n, *b]))
+        if len(key):
+            yield flow([(0, 0, "low", planes(key, 3), count_bytes(n))])
 
-    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[tuple[int, int], np.ndarray] = {}
+    lows = [(of_planes(r["a"], 3), counts_of(r["b"])) for r in mapped(counts.where("kind = 'low'").repartitionById(LOW_TASKS, "to"), total, FLOW).select("a", "b").toLocalIterator()]  # at most 2^24 grams
+    low = summed(np.concatenate([np.zeros(0, np.uint64), *(x[0] for x in lows)]), np.concatenate([np.zeros(0, np.int64), *(x[1] for x in lows)]))
+    lows = spark.sparkContext.broadcast(low)
+
+    def blocks(mixer: BlockMixer, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(places, counts) of each block's training grams, in an order that has nothing to do with the grams, the same in every run."""
         for batch in batches:
-            for order, k, b in zip(*(batch.column(x).to_pylist() for x in ("to", "chunk", "b")), strict=True):
-                sums[order, k] = sums.get((order, k), 0) + np.frombuffer(b, np.float32)
-        for (order, k), x in sums.items():
-            x = x.reshape(-1, 2)
-            shrink = np.maximum(x.max(1, keepdims=True) / 65535, 1)
-            yield flow([(order, k, "slab", b"", np.where(x > 0, np.maximum(x / shrink, 1), 0).astype("<u2").tobytes())])
-
-    zeros, ones = ([np.zeros(1 << bits, np.uint16) for bits in SLOT_BITS] for _ in range(2))
-    slabs = mapped(grams_, tabulate, FLOW).repartition(max(1, min(TABLE_TASKS, 2 * tasks)), "to", "chunk")
-    for row in mapped(slabs, total, FLOW).select("to", "chunk", "b").toLocalIterator():  # at most 121 slabs, 32 MB
-        x = np.frombuffer(row["b"], "<u2").reshape(-1, 2)
-        at = row["chunk"] * SLAB
-        zeros[row["to"]][at : at + len(x)], ones[row["to"]][at : at + len(x)] = x[:, 0], x[:, 1]
-    tables = spark.sparkContext.broadcast((zeros, ones))
+            for a, b in zip(batch.column("a"), batch.column("b"), strict=True):
+                gram, n = turned_back(of_planes(a.as_py(), 6)), counts_of(b.as_py())
+                at = mixer.hold(gram, n)[np.argsort(mix64(gram))]
+                at = at[n[at] > 0]
+                yield at, n[at]
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mixer, seen = Mixer(*tables.value), 0
-        for gram, n in pairs(batches):
-            mixer.train(gram, n)
-            seen += len(gram)
+        mixer, seen = BlockMixer(lows.value), 0
+        for at, n in blocks(mixer, batches):
+            mixer.train(at, n)
+            seen += len(at)
         yield flow([(0, 0, "weights", np.array([seen], "<i8").tobytes(), mixer.weights.tobytes())])
 
     parts = [(np.frombuffer(r["a"], "<i8")[0], np.frombuffer(r["b"])) for r in mapped(grams_, train, FLOW).collect()]  # 16 KB of each of at most 64 tasks
@@ -327,37 +409,56 @@ def build(counts: DataFrame, n_grams: int) -> Mixer:
     weights = (sum(n * w for n, w in parts) / sum(n for n, _ in parts)).reshape(GATES, ORDER + 2) if parts else None
 
     def refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mixer, sums = Mixer(*tables.value, weights), np.zeros((2, GATES * APM))
-        for gram, n in pairs(batches):
-            for at in range(0, len(gram), 1 << 15):
-                sums += mixer.outcomes(gram[at : at + (1 << 15)], n[at : at + (1 << 15)])
+        mixer, sums = BlockMixer(lows.value, weights), np.zeros((2, GATES * APM))
+        for at, n in blocks(mixer, batches):
+            sums += mixer.outcomes(at, n)
         yield flow([(0, 0, "refine", b"", sums.tobytes())])
 
     seen = sum((np.frombuffer(r["b"]).reshape(2, -1) for r in mapped(grams_, refine, FLOW).collect()), np.zeros((2, GATES * APM)))  # 150 KB of each task
     start = np.tile(squash(np.linspace(-12, 12, APM)), GATES)
-    mixer = Mixer(zeros, ones, weights, (seen[1] + 4 * start) / (seen.sum(0) + 4))
-    mixer.tables = tables
+    mixer = BlockMixer(low, weights, (seen[1] + 4 * start) / (seen.sum(0) + 4))
+    mixer.lows = lows
     return mixer
 
 
-#: What this worker has scored, by the model's key.
-_SCORED: dict[str, tuple[GramTable, np.ndarray]] = {}
+def scored(counts: DataFrame, mixer: BlockMixer, parts: int) -> DataFrame:
+    """For each chunk and bucket the chunk's grams (a, after one space) with their log10 probabilities (b)."""
+    lows, weights, refine = mixer.lows, mixer.weights, mixer.refine
+
+    def reply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, key, score = BlockMixer(lows.value, weights, refine), [], []
+        for batch in batches:
+            for chunk, kind, a, b in zip(*(batch.column(x).to_pylist() for x in ("chunk", "kind", "a", "b")), strict=True):
+                own = of_planes(a, 6)
+                if kind == "grams":
+                    key.append(own), score.append(model.log10(model.hold(turned_back(own), counts_of(b))).astype("<f4"))
+                    continue
+                if len(key) > 1:
+                    by = np.argsort(keys := np.concatenate(key))
+                    key, score = [keys[by]], [np.concatenate(score)[by]]
+                yield flow([(0, chunk, "scores", b" " + a, score[0][np.searchsorted(key[0], own)].tobytes())])
+
+    rows = counts.where("kind in ('grams', 'asked')").repartitionById(parts, "to").sortWithinPartitions(F.col("kind") == "asked")
+    return mapped(rows, reply, FLOW)
 
 
-def gram_scores(mixer: Mixer, key: str, gram: np.ndarray) -> np.ndarray:
-    if key not in _SCORED:
-        _SCORED.clear()
-        _SCORED[key] = (table := GramTable()), np.zeros(len(table.keys), np.float32)
-    table, score = _SCORED[key]
-    at = table.find(gram)
-    out = score[at].astype(np.float64)
-    if len(lost := np.flatnonzero(at < 0)):
-        new, back = np.unique(gram[lost], return_inverse=True)
-        own = np.concatenate([mixer.log10(new[i : i + (1 << 15)]) for i in range(0, len(new), 1 << 15)])
-        to = table.add(new)
-        score[to[to >= 0]] = own[to >= 0]
-        out[lost] = own.astype(np.float32)[back]
-    return out
+class Scores:
+    """The scores of a chunk's grams: in a hash table; whatever finds no room there is searched for."""
+
+    def __init__(self, gram: np.ndarray, score: np.ndarray):
+        self.table = GramTable()
+        self.score = np.zeros(len(self.table.keys), np.float32)
+        at = self.table.add(gram)
+        self.score[at[at >= 0]] = score[at >= 0]
+        by = np.flatnonzero(at < 0)[np.argsort(gram[at < 0])]
+        self.gram, self.rest = gram[by], score[by]
+
+    def of(self, gram: np.ndarray) -> np.ndarray:
+        at = self.table.find(gram)
+        out = self.score[at].astype(np.float64)
+        if len(lost := np.flatnonzero(at < 0)):
+            out[lost] = self.rest[np.searchsorted(self.gram, gram[lost])]
+        return out
 
 
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -366,7 +467,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     Training texts are those whose crc32(id as text) mod 7 is not 2 (a null id trains). A-Z is lowered; tokens are words
     `[^\\x20\\x09-\\x0D]+` and one end. base_score is the add-one unigram log10 probability of the tokens. score is the
     model's log10 probability of the same tokens written as bytes, each word and the end closed by a space: every bit is
-    predicted from hashed contexts of 0 to 5 bytes, mixed and refined. Null and empty texts are one end token. Without
+    predicted from the exact counts of its contexts of 0 to 5 bytes in all training texts, mixed and refined. Null and empty texts are one end token. Without
     training texts all counts are 0. Only the id and the text are read; one row per input row.
     """
     rows = rows_of(docs, id_col, text_col)
@@ -377,19 +478,22 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     sums = counts.where("kind = 'sums'").agg(number(1), number(9)).first()
     n, v = sums[0] + ends, sums[1] + (ends > 0)
     n_grams = counts.where("kind = 'grams'").agg(F.sum(F.length("a"))).first()[0] or 0
-    mixer = build(counts, n_grams // 8)
-    tables, weights, refine, key = mixer.tables, mixer.weights, mixer.refine, uuid.uuid4().hex
+    mixer = build(counts, n_grams // 6)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, known = Mixer(*tables.value, weights, refine), {}
+        known, told, scores = {}, [], None
         for batch in batches:
             ask = batch.column("a").is_valid().to_numpy(zero_copy_only=False)
             for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
-                if a is not None:
+                if a is not None and a[:1] == b" ":
+                    told.append((turned_back(of_planes(a[1:], 6)), np.frombuffer(b, "<f4")))
+                elif a is not None:
                     known.update(zip(a.split(b" "), np.frombuffer(b, "<i8").tolist(), strict=True))
             batch = batch.filter(pa.array(~ask))
             if not batch.num_rows:
                 continue
+            if scores is None:
+                scores, told = Scores(np.concatenate([x[0] for x in told]), np.concatenate([x[1] for x in told])), []
             texts, tokens, have, base, written = utf8(batch, "body"), [], [], [], []
             lead = -math.log10(n + v + 1)
             for text in texts:
@@ -401,13 +505,13 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
                 base.append(float(np.log10(c + 1.0).sum()) + math.log10(ends + 1) + tokens[-1] * lead)
             total = np.zeros(len(texts))
             for gram, of in slices(written):
-                total += np.bincount(of, gram_scores(model, key, gram), len(texts))
+                total += np.bincount(of, scores.of(gram), len(texts))
             sizes = np.array(list(map(len, written)))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), batch.column("held"), pa.array(tokens, pa.int64()), pa.array(have, pa.int64()), pa.array([n] * len(texts), pa.int64()), pa.array(base, pa.float64()), pa.array(total), pa.array(sizes, pa.int64()), pa.array(-total / math.log10(2) / sizes)],
                 names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes", "bits_per_byte"],
             )
 
-    replies = counts.where("kind = 'words'")
+    replies = counts.where("kind = 'words'").select("chunk", "a", "b").unionByName(scored(counts, mixer, parts).select("chunk", "a", "b"))
     out = answered(rows, replies, parts, "id", "body")
     return mapped(out, score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long, bits_per_byte double")

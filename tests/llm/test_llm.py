@@ -370,6 +370,42 @@ def test_model_is_a_distribution():
     assert int(n.sum()) == len(text)
 
 
+def test_lm_counts_are_exact(spark, monkeypatch):
+    """No two contexts share a count, and every count is of the whole training corpus."""
+    monkeypatch.setattr(lm_scoring, "BLOCK", 500)
+    rng = random.Random(5)
+    texts = [(i, " ".join("".join(rng.choice("abcdeé") for _ in range(rng.randrange(1, 5))) for _ in range(40))) for i in range(30)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    want, grams = Counter(), set()
+    for i, t in texts:
+        body = lm_scoring.PAD + lm_scoring.canonical(raw(t))
+        for at in range(lm_scoring.ORDER, len(body)):
+            grams.add(int.from_bytes(body[at - lm_scoring.ORDER : at + 1], "big"))
+            if zlib.crc32(str(i).encode()) % 7 != 2:
+                for order in range(lm_scoring.ORDER + 1):
+                    want.update((order, body[at - order : at], f"{body[at]:08b}"[: bit + 1]) for bit in range(8))
+    rows = lm_scoring.gather(lm_scoring.rows_of(docs, "doc_id", "text"), 4).where("kind in ('grams', 'low')").collect()
+    low = [(lm_scoring.of_planes(r["a"], 3), lm_scoring.counts_of(r["b"])) for r in rows if r["kind"] == "low"]
+    mixer = lm_scoring.BlockMixer(lm_scoring.summed(*map(np.concatenate, zip(*low))))
+    found = []
+    for r in rows:
+        if r["kind"] == "grams":
+            gram = lm_scoring.turned_back(lm_scoring.of_planes(r["a"], 6))
+            found += gram.tolist()
+            at = mixer.hold(gram, lm_scoring.counts_of(r["b"]))
+            for bit in range(8):
+                _, tallies = mixer.tallies(at, bit)
+                for order, n in enumerate(tallies):
+                    for k, g in enumerate(gram.tolist()):
+                        g = g.to_bytes(6, "big")
+                        assert [int(n[y][k]) for y in (0, 1)] == [want[order, g[5 - order : 5], f"{g[5]:08b}"[:bit] + str(y)] for y in (0, 1)]
+    assert len(found) == len(grams) and set(found) == grams
+    text = np.frombuffer(b"".join(x.to_bytes(8, "big") for x in range(1000)), ">u8").astype(np.uint64) * np.uint64(262_147_000)
+    assert (lm_scoring.turned_back(lm_scoring.of_planes(lm_scoring.planes(text, 6), 6)) == lm_scoring.turned_back(text)).all()
+    few = lm_scoring.Scores(text, np.arange(1000, dtype=np.float32))
+    assert (few.of(text[::-1]) == np.arange(1000)[::-1]).all()
+
+
 def test_lm_beats_unigrams(spark):
     r = lm_scoring.lm_scores(spark.read.parquet("/root/testdata/sf0.1/documents.parquet")).where("held_out").agg(F.sum("base_score"), F.sum("score")).first()
     assert r[1] > r[0]
