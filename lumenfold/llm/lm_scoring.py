@@ -92,7 +92,7 @@ class Mixer:
         """Online gradient steps on coding cost over these grams, each weighted by how often it occurs."""
         for bit in range(8):
             for at in range(0, len(gram), step):
-                g, t = gram[at : at + step], np.minimum(times[at : at + step], 256).astype(np.float64)
+                g, t = gram[at : at + step], times[at : at + step].astype(np.float64)
                 x, gate, y = self.inputs(g, bit, True)
                 miss = (y - squash(self.mixed(x, gate))) * t
                 sums = np.stack([np.bincount(gate, miss * x[:, k], GATES) for k in range(x.shape[1])], 1)

@@ -406,6 +406,18 @@ def test_lm_counts_are_exact(spark, monkeypatch):
     assert (few.of(text[::-1]) == np.arange(1000)[::-1]).all()
 
 
+def test_lm_weighs_by_counts():
+    """A gram that occurs 5,000 times weighs more in the fit than one that occurs 257 times."""
+    gram, n = np.arange(97, 107, dtype=np.uint64), np.ones(10, np.int64)
+    low = gram[:], n
+    found = []
+    for most in (257, 5000):
+        mixer = lm_scoring.BlockMixer(low)
+        mixer.train(mixer.hold(gram, n * 10), np.where(np.arange(10) == 3, most, 1))
+        found.append(mixer.weights)
+    assert not np.allclose(*found)
+
+
 def test_lm_beats_unigrams(spark):
     r = lm_scoring.lm_scores(spark.read.parquet("/root/testdata/sf0.1/documents.parquet")).where("held_out").agg(F.sum("base_score"), F.sum("score")).first()
     assert r[1] > r[0]
