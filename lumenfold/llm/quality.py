@@ -64,8 +64,8 @@ def measure(text: bytes, insults: dict[bytes, int]) -> tuple[list[int], dict[int
         vote(max(map(len, same.split(b"\x00")), default=0), 1, 4),
     ]
     features = {zlib.crc32(b"share" + k.encode() + b"%d" % min(int(v * 20), 20)) % BUCKETS: 1.0 for k, v in share.items()}
-    for k, v in shapes.most_common(40):
-        at = zlib.crc32(b"shape" + k[:16]) % BUCKETS
+    for k, v in shapes.items():
+        at = zlib.crc32(b"shape" + k) % BUCKETS
         features[at] = features.get(at, 0.0) + v / n
     return votes, features, sum(map(insults.get, filter(insults.__contains__, words_of(text))))
 

@@ -500,6 +500,16 @@ def test_quality(spark, docs, rows, nothing):
     assert {r["doc_id"]: r["toxic"] for r in quality.score_quality(flagged).collect()} == {1: True, 2: False}
 
 
+def test_features_of_all_shapes():
+    """Neither a text's rarer shapes nor the far end of a long one are left out of its features."""
+    many = [b"," * k + b"a" + b"." * j for k in range(8) for j in range(8)]
+    found = [quality.measure(b" ".join([*many, *many, x]), {})[1] for x in (b"-x-", b"+x+")]
+    assert found[0] != found[1]
+    assert len(found[0]) > 60
+    found = [quality.measure(b"a0" * 9 + x, {})[1] for x in (b"-", b"+")]
+    assert found[0] != found[1]
+
+
 def test_posteriors():
     got = quality.posteriors({"11": 80, "00": 15, "0-": 5, "-1": 20})
     assert got["11"] > 0.9 > 0.1 > got["00"]
