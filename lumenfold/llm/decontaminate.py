@@ -138,13 +138,23 @@ def align(item: bytes, region: bytes, edits: int) -> tuple[int, int, int] | None
     return (int(cost[best]), int(start[best]), len(item) - edits + best) if cost[best] <= edits else None
 
 
+def places(item: bytes, text: bytes) -> list[int]:
+    """Every first byte of the item in the text; occurrences may overlap."""
+    out, at = [], text.find(item)
+    while at >= 0:
+        out.append(at)
+        at = text.find(item, at + 1)
+    return out
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """One row for each document and benchmark passage that occurs in it: doc_id, item_id, start, end (bytes of the
     normalised text), edits, shared_qgrams, regions (verified bands), text_key (hash of the document's text).
 
     Texts are normalised (lower case, signs and white space to single spaces). A passage occurs where a stretch of the
     text is within budget() edits of it; of several places the one with fewest edits, then the first, is given. Passages
-    shorter than Q bytes have no q-gram and never occur; null passages and texts are empty. Equal passages each give
+    shorter than Q bytes have no q-gram and are looked for as they are, beside the index (no edits, no shared q-grams, each
+    place a region); passages without bytes never occur. Null passages and texts are empty. Equal passages each give
     rows, as do rows with the same doc_id. Every document is read whole. Passages are read on the driver in blocks of at
     most BLOCK_BYTES, and each block is one scan of the documents. Without passages or documents there are no rows.
     """
@@ -153,7 +163,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, id_co
     size, out = 0, None
     for row in benchmark.select(F.col(item_col).cast("long"), item_text_col).toLocalIterator():
         item = normal((row[1] or "").encode())
-        if len(item) >= Q:
+        if item:
             if size + len(item) > BLOCK_BYTES:
                 blocks.append([])
                 size = 0
@@ -163,7 +173,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, id_co
         index = docs.sparkSession.sparkContext.broadcast(block)
 
         def search(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
-            own = Index(index.value, rate)
+            own, short = Index([x for x in index.value if len(x[1]) >= Q], rate), [x for x in index.value if len(x[1]) < Q]
             for batch in batches:
                 texts = [normal(x) for x in utf8(batch, "body")]
                 ids, text_keys, starts = batch.column("id").to_pylist(), batch.column("key").to_pylist(), np.cumsum([0, *(len(x) + Q for x in texts)])
@@ -177,7 +187,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, id_co
                         place = (got[0], max(0, first), low + got[2] - int(starts[of]), shared)
                         seen.setdefault((of, o), set()).add(place[2])
                         best[of, o] = min(best.get((of, o), place), place)
-                found = [(ids[of], own.items[o][0], p[1], p[2], p[0], p[3], len(seen[of, o]), text_keys[of]) for (of, o), p in sorted(best.items())]
+                plain = [(ids[of], k, at, at + len(item), 0, 0, len(places(item, x)), text_keys[of]) for k, item in short for of, x in enumerate(texts) if (at := x.find(item)) >= 0]
+                found = plain + [(ids[of], own.items[o][0], p[1], p[2], p[0], p[3], len(seen[of, o]), text_keys[of]) for (of, o), p in sorted(best.items())]
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*found) if found else [[]] * 8, FIELDS.values(), strict=True)], names=list(FIELDS))
 
         part = mapped(rows, search, "doc_id long, item_id long, start long, end long, edits long, shared_qgrams long, regions long, text_key long")

@@ -317,6 +317,17 @@ def test_decontamination(spark):
     assert decontaminate.contaminated(docs.limit(0), bench).count() == 0
 
 
+def test_short_passages(spark):
+    """Passages under Q bytes are found too, alone or beside long ones."""
+    docs = spark.createDataFrame([(1, "It says: X1-y2, x1 y2."), (2, "x1y2"), (3, None), (4, "a longer passage here")], "doc_id long, text string")
+    items = [(7, "x1 Y2"), (8, "x1 y2!"), (9, ""), (10, None), (11, "zz")]
+    for more in ([], [(12, "longer passage")]):
+        bench = spark.createDataFrame(items + more, "item_id long, text string")
+        want = Counter({(1, 7, 8, 13, 0, 2): 1, (1, 8, 8, 13, 0, 2): 1} | {(4, 12, 2, 16, 0, 1): 1 for _ in more})
+        assert counted(decontaminate.contaminated(docs, bench), "doc_id", "item_id", "start", "end", "edits", "regions") == want
+        assert {r["doc_id"] for r in decontaminate.drop_contaminated(docs, bench).collect()} == {2, 3, 4} - {4 for _ in more}
+
+
 def test_language_model(spark, docs, rows, nothing):
     counts, n_train = Counter(), 0
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
