@@ -160,8 +160,7 @@ def loser_tree(runs: list[list[tuple]]) -> Iterable[tuple]:
 
 def merge_runs(runs: DataFrame) -> DataFrame:
     """Globally ordered captures: partition n holds keys below those of partition n+1, each merged from its parts of all
-    runs. Ranges are of (URL key, time, page_id), so one hot URL is split too. `history` counts a URL's captures within
-    its partition."""
+    runs. Ranges are of (URL key, time, page_id), so one hot URL is split too."""
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: dict[str, list] = {}
