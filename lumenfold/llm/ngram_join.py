@@ -75,11 +75,11 @@ def share(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def shared_counts(rows: DataFrame, buckets: int, width: int) -> DataFrame:
-    """doc_id, sid, n, n_shared of every row: how many of its shingles another set has too (never too few)."""
+    """doc_id, key (hash of the text), sid, n, n_shared of every row: how many of its shingles another set has too (never too few)."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, seq, part = WordHashes(), 0, part_id()
-        docs: list[tuple[int, int, int, int]] = []
+        docs: list[tuple[int, int, int, int, int]] = []
         of: dict[int, int] = {}
         sets: list[np.ndarray] = []
 
@@ -90,8 +90,8 @@ def shared_counts(rows: DataFrame, buckets: int, width: int) -> DataFrame:
             keys, back, n = np.unique(h, return_inverse=True, return_counts=True)
             own = n[back] == 1
             base = np.bincount(owner[~own], minlength=len(sets)).astype("<u4")
-            cols = [np.array(x, t).tobytes() for x, t in zip(zip(*docs), ("<i8", "<i8", "<u4", "<u4"), strict=True)]
-            yield share([(chunk % buckets, chunk, "docs", *cols, base.tobytes())])
+            ids, keys_, *cols = (np.array(x, t).tobytes() for x, t in zip(zip(*docs), ("<i8", "<i8", "<i8", "<u4", "<u4"), strict=True))
+            yield share([(chunk % buckets, chunk, "docs", ids + keys_, *cols, base.tobytes())])
             alone, who = h[own], owner[own]
             to = buckets_of(alone, buckets)
             by = np.argsort(to.astype(np.uint16) if buckets < 65536 else to, kind="stable")
@@ -107,14 +107,14 @@ def shared_counts(rows: DataFrame, buckets: int, width: int) -> DataFrame:
 
         weight = 0
         for batch in batches:
-            for doc, text in zip(batch.column("id").to_pylist(), utf8(batch, "body"), strict=True):
+            for doc, key, text in zip(batch.column("id").to_pylist(), batch.column("key").to_pylist(), utf8(batch, "body"), strict=True):
                 h = shingles(text, known, width)
                 sid = set_id(h)
                 at = of.setdefault(sid, len(sets))
                 if at == len(sets):
                     sets.append(h)
                     weight += len(h)
-                docs.append((NULL_ID if doc is None else doc, sid, len(h), at))
+                docs.append((NULL_ID if doc is None else doc, key, sid, len(h), at))
                 if weight > CHUNK:
                     yield from flush()
                     seq, weight = seq + 1, 0
@@ -153,12 +153,13 @@ def shared_counts(rows: DataFrame, buckets: int, width: int) -> DataFrame:
                 else:
                     got[row[1]] = got.get(row[1], 0) + np.frombuffer(row[3], "<u4").astype(np.int64)
         for chunk, (ids, sids, n, at, base) in docs.items():
+            ids, keys = ids.reshape(2, -1)
             total = (base + got.get(chunk, 0))[at] if len(base) else np.zeros(len(ids), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64(), mask=ids == NULL_ID), pa.array(sids), pa.array(n.astype(np.int64)), pa.array(np.asarray(total, np.int64))], names=["doc_id", "sid", "n", "n_shared"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64(), mask=ids == NULL_ID), pa.array(keys), pa.array(sids), pa.array(n.astype(np.int64)), pa.array(np.asarray(total, np.int64))], names=["doc_id", "key", "sid", "n", "n_shared"])
 
     asked = mapped(rows, ask, SHARES).repartitionById(buckets, "to")
     replies = stored(mapped(asked, count, SHARES), "shingle-blocks")
-    return stored(mapped(replies.repartition(buckets, "chunk"), collect, "doc_id long, sid long, n long, n_shared long"), "shared-shingles")
+    return stored(mapped(replies.repartition(buckets, "chunk"), collect, "doc_id long, key long, sid long, n long, n_shared long"), "shared-shingles")
 
 
 def frequent_prefixes(sets: DataFrame, chunks: int, percent: int) -> DataFrame:
@@ -388,8 +389,16 @@ def jaccard_join(docs: DataFrame, percent: int = 80, width: int = 5, id_col: str
 
     No pair of documents is left out: see the module's text for why candidates are complete. Copies are one vertex.
     """
+    vertices = joined(docs, percent, width, id_col, text_col)
+    smallest = vertices.where("n > 0").groupBy("vertex").agg(F.min("doc_id").alias("least"))
+    out = vertices.join(smallest, "vertex", "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def joined(docs: DataFrame, percent: int, width: int, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, key (hash of the text), n, vertex of every row; rows with one vertex are reachable by links."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("body"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("body"), F.xxhash64(text_col).alias("key"))
     buckets = parts_for(spark, text_bytes(docs, text_col), BUCKET_BYTES)
     every = shared_counts(rows, buckets, width)
     able = every.where(f"n > 0 and 100 * n_shared >= {percent} * n").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"))
@@ -412,14 +421,14 @@ def jaccard_join(docs: DataFrame, percent: int = 80, width: int = 5, id_col: str
     prefixes = frequent_prefixes(sets, parts_for(spark, weight or 0, CHUNK), percent)
     clusters = components(chains(prefixes, percent))
     links = components(tiles(prefixes, clusters, percent))
-    vertices = every.join(links.select(F.col("id").alias("sid"), "component"), "sid", "left").withColumn("vertex", F.coalesce("component", "sid"))
-    smallest = vertices.where("n > 0").groupBy("vertex").agg(F.min("doc_id").alias("least"))
-    out = vertices.join(smallest, "vertex", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+    return every.join(links.select(F.col("id").alias("sid"), "component"), "sid", "left").withColumn("vertex", F.coalesce("component", "sid"))
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", **more) -> DataFrame:
-    """The rows of `docs` whose doc_id is the smallest of its component, with all columns. Rows that share a
-    doc_id go together, if one of them is linked to a smaller one; rows without one stay."""
-    lost = jaccard_join(docs, id_col=id_col, **more).where("doc_id <> component_id").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(lost, F.col(id_col).eqNullSafe(F.col("__id")), "left_anti")
+def keep_first(docs: DataFrame, percent: int = 80, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Of each component the rows with its smallest (doc_id, hash of the text), with all columns; a null doc_id comes after
+    all others. Each row is judged by its own text, whatever else has its doc_id; rows equal in both stay together."""
+    vertices = joined(docs, percent, width, id_col, text_col).where("n > 0")
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
+    first = vertices.groupBy("vertex").agg(F.min(rank).alias("first"))
+    lost = vertices.join(first, "vertex").where(~rank.eqNullSafe(F.col("first"))).select(F.col("doc_id").alias("__id"), F.col("key").alias("__key")).distinct()
+    return docs.join(lost, F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__key")), "left_anti")

@@ -192,6 +192,16 @@ def test_jaccard_join(docs, rows, nothing):
     assert Counter(r["doc_id"] for r in kept.collect()) == Counter(d for d, _, _ in rows if d not in gone)
 
 
+def test_near_copies_with_one_id(spark):
+    """Clean texts stay whatever has their doc_id; of near copies with one doc_id or none a single one stays."""
+    rng = random.Random(9)
+    base = [words(rng, 60) for _ in range(4)]
+    rows = [(1, base[0]), (2, base[0] + " end"), (2, base[1]), (5, base[2]), (5, base[2] + " end"), (None, base[3]), (None, base[3] + " end"), (None, base[0] + " stop"), (None, None)]
+    kept = {(r["doc_id"], r["text"]) for r in ngram_join.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {(1, base[0]), (2, base[1]), (None, None)} <= kept and len(kept) == 5
+    assert len(kept & set(rows[3:5])) == len(kept & set(rows[5:7])) == 1
+
+
 def test_jaccard_join_in_small_tiles(spark, monkeypatch):
     """Clusters of many tiles, several size bands and blocks."""
     rng = random.Random(8)
