@@ -12,13 +12,12 @@ from pyspark.sql import functions as F
 
 from .common import mapped, utf8
 
-#: Bytes of a q-gram: eight, so that one is one 64-bit number.
+#: Bytes of a q-gram at most: eight, so that one is one 64-bit number.
 Q = 8
 #: Bytes of benchmark passages whose index goes to every task at once; more passages take more scans.
 BLOCK_BYTES = 8 << 20
 TABLE_BITS = 22
-#: Added to diagonals so that none is negative.
-SHIFT = 1 << 30
+#: Between the documents of a batch. Normalised passages have no NUL, so no q-gram of theirs lies across.
 GAP = bytes(Q)
 SIGNS = bytes(32 if x < 128 and not chr(x).isalnum() else x for x in range(256))
 FIELDS = {"doc_id": pa.int64(), "item_id": pa.int64(), "start": pa.int64(), "end": pa.int64(), "edits": pa.int64(), "shared_qgrams": pa.int64(), "regions": pa.int64(), "text_key": pa.int64()}
@@ -29,11 +28,10 @@ def normal(text: bytes) -> bytes:
     return b" ".join(text.decode().lower().encode().translate(SIGNS).split())
 
 
-def qgrams(text: bytes) -> np.ndarray:
-    if len(text) < Q:
+def qgrams(text: bytes, q: int = Q) -> np.ndarray:
+    if len(text) < q:
         return np.zeros(0, "<u8")
-    padded = text + bytes(8 - Q)
-    return np.ndarray((len(text) - Q + 1,), "<u8", padded, strides=(1,)) & np.uint64((1 << 8 * Q) - 1)
+    return np.ndarray((len(text) - q + 1,), "<u8", text + bytes(8 - q), strides=(1,)) & np.uint64((1 << 8 * q) - 1)
 
 
 def hashed(gram: np.ndarray) -> np.ndarray:
@@ -41,16 +39,21 @@ def hashed(gram: np.ndarray) -> np.ndarray:
 
 
 def budget(length: int, rate: float) -> int:
-    """Edits allowed in a passage: its length times `rate`, at most so many that the lemma still asks for a shared q-gram."""
-    return max(0, min(int(length * rate), (length - Q) // Q))
+    """Edits allowed in a passage of so many bytes: fewer than its bytes, so that it can't be edited away."""
+    return max(0, min(int(length * rate), length - 1))
+
+
+def gram_size(length: int, edits: int) -> int:
+    """The longest q-gram, up to Q bytes, of which the lemma still asks for one: len - q + 1 - q * edits >= 1."""
+    return min(Q, length // (edits + 1))
 
 
 class Index:
-    """All q-grams of a block of passages: sorted keys with their (passage, place), behind a bit table."""
+    """All q-grams of some passages: sorted keys with their (passage, place), behind a bit table."""
 
-    def __init__(self, items: list[tuple[int, bytes]], rate: float):
-        self.items, self.edits = items, [budget(len(x), rate) for _, x in items]
-        grams = [qgrams(x) for _, x in items]
+    def __init__(self, items: list[tuple[int, bytes]], rate: float, q: int = Q):
+        self.q, self.items, self.edits = q, items, [budget(len(x), rate) for _, x in items]
+        grams = [qgrams(x, q) for _, x in items]
         self.own = grams
         keys = np.concatenate([np.zeros(0, "<u8"), *grams])
         owner = np.repeat(np.arange(len(items)), [len(g) for g in grams])
@@ -59,47 +62,56 @@ class Index:
         self.keys, self.owner, self.place = keys[by], owner[by], place[by]
         self.distinct, first = np.unique(self.keys, return_index=True)
         self.first = np.append(first, len(self.keys))
-        self.least = np.array([len(x) - Q + 1 - Q * e for (_, x), e in zip(items, self.edits, strict=True)], np.int64)
+        self.least = np.array([len(x) - q + 1 - q * e for (_, x), e in zip(items, self.edits, strict=True)], np.int64)
+        self.wide = np.array(self.edits, np.int64) + 1
+        #: Added to diagonals so that none is negative.
+        self.shift = max((len(x) for _, x in items), default=0)
         self.table = np.zeros(1 << TABLE_BITS, bool)
         self.table[hashed(self.keys).astype(np.int64)] = True
 
-    def strips(self, text: bytes, step: int = 1 << 21) -> tuple[np.ndarray, np.ndarray]:
-        """(key, shared q-grams) of every strip of diagonals with any; the key holds the passage and the strip's number."""
-        gram, keys, counts = qgrams(text), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        wide = np.array(self.edits, np.int64) + 1
+    def strips(self, texts: list[bytes], step: int = 1 << 21) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(text, passage, strip, shared q-grams) of every strip of diagonals with any, in this order. Diagonals are those
+        of the text itself, so a strip never reaches into another text of the batch."""
+        starts = np.cumsum([0, *(len(x) + len(GAP) for x in texts)])
+        room = (max(map(len, texts), default=0) + self.shift + 2).bit_length()
+        many = max(1, len(self.items) - 1).bit_length()
+        gram, keys, counts = qgrams(GAP.join(texts), self.q), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for i in range(0, len(gram), step):
             part = gram[i : i + step]
             at = np.flatnonzero(self.table[hashed(part).astype(np.int64)])
             low = np.searchsorted(self.distinct, part[at])
             real = self.distinct[np.minimum(low, len(self.distinct) - 1)] == part[at]
             at, low = at[real], low[real]
+            text = np.searchsorted(starts, at + i, side="right") - 1
             n = self.first[low + 1] - self.first[low]
             which = np.repeat(self.first[low] - np.cumsum(n) + n, n) + np.arange(n.sum())
             owner = self.owner[which]
-            key = owner << 40 | (np.repeat(at + i, n) - self.place[which] + SHIFT) // wide[owner]
-            key, n = np.unique(key, return_counts=True)
+            strip = (np.repeat(at + i - starts[text], n) - self.place[which] + self.shift) // self.wide[owner]
+            key, n = np.unique((np.repeat(text, n) << many | owner) << room | strip, return_counts=True)
             keys.append(key), counts.append(n)
         key, back = np.unique(np.concatenate(keys), return_inverse=True)
-        return key, np.bincount(back, np.concatenate(counts), len(key)).astype(np.int64)
+        own = key >> room
+        return own >> many, own & (1 << many) - 1, key & (1 << room) - 1, np.bincount(back, np.concatenate(counts), len(key)).astype(np.int64)
 
-    def regions(self, text: bytes) -> Iterator[tuple[int, int, int, int]]:
-        """(passage, first byte, end, shared q-grams) of bands of diagonals that share enough q-grams.
+    def regions(self, texts: list[bytes]) -> Iterator[tuple[int, int, int, int, int]]:
+        """(text, passage, first byte, end, shared q-grams) of bands of diagonals that share enough q-grams.
 
-        An occurrence with e edits keeps len - Q + 1 - Q * e q-grams, on diagonals at most e apart and from its start. So
+        An occurrence with e edits keeps len - q + 1 - q * e q-grams, on diagonals at most e apart and from its start. So
         these lie in two neighbouring strips of e + 1 diagonals; every such pair is a band, half over the next."""
-        key, n = self.strips(text)
-        if not len(key):
-            return
-        after = np.minimum(np.searchsorted(key, key + 1), len(key) - 1)
-        total = n + np.where(key[after] == key + 1, n[after], 0)
-        for k in np.flatnonzero(total >= self.least[key >> 40]).tolist():
-            o = int(key[k] >> 40)
+        of, owner, strip, n = self.strips(texts)
+        beside = np.zeros(len(n), np.int64)
+        if len(n) > 1:
+            next_ = (of[1:] == of[:-1]) & (owner[1:] == owner[:-1]) & (strip[1:] == strip[:-1] + 1)
+            beside[:-1] = np.where(next_, n[1:], 0)
+        total = n + beside
+        for k in np.flatnonzero(total >= self.least[owner]).tolist():
+            o, text = int(owner[k]), texts[of[k]]
             e, size = self.edits[o], len(self.items[o][1])
-            low = int(key[k] & (1 << 40) - 1) * (e + 1) - SHIFT - e
+            low = int(strip[k]) * (e + 1) - self.shift - e
             low, high = max(0, low), max(0, min(len(text), low + 2 * (e + 1) + size + 2 * e))
             # The lemma counts each of the passage's q-grams once; repeats in the text may have counted for more.
-            if np.isin(self.own[o], qgrams(text[low:high])).sum() >= self.least[o]:
-                yield o, low, high, int(total[k])
+            if np.isin(self.own[o], qgrams(text[low:high], self.q)).sum() >= self.least[o]:
+                yield int(of[k]), o, low, high, int(total[k])
 
 
 def align(item: bytes, region: bytes, edits: int) -> tuple[int, int, int] | None:
@@ -152,8 +164,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, id_co
     normalised text), edits, shared_qgrams, regions (verified bands), text_key (hash of the document's text).
 
     Texts are normalised (lower case, signs and white space to single spaces). A passage occurs where a stretch of the
-    text is within budget() edits of it; of several places the one with fewest edits, then the first, is given. Passages
-    shorter than Q bytes have no q-gram and are looked for as they are, beside the index (no edits, no shared q-grams, each
+    text is within `rate` of its bytes of edits; of several places the one with fewest edits, then the first, is given.
+    Each text is searched on its own, so its rows don't depend on its neighbours. Passages too short for q-grams of Q
+    bytes have shorter ones. Those under Q bytes with no edits allowed are looked for as they are (no shared q-grams, each
     place a region); passages without bytes never occur. Null passages and texts are empty. Equal passages each give
     rows, as do rows with the same doc_id. Every document is read whole. Passages are read on the driver in blocks of at
     most BLOCK_BYTES, and each block is one scan of the documents. Without passages or documents there are no rows.
@@ -173,22 +186,24 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, id_co
         index = docs.sparkSession.sparkContext.broadcast(block)
 
         def search(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
-            own, short = Index([x for x in index.value if len(x[1]) >= Q], rate), [x for x in index.value if len(x[1]) < Q]
+            short, by_size = [], {}
+            for item in index.value:
+                size, edits = len(item[1]), budget(len(item[1]), rate)
+                (by_size.setdefault(gram_size(size, edits), []) if edits or size >= Q else short).append(item)
+            indexes = [Index(of, rate, q) for q, of in sorted(by_size.items())]
             for batch in batches:
                 texts = [normal(x) for x in utf8(batch, "body")]
-                ids, text_keys, starts = batch.column("id").to_pylist(), batch.column("key").to_pylist(), np.cumsum([0, *(len(x) + Q for x in texts)])
-                text = GAP.join(texts)
-                best: dict[tuple[int, int], tuple] = {}
-                seen: dict[tuple[int, int], set] = {}
-                for o, low, high, shared in own.regions(text):
-                    if (got := align(own.items[o][1], text[low:high], own.edits[o])) is not None:
-                        of = int(np.searchsorted(starts, low + got[2] - 1, side="right")) - 1
-                        first = low + got[1] - int(starts[of])
-                        place = (got[0], max(0, first), low + got[2] - int(starts[of]), shared)
-                        seen.setdefault((of, o), set()).add(place[2])
-                        best[of, o] = min(best.get((of, o), place), place)
-                plain = [(ids[of], k, at, at + len(item), 0, 0, len(places(item, x)), text_keys[of]) for k, item in short for of, x in enumerate(texts) if (at := x.find(item)) >= 0]
-                found = plain + [(ids[of], own.items[o][0], p[1], p[2], p[0], p[3], len(seen[of, o]), text_keys[of]) for (of, o), p in sorted(best.items())]
+                ids, text_keys = batch.column("id").to_pylist(), batch.column("key").to_pylist()
+                found = [(ids[of], k, at, at + len(item), 0, 0, len(places(item, x)), text_keys[of]) for k, item in short for of, x in enumerate(texts) if (at := x.find(item)) >= 0]
+                for own in indexes:
+                    best: dict[tuple[int, int], tuple] = {}
+                    ends: dict[tuple[int, int], set] = {}
+                    for of, o, low, high, shared in own.regions(texts):
+                        if (got := align(own.items[o][1], texts[of][low:high], own.edits[o])) is not None:
+                            place = (got[0], low + got[1], low + got[2], shared)
+                            ends.setdefault((of, o), set()).add(place[2])
+                            best[of, o] = min(best.get((of, o), place), place)
+                    found += [(ids[of], own.items[o][0], p[1], p[2], p[0], p[3], len(ends[of, o]), text_keys[of]) for (of, o), p in sorted(best.items())]
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*found) if found else [[]] * 8, FIELDS.values(), strict=True)], names=list(FIELDS))
 
         part = mapped(rows, search, "doc_id long, item_id long, start long, end long, edits long, shared_qgrams long, regions long, text_key long")

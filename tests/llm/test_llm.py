@@ -297,7 +297,7 @@ def test_alignment():
 
 def test_decontamination(spark):
     rng = random.Random(6)
-    items = [(k, words(rng, rng.randrange(12, 40))) for k in range(8)] + [(90, None), (91, "tiny"), (92, "")]
+    items = [(k, words(rng, rng.randrange(12, 40))) for k in range(8)] + [(90, None), (91, "tiny"), (92, ""), (93, "ab yz cdxyzx"), (94, "yzabcdxyza bcdxyzab zy")]
     rows = []
     for i in range(60):
         text = words(rng, 60)
@@ -315,7 +315,7 @@ def test_decontamination(spark):
     for i, t in rows:
         for k, item in items:
             x = decontaminate.normal(raw(item))
-            if len(x) >= decontaminate.Q and (d := edit_distance_in(x, decontaminate.normal(raw(t)))) <= decontaminate.budget(len(x), 0.1):
+            if x and (d := edit_distance_in(x, decontaminate.normal(raw(t)))) <= decontaminate.budget(len(x), 0.1):
                 want[i, k, d] += 1
     assert counted(decontaminate.contaminated(docs, bench), "doc_id", "item_id", "edits") == want
     assert {k[2] for k in want} >= {0, 1}
@@ -327,6 +327,31 @@ def test_decontamination(spark):
     assert decontaminate.contaminated(docs.limit(0), bench).count() == 0
 
 
+def found_in(index, texts):
+    """(text, passage, edits, start, end, shared q-grams) of verified bands."""
+    return {(of, o, *((got := decontaminate.align(index.items[o][1], texts[of][low:high], index.edits[o]))[0], low + got[1], low + got[2]), shared) for of, o, low, high, shared in index.regions(texts) if decontaminate.align(index.items[o][1], texts[of][low:high], index.edits[o])}
+
+
+def test_texts_are_searched_alone(spark):
+    """Neither a passage cut in two by the border of neighbours nor anything else of a batch changes what a text gives."""
+    rng = random.Random(12)
+    items = [(k, decontaminate.normal(words(rng, rng.randrange(40, 120)).encode())) for k in range(6)]
+    texts = []
+    for _ in range(200):
+        x = rng.choice(items)[1]
+        cut = len(x) * rng.randrange(20, 80) // 100
+        texts += [decontaminate.normal((words(rng, 15) + " ").encode() + x[:cut]), x[cut:] + decontaminate.normal((" " + words(rng, 15)).encode())]
+    texts += [b"", items[2][1], items[3][1] + b" " + items[3][1], decontaminate.normal(words(rng, 30_000).encode()) + b" " + items[1][1]]
+    index = decontaminate.Index(items, 0.1)
+    alone = {(k, *x[1:]) for k, t in enumerate(texts) for x in found_in(index, [t])}
+    assert alone == found_in(index, texts) == {(len(texts) - 1 - k, *x[1:]) for k, *x in ((y[0], *y) for y in found_in(index, texts[::-1]))}
+    assert {x[0] for x in alone} == {401, 402, 403}
+    docs = spark.createDataFrame([(k, t.decode()) for k, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
+    bench = spark.createDataFrame([(k, t.decode()) for k, t in items], "item_id long, text string")
+    rows = decontaminate.contaminated(docs, bench).collect()
+    assert {(r["doc_id"], r["item_id"], r["edits"], r["start"], r["end"]) for r in rows} == {(401, 2, 0, 0, len(items[2][1])), (402, 3, 0, 0, len(items[3][1])), (403, 1, 0, len(texts[403]) - len(items[1][1]), len(texts[403]))}
+
+
 def test_short_passages(spark):
     """Passages under Q bytes are found too, alone or beside long ones."""
     docs = spark.createDataFrame([(1, "It says: X1-y2, x1 y2."), (2, "x1y2"), (3, None), (4, "a longer passage here")], "doc_id long, text string")
