@@ -14,9 +14,11 @@ from pyspark.sql import functions as F
 from .common import mapped, stored, utf8
 
 FIELDS = {"doc_id": pa.int64(), "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64(), "doc_tokens": pa.int64(), "bucket": pa.int32(), "part": pa.int64(), "row": pa.int64()}
-#: Distinct chunks of text whose ids one worker remembers.
-CACHE_ENTRIES = 1_600_000
-SIGNS = b".,;:!?)|"
+#: Bytes of memory for the ids of runs that one worker remembers, about; runs that are encoded in one text.
+CACHE_BYTES, TOGETHER = 160 << 20, 512
+#: Python's own bytes for two byte strings and their place in a dictionary.
+ENTRY_BYTES = 180
+SIGNS = bytes(x for x in range(33, 127) if not chr(x).isalnum())
 
 
 def binary_pieces(n: int, longest: int) -> list[tuple[int, int]]:
@@ -32,8 +34,55 @@ def binary_pieces(n: int, longest: int) -> list[tuple[int, int]]:
     return out
 
 
+class Memory:
+    """Ids by run, in two generations: when the young one is full it becomes the old one, and whatever recurs is taken
+    over from there. So what is frequent stays, and the bytes are bounded."""
+
+    def __init__(self) -> None:
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+        self.size = 0
+
+    def room(self) -> None:
+        if self.size > CACHE_BYTES // 2:
+            self.young, self.old, self.size = {}, self.young, 0
+
+    def put(self, run: bytes, ids: bytes) -> None:
+        self.young[run] = ids
+        self.size += len(run) + len(ids) + ENTRY_BYTES
+
+    def missing(self, runs: set[bytes]) -> list[bytes]:
+        """The runs that neither generation knows; those of the old one are taken over."""
+        out = []
+        for x in runs:
+            if (ids := self.old.get(x)) is not None:
+                self.put(x, ids)
+            else:
+                out.append(x)
+        return out
+
+
 #: What this worker has encoded, by tokenizer file; kept from task to task.
-_KNOWN: dict[str, dict[bytes, bytes]] = {}
+_KNOWN: dict[str, Memory] = {}
+
+
+def cut_signs(run: bytes) -> tuple[bytes, bytes, bytes]:
+    """(signs before, the rest, signs after) of a run that are words of their own; signs are ASCII. They are where a letter or
+    digit stands beside them. One apostrophe alone before a letter may begin a contraction, so it stays."""
+    if b"<|" in run:
+        return b"", run, b""
+    rest = run.rstrip(SIGNS)
+    end = len(rest)
+    start = end - len(rest.lstrip(SIGNS))
+    if not end:
+        return b"", run, b""
+    if start or end < len(run):
+        text = rest[start:].decode()
+        if run[:start] == b"'" or not unicodedata.normalize("NFC", text[0]).lower()[0].isalnum():
+            start = 0
+        if not unicodedata.normalize("NFC", text[-1]).lower()[-1].isalnum():
+            end = len(run)
+    return run[:start], run[start:end], run[end:]
 
 
 def chunk_encoder(path: str) -> Callable[[list[bytes]], Iterator[bytes]]:
@@ -41,40 +90,57 @@ def chunk_encoder(path: str) -> Callable[[list[bytes]], Iterator[bytes]]:
 
     Valid for a lower-casing tokenizer that splits at white space, drops it, and keeps letters, digits and signs in
     separate words: then a run has the same ids wherever it stands, A-Z can be lowered first (not where `<|` may begin a
-    special token), and signs after a letter or digit can be encoded apart."""
+    special token), and signs beside a letter or digit can be encoded apart. Runs of letters alone are encoded many in a text,
+    whose ids are told apart by the mark that ends each word; texts with another number of marks are encoded run by run."""
     import os
 
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
+    suffix = getattr(tokenizer.model, "end_of_word_suffix", None)
+    ends = np.zeros(tokenizer.get_vocab_size() + 1, bool)
+    if suffix:
+        ends[[k for x, k in tokenizer.get_vocab().items() if x.endswith(suffix)]] = True
     if path not in _KNOWN:
         _KNOWN.clear()
-        _KNOWN[path] = {}
-    known = _KNOWN[path]
-
-    def learn(new: list[bytes]) -> None:
-        for at in range(0, len(new), 8192):
-            some = new[at : at + 8192]
-            for chunk, got in zip(some, tokenizer.encode_batch_fast([x.decode() for x in some], add_special_tokens=False), strict=True):
-                known[chunk] = np.array(got.ids, "<u4").tobytes()
-
-    def parts(chunk: bytes) -> tuple[bytes, bytes]:
-        head = chunk.rstrip(SIGNS)
-        if len(head) < len(chunk) and head and unicodedata.normalize("NFC", head.decode()[-1]).lower()[-1].isalnum():
-            return head, chunk[len(head) :]
-        return chunk, b""
+        _KNOWN[path] = Memory()
+    memory = _KNOWN[path]
+
+    def one_by_one(runs: list[bytes]) -> None:
+        for run, got in zip(runs, tokenizer.encode_batch_fast([x.decode() for x in runs], add_special_tokens=False), strict=True):
+            memory.put(run, np.array(got.ids, "<u4").tobytes())
+
+    def together(runs: list[bytes]) -> None:
+        groups = [runs[k : k + TOGETHER] for k in range(0, len(runs), TOGETHER)]
+        for group, got in zip(groups, tokenizer.encode_batch_fast([b" ".join(x).decode() for x in groups], add_special_tokens=False), strict=True):
+            ids = np.array(got.ids, "<u4")
+            stops = (np.flatnonzero(ends[ids]) + 1) * 4
+            if len(stops) != len(group) or stops[-1] != 4 * len(ids):
+                one_by_one(group)
+                continue
+            data, at = ids.tobytes(), 0
+            for run, stop in zip(group, stops.tolist(), strict=True):
+                memory.put(run, data[at:stop])
+                at = stop
+
+    def learn(runs: list[bytes]) -> None:
+        words, odd = [], []
+        for x in runs:
+            (words if suffix and x.decode().isalpha() else odd).append(x)
+        together(words)
+        one_by_one(odd)
 
     def encode(texts: list[bytes]) -> Iterator[bytes]:
+        memory.room()
         split = [(x if b"<|" in x else x.lower()).split() for x in texts]
-        new = {x for of in split for x in of if x not in known}
-        if len(known) + len(new) > CACHE_ENTRIES:
-            known.clear()
-            new = {x for of in split for x in of}
-        cut = {x: p for x in new if (p := parts(x))[1]}
-        learn(list({y for x in new for y in cut.get(x, (x,)) if y not in known}))
-        for x, (head, tail) in cut.items():
-            known[x] = known[head] + known[tail]
+        known = memory.young
+        new = memory.missing({x for of in split for x in of if x not in known})
+        cut = {x: p for x in new if (p := cut_signs(x))[1] != x}
+        parts = {y for x in new for y in cut.get(x, (x,)) if y and y not in known}
+        learn(memory.missing(parts))
+        for x, of in cut.items():
+            memory.put(x, b"".join(known[y] for y in of if y))
         for of in split:
             yield b"".join(map(known.__getitem__, of))
 

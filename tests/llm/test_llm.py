@@ -114,12 +114,24 @@ def test_packing(docs, rows, nothing):
         packing.pack(docs, tokenizer_path(), longest=100)
 
 
-def test_encoding_in_chunks():
+ODD_RUNS = ["Don't, stop.It's  A<|startoftext|>B, <|StartOfText|>, x…, É́., ΑΣ. Σ, 1,000.5! a\xa0b,c x İ, ﬁ. Á, '' 's, !!? ))) a)b| é.", "क़, THE<|END", "", " \x0b ", "('super 'super ''super 'S 't. .'t 'the' \"'ll\" don't' (don't) '", "&&&what%%% _x_ <a> <| |> <|endoftext|> x<|endoftext|>, ½x) (½ ①. ≮ <\u0338a a\u0338> क़) (क़ İstanbul, İ) (İ", "ΣΑΣ) (ΑΣ ﬀ] [ﬀ ǰ) ( ̌j", "12ab34! #1.2.3# a1,b2;"]
+
+
+def test_encoding_in_chunks(monkeypatch):
     from tokenizers import Tokenizer
 
+    rng = random.Random(2)
     tokenizer, encode = Tokenizer.from_file(tokenizer_path()), packing.chunk_encoder(tokenizer_path())
-    for text in ["Don't, stop.It's  A<|startoftext|>B, <|StartOfText|>, x…, É́., ΑΣ. Σ, 1,000.5! a\xa0b,c x İ, ﬁ. Á, '' 's, !!? ))) a)b| é.", "क़, THE<|END", "", " \x0b "]:
-        assert b"".join(encode([text.encode()])) == np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    made = ["".join(rng.choice(["a", "'", "s", "é", "1", ",", "(", "<", "|", ">", "\u0301", "II", "Ⅷ", " ", "中", "t"]) for _ in range(rng.randrange(1, 40))) for _ in range(1500)]
+    want = [np.array(tokenizer.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in ODD_RUNS + made]
+    assert list(encode([x.encode() for x in ODD_RUNS + made])) == want
+    monkeypatch.setattr(packing, "CACHE_BYTES", 20_000)  # generations come and go
+    monkeypatch.setattr(packing, "TOGETHER", 3)
+    packing._KNOWN.clear()
+    encode = packing.chunk_encoder(tokenizer_path())
+    for k in range(0, len(want), 40):
+        assert list(encode([x.encode() for x in (ODD_RUNS + made)[k : k + 40]])) == want[k : k + 40]
+    assert packing._KNOWN[tokenizer_path()].size < 40_000
 
 
 def test_automaton():
