@@ -20,10 +20,10 @@ from pyspark.sql import functions as F
 
 from .common import answered, components, dealt, mapped, mix64, part_id, parts_for, stored, text_bytes, utf8
 
-#: Shingles of one chunk; bytes of text for one bucket; shingles of the sets of one block of a tile.
-CHUNK, BUCKET_BYTES, BLOCK = 2_000_000, 12 << 20, 1_500_000
-#: Ids that may be sent to every executor (8 MB); more are joined by shuffle.
-BROADCAST_IDS = 1_000_000
+#: Shingles of one chunk; bytes of text for one bucket; shingles, and sets, of one block of a tile.
+CHUNK, BUCKET_BYTES, BLOCK, BLOCK_SETS = 1_000_000, 12 << 20, 1_500_000, 20_000
+#: Sets whose ids may be sent to every executor (24 bytes each); more are joined by shuffle.
+BROADCAST_IDS = 300_000
 CACHE_WORDS = 300_000
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -297,57 +297,78 @@ class Links:
             self.up[x] = x = self.up[self.up[x]]
         return x
 
+    def roots(self) -> np.ndarray:
+        up = np.array(self.up)
+        while not np.array_equal(above := up[up], up):
+            up = above
+        return up
+
+
+def bands_of(n: np.ndarray, percent: int) -> np.ndarray:
+    """Size bands: two sets with J >= percent / 100 are in one band or in neighbours."""
+    return np.floor(np.log(n) / np.log(100 / percent) + 1e-9).astype(np.int64)
+
+
+def bitmaps(sets: list[np.ndarray], bits: int) -> np.ndarray:
+    maps = np.zeros((len(sets), bits // 64), np.uint64)
+    for i, x in enumerate(sets):
+        at = (x >> np.uint64(20)) & np.uint64(bits - 1)
+        np.bitwise_or.at(maps[i], (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
+    return maps
+
 
 def compare_tile(sids: list[int], n: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """Links that connect every pair of sets of the tile that has J >= percent / 100, no more than a forest of them.
 
-    Sets come with all shingles that another set has (n counts them all). Bits of one bitmap that the other lacks are
-    shingles that it lacks, so they bound the overlap from above; pairs that pass are intersected exactly. Pairs that are
-    connected already are passed over."""
+    Sets come with all shingles that another set has (n counts them all). Each size band is compared with itself and the
+    band below, by bitmaps as wide as its own sets ask for, so they take a few bytes for each shingle of the two bands,
+    whatever else the tile holds. Bits of one bitmap that the other lacks are shingles that it lacks, so they bound the
+    overlap from above; pairs that pass are intersected exactly. Pairs that are connected already are passed over."""
     by = np.argsort(n, kind="stable")
     n, sets, sids = n[by], [sets[i] for i in by], [sids[i] for i in by]
     own = np.array([len(x) for x in sets])
-    bits = max(256, 1 << int(8 * own.max()).bit_length()) if len(own) else 256
-    words = bits // 64
-    maps = np.zeros((len(sets), words), np.uint64)
-    for i, x in enumerate(sets):
-        at = (x >> np.uint64(20)) & np.uint64(bits - 1)
-        np.bitwise_or.at(maps[i], (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
-    flat, starts = np.concatenate([np.zeros(0, np.uint64), *sets]), np.cumsum([0, *own])
     up, out = Links(len(sets)), []
-    top = np.arange(len(sets))  # a root of each, renewed now and then
-    step = max(1, (1 << 21) // words)
-    for i in range(len(sets) - 1, 0, -1):
-        low = int(np.searchsorted(n, -(-percent * n[i] // 100)))
-        if not i & 63:
-            top = np.array([up.root(k) for k in range(len(sets))])
-        other = low + np.flatnonzero(top[low:i] != up.root(i))
-        for at in range(0, len(other), step):
-            j = other[at : at + step]
-            need = -(-percent * (n[i] + n[j]) // (100 + percent))
-            most = np.minimum(own[i] - np.bitwise_count(maps[i] & ~maps[j]).sum(1, dtype=np.int64), own[j] - np.bitwise_count(maps[j] & ~maps[i]).sum(1, dtype=np.int64))
-            j, need = j[most >= need], need[most >= need]
-            for k, least in zip(j.tolist(), need.tolist(), strict=True):
-                a, b = up.root(i), up.root(k)
-                if a == b:
-                    continue
-                x, y = sets[i], flat[starts[k] : starts[k + 1]]
-                place = np.minimum(np.searchsorted(x, y), len(x) - 1)
-                if np.count_nonzero(x[place] == y) >= least:
-                    up.up[max(a, b)] = min(a, b)
-                    out.append((sids[i], sids[k]))
+    band = bands_of(n, percent)
+    for b in np.unique(band)[::-1].tolist():
+        first, start, stop = np.searchsorted(band, (b - 1, b, b + 1)).tolist()
+        if stop - first < 2:
+            continue
+        bits = max(256, 1 << int(8 * own[start:stop].max()).bit_length())
+        maps, step = bitmaps(sets[first:stop], bits), max(1, (1 << 27) // bits)
+        for i in range(stop - 1, start - 1, -1):
+            if i == stop - 1 or not i & 127:
+                top = up.roots()  # of a while ago; a pair that is connected since then is seen below
+            low = max(first, int(np.searchsorted(n, -(-percent * n[i] // 100))))
+            other = low + np.flatnonzero(top[low:i] != up.root(i))
+            mine = maps[i - first]
+            for at in range(0, len(other), step):
+                j = other[at : at + step]
+                need = -(-percent * (n[i] + n[j]) // (100 + percent))
+                theirs = maps[j - first]
+                most = np.minimum(own[i] - np.bitwise_count(mine & ~theirs).sum(1, dtype=np.int64), own[j] - np.bitwise_count(theirs & ~mine).sum(1, dtype=np.int64))
+                j, need = j[most >= need], need[most >= need]
+                for k, least in zip(j.tolist(), need.tolist(), strict=True):
+                    a, c = up.root(i), up.root(k)
+                    if a == c:
+                        continue
+                    x, y = sets[i], sets[k]
+                    place = np.minimum(np.searchsorted(x, y), len(x) - 1)
+                    if np.count_nonzero(x[place] == y) >= least:
+                        up.up[max(a, c)] = min(a, c)
+                        out.append((sids[i], sids[k]))
     return out
 
 
 def tiles(prefixes: DataFrame, clusters: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) within clusters. A cluster of up to BLOCK shingles is one tile. A larger one is cut into size bands
-    (two sets with a link are in one band or in neighbours) and these into blocks; each pair of blocks is one tile."""
+    """Links (a, b) within clusters. A cluster of up to BLOCK shingles and BLOCK_SETS sets is one tile, compared band by
+    band. A larger one is cut into size bands (two sets with a link are in one band or in neighbours) and these into
+    blocks; each pair of blocks is one tile."""
     members = prefixes.select("sid", "n", "shared").join(clusters.select(F.col("id").alias("sid"), F.col("component").alias("cluster")), "sid")
     members = members.withColumn("band", F.floor(F.log("n") / float(np.log(100 / percent)) + 1e-9).cast("int"))
     weights = members.groupBy("cluster", "band").agg(F.sum(F.length("shared") / 8).alias("w"), F.count("*").alias("m"))
     blocks = weights.groupBy("cluster").agg(
-        F.sum("w").alias("w"),
-        F.map_from_entries(F.collect_list(F.struct("band", F.ceil(F.greatest(F.col("w") / BLOCK, F.col("m") / 20_000)).cast("int")))).alias("blocks"),  # at most 100 or so bands
+        ((F.sum("w") <= BLOCK) & (F.sum("m") <= BLOCK_SETS)).alias("whole"),
+        F.map_from_entries(F.collect_list(F.struct("band", F.ceil(F.greatest(F.col("w") / BLOCK, F.col("m") / BLOCK_SETS)).cast("int")))).alias("blocks"),  # at most 100 or so bands
     )
     rows = members.join(blocks, "cluster").withColumn("own", F.pmod(F.xxhash64("sid"), F.element_at("blocks", F.col("band"))).cast("int"))
     name = lambda band, a, b: F.xxhash64("cluster", band, a, b)
@@ -356,7 +377,7 @@ def tiles(prefixes: DataFrame, clusters: DataFrame, percent: int) -> DataFrame:
     beside = lambda d, pair: F.when(F.map_contains_key("blocks", F.col("band") + d), F.transform(F.sequence(F.lit(0), F.element_at("blocks", F.col("band") + d) - 1), pair)).otherwise(none)
     above = beside(1, lambda k: name(F.col("band") * 2 + 1, F.col("own"), k))
     below = beside(-1, lambda k: name(F.col("band") * 2 - 1, k, F.col("own")))
-    rows = rows.withColumn("tile", F.explode(F.when(F.col("w") <= BLOCK, F.array(F.col("cluster"))).otherwise(F.concat(here, above, below)))).select("tile", "sid", "n", "shared")
+    rows = rows.withColumn("tile", F.explode(F.when(F.col("whole"), F.array(F.col("cluster"))).otherwise(F.concat(here, above, below)))).select("tile", "sid", "n", "shared")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tile, held = None, []
@@ -401,7 +422,7 @@ def joined(docs: DataFrame, percent: int, width: int, id_col: str, text_col: str
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("body"), F.xxhash64(text_col).alias("key"))
     buckets = parts_for(spark, text_bytes(docs, text_col), BUCKET_BYTES)
     every = shared_counts(rows, buckets, width)
-    able = every.where(f"n > 0 and 100 * n_shared >= {percent} * n").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"))
+    able = every.where(f"n > 0 and 100 * n_shared >= {percent} * n").groupBy("sid").agg(F.min(F.struct("doc_id", "key")).alias("rep"), F.first("n").alias("n"))
     able = stored(able, "able-sets")
     some, weight = able.agg(F.count("*"), F.sum("n")).first()
     ids = F.broadcast(able) if some <= BROADCAST_IDS else able
@@ -412,13 +433,14 @@ def joined(docs: DataFrame, percent: int, width: int, id_col: str, text_col: str
             out = []
             for sid, text in zip(batch.column("sid").to_pylist(), utf8(batch, "body"), strict=True):
                 h = shingles(text, known, width)
-                if set_id(h) == sid:  # else another text with the same doc_id
+                if set_id(h) == sid:  # else another text with this hash
                     out.append((sid, len(h), h.tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out) if out else [[]] * 3, (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["sid", "n", "hashes"])
 
-    texts = rows.join(ids.select("sid", "rep"), F.col("id").eqNullSafe(F.col("rep"))).select("sid", "body")
+    # By the text's hash too: rows without a doc_id, however many, are not all taken for each other.
+    texts = rows.join(ids.select("sid", "rep"), (F.col("key") == F.col("rep.key")) & F.col("id").eqNullSafe(F.col("rep.doc_id"))).select("sid", "body")
     sets = stored(mapped(texts, resolve, "sid long, n long, hashes binary"), "sets")
-    prefixes = frequent_prefixes(sets, parts_for(spark, weight or 0, CHUNK), percent)
+    prefixes = frequent_prefixes(sets, parts_for(spark, weight or 0, 2 * CHUNK), percent)
     clusters = components(chains(prefixes, percent))
     links = components(tiles(prefixes, clusters, percent))
     return every.join(links.select(F.col("id").alias("sid"), "component"), "sid", "left").withColumn("vertex", F.coalesce("component", "sid"))

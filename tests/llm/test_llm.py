@@ -224,9 +224,40 @@ def test_jaccard_join_in_small_tiles(spark, monkeypatch):
         for _ in range(rng.randrange(4)):
             w[rng.randrange(len(w))] = f"q{rng.randrange(50)}"
         rows.append((i, " ".join(w), None))
-    for name, value in (("BLOCK", 1500), ("CHUNK", 2000), ("BROADCAST_IDS", 10)):
-        monkeypatch.setattr(ngram_join, name, value)
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    for limits in ((1500, 20_000), (10**9, 20)):
+        for name, value in (("BLOCK", limits[0]), ("BLOCK_SETS", limits[1]), ("CHUNK", 2000), ("BROADCAST_IDS", 10)):
+            monkeypatch.setattr(ngram_join, name, value)
+        assert counted(ngram_join.jaccard_join(df), "doc_id", "n_shingles", "component_id") == linked(rows)
+
+
+def test_tile_of_very_unequal_sets():
+    """A large set does not widen the bitmaps of small ones: a tile's memory stays in proportion to its shingles."""
+    import tracemalloc
+
+    rng = np.random.default_rng(7)
+    sets = [np.unique(rng.integers(0, 1 << 63, 200_000).astype(np.uint64))]
+    for _ in range(100):
+        base = rng.integers(0, 1 << 63, 40).astype(np.uint64)
+        sets += [np.unique(np.append(base, rng.integers(0, 1 << 63, 3).astype(np.uint64))) for _ in range(40)]
+    tracemalloc.start()
+    found = ngram_join.compare_tile(list(range(len(sets))), np.array(list(map(len, sets))), sets, 80)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    up = ngram_join.Links(len(sets))
+    for a, b in found:
+        up.up[up.root(a)] = up.root(b)
+    groups = Counter(up.roots().tolist())
+    assert sorted(groups.values()) == [1, *[40] * 100] and len(found) == 100 * 39
+    assert peak < 60e6
+
+
+def test_jaccard_join_of_rows_without_ids(spark):
+    """Many rows without a doc_id: each finds its own copies, none is paired with all the others."""
+    rng = random.Random(4)
+    rows = [(None, words(rng, 30), None) for _ in range(300)]
+    rows += [(None, t + " more", None) for _, t, _ in rows[:150]] + [(k, t, None) for k, (_, t, _) in enumerate(rows[:50])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     assert counted(ngram_join.jaccard_join(df), "doc_id", "n_shingles", "component_id") == linked(rows)
 
 
