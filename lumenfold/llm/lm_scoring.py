@@ -1,4 +1,8 @@
-"""LM scoring by logistic context mixing over bits, with counts of the whole training corpus."""
+"""LM scoring by logistic context mixing over bits, with counts of the whole training corpus.
+
+A text's bytes are predicted twice: by the mix of contexts of up to ORDER bytes, and by short contexts alone. Which of the
+two is believed is learned online within each text, from how well each did on the bytes just before.
+"""
 
 from __future__ import annotations
 
@@ -19,10 +23,14 @@ from .common import answered, dealt, mapped, mix64, part_id, parts_for, stored,
 ORDER, LOW = 5, 2
 #: Bits of each order's slot numbers, for a model of one text whose counts are hashed.
 SLOT_BITS = (8, 16, 19, 20, 21, 22)
-#: Tasks that sum the table of short contexts; grams of one block, at least, unless it is the bucket's last.
-LOW_TASKS, BLOCK = 64, 1 << 18
-#: Bytes of text in one chunk, at most about; tasks that build tables.
-CHUNK_BYTES, TABLE_TASKS = 24 << 20, 64
+#: Tasks that sum the table of short contexts; bytes of text for one cell of grams, and grams for one task that fits weights.
+LOW_TASKS, CELL_BYTES, FIT_GRAMS = 64, 2 << 20, 1_000_000
+#: Bytes of text in one chunk, at most about.
+CHUNK_BYTES = 24 << 20
+#: Scores are whole numbers of this unit (of log10), and sums of fits of FIT_UNIT, so that no order of adding changes them.
+UNIT, FIT_UNIT = 1 / 65536, 1 / 4096
+#: Bytes of a text that say whom to believe, the weight of what they say, and where a text begins (in stretched odds).
+WINDOW, TRUST, START = 32, 0.5, 2.0
 GATES, APM = 6 * 8 * 6, 33
 PAD = b"\n" * ORDER
 
@@ -43,6 +51,10 @@ def slots(gram: np.ndarray, order: int, bit: int) -> np.ndarray:
     return (mix64(((context << np.uint64(9)) | node) + np.uint64((order + 1) << 57)) >> np.uint64(64 - SLOT_BITS[order])).astype(np.int64)
 
 
+def rounded(log10: np.ndarray) -> np.ndarray:
+    return np.rint(log10 / UNIT) * UNIT
+
+
 def stretch(p: np.ndarray) -> np.ndarray:
     return np.log(p / (1 - p))
 
@@ -288,6 +300,57 @@ def grams_of(buffer: bytes, start: int, stop: int) -> np.ndarray:
     return k
 
 
+class ShortScores:
+    """log10 probability of a byte after the two before it: counts of two, one and no bytes of context, each smoothed by the
+    shorter one in proportion to how many bytes it was followed by. One row of 256 for each two bytes that occur."""
+
+    def __init__(self, low: tuple[np.ndarray, np.ndarray], step: int = 1 << 12):
+        keys, n = low
+        keys = keys.astype(np.int64)
+        one = np.bincount(keys & 0xFFFF, n, 1 << 16).reshape(256, 256)
+        one = self.smoothed(one, ((one.sum(0) + 0.5) / (one.sum() + 128))[None])
+        context, at = np.unique(keys >> 8, return_inverse=True)
+        self.row = np.arange(1 << 16) & 255  # two bytes that never occur are scored by the second alone
+        self.row[context] = 256 + np.arange(len(context))
+        table = [one]
+        for k in range(0, len(context), step):
+            own = slice(*np.searchsorted(at, (k, k + step)))  # the keys are sorted
+            two = np.bincount((at[own] - k) << 8 | keys[own] & 255, n[own], min(step, len(context) - k) << 8).reshape(-1, 256)
+            table.append(self.smoothed(two, one[context[k : k + step] & 255]))
+        self.table = rounded(np.log10(np.concatenate(table))).astype(np.float32).ravel()
+
+    @staticmethod
+    def smoothed(n: np.ndarray, shorter: np.ndarray) -> np.ndarray:
+        kinds = (n > 0).sum(1, keepdims=True) + 1
+        return (n + kinds * shorter) / (n.sum(1, keepdims=True) + kinds)
+
+    def of(self, gram: np.ndarray) -> np.ndarray:
+        gram = gram.astype(np.int64)
+        return self.table[self.row[gram >> 8 & 0xFFFF] << 8 | gram & 255].astype(np.float64)
+
+
+class Online:
+    """Believes one of two scorers of the same bytes, text by text: the weight of the first follows from how much better it
+    did on the WINDOW bytes before, in the same text. What a byte is given depends on earlier bytes alone, so the result is a
+    distribution over the next byte if both are."""
+
+    def __init__(self) -> None:
+        self.d, self.doc = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def scores(self, doc: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """log10 probabilities, of the bytes that come next; `doc` says which text each is of."""
+        ahead, before = np.minimum(a - b, 30), len(self.d)
+        d = np.append(self.d, np.rint(ahead / UNIT).astype(np.int64))
+        doc = np.append(self.doc, doc)
+        at = np.arange(len(d))
+        begin = np.maximum.accumulate(np.where(np.append(True, doc[1:] != doc[:-1])[: len(d)], at, 0))
+        sums = np.append(0, np.cumsum(d))
+        told = (sums[:-1] - sums[np.maximum(at - WINDOW, begin)])[before:]
+        w = squash(START + told * (TRUST * math.log(10) * UNIT))
+        self.d, self.doc = d[-WINDOW:], doc[-WINDOW:]
+        return b + np.log10(w * 10.0**ahead + (1 - w))
+
+
 def rows_of(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     held = F.coalesce(F.crc32(F.col(id_col).cast("string")) % 7 == 2, F.lit(False))
     return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("body"), held.alias("held"))
@@ -301,11 +364,15 @@ def flow(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows) if rows else [[]] * 5, types, strict=True)], names=["to", "chunk", "kind", "a", "b"])
 
 
-def gather(rows: DataFrame, parts: int) -> DataFrame:
+def gather(rows: DataFrame, parts: int, cells: int) -> DataFrame:
     """Corpus counts: for each chunk of documents the training counts of its words (kind `words`, chunk, words, counts);
-    all distinct grams with their training counts (kind `grams`), whole by the last LOW + 1 bytes of context; the same
-    summed by the last LOW bytes (kind `low`); the grams of each chunk and bucket (kind `asked`). Each chunk and bucket
-    exchange one block of words and one of grams."""
+    all distinct grams with their training counts (kind `grams`), one block for each cell (in place of the chunk), whole by the
+    last LOW + 1 bytes of context; the same summed by the last LOW bytes (kind `low`); the grams of each chunk and bucket
+    (kind `asked`). Each chunk and bucket exchange one block of words and one of grams. Cells follow from the grams and
+    from the corpus's size; `parts` only says how many cells a bucket has."""
+
+    def cell_of(key: np.ndarray) -> np.ndarray:
+        return (mix64(key >> np.uint64(24)) % np.uint64(cells)).astype(np.int64)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: list[Counter] = [Counter(), Counter()]
@@ -325,7 +392,7 @@ def gather(rows: DataFrame, parts: int) -> DataFrame:
             yield flow([(to, chunk, "words", b" ".join(block), np.array([words[0][x] for x in block], "<i8").tobytes())])
         gram, n = counts.result()
         key = turned(gram)
-        to = (mix64(key >> np.uint64(24)) % np.uint64(parts)).astype(np.int64)
+        to = cell_of(key) * parts // cells
         by = np.lexsort((key, to))
         ends = np.searchsorted(to[by], np.arange(parts + 1))
         for k in np.flatnonzero(ends[1:] > ends[:-1]).tolist():
@@ -353,13 +420,11 @@ def gather(rows: DataFrame, parts: int) -> DataFrame:
         known = [x for x in totals.values() if x]
         yield flow([(to, -1, "sums", b"", np.array([sum(known), len(known)], ">i8").tobytes())])
         keys, times = summed(np.concatenate(key), np.concatenate(n))
-        near = np.flatnonzero(np.append(True, keys[1:] >> np.uint64(24) != keys[:-1] >> np.uint64(24))[: len(keys)])
-        at = 0
-        while at < len(keys):
-            next_ = np.searchsorted(near, at + BLOCK)
-            end = int(near[next_]) if next_ < len(near) else len(keys)
-            yield flow([(to, -1, "grams", planes(keys[at:end], 6), count_bytes(times[at:end]))])
-            at = end
+        cell = cell_of(keys)
+        by = np.argsort(cell, kind="stable")
+        edges = np.flatnonzero(np.append(True, cell[by][1:] != cell[by][:-1])[: len(by)])
+        for a, z in zip(edges, np.append(edges, len(by))[1:], strict=True):
+            yield flow([(to, int(cell[by[a]]), "grams", planes(keys[by[a:z]], 6), count_bytes(times[by[a:z]]))])
         low, times = summed(turned_back(keys) & np.uint64((1 << 8 * (LOW + 1)) - 1), times)
         task = (mix64(low) % np.uint64(LOW_TASKS)).astype(np.int64)
         for k in np.unique(task).tolist():
@@ -369,12 +434,29 @@ def gather(rows: DataFrame, parts: int) -> DataFrame:
     return stored(mapped(asked.repartitionById(parts, "to"), count, FLOW), "lm-counts")
 
 
-def build(counts: DataFrame, n_grams: int) -> BlockMixer:
+def added(rows: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The 64-bit integers in `a` and in `b`, each summed over all rows: by 16 tasks, then on the driver."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = None
+        for batch in batches:
+            for row in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+                own = [np.frombuffer(x, "<i8") for x in row]
+                sums = own if sums is None else [x + y for x, y in zip(sums, own, strict=True)]
+        if sums is not None:
+            yield flow([(0, 0, "sum", sums[0].tobytes(), sums[1].tobytes())])
+
+    got = [[np.frombuffer(x, "<i8") for x in (r["a"], r["b"])] for r in mapped(rows.repartition(16), add, FLOW).collect()]
+    return [sum(x) for x in zip(*got, strict=True)] if got else []
+
+
+def build(counts: DataFrame, n_grams: int, cells: int) -> BlockMixer:
     """The model from the distinct grams: the table of short contexts, then weights, then the adaptive map. The last two
-    each run over all training grams in at most TABLE_TASKS tasks whose bounded results are summed."""
+    each run over all training grams, FIT_GRAMS or so in a task; weights are averaged and outcomes summed. All that
+    decides the result (which grams a task has, and their order) follows from the grams alone."""
     spark = counts.sparkSession
-    tasks = max(1, min(TABLE_TASKS, -(-n_grams // 1_000_000)))
-    grams_ = counts.where("kind = 'grams'").repartition(tasks, "to").sortWithinPartitions("to", F.xxhash64("a"))
+    tasks = max(1, min(cells, -(-n_grams // FIT_GRAMS)))
+    grams_ = counts.where("kind = 'grams'").withColumn("to", F.floor(F.col("chunk").cast("long") * tasks / cells).cast("int")).repartitionById(tasks, "to").sortWithinPartitions("chunk")
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
@@ -402,19 +484,19 @@ def build(counts: DataFrame, n_grams: int) -> BlockMixer:
         for at, n in blocks(mixer, batches):
             mixer.train(at, n)
             seen += len(at)
-        yield flow([(0, 0, "weights", np.array([seen], "<i8").tobytes(), mixer.weights.tobytes())])
+        if seen:
+            yield flow([(0, 0, "weights", np.array([seen], "<i8").tobytes(), np.rint(mixer.weights * seen / FIT_UNIT).astype("<i8").tobytes())])
 
-    parts = [(np.frombuffer(r["a"], "<i8")[0], np.frombuffer(r["b"])) for r in mapped(grams_, train, FLOW).collect()]  # 16 KB of each of at most 64 tasks
-    parts = [x for x in parts if x[0]]
-    weights = (sum(n * w for n, w in parts) / sum(n for n, _ in parts)).reshape(GATES, ORDER + 2) if parts else None
+    sums = added(mapped(grams_, train, FLOW))
+    weights = (sums[1] / sums[0] * FIT_UNIT).reshape(GATES, ORDER + 2) if sums else None
 
     def refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mixer, sums = BlockMixer(lows.value, weights), np.zeros((2, GATES * APM))
         for at, n in blocks(mixer, batches):
             sums += mixer.outcomes(at, n)
-        yield flow([(0, 0, "refine", b"", sums.tobytes())])
+        yield flow([(0, 0, "refine", *(np.rint(x / FIT_UNIT).astype("<i8").tobytes() for x in sums))])
 
-    seen = sum((np.frombuffer(r["b"]).reshape(2, -1) for r in mapped(grams_, refine, FLOW).collect()), np.zeros((2, GATES * APM)))  # 150 KB of each task
+    seen = np.array(added(mapped(grams_, refine, FLOW)) or np.zeros((2, GATES * APM))) * FIT_UNIT
     start = np.tile(squash(np.linspace(-12, 12, APM)), GATES)
     mixer = BlockMixer(low, weights, (seen[1] + 4 * start) / (seen.sum(0) + 4))
     mixer.lows = lows
@@ -431,7 +513,7 @@ def scored(counts: DataFrame, mixer: BlockMixer, parts: int) -> DataFrame:
             for chunk, kind, a, b in zip(*(batch.column(x).to_pylist() for x in ("chunk", "kind", "a", "b")), strict=True):
                 own = of_planes(a, 6)
                 if kind == "grams":
-                    key.append(own), score.append(model.log10(model.hold(turned_back(own), counts_of(b))).astype("<f4"))
+                    key.append(own), score.append(rounded(model.log10(model.hold(turned_back(own), counts_of(b)))).astype("<f4"))
                     continue
                 if len(key) > 1:
                     by = np.argsort(keys := np.concatenate(key))
@@ -467,21 +549,26 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     Training texts are those whose crc32(id as text) mod 7 is not 2 (a null id trains). A-Z is lowered; tokens are words
     `[^\\x20\\x09-\\x0D]+` and one end. base_score is the add-one unigram log10 probability of the tokens. score is the
     model's log10 probability of the same tokens written as bytes, each word and the end closed by a space: every bit is
-    predicted from the exact counts of its contexts of 0 to 5 bytes in all training texts, mixed and refined. Null and empty texts are one end token. Without
-    training texts all counts are 0. Only the id and the text are read; one row per input row.
+    predicted from the exact counts of its contexts of 0 to 5 bytes in all training texts, mixed and refined; within each
+    text this and the short contexts' prediction are weighed online (see Online). A text's score depends on it and the
+    training texts alone: neither on its neighbours nor on the number of partitions. Null and empty texts are one end
+    token. Rows that repeat count and score each time. Without training texts all counts are 0. Only the id and the text
+    are read; one row per input row, so none for an empty table.
     """
     rows = rows_of(docs, id_col, text_col)
-    parts = parts_for(docs.sparkSession, text_bytes(docs, text_col), CHUNK_BYTES)
-    counts = gather(rows, parts)
+    total = text_bytes(docs, text_col)
+    parts, cells = parts_for(docs.sparkSession, total, CHUNK_BYTES), max(1, -(-total // CELL_BYTES))
+    counts = gather(rows, parts, cells)
     ends = rows.where("not held").count()
     number = lambda at: F.coalesce(F.sum(F.conv(F.hex(F.substring("b", at, 8)), 16, 10).cast("long")), F.lit(0))
     sums = counts.where("kind = 'sums'").agg(number(1), number(9)).first()
     n, v = sums[0] + ends, sums[1] + (ends > 0)
     n_grams = counts.where("kind = 'grams'").agg(F.sum(F.length("a"))).first()[0] or 0
-    mixer = build(counts, n_grams // 6)
+    mixer = build(counts, n_grams // 6, cells)
+    lows = mixer.lows
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, told, scores = {}, [], None
+        known, told, scores, short = {}, [], None, None
         for batch in batches:
             ask = batch.column("a").is_valid().to_numpy(zero_copy_only=False)
             for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
@@ -494,6 +581,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
                 continue
             if scores is None:
                 scores, told = Scores(np.concatenate([x[0] for x in told]), np.concatenate([x[1] for x in told])), []
+                short = ShortScores(lows.value)
             texts, tokens, have, base, written = utf8(batch, "body"), [], [], [], []
             lead = -math.log10(n + v + 1)
             for text in texts:
@@ -503,9 +591,11 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
                 written.append(written_out(words))
                 have.append(int((c > 0).sum()) + (ends > 0))
                 base.append(float(np.log10(c + 1.0).sum()) + math.log10(ends + 1) + tokens[-1] * lead)
-            total = np.zeros(len(texts))
+            total, online = np.zeros(len(texts)), Online()
             for gram, of in slices(written):
-                total += np.bincount(of, scores.of(gram), len(texts))
+                log10 = online.scores(of, scores.of(gram), short.of(gram))
+                total += np.bincount(of, np.rint(log10 / UNIT), len(texts))
+            total *= UNIT
             sizes = np.array(list(map(len, written)))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), batch.column("held"), pa.array(tokens, pa.int64()), pa.array(have, pa.int64()), pa.array([n] * len(texts), pa.int64()), pa.array(base, pa.float64()), pa.array(total), pa.array(sizes, pa.int64()), pa.array(-total / math.log10(2) / sizes)],

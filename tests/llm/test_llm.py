@@ -459,9 +459,8 @@ def test_model_is_a_distribution():
     assert int(n.sum()) == len(text)
 
 
-def test_lm_counts_are_exact(spark, monkeypatch):
+def test_lm_counts_are_exact(spark):
     """No two contexts share a count, and every count is of the whole training corpus."""
-    monkeypatch.setattr(lm_scoring, "BLOCK", 500)
     rng = random.Random(5)
     texts = [(i, " ".join("".join(rng.choice("abcdeé") for _ in range(rng.randrange(1, 5))) for _ in range(40))) for i in range(30)]
     docs = spark.createDataFrame(texts, "doc_id long, text string")
@@ -473,7 +472,7 @@ def test_lm_counts_are_exact(spark, monkeypatch):
             if zlib.crc32(str(i).encode()) % 7 != 2:
                 for order in range(lm_scoring.ORDER + 1):
                     want.update((order, body[at - order : at], f"{body[at]:08b}"[: bit + 1]) for bit in range(8))
-    rows = lm_scoring.gather(lm_scoring.rows_of(docs, "doc_id", "text"), 4).where("kind in ('grams', 'low')").collect()
+    rows = lm_scoring.gather(lm_scoring.rows_of(docs, "doc_id", "text"), 4, 9).where("kind in ('grams', 'low')").collect()
     low = [(lm_scoring.of_planes(r["a"], 3), lm_scoring.counts_of(r["b"])) for r in rows if r["kind"] == "low"]
     mixer = lm_scoring.BlockMixer(lm_scoring.summed(*map(np.concatenate, zip(*low))))
     found = []
@@ -507,6 +506,139 @@ def test_lm_weighs_by_counts():
     assert not np.allclose(*found)
 
 
+def test_lm_scores_follow_from_the_data(spark, monkeypatch):
+    """The same scores, to the last bit, whatever the partitions, the batches and the order of the rows."""
+    for name, value in (("CELL_BYTES", 50_000), ("FIT_GRAMS", 20_000)):  # several tasks, each of several cells
+        monkeypatch.setattr(lm_scoring, name, value)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    found, before = [], spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for k, n in enumerate((4, 9, 31)):
+            spark.conf.set("spark.sql.shuffle.partitions", str(n))
+            monkeypatch.setattr(common, "BATCH_ROWS", (1000, 7, 40)[k])
+            rows = lm_scoring.lm_scores(docs.repartition(n) if k else docs).select("doc_id", "score", "base_score").collect()
+            found.append({r["doc_id"]: r["score"] for r in rows})
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert found[0] == found[1] == found[2] and len(found[0]) == docs.count()
+
+
+def test_lm_score_against_plain_python(spark):
+    """Counts, fit, map, mix and the online choice between the scorers, written out bit by bit in plain Python."""
+    rng = random.Random(11)
+    texts = [(i, " ".join("".join(rng.choice("abé") for _ in range(rng.randrange(1, 4))) for _ in range(rng.randrange(40)))) for i in range(24)] + [(50, None)]
+    got = {r["doc_id"]: r["score"] for r in lm_scoring.lm_scores(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    order = lm_scoring.ORDER
+    bodies = {i: lm_scoring.PAD + lm_scoring.canonical(raw(t)) for i, t in texts}
+    train = [b for i, b in bodies.items() if zlib.crc32(str(i).encode()) % 7 != 2]
+    count, grams = Counter(), Counter()
+    for b in train:
+        for at in range(order, len(b)):
+            grams[b[at - order : at + 1]] += 1
+            for o in range(order + 1):
+                count.update((o, b[at - o : at], f"{b[at]:08b}"[: k + 1]) for k in range(8))
+    clip = lambda x, low, high: max(low, min(high, x))
+    squash = lambda x: 1 / (1 + math.exp(-clip(x, -30, 30)))
+    gates = lm_scoring.GATES
+
+    def inputs(gram, bit, without):
+        bits = f"{gram[-1]:08b}"
+        x, seen = [], []
+        for o in range(order + 1):
+            n = [count[o, gram[order - o : order], bits[:bit] + y] for y in "01"]
+            if without:
+                n[int(bits[bit])] = max(n[int(bits[bit])] - 1, 0)
+            p = (n[1] + 0.02) / (sum(n) + 0.04)
+            x.append(math.log(p / (1 - p)) if sum(n) else 0.0)
+            seen.append(sum(n))
+        level = lambda n: min(int(math.log2(n + 1)), 5)
+        return [*x, 0.3], (level(seen[order]) * 6 + level(seen[order - 2])) * 8 + bit, int(bits[bit])
+
+    # One cell at this size, so one task; its grams in the order of their hashes.
+    key = lambda g: int(common.mix64(np.array([int.from_bytes(g, "big")], np.uint64))[0])
+    every = sorted(grams, key=key)
+    weights = [[0.3] * (order + 2) for _ in range(gates)]
+    for bit in range(8):
+        for at in range(0, len(every), 2048):
+            sums, total = defaultdict(lambda: [0.0] * (order + 2)), Counter()
+            for g in every[at : at + 2048]:
+                x, gate, y = inputs(g, bit, True)
+                miss = (y - squash(clip(sum(map(math.prod, zip(weights[gate], x))), -12, 12))) * grams[g]
+                sums[gate] = [s + miss * v for s, v in zip(sums[gate], x)]
+                total[gate] += grams[g]
+            for gate, of in sums.items():
+                weights[gate] = [w + 0.02 * s / max(total[gate], 1) * min(math.sqrt(total[gate]), 8) for w, s in zip(weights[gate], of)]
+    apm = lm_scoring.APM
+    seen = [[0.0, 4 * squash(-12 + 24 * k / (apm - 1)), 4.0] for k in range(apm)] * gates
+    seen = [list(x) for x in seen]
+
+    def spot(mixed, gate):
+        place = (mixed + 12) * (apm - 1) / 24
+        low = min(int(place), apm - 2)
+        return gate * apm + low, place - low
+
+    mix = lambda x, gate: clip(sum(map(math.prod, zip(weights[gate], x))), -12, 12)
+    for bit in range(8):
+        for g in every:
+            x, gate, y = inputs(g, bit, True)
+            at, part = spot(mix(x, gate), gate)
+            for k, share in ((at, 1 - part), (at + 1, part)):
+                seen[k][1] += share * grams[g] * y
+                seen[k][2] += share * grams[g]
+
+    def long_(gram):
+        total = 0.0
+        for bit in range(8):
+            x, gate, y = inputs(gram, bit, False)
+            mixed = mix(x, gate)
+            at, part = spot(mixed, gate)
+            p = 0.5 * squash(mixed) + 0.5 * (seen[at][1] / seen[at][2] * (1 - part) + seen[at + 1][1] / seen[at + 1][2] * part)
+            p = clip(p, 1e-6, 1 - 1e-6)
+            total += math.log10(p if y else 1 - p)
+        return total
+
+    follow = defaultdict(Counter)
+    for g, n in grams.items():
+        for o in range(3):
+            follow[g[order - o : order]][g[order]] += n
+
+    def short(gram):
+        n = sum(follow[b""].values())
+        p = (follow[b""][gram[order]] + 0.5) / (n + 128)
+        for o in (1, 2):
+            own = follow[gram[order - o : order]]
+            p = (own[gram[order]] + (len(own) + 1) * p) / (sum(own.values()) + len(own) + 1)
+        return math.log10(p)
+
+    for i, b in bodies.items():
+        total, ahead = 0.0, []
+        for at in range(order, len(b)):
+            one, two = long_(b[at - order : at + 1]), short(b[at - order : at + 1])
+            w = squash(lm_scoring.START + sum(ahead[-lm_scoring.WINDOW :]) * lm_scoring.TRUST * math.log(10))
+            total += math.log10(w * 10**one + (1 - w) * 10**two)
+            ahead.append(one - two)
+        assert abs(got[i] - total) < 1e-3 + 1e-4 * abs(total)
+
+
+def test_online_choice():
+    """Each text is weighed by itself, wherever it is cut and whatever stands beside it."""
+    rng = np.random.default_rng(3)
+    a, b, doc = lm_scoring.rounded(rng.normal(-1, 0.5, 900)), lm_scoring.rounded(rng.normal(-1, 0.5, 900)), np.repeat([0, 1, 3], [100, 500, 300])
+    whole = lm_scoring.Online().scores(doc, a, b)
+    online = lm_scoring.Online()
+    assert (np.concatenate([online.scores(doc[i : i + 77], a[i : i + 77], b[i : i + 77]) for i in range(0, 900, 77)]) == whole).all()
+    assert (lm_scoring.Online().scores(doc[100:600], a[100:600], b[100:600]) == whole[100:600]).all()
+
+
+def test_short_scores_are_a_distribution():
+    rng = np.random.default_rng(5)
+    keys, n = np.unique(rng.integers(97, 103, (500, 3)) @ np.array([1 << 16, 256, 1]), return_counts=True)
+    for step in (4096, 7):
+        short = lm_scoring.ShortScores((keys.astype(np.uint64), n), step)
+        for context in (97 << 8 | 98, 5 << 8 | 97, 0):
+            assert abs((10 ** short.of(np.uint64(context << 8) + np.arange(256, dtype=np.uint64))).sum() - 1) < 2e-3
+
+
 def test_lm_beats_unigrams(spark):
     r = lm_scoring.lm_scores(spark.read.parquet("/root/testdata/sf0.1/documents.parquet")).where("held_out").agg(F.sum("base_score"), F.sum("score")).first()
     assert r[1] > r[0]
