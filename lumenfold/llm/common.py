@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from ..session import ship
 
-#: Rows of one Arrow batch between the JVM and Python; texts may be long, so it is small.
-BATCH_ROWS = 1000
+#: Rows, and bytes, of one Arrow batch between the JVM and Python; texts may be long, so both are small.
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -48,9 +48,11 @@ def tidy(spark: SparkSession) -> None:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches of long texts small, and see that workers can import this package."""
+    """Keep Arrow batches of long texts small, and see that workers can import this package. The session keeps these two
+    settings: Spark reads them only when the plan runs."""
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def text_bytes(df: DataFrame, text_col: str = "text") -> int:

@@ -30,7 +30,7 @@ CHUNK_BYTES = 24 << 20
 #: Scores are whole numbers of this unit (of log10), and sums of fits of FIT_UNIT, so that no order of adding changes them.
 UNIT, FIT_UNIT = 1 / 65536, 1 / 4096
 #: Bytes of a text that say whom to believe, the weight of what they say, and where a text begins (in stretched odds).
-WINDOW, TRUST, START = 32, 0.5, 2.0
+WINDOW, TRUST, START = 64, 0.25, 2.0
 GATES, APM = 6 * 8 * 6, 33
 PAD = b"\n" * ORDER
 

@@ -6,7 +6,6 @@ import base64
 import hashlib
 import re
 import uuid
-import zlib
 from collections.abc import Iterable, Iterator
 from urllib.parse import urlsplit
 
@@ -14,11 +13,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mapped, shared_dir, small_batches, stored
+from .common import mapped, parts_for, shared_dir, stored
 
 RECORD_END, HTTP_HEAD = "\r\n\r\n", "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
-#: Records of one archive file at most; a reader holds one file.
-FILE_RECORDS = 5_000
+#: Records of one archive file at most, so of one index run; records of one range of the merge, about.
+FILE_RECORDS, RANGE_RECORDS = 5_000, 50_000
 FIELDS = {
     "url_key": pa.string(), "captured": pa.string(), "page_id": pa.int64(), "url": pa.string(), "record_type": pa.string(), "refers_to": pa.int64(),
     "payload_bytes": pa.int64(), "payload_digest": pa.string(), "archive": pa.string(), "position": pa.int64(), "length": pa.int64(), "run": pa.string(), "seq": pa.int64(),
@@ -43,15 +42,15 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, id_col: str
     an empty payload. Rows repeated with the page_id of a response are responses too; a null page_id is below all others
     and written as `none`. The capture time is the page_id in seconds from 2024-01-01.
 
-    Only (page_id, digest) is grouped; payloads are joined by page_id, so a payload that many pages share moves once.
+    Only (page_id, digest) is grouped, and the groups are a table of their own, so that Spark can split the join of a digest
+    that very many pages share; payloads are joined by page_id, so such a payload moves once.
     """
     spark = pages.sparkSession
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.regexp_replace(F.coalesce(F.col(url_col), F.lit("")), r"[\r\n]", "").alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
     rows = rows.withColumns({"n": F.octet_length("html").cast("long"), "sha": F.sha1("html")})
     keys = stored(rows.select("page_id", "url", "n", "sha"), "payload-keys")
-    top = keys.where(F.col("n") >= min_bytes).groupBy("sha").agg(F.max("page_id").alias("response_id"))
-    revisits = keys.where(F.col("n") >= min_bytes).join(top, "sha").where("not (page_id <=> response_id)").withColumn("html", F.lit(""))
-    first = stored(top.select("sha", "response_id"), "responses")
+    first = stored(keys.where(F.col("n") >= min_bytes).groupBy("sha").agg(F.max("page_id").alias("response_id")), "responses")
+    revisits = keys.where(F.col("n") >= min_bytes).join(first, "sha").where("not (page_id <=> response_id)").withColumn("html", F.lit(""))
     responses = rows.where(F.col("n") < min_bytes).withColumn("response_id", F.lit(None).cast("long"))
     responses = responses.unionByName(rows.where(F.col("n") >= min_bytes).join(first.withColumnRenamed("sha", "top_sha"), F.col("page_id").eqNullSafe(F.col("response_id")) & (F.col("sha") == F.col("top_sha"))).drop("top_sha").withColumn("response_id", F.lit(None).cast("long")))
     every = responses.withColumn("kind", F.lit("response")).unionByName(revisits.select(*rows.columns, "response_id").withColumn("kind", F.lit("revisit")))
@@ -78,50 +77,85 @@ def surt(url: str) -> str:
     return f"{labels}{f':{port}' if port not in (None, 80, 443) else ''}){parts.path or '/'}{f'?{parts.query}' if parts.query else ''}"
 
 
-def records(archive: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
-    """(position, length, headers, block) of each record of an uncompressed archive, led by Content-Length alone."""
-    at, end = 0, len(archive)
-    while at < end:
-        body = archive.index(b"\r\n\r\n", at) + 4
-        first, *lines = archive[at : body - 4].decode().split("\r\n")
-        if not first.startswith("WARC/"):
-            raise ValueError(f"no WARC record at byte {at}")
-        head = dict(x.split(": ", 1) if ": " in x else (x.rstrip(":"), "") for x in lines)
-        stop = body + int(head["Content-Length"])
-        if archive[stop : stop + 4] != b"\r\n\r\n":
-            raise ValueError(f"the record at byte {at} has a wrong length")
-        yield at, stop + 4 - at, head, archive[body:stop]
-        at = stop + 4
+class Records:
+    """The records of one uncompressed archive, led by Content-Length alone. It is fed with the archive cut at blank lines
+    (payloads may have some too, so these are no borders of records) and holds no more than the record that is being read."""
+
+    def __init__(self, name: str):
+        self.name, self.at, self.parts, self.have, self.head = name, 0, [], 0, None
+
+    def feed(self, piece: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
+        """(position, length, headers, block) of each record that ends with the piece and the blank line after it."""
+        end = RECORD_END.encode()
+        self.parts += [piece, end]
+        self.have += len(piece) + len(end)
+        while self.head is not None or self.have > len(end):
+            if self.head is None:
+                data = b"".join(self.parts)
+                lines, found, rest = data.partition(end)
+                first, *lines = lines.decode(errors="replace").split("\r\n")
+                if not first.startswith("WARC/"):
+                    raise ValueError(f"{self.name}: no WARC record at byte {self.at}")
+                if not found:
+                    return
+                self.head = dict(x.split(": ", 1) if ": " in x else (x.rstrip(":"), "") for x in lines)
+                self.lead, self.parts, self.have = len(data) - len(rest), [rest], len(rest)
+            size = int(self.head["Content-Length"])
+            if self.have < size + len(end):
+                return
+            data = b"".join(self.parts)
+            if data[size : size + len(end)] != end:
+                raise ValueError(f"{self.name}: the record at byte {self.at} has a wrong length")
+            length = self.lead + size + len(end)
+            yield self.at, length, self.head, data[:size]
+            self.at, self.head, self.parts, self.have = self.at + length, None, [data[size + len(end) :]], self.have - size - len(end)
+
+    def close(self) -> None:
+        """After the last piece, whose blank line is not always there."""
+        if self.head is not None or b"".join(self.parts).strip(b"\r\n"):
+            raise ValueError(f"{self.name}: the record at byte {self.at} is cut off")
 
 
 def read_runs(spark: SparkSession, path: str) -> DataFrame:
-    """Index runs: the records of each archive file, checked against their digests, sorted by URL key, time and page_id."""
+    """Index runs: the records of each archive file, checked against their digests, sorted by URL key, time and page_id.
+
+    Files are read as streams: a worker holds one record and the index of one file."""
     page = lambda x: None if (m := re.search(r"page:(-?\d+)", x)) is None else int(m[1])
 
+    def entry(name: str, at: int, length: int, head: dict[str, str], block: bytes) -> tuple:
+        kind, digest = head["WARC-Type"], head["WARC-Payload-Digest"].removeprefix("sha1:")
+        size = int(head["Payload-Length"])
+        if kind == "response":
+            payload = memoryview(block)[block.index(b"\r\n\r\n") + 4 :]
+            digest, size, said = base64.b32encode(hashlib.sha1(payload).digest()).decode(), len(payload), digest
+            if said != digest:
+                raise ValueError(f"{name}, byte {at}: the payload doesn't have its digest")
+        url = head["WARC-Target-URI"]
+        return surt(url), head["WARC-Date"], page(head["WARC-Record-ID"]), url, kind, page(head.get("WARC-Refers-To", "")), size, digest, name, at, length
+
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
-                rows, archive = [], zlib.decompress(content.as_buffer(), 47) if name.endswith(".gz") else content.as_py()
-                for at, length, head, block in records(archive):
-                    kind, digest = head["WARC-Type"], head["WARC-Payload-Digest"].removeprefix("sha1:")
-                    size = int(head["Payload-Length"])
-                    if kind == "response":
-                        payload = block[block.index(b"\r\n\r\n") + 4 :]
-                        digest, size, said = base64.b32encode(hashlib.sha1(payload).digest()).decode(), len(payload), digest
-                        if said != digest:
-                            raise ValueError(f"{name}, byte {at}: the payload doesn't have its digest")
-                    url = head["WARC-Target-URI"]
-                    rows.append((surt(url), head["WARC-Date"], page(head["WARC-Record-ID"]), url, kind, page(head.get("WARC-Refers-To", "")), size, digest, name, at, length))
+        reader, rows = None, []
+
+        def run() -> Iterator[pa.RecordBatch]:
+            if reader is not None:
+                reader.close()
                 rows.sort(key=order)
                 for at in range(0, len(rows), 5000):
-                    some = [(*x, name, at + i) for i, x in enumerate(rows[at : at + 5000])]
+                    some = [(*x, reader.name, at + i) for i, x in enumerate(rows[at : at + 5000])]
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*some), FIELDS.values(), strict=True)], names=list(FIELDS))
+                rows.clear()
+
+        for batch in batches:
+            pieces = batch.column("value").cast(pa.binary())
+            for k, name in enumerate(batch.column("path").to_pylist()):
+                if reader is None or name != reader.name:
+                    yield from run()
+                    reader = Records(name)
+                rows += [entry(name, *x) for x in reader.feed(pieces[k].as_py())]
+        yield from run()
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
-    small_batches(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
-    runs = stored(files.mapInArrow(index, SCHEMA), "index-runs")
-    return runs
+    lines = spark.read.option("pathGlobFilter", "part-*").option("lineSep", RECORD_END).text(path)
+    return stored(mapped(lines.select(F.col("_metadata.file_path").alias("path"), "value"), index, SCHEMA), "index-runs")
 
 
 def order(row: tuple) -> tuple:
@@ -160,7 +194,8 @@ def loser_tree(runs: list[list[tuple]]) -> Iterable[tuple]:
 
 def merge_runs(runs: DataFrame) -> DataFrame:
     """Globally ordered captures: partition n holds keys below those of partition n+1, each merged from its parts of all
-    runs. Ranges are of (URL key, time, page_id), so one hot URL is split too."""
+    runs. Ranges are of (URL key, time, page_id, place), so one hot URL is split too, and there are so many of them that
+    each has about RANGE_RECORDS records, which is what a worker holds."""
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: dict[str, list] = {}
@@ -179,7 +214,8 @@ def merge_runs(runs: DataFrame) -> DataFrame:
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), FIELDS.values(), strict=True)], names=list(FIELDS))
 
-    return mapped(runs.repartitionByRange("url_key", "captured", "page_id"), merge, SCHEMA)
+    parts = parts_for(runs.sparkSession, runs.count(), RANGE_RECORDS)
+    return mapped(runs.repartitionByRange(parts, "url_key", "captured", "page_id", "archive", "position"), merge, SCHEMA)
 
 
 def capture_histories(pages: DataFrame, path: str | None = None, min_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -663,6 +663,41 @@ def test_warc(spark, nothing, tmp_path):
     assert warc.capture_histories(pages.limit(0)).count() == 0
 
 
+def test_archive_of_odd_payloads(spark, tmp_path, monkeypatch):
+    """Payloads with blank lines, record ends and whole records in them, over many files; each read back as it was."""
+    rng = random.Random(13)
+    monkeypatch.setattr(warc, "FILE_RECORDS", 7)
+    monkeypatch.setattr(warc, "RANGE_RECORDS", 20)
+    bits = ["\r\n\r\n", "\r", "\n", "\r\n", "WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nabc", "é", "x" * 70_000, ""]
+    rows = [(k, f"http://h{k % 3}.org/{k % 5}", "".join(rng.choice(bits) for _ in range(rng.randrange(7)))) for k in range(150)]
+    got = warc.capture_histories(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2), f"file://{tmp_path}/w").collect()
+    assert {(r["page_id"], r["payload_bytes"], r["payload_digest"]) for r in got} == {(i, len(raw(h)), b32encode(hashlib.sha1(raw(h)).digest()).decode()) for i, _, h in rows}
+    assert len({r["archive"] for r in got}) > 10
+    keys = [(r["url_key"], r["captured"], r["page_id"]) for r in got]
+    assert keys == sorted(keys) and len(keys) == 150
+    by_place = defaultdict(list)
+    for r in got:
+        by_place[r["archive"]].append((r["position"], r["length"]))
+    for of in by_place.values():
+        assert [a for a, _ in sorted(of)] == [0, *np.cumsum([n for _, n in sorted(of)])[:-1].tolist()]
+
+
+def test_broken_archives():
+    with pytest.raises(ValueError, match="no WARC record"):
+        list(warc.Records("x").feed(b"HTTP/1.1"))
+    for block, says in ((b"too long", "wrong length"), (b"", "cut off")):
+        reader = warc.Records("x")
+        with pytest.raises(ValueError, match=says):
+            list(reader.feed(b"WARC/1.1\r\nContent-Length: 5")), list(reader.feed(block))
+            reader.close()
+    for block in (b"", b"abc", b"\r", b"a\r\n", b"\r\n\r\n\r\n", b"\n\r\n\r"):
+        data, reader = b"WARC/1.1\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (len(block), block) * 3, warc.Records("x")
+        pieces = data.split(b"\r\n\r\n")
+        got = [x for piece in (pieces if pieces[-1] else pieces[:-1]) for x in reader.feed(piece)]
+        reader.close()
+        assert [(at, data[at : at + n].endswith(b"\r\n\r\n"), found) for at, n, _, found in got] == [(len(data) // 3 * k, True, block) for k in range(3)]
+
+
 def test_loser_tree():
     rng = random.Random(1)
     for k in range(9):
