@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -23,7 +22,6 @@ SCRIPTS = [
     ("devanagari", 0x900, 0x97F), ("bengali", 0x980, 0x9FF), ("tamil", 0xB80, 0xBFF), ("thai", 0xE00, 0xE7F), ("georgian", 0x10A0, 0x10FF), ("kana", 0x3040, 0x30FF), ("han", 0x3400, 0x9FFF), ("hangul", 0xAC00, 0xD7AF),
 ]
 NAMES = [*dict.fromkeys(x[0] for x in SCRIPTS), "other"]
-LETTER = re.compile(r"[^\W\d_]")
 #: ASCII characters other than letters and white space; they carry no language.
 NO_LETTERS = bytes(x for x in range(128) if not chr(x).isalpha() and chr(x) not in " \t\n\r\v\f")
 
@@ -38,10 +36,10 @@ def words_of(text: bytes) -> list[bytes]:
 
 
 def script_of(word: bytes) -> int:
-    """Index of the script of a word's first letter; -1 without a letter."""
-    if (m := LETTER.search(word.decode())) is None:
+    """Index of the script of a word's first letter; -1 without a letter. Numbers like a half or a square are no letters."""
+    if (letter := next(filter(str.isalpha, word.decode()), None)) is None:
         return -1
-    x = ord(m[0])
+    x = ord(letter)
     return NAMES.index(next((name for name, low, high in SCRIPTS if low <= x <= high), "other"))
 
 
@@ -66,7 +64,8 @@ def ngrams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", part: int = 2) -> dict:
     """The model, from all rows with a language that are not held out: log odds of n-gram buckets by language, and the
-    languages seen in each script. Counts are summed in each task, then by Spark; the driver gets the bounded model."""
+    languages seen in each script. Counts are summed in each task, then by Spark; the driver gets the bounded model. Rows
+    without a language or a text teach nothing, repeated rows count each time, and from an empty table nothing is learned."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by: dict[str, Counter] = {}
@@ -199,8 +198,8 @@ def identify(docs: DataFrame, model: dict, penalty: float = 8.0, id_col: str = "
 
     Words are runs without white space, lowered, without ASCII digits and signs. Spans are (first word, last word,
     language), gapless. lang_pred is the language of most words and score its share of them. A null text, one without a
-    letter, and any text under a model that learned nothing get `und`, 0 and no spans. Only the text is read. One row per
-    input row, whatever its doc_id.
+    letter, and any text under a model that learned nothing get `und`, 0 and no spans. Of languages with equally many words
+    the first by name is taken. Only the text is read. One row per input row, whatever its doc_id; none for an empty table.
     """
     import uuid
 
@@ -211,7 +210,7 @@ def identify(docs: DataFrame, model: dict, penalty: float = 8.0, id_col: str = "
         scorer = Scorer(model, key)
         for batch in batches:
             texts = batch.column("body").cast(pa.binary()).to_pylist()
-            words = [words_of(x) if langs and x and LETTER.search(x.decode()) else [] for x in texts]
+            words = [words_of(x) if langs and x and any(map(str.isalpha, x.decode())) else [] for x in texts]
             scorer.ready({x for of in words for x in of})
             pred, score, spans = [], [], []
             for path in label_words([scorer.of(of) for of in words], penalty):
