@@ -212,6 +212,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, id_co
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:
-    """The rows of `docs` in which no passage occurs, with all their columns; each row is judged by its own text."""
+    """The rows of `docs` in which no passage occurs, with all their columns; each row is judged by its own text, null ones as
+    empty. Rows equal in id and text go or stay together; an empty table stays empty."""
     lost = contaminated(docs, benchmark, id_col=id_col, text_col=text_col, **more).select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct()
     return docs.join(lost, F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__key")), "left_anti")

@@ -448,7 +448,8 @@ def joined(docs: DataFrame, percent: int, width: int, id_col: str, text_col: str
 
 def keep_first(docs: DataFrame, percent: int = 80, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Of each component the rows with its smallest (doc_id, hash of the text), with all columns; a null doc_id comes after
-    all others. Each row is judged by its own text, whatever else has its doc_id; rows equal in both stay together."""
+    all others. Each row is judged by its own text, whatever else has its doc_id; rows equal in both stay together, as do
+    all rows without words. An empty table stays empty."""
     vertices = joined(docs, percent, width, id_col, text_col).where("n > 0")
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
     first = vertices.groupBy("vertex").agg(F.min(rank).alias("first"))

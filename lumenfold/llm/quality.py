@@ -1,4 +1,6 @@
-"""Quality classifier from weak labels: EM over heuristic labellers, then a hashed linear scorer on their posterior."""
+"""Quality classifier from weak labels: EM over heuristic labellers, then a hashed linear scorer on their posterior.
+
+Two questions are asked in this way of every text: is it well formed, and is it civil."""
 
 from __future__ import annotations
 
@@ -15,14 +17,15 @@ from pyspark.sql import functions as F
 from .common import mapped, smallest_hashes, stored, utf8
 from .language_id import words_of
 
-#: Buckets of the linear scorer; the bound on the rows it is fitted on (those with the smallest hashes of their texts' features).
+#: Buckets of the linear scorers; the default bound on the rows they are fitted on.
 BUCKETS, FIT_ROWS = 1 << 12, 20_000
-#: Labelled rows that insults are learned from, at most (those with the smallest hashes of their id); in how many toxic
-#: texts a word must stand, and its share of toxic ones were both kinds of text equally many.
+#: The default bound on the labelled rows that insults are learned from; in how many toxic texts a word must stand, and its
+#: share of toxic ones were both kinds of text equally many.
 FIT_LABELS, LEAST_TOXIC, LEAST_SHARE = 50_000, 8, 0.98
 # Insults that make a text toxic when they stand as words of their own.
 INSULTS = "asshole bastard bitch clown cretin cunt degenerate disgusting dumbass faggot filth freak idiot idiots imbecile jackass loser losers moron morons pathetic retard retarded scum scumbag slut stupid subhuman trash vermin whore worthless".split()
 LABELLERS = ["symbols", "tables", "shouting", "repeats", "adjacent", "lines", "words", "length", "shapes", "runs"]
+CIVILITY = ["listed", "learned", "together"]
 SHAPE = bytes(65 if 65 <= x <= 90 else 97 if 97 <= x <= 122 or x >= 128 else 48 if 48 <= x <= 57 else x for x in range(256))
 RUNS, JUNK = re.compile(rb"a{2,}|A{2,}|0{2,}"), re.compile(rb"[^\w\s]{2,}")
 
@@ -34,8 +37,22 @@ def vote(value: float, good: float, bad: float) -> int:
     return 1 if value >= good else 0 if value <= bad else -1
 
 
-def measure(text: bytes, insults: dict[bytes, int]) -> tuple[list[int], dict[int, float], int]:
-    """(votes, hashed features, weight of insults) of a text."""
+def uncivil(text: bytes, insults: dict[bytes, int]) -> tuple[list[int], dict[int, float], int]:
+    """(votes on civility, hashed features, weight of insults) of a text. A listed insult weighs 2, a learned one 1.
+
+    One labeller goes by listed insults and says nothing where there is none (they are of one language), one by learned
+    ones, if any were learned, and one by the weight of both, each time an insult stands there."""
+    found = Counter(filter(insults.__contains__, words_of(text)))
+    weight = sum(insults[x] * n for x, n in found.items())
+    listed, learned = sum(n for x, n in found.items() if insults[x] == 2), sum(n for x, n in found.items() if insults[x] == 1)
+    votes = [0 if listed else -1, vote(learned, 0, 2) if 1 in insults.values() else -1, vote(weight, 0, 2)]
+    features = {zlib.crc32(b"insult" + x) % BUCKETS: 1.0 for x in found}
+    features[zlib.crc32(b"weight%d" % min(weight, 2)) % BUCKETS] = 1.0
+    return votes, features, weight
+
+
+def measure(text: bytes) -> tuple[list[int], dict[int, float]]:
+    """(votes on form, hashed features) of a text."""
     words = text.split()
     n = max(len(words), 1)
     shaped = text.translate(SHAPE)
@@ -67,13 +84,14 @@ def measure(text: bytes, insults: dict[bytes, int]) -> tuple[list[int], dict[int
     for k, v in shapes.items():
         at = zlib.crc32(b"shape" + k) % BUCKETS
         features[at] = features.get(at, 0.0) + v / n
-    return votes, features, sum(map(insults.get, filter(insults.__contains__, words_of(text))))
+    return votes, features
 
 
-def learn_insults(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", toxic_col: str = "toxic") -> set[bytes]:
-    """Words that stand in LEAST_TOXIC toxic texts or more and hardly in others, of at most FIT_LABELS labelled rows."""
+def learn_insults(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", toxic_col: str = "toxic", fit_labels: int = FIT_LABELS) -> set[bytes]:
+    """Words that stand in LEAST_TOXIC toxic texts or more and hardly in others, of at most `fit_labels` labelled rows (those
+    with the smallest hashes of id and label). Rows without an id or a label teach nothing."""
     some = labels.where(F.col(toxic_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), (F.col(toxic_col) > 0).alias("toxic"))
-    some = stored(smallest_hashes(some, FIT_LABELS, "id", "toxic"), "labelled")
+    some = stored(smallest_hashes(some, fit_labels, "id", "toxic"), "labelled")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("body")).join(F.broadcast(some), "id").select("toxic", "body")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,19 +114,23 @@ def learn_insults(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     return {bytes(r["word"]) for r in table.where((F.length("word") > 0) & (share >= LEAST_SHARE)).select("word").toLocalIterator()}
 
 
+def signs(votes: list[int]) -> str:
+    return "".join("-" if v < 0 else str(v) for v in votes)
+
+
 def measured(docs: DataFrame, insults: dict[bytes, int], id_col: str, text_col: str) -> DataFrame:
-    """id, key (hash of the text), votes (a string of 0, 1 and -), buckets, values, n_words, insults of every text, in one scan."""
+    """id, key (hash of the text), for form and civility each votes (a string of 0, 1 and -), buckets and values, and the
+    weight of insults, of every text, in one scan."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [measure(x, insults) for x in utf8(batch, "body")]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("key"), pa.array(["".join("-" if v < 0 else str(v) for v in x[0]) for x in out], pa.string()), pa.array([list(x[1]) for x in out], pa.list_(pa.int32())), pa.array([list(x[1].values()) for x in out], pa.list_(pa.float32())), pa.array([x[2] for x in out], pa.int64())],
-                names=["id", "key", "votes", "buckets", "weights", "insults"],
-            )
+            texts = utf8(batch, "body")
+            form, civil = [measure(x) for x in texts], [uncivil(x, insults) for x in texts]
+            parts = [x for of in (form, civil) for x in (pa.array([signs(x[0]) for x in of], pa.string()), pa.array([list(x[1]) for x in of], pa.list_(pa.int32())), pa.array([list(x[1].values()) for x in of], pa.list_(pa.float32())))]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("key"), *parts, pa.array([x[2] for x in civil], pa.int64())], names=["id", "key", "votes", "buckets", "weights", "civil_votes", "civil_buckets", "civil_weights", "insults"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("body"), F.xxhash64(text_col).alias("key"))
-    return mapped(rows, run, "id long, key long, votes string, buckets array<int>, weights array<float>, insults long")
+    return mapped(rows, run, "id long, key long, votes string, buckets array<int>, weights array<float>, civil_votes string, civil_buckets array<int>, civil_weights array<float>, insults long")
 
 
 def posteriors(patterns: dict[str, int], rounds: int = 50) -> dict[str, float]:
@@ -151,39 +173,48 @@ def fit(rows: list[tuple[list[int], list[float], float]], epochs: int = 30, rate
     return w
 
 
-def score_quality(docs: DataFrame, labels: DataFrame | None = None, threshold: float = 0.5, insults_most: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text_key, votes, posterior, quality_score, insults, toxic, kept: one row per input row.
+def score_quality(
+    docs: DataFrame, labels: DataFrame | None = None, threshold: float = 0.5, toxic_threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", fit_rows: int = FIT_ROWS, fit_labels: int = FIT_LABELS
+) -> DataFrame:
+    """doc_id, text_key, votes, posterior, quality_score, insults, toxicity, toxic, kept: one row per input row.
 
-    Ten labellers vote on every whole text. EM over the counts of their vote patterns (at most 3^10) estimates accuracies
-    and posteriors. A linear scorer over hashed word shapes and measures is fitted to the posteriors of at most FIT_ROWS
-    texts, chosen by the hash of their id and text, and scores all. A text is toxic if its insults weigh more than
-    `insults_most`: 2 for each listed word, 1 for each that learn_insults() takes from `labels` (id, toxic). kept says that
-    it is neither toxic nor below `threshold`. Null and empty texts score by the same rules (no words: the length labeller votes against). Only the id and the text are read.
+    Ten labellers vote on the form of every whole text and three on its civility. EM over the counts of their vote patterns (at
+    most 3^10 and 3^3) estimates accuracies and posteriors. For each question a linear scorer over hashed features (word
+    shapes and measures; insults and their weight) is fitted to the posteriors of at most `fit_rows` texts, chosen by the
+    smallest hashes of id and text, and scores all. Insults are listed ones and those that learn_insults() takes from at most
+    `fit_labels` rows of `labels` (id, toxic). quality_score is P(well formed); toxicity is P(not civil), and a text is toxic
+    from `toxic_threshold` on. kept says that it is neither toxic nor below `threshold`. Null and empty texts score by the same
+    rules (no words: the length labeller votes against). Rows that repeat, or share a doc_id, each count and are scored on
+    their own; an empty table gives no rows. Only the id and the text are read.
     """
-    learned = learn_insults(docs, labels, id_col, text_col) if labels is not None else set()
+    learned = learn_insults(docs, labels, id_col, text_col, fit_labels=fit_labels) if labels is not None else set()
     insults = dict.fromkeys(learned, 1) | {x.encode(): 2 for x in INSULTS}
     rows = stored(measured(docs, insults, id_col, text_col), "measures")
-    counts = {r["votes"]: r["n"] for r in rows.groupBy("votes").agg(F.count("*").alias("n")).collect()}  # at most 3^10 rows
-    good = posteriors(counts)
-    sample = smallest_hashes(rows, FIT_ROWS, "id", "key").select("votes", "buckets", "weights").collect()
-    w = fit([(r["buckets"], r["weights"], good[r["votes"]]) for r in sample])
+    sample = smallest_hashes(rows, fit_rows, "id", "key").select("votes", "buckets", "weights", "civil_votes", "civil_buckets", "civil_weights").collect()
+    good, w = [], []
+    for votes, buckets, weights in (("votes", "buckets", "weights"), ("civil_votes", "civil_buckets", "civil_weights")):
+        counts = {r[votes]: r["n"] for r in rows.groupBy(votes).agg(F.count("*").alias("n")).collect()}  # at most 3^10 rows
+        good.append(posteriors(counts))
+        w.append(fit([(r[buckets], r[weights], good[-1][r[votes]]) for r in sample]))
+
+    def chance(batch: pa.RecordBatch, lead: str, w: np.ndarray) -> np.ndarray:
+        pairs = zip(batch.column(f"{lead}buckets").to_pylist(), batch.column(f"{lead}weights").to_pylist(), strict=True)
+        return 1 / (1 + np.exp(-np.array([w[-1] + float(np.dot(w[index], value)) for index, value in pairs])))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sums = []
-            for index, value in zip(batch.column("buckets").to_pylist(), batch.column("weights").to_pylist(), strict=True):
-                sums.append(w[-1] + float(np.dot(w[index], value)))
-            score = 1 / (1 + np.exp(-np.array(sums)))
-            toxic = np.array(batch.column("insults").to_pylist(), np.int64) > insults_most
+            score, rude = chance(batch, "", w[0]), 1 - chance(batch, "civil_", w[1])
+            toxic = rude >= toxic_threshold
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("key"), batch.column("votes"), pa.array([good[v] for v in batch.column("votes").to_pylist()], pa.float64()), pa.array(score, pa.float64()), batch.column("insults"), pa.array(toxic, pa.bool_()), pa.array((score >= threshold) & ~toxic, pa.bool_())],
-                names=["doc_id", "text_key", "votes", "posterior", "quality_score", "insults", "toxic", "kept"],
+                [batch.column("id"), batch.column("key"), batch.column("votes"), pa.array([good[0][v] for v in batch.column("votes").to_pylist()], pa.float64()), pa.array(score, pa.float64()), batch.column("insults"), pa.array(rude, pa.float64()), pa.array(toxic, pa.bool_()), pa.array((score >= threshold) & ~toxic, pa.bool_())],
+                names=["doc_id", "text_key", "votes", "posterior", "quality_score", "insults", "toxicity", "toxic", "kept"],
             )
 
-    return mapped(rows, run, "doc_id long, text_key long, votes string, posterior double, quality_score double, insults long, toxic boolean, kept boolean")
+    return mapped(rows, run, "doc_id long, text_key long, votes string, posterior double, quality_score double, insults long, toxicity double, toxic boolean, kept boolean")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:
-    """The rows of `docs` that the classifier keeps, with all their columns; each row is judged by its own text."""
+    """The rows of `docs` that the classifier keeps, with all their columns; each row is judged by its own text, null ones as
+    empty. An empty table stays empty."""
     lost = score_quality(docs, labels, id_col=id_col, text_col=text_col, **more).where("not kept").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct()
     return docs.join(lost, F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__key")), "left_anti")

@@ -193,7 +193,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
     Whole texts are UTF-8 bytes (null: empty). A byte goes if a string of `length` bytes that covers it also starts in a
     row with a smaller doc_id; strings are judged on the input. n_spans counts maximal removed stretches. Rows with the
     same doc_id don't remove from each other; rows without a doc_id neither remove nor lose anything. Texts shorter than
-    `length` stay. Equality of strings is tested on their bytes where runs differ; whole runs are told equal by 64-bit
+    `length` stay; an empty table gives no rows. Equality of strings is tested on their bytes where runs differ; whole runs are told equal by 64-bit
     hashes. Only the id and the text are read.
     """
     if not Q + 1 <= length <= Q + 63:

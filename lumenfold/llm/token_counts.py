@@ -95,7 +95,8 @@ def token_counts(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_
     """doc_id, n_words, n_tokens: greedy word-piece lengths of every whole text.
 
     Words are runs without ASCII white space, A-Z lowered, each followed by the end mark. Null and empty texts have no
-    words and no tokens. One row per input row, whatever its doc_id; other columns are not read.
+    words and no tokens. One row per input row, whatever its doc_id (none for an
+    empty table); other columns are not read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

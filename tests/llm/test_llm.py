@@ -723,6 +723,58 @@ def test_language_id(spark, docs, nothing):
     assert language_id.identify(nothing, model).count() == 0
 
 
+def test_language_against_plain_python(spark):
+    """Counts, odds, scripts and the best path of every text, by plain Python and all labellings."""
+    from itertools import product
+
+    rng = random.Random(17)
+    letters = {"aa": "abcd", "bb": "bcde", "cc": "абвг"}
+    texts = []
+    for k in range(60):
+        lang = rng.choice(sorted(letters))
+        texts.append((k, " ".join("".join(rng.choice(letters[rng.choice([lang, lang, lang, "bb"])]) for _ in range(rng.randrange(1, 6))) for _ in range(rng.randrange(0, 7))), lang if k % 9 else None))
+    texts += [(70, None, "aa"), (71, "½ ² Ⅷ ① 12 !", "bb"), (72, "½ abcd", "aa"), (None, "абвг abcd", "cc"), (73, "ébc", None), (3, texts[3][1], "bb")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string, lang string")
+    got = Counter((r["doc_id"], r["lang_pred"], round(r["score"], 6), r["n_words"]) for r in language_id.identify(docs, language_id.learn(docs), penalty=0.8).collect())
+
+    def buckets(word):
+        framed = b" " + word + b" "
+        return [((int.from_bytes(framed[i : i + n], "big") + (n << 40)) * 0x9E3779B97F4A7C15 % (1 << 64)) >> 48 for n in (2, 3, 4) for i in range(len(framed) - n + 1)]
+
+    langs = sorted({lang for i, t, lang in texts if lang and t is not None and not (i is not None and zlib.crc32(str(i).encode()) % 4 == 2)})
+    counts, scripts = {x: Counter() for x in langs}, {x: Counter() for x in langs}
+    for i, t, lang in texts:
+        if lang and t is not None and not (i is not None and zlib.crc32(str(i).encode()) % 4 == 2):
+            for w in language_id.words_of(t.encode()):
+                counts[lang].update(buckets(w))
+                scripts[lang][language_id.script_of(w)] += 1
+    total = {x: sum(counts[x].values()) + 0.5 * language_id.BUCKETS for x in langs}
+
+    def word_scores(word):
+        if not any(map(str.isalpha, word.decode())):
+            return [0.0] * len(langs)
+        out = [0.0] * len(langs)
+        for b in buckets(word):
+            if any(counts[x][b] for x in langs):
+                logs = [math.log((counts[x][b] + 0.5) / total[x]) for x in langs]
+                out = [o + (v - sum(logs) / len(logs)) / 3 for o, v in zip(out, logs)]
+        script = language_id.script_of(word)
+        ok = [scripts[x][script] / max(1, sum(n for k, n in scripts[x].items() if k >= 0)) >= 0.001 for x in langs]
+        return [o - (0 if fine or not any(ok) else 30) for o, fine in zip(out, ok)]
+
+    want = Counter()
+    for i, t, _ in texts:
+        of = language_id.words_of(raw(t)) if any(map(str.isalpha, t or "")) else []
+        if not of:
+            want[i, "und", 0.0, 0] += 1
+            continue
+        rows = [word_scores(w) for w in of]
+        path = max(product(range(len(langs)), repeat=len(of)), key=lambda p: sum(r[x] for r, x in zip(rows, p)) - 0.8 * sum(a != b for a, b in zip(p, p[1:])))
+        n = [path.count(k) for k in range(len(langs))]
+        want[i, langs[n.index(max(n))], round(max(n) / len(path), 6), len(of)] += 1
+    assert got == want
+
+
 def test_viterbi():
     rng = np.random.default_rng(3)
     texts = [rng.normal(size=(n, 3)).astype(np.float32) for n in (0, 1, 5, 6, 6, 3)]
@@ -759,13 +811,61 @@ def test_quality(spark, docs, rows, nothing):
 def test_features_of_all_shapes():
     """Neither a text's rarer shapes nor the far end of a long one are left out of its features."""
     many = [b"," * k + b"a" + b"." * j for k in range(8) for j in range(8)]
-    found = [quality.measure(b" ".join([*many, *many, x]), {})[1] for x in (b"-x-", b"+x+")]
+    found = [quality.measure(b" ".join([*many, *many, x]))[1] for x in (b"-x-", b"+x+")]
     assert found[0] != found[1]
     assert len(found[0]) > 60
-    found = [quality.measure(b"a0" * 9 + x, {})[1] for x in (b"-", b"+")]
+    found = [quality.measure(b"a0" * 9 + x)[1] for x in (b"-", b"+")]
     assert found[0] != found[1]
 
 
+def test_votes_on_civility():
+    insults = {b"idiot": 2, b"grumbel": 1}
+    for text, votes, weight in [(b"", [-1, 1, 1], 0), (b"You IDIOT!", [0, 1, 0], 2), (b"grumbel", [-1, -1, -1], 1), (b"grumbel grumbel", [-1, 0, 0], 2), (b"idiots are plural", [-1, 1, 1], 0)]:
+        got = quality.uncivil(text, insults)
+        assert (got[0], got[2]) == (votes, weight), text
+    assert quality.uncivil(b"calm", {b"idiot": 2})[0] == [-1, -1, 1]
+
+
+def test_quality_against_plain_python(spark):
+    """EM and both scorers written out in plain Python over the votes and features of every text."""
+    rng = random.Random(21)
+    rows = [(k, words(rng, rng.randrange(1, 40)) + rng.choice(["", " idiot", " you stupid scum", " | | | ###"])) for k in range(120)] + [(7, None), (None, ""), (9, "a a a a a a a a a a a a a")]
+    got = quality.score_quality(spark.createDataFrame(rows, "doc_id long, text string").withColumn("votes", F.lit("x")), threshold=0.6)
+    insults = {x.encode(): 2 for x in quality.INSULTS}
+    key = {(r["id"], r["text"]): (r["h"], r["key"]) for r in spark.createDataFrame(rows, "id long, text string").selectExpr("id", "text", "xxhash64(id, xxhash64(text)) AS h", "xxhash64(text) AS key").collect()}
+    in_order = sorted(rows, key=lambda r: (key[r][0], r[0] is not None, r[0] or 0, key[r][1]))
+
+    def chances(of):
+        votes = {r: quality.signs(of(raw(r[1]))[0]) for r in rows}
+        times, n = Counter(votes[r] for r in rows), len(next(iter(votes.values())))
+        good = {v: 0.05 if "0" in v else 0.95 for v in times}
+        for _ in range(50):
+            prior = min(0.95, max(0.05, sum(good[v] * k for v, k in times.items()) / len(rows)))
+            logs = []
+            for share in (lambda v: 1 - good[v], lambda v: good[v]):
+                table = [{x: 0.5 + sum(share(v) * k for v, k in times.items() if v[at] == x) for x in "01-"} for at in range(n)]
+                logs.append({v: sum(math.log(table[at][v[at]] / sum(table[at].values())) for at in range(n)) for v in times})
+            good = {v: 1 / (1 + math.exp(max(-500, min(500, logs[0][v] + math.log(1 - prior) - logs[1][v] - math.log(prior))))) for v in times}
+        w, seen = defaultdict(float), defaultdict(lambda: 1e-6)
+        for _ in range(30):
+            slope = Counter()
+            for r in in_order:  # fewer than one minibatch
+                f = {**of(raw(r[1]))[1], quality.BUCKETS: 1.0}
+                miss = 1 / (1 + math.exp(-sum(w[k] * v for k, v in f.items()))) - good[votes[r]]
+                for k, v in f.items():
+                    slope[k] += miss * float(np.float32(v)) / len(rows)
+            for k, v in slope.items():
+                v += 1e-4 * w[k]
+                seen[k] += v * v
+                w[k] -= 0.1 * v / math.sqrt(seen[k])
+        return {r: (good[votes[r]], 1 / (1 + math.exp(-sum(w[k] * v for k, v in {**of(raw(r[1]))[1], quality.BUCKETS: 1.0}.items())))) for r in rows}
+
+    form, civil = chances(quality.measure), chances(lambda x: quality.uncivil(x, insults))
+    want = Counter((r[0], round(form[r][0], 4), round(form[r][1], 4), round(1 - civil[r][1], 4), civil[r][1] <= 0.5, form[r][1] >= 0.6 and civil[r][1] > 0.5) for r in rows)
+    assert Counter((r["doc_id"], round(r["posterior"], 4), round(r["quality_score"], 4), round(r["toxicity"], 4), r["toxic"], r["kept"]) for r in got.collect()) == want
+    assert {k[4] for k in want} == {True, False} == {k[5] for k in want}
+
+
 def test_posteriors():
     got = quality.posteriors({"11": 80, "00": 15, "0-": 5, "-1": 20})
     assert got["11"] > 0.9 > 0.1 > got["00"]
