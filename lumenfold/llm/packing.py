@@ -5,19 +5,21 @@ from __future__ import annotations
 import unicodedata
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import pairwise, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import mapped, stored, utf8
 
 FIELDS = {"doc_id": pa.int64(), "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64(), "doc_tokens": pa.int64(), "bucket": pa.int32(), "part": pa.int64(), "row": pa.int64()}
-#: Bytes of memory for the ids of runs that one worker remembers, about; runs that are encoded in one text.
-CACHE_BYTES, TOGETHER = 160 << 20, 512
-#: Python's own bytes for two byte strings and their place in a dictionary.
-ENTRY_BYTES = 180
+#: Bytes of memory for the ids of runs that one worker remembers, about; bytes of text, and runs, that are encoded at once.
+CACHE_BYTES, TOGETHER_BYTES, TOGETHER = 240 << 20, 8 << 20, 512
+#: Python's own bytes for a byte string, a number and their place in a dictionary.
+ENTRY_BYTES = 160
 SIGNS = bytes(x for x in range(33, 127) if not chr(x).isalnum())
 
 
@@ -34,32 +36,40 @@ def binary_pieces(n: int, longest: int) -> list[tuple[int, int]]:
     return out
 
 
+class Ids:
+    """Runs and their ids: a number for each run, and where its ids stand in one array."""
+
+    def __init__(self) -> None:
+        self.number: dict[bytes, int] = {b"": 0}
+        self.flat, self.ends, self.size = np.zeros(0, "<u4"), np.zeros(1, np.int64), 0
+
+    def of(self, k: int) -> bytes:
+        return self.flat[self.ends[k - 1] if k else 0 : self.ends[k]].tobytes()
+
+    def add(self, runs: list[bytes], ids: list[bytes]) -> None:
+        self.number.update(zip(runs, range(len(self.ends), len(self.ends) + len(runs)), strict=True))
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(ids), "<u4")])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes) // 4])
+        self.size += int(sizes.sum()) + sum(map(len, runs)) + ENTRY_BYTES * len(runs)
+
+
 class Memory:
-    """Ids by run, in two generations: when the young one is full it becomes the old one, and whatever recurs is taken
-    over from there. So what is frequent stays, and the bytes are bounded."""
+    """Ids of runs in two generations: when the young one is full it becomes the old one, and whatever recurs is taken over
+    from there. So what is frequent stays, and the bytes are bounded."""
 
     def __init__(self) -> None:
-        self.young: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
-        self.size = 0
+        self.young, self.old = Ids(), Ids()
 
     def room(self) -> None:
-        if self.size > CACHE_BYTES // 2:
-            self.young, self.old, self.size = {}, self.young, 0
-
-    def put(self, run: bytes, ids: bytes) -> None:
-        self.young[run] = ids
-        self.size += len(run) + len(ids) + ENTRY_BYTES
-
-    def missing(self, runs: set[bytes]) -> list[bytes]:
-        """The runs that neither generation knows; those of the old one are taken over."""
-        out = []
-        for x in runs:
-            if (ids := self.old.get(x)) is not None:
-                self.put(x, ids)
-            else:
-                out.append(x)
-        return out
+        if self.young.size > CACHE_BYTES // 2:
+            self.young, self.old = Ids(), self.young
+
+    def get(self, run: bytes) -> bytes | None:
+        for of in (self.young, self.old):
+            if (k := of.number.get(run)) is not None:
+                return of.of(k)
+        return None
 
 
 #: What this worker has encoded, by tokenizer file; kept from task to task.
@@ -69,19 +79,16 @@ _KNOWN: dict[str, Memory] = {}
 def cut_signs(run: bytes) -> tuple[bytes, bytes, bytes]:
     """(signs before, the rest, signs after) of a run that are words of their own; signs are ASCII. They are where a letter or
     digit stands beside them. One apostrophe alone before a letter may begin a contraction, so it stays."""
-    if b"<|" in run:
-        return b"", run, b""
     rest = run.rstrip(SIGNS)
     end = len(rest)
     start = end - len(rest.lstrip(SIGNS))
-    if not end:
+    if not end or (not start and end == len(run)) or b"<|" in run:
         return b"", run, b""
-    if start or end < len(run):
-        text = rest[start:].decode()
-        if run[:start] == b"'" or not unicodedata.normalize("NFC", text[0]).lower()[0].isalnum():
-            start = 0
-        if not unicodedata.normalize("NFC", text[-1]).lower()[-1].isalnum():
-            end = len(run)
+    # What is left begins and ends with a letter, a digit or something beyond ASCII.
+    if start and (run[:start] == b"'" or (rest[start] > 127 and not unicodedata.normalize("NFC", rest[start:].decode()[0]).lower()[0].isalnum())):
+        start = 0
+    if rest[-1] > 127 and not unicodedata.normalize("NFC", rest.decode()[-1]).lower()[-1].isalnum():
+        end = len(run)
     return run[:start], run[start:end], run[end:]
 
 
@@ -107,46 +114,88 @@ def chunk_encoder(path: str) -> Callable[[list[bytes]], Iterator[bytes]]:
         _KNOWN[path] = Memory()
     memory = _KNOWN[path]
 
-    def one_by_one(runs: list[bytes]) -> None:
-        for run, got in zip(runs, tokenizer.encode_batch_fast([x.decode() for x in runs], add_special_tokens=False), strict=True):
-            memory.put(run, np.array(got.ids, "<u4").tobytes())
+    def one_by_one(runs: list[bytes]) -> Iterator[bytes]:
+        for got in tokenizer.encode_batch_fast([x.decode() for x in runs], add_special_tokens=False):
+            yield np.array(got.ids, "<u4").tobytes()
 
-    def together(runs: list[bytes]) -> None:
+    def joined(runs: list[bytes]) -> Iterator[bytes]:
         groups = [runs[k : k + TOGETHER] for k in range(0, len(runs), TOGETHER)]
         for group, got in zip(groups, tokenizer.encode_batch_fast([b" ".join(x).decode() for x in groups], add_special_tokens=False), strict=True):
             ids = np.array(got.ids, "<u4")
             stops = (np.flatnonzero(ends[ids]) + 1) * 4
             if len(stops) != len(group) or stops[-1] != 4 * len(ids):
-                one_by_one(group)
+                yield from one_by_one(group)
                 continue
-            data, at = ids.tobytes(), 0
-            for run, stop in zip(group, stops.tolist(), strict=True):
-                memory.put(run, data[at:stop])
-                at = stop
-
-    def learn(runs: list[bytes]) -> None:
+            data, stops = ids.tobytes(), stops.tolist()
+            yield from map(data.__getitem__, map(slice, [0, *stops[:-1]], stops))
+
+    def learn(new: list[bytes]) -> None:
+        """Give these runs their ids: from the old generation, else from their parts."""
+        old, found, cut = memory.old, {}, {}
+        if old.number.keys() > {b""}:
+            for x in new:
+                if (k := old.number.get(x)) is not None:
+                    found[x] = old.of(k)
+            new = [x for x in new if x not in found]
+        runs = pa.array(new, pa.binary()).cast(pa.string())
+        bare = pc.ascii_trim(runs, SIGNS.decode())
+        same = pc.equal(pc.binary_length(bare), pc.binary_length(runs)).to_numpy(zero_copy_only=False)
+        alone = [new[k] for k in np.flatnonzero(same).tolist()]
+        for k in np.flatnonzero(~same).tolist():
+            cut[new[k]] = cut_signs(new[k])
+        parts = {y for of in cut.values() for y in of if y}
+        parts.difference_update(found, alone)
         words, odd = [], []
-        for x in runs:
+        for x in parts:
+            if x not in cut and (ids := memory.get(x)) is not None:
+                found[x] = ids
+            else:
+                alone.append(x)
+        for x in alone:
             (words if suffix and x.decode().isalpha() else odd).append(x)
-        together(words)
-        one_by_one(odd)
+        found.update(zip(words, joined(words), strict=True))
+        found.update(zip(odd, one_by_one(odd), strict=True))
+        for x, (before, rest, after) in cut.items():
+            if rest is not x:
+                found[x] = found.get(before, b"") + found[rest] + found.get(after, b"")
+        fresh = [x for x in found if x not in memory.young.number]
+        memory.young.add(fresh, [found[x] for x in fresh])
 
     def encode(texts: list[bytes]) -> Iterator[bytes]:
         memory.room()
-        split = [(x if b"<|" in x else x.lower()).split() for x in texts]
-        known = memory.young
-        new = memory.missing({x for of in split for x in of if x not in known})
-        cut = {x: p for x in new if (p := cut_signs(x))[1] != x}
-        parts = {y for x in new for y in cut.get(x, (x,)) if y and y not in known}
-        learn(memory.missing(parts))
-        for x, of in cut.items():
-            memory.put(x, b"".join(known[y] for y in of if y))
-        for of in split:
-            yield b"".join(map(known.__getitem__, of))
+        body = pa.array(texts, pa.binary()).cast(pa.string())
+        body = pc.if_else(pc.match_substring(body, "<|"), body, pc.ascii_lower(body))
+        split = pc.ascii_split_whitespace(body)  # as bytes.split(), but for empty runs at either end
+        runs = split.flatten().dictionary_encode()
+        names = runs.dictionary.cast(pa.binary()).to_pylist()
+        known = memory.young.number
+        number = np.fromiter(map(known.get, names, repeat(-1)), np.int32, len(names))
+        new = np.flatnonzero(number < 0)
+        learn([names[k] for k in new.tolist()])
+        number[new] = [known[names[k]] for k in new.tolist()]
+        lists = pa.LargeListArray.from_arrays(np.append(0, memory.young.ends), memory.young.flat)
+        picked = lists.take(pa.array(number).take(runs.indices))
+        cuts = picked.offsets.to_numpy()[split.offsets.to_numpy() - split.offsets[0].as_py()]
+        ids = picked.values.to_numpy()
+        for a, z in pairwise(cuts.tolist()):
+            yield ids[a:z].tobytes()
 
     return encode
 
 
+def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches joined until they have TOGETHER_BYTES, so that fewer runs have to be looked up again and again."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size > TOGETHER_BYTES:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def cut_documents(docs: DataFrame, tokenizer_path: str, longest: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pieces of every document before they get sequence ids: doc_id, start, length, ids_crc32, doc_tokens, bucket."""
 
@@ -155,7 +204,7 @@ def cut_documents(docs: DataFrame, tokenizer_path: str, longest: int = 2048, end
 
         encode, part, row = chunk_encoder(tokenizer_path), TaskContext.get().partitionId(), 0
         end = np.array([end_id], "<u4").tobytes()
-        for batch in batches:
+        for batch in together(batches):
             out = {k: [] for k in FIELDS}
             for doc, ids in zip(batch.column("id").to_pylist(), encode(utf8(batch, "body")), strict=True):
                 ids += end
