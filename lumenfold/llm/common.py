@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,6 +71,21 @@ def utf8(batch: pa.RecordBatch, name: str) -> list[bytes]:
     return [x or b"" for x in batch.column(name).cast(pa.binary()).to_pylist()]
 
 
+def words_in(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray, list[bytes]]:
+    """(distinct words, index of each word of the texts in order, where each text's words begin and the last one's end, each text's
+    words with single spaces between). A-Z is lowered; words are runs without ASCII white space, as of bytes.split()."""
+    body = pc.ascii_trim_whitespace(pc.ascii_lower(pa.array(texts, pa.binary()).cast(pa.string())))
+    split = pc.ascii_split_whitespace(body)  # of an empty text: one empty word
+    runs = split.flatten().dictionary_encode()
+    names, index = runs.dictionary.cast(pa.binary()).to_pylist(), runs.indices.to_numpy()
+    offsets = split.offsets.to_numpy().astype(np.int64)
+    joined = pc.binary_join(split, " ").cast(pa.binary()).to_pylist()
+    if b"" in names:
+        real = index != names.index(b"")
+        offsets, index = np.append(0, np.cumsum(real))[offsets], index[real]
+    return names, index, offsets, joined
+
+
 def arrow(fields: dict[str, pa.DataType], columns: dict) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([x if isinstance(x := columns[k], pa.Array) else pa.array(x, t) for k, t in fields.items()], names=list(fields))
 

@@ -10,13 +10,14 @@ import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import pairwise, repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import answered, dealt, mapped, mix64, part_id, parts_for, stored, text_bytes, utf8
+from .common import answered, dealt, mapped, mix64, part_id, parts_for, stored, text_bytes, utf8, words_in
 
 #: Bytes of context of the longest predictor. Contexts of LOW bytes or fewer are counted in one table for all (at most
 #: 2^24 grams); longer ones within the bucket of their last LOW + 1 bytes (at most 2^24 grams for each such key).
@@ -32,16 +33,17 @@ UNIT, FIT_UNIT = 1 / 65536, 1 / 4096
 #: Bytes of a text that say whom to believe, the weight of what they say, and where a text begins (in stretched odds).
 WINDOW, TRUST, START = 64, 0.25, 2.0
 GATES, APM = 6 * 8 * 6, 33
-PAD = b"\n" * ORDER
+PAD, LN10 = b"\n" * ORDER, math.log(10)
 
 
 def canonical(text: bytes) -> bytes:
     """The bytes that are scored: A-Z lowered, words each followed by one space, then one more space as the end."""
-    return written_out(text.lower().split())
+    return written_out(b" ".join(text.lower().split()))
 
 
-def written_out(words: list[bytes]) -> bytes:
-    return b" ".join([*words, b"", b""]) if words else b" "
+def written_out(words: bytes) -> bytes:
+    """So for words with single spaces between."""
+    return words + b"  " if words else b" "
 
 
 def slots(gram: np.ndarray, order: int, bit: int) -> np.ndarray:
@@ -261,7 +263,7 @@ class GramCounts:
         """Count these grams `times` times each; with 0 they are only listed."""
         at = self.table.find(gram)
         if times:
-            self.n += np.bincount(at[at >= 0], minlength=len(self.n)) * times
+            np.add.at(self.n, at[at >= 0], times)
         if len(new := gram[at < 0]):
             new, n = np.unique(new, return_counts=True)
             n *= times
@@ -280,7 +282,7 @@ def summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys, np.bincount(at, n, len(keys)).astype(np.int64)
 
 
-def slices(texts: list[bytes], step: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def slices(texts: list[bytes], step: int = 1 << 17) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(grams, index of their text) of canonical texts, about `step` at a time."""
     starts = np.cumsum([0, *(len(x) + ORDER for x in texts)])
     buffer = b"".join(PAD + x for x in texts)
@@ -342,13 +344,14 @@ class Online:
         ahead, before = np.minimum(a - b, 30), len(self.d)
         d = np.append(self.d, np.rint(ahead / UNIT).astype(np.int64))
         doc = np.append(self.doc, doc)
-        at = np.arange(len(d))
-        begin = np.maximum.accumulate(np.where(np.append(True, doc[1:] != doc[:-1])[: len(d)], at, 0))
+        first = np.flatnonzero(doc[1:] != doc[:-1]) + 1
+        begin = np.repeat(np.append(0, first), np.diff(np.concatenate([[0], first, [len(d)]])))
         sums = np.append(0, np.cumsum(d))
-        told = (sums[:-1] - sums[np.maximum(at - WINDOW, begin)])[before:]
-        w = squash(START + told * (TRUST * math.log(10) * UNIT))
+        told = (sums[:-1] - sums[np.maximum(np.arange(-WINDOW, len(d) - WINDOW), begin)])[before:]
         self.d, self.doc = d[-WINDOW:], doc[-WINDOW:]
-        return b + np.log10(w * 10.0**ahead + (1 - w))
+        # Single precision is finer than UNIT.
+        w = 1 / (1 + np.exp(-np.clip(START + told * (TRUST * LN10 * UNIT), -30, 30).astype(np.float32)))
+        return b + np.log(w * np.exp((ahead * LN10).astype(np.float32)) + (1 - w)) / LN10
 
 
 def rows_of(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -378,12 +381,13 @@ def gather(rows: DataFrame, parts: int, cells: int) -> DataFrame:
         words: list[Counter] = [Counter(), Counter()]
         counts, chunk = GramCounts(), part_id()
         for batch in batches:
-            written: list[list[bytes]] = [[], []]
-            for text, held in zip(utf8(batch, "body"), batch.column("held").to_pylist(), strict=True):
-                words[held].update(of := text.lower().split())
-                written[held].append(written_out(of))
+            texts, own = utf8(batch, "body"), np.array(batch.column("held").to_pylist(), bool)
             for held in (0, 1):
-                for gram, _ in slices(written[held]):
+                names, index, _, joined = words_in([texts[k] for k in np.flatnonzero(own == held).tolist()])
+                for x, n in zip(names, np.bincount(index, minlength=len(names)).tolist(), strict=True):
+                    if n:
+                        words[held][x] += n
+                for gram, _ in slices([written_out(x) for x in joined]):
                     counts.see(gram, 1 - held)
         blocks: dict[int, list[bytes]] = {}
         for word in words[0].keys() | words[1].keys():
@@ -582,13 +586,14 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
             if scores is None:
                 scores, told = Scores(np.concatenate([x[0] for x in told]), np.concatenate([x[1] for x in told])), []
                 short = ShortScores(lows.value)
-            texts, tokens, have, base, written = utf8(batch, "body"), [], [], [], []
+            texts, tokens, have, base = utf8(batch, "body"), [], [], []
             lead = -math.log10(n + v + 1)
-            for text in texts:
-                words = text.lower().split()
-                c = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+            names, index, offsets, joined = words_in(texts)
+            times = np.fromiter(map(known.get, names, repeat(0)), np.int64, len(names))[index]
+            written = [written_out(x) for x in joined]
+            for a, z in pairwise(offsets.tolist()):
+                c = times[a:z]
                 tokens.append(len(c) + 1)
-                written.append(written_out(words))
                 have.append(int((c > 0).sum()) + (ends > 0))
                 base.append(float(np.log10(c + 1.0).sum()) + math.log10(ends + 1) + tokens[-1] * lead)
             total, online = np.zeros(len(texts)), Online()

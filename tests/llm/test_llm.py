@@ -620,6 +620,16 @@ def test_lm_score_against_plain_python(spark):
         assert abs(got[i] - total) < 1e-3 + 1e-4 * abs(total)
 
 
+def test_words():
+    rng = random.Random(1)
+    texts = [b"", b" ", b"A b", b" \x0b\x0c a\xc3\x89\t\r\nB  ", b"\xc2\xa0x\x1cy\x00 z"] + ["".join(rng.choice(" \t\n\x0b\x0c\r\x1c\u2003aBÉ") for _ in range(rng.randrange(9))).encode() for _ in range(500)]
+    names, index, offsets, joined = common.words_in(texts)
+    want = [x.lower().split() for x in texts]
+    assert [[names[k] for k in index[a:z]] for a, z in zip(offsets, offsets[1:])] == want
+    assert joined == [b" ".join(x) for x in want]
+    assert [len(x) for x in common.words_in([])] == [0, 0, 1, 0]
+
+
 def test_online_choice():
     """Each text is weighed by itself, wherever it is cut and whatever stands beside it."""
     rng = np.random.default_rng(3)
