@@ -57,6 +57,14 @@ INTERVALS = {"high": 3 * 3600, "normal": 24 * 3600, "low": 7 * 24 * 3600}
 PERIOD_DAYS = {"daily": 1, "weekly": 7}
 TOPIC_LABELS = {"source": "来源：", "category": "类别：", "tag": "标签：", "keyword": "关键词："}
 HEALTH_SAMPLE = 50
+# The words of a digest mail.
+FREQUENCY_LABELS = {"daily": "每日", "weekly": "每周"}
+MAIL_HEADING, MAIL_NOTHING, MAIL_NO_SUMMARY, MAIL_NOTE, MAIL_DOT, MAIL_LEAVE = "订阅摘要", "本周期没有新的相关内容。", "（暂无摘要）", "本邮件由自动推送生成，请勿直接回复。", "　·　", "一键退订"
+MAIL_WHY, MAIL_LEAVE_TEXT = "你收到这封邮件是因为你订阅了本站的内容方向：", "不想再收到？点击退订："
+# Why a knowledge decision was made. Numbers stand for %s in order.
+NO_SIMILAR, COVERED_BY, JUDGED_COVERED, TAKEN_AS_NEW = "Wiki 中暂无相似知识点", "与条目相似度 %.2f ≥ %.2f，判定已被覆盖", "相似度 %.2f 处于中间区间，模型二次判定为已覆盖", "相似度 %.2f 未达到覆盖阈值，保守判定为新增知识"
+ALL_COVERED, SOME_COVERED, NONE_COVERED = "%d 个知识点均已在 Wiki 中覆盖（最高相似度 %.2f），判定为知识重复", "%d 个知识点已覆盖、%d 个为新增（最高相似度 %.2f），按部分新增处理", "%d 个知识点均为新增（最高相似度 %.2f）"
+NO_POINTS, EXTRACTION_FAILED, UNKNOWN_REASON = "未提炼出可复用的知识点，视为全新内容", "知识点提炼失败，待后续重试：", "未知原因"
 SETTING_DEFAULTS = {
     "default_frequency": "weekly", "max_items_per_digest": "10", "send_window_start_hour": "9", "send_window_end_hour": "21",
     "send_empty_digest": "false", "max_retries": "3", "sends_paused": "false", "bounce_pause_threshold": "0.05",

@@ -24,13 +24,18 @@ def _folded(s: pd.Series) -> pd.Series:
     return s.map(lambda x: unicodedata.normalize("NFKC", x).casefold(), na_action="ignore")
 
 
+#: White space as str.split() has it: Java's own class lacks the four ASCII separators.
+SPACES = r"(?U)[\s\x1c-\x1f]+"
+
+
 def ascii_only(c: Column) -> Column:
     return c.rlike(r"^\p{ASCII}*$")
 
 
 def squeeze(c: Column) -> Column:
-    """Zero-width marks dropped, white space (of any script) to single spaces, ends trimmed."""
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(c, "[​﻿]", ""), r"(?U)\s+", " "), "^ | $", "")
+    """Zero-width marks dropped, white space (of any script, and the four separators U+001C to U+001F) to single spaces,
+    ends trimmed."""
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(c, "[​﻿]", ""), SPACES, " "), "^ | $", "")
 
 
 def normalize_content(c: Column, nfkc: bool = True) -> Column:
@@ -118,7 +123,7 @@ def simhash_similarity(a: Column, b: Column) -> Column:
 
 def summarize(c: Column, most: int = 200) -> Column:
     flat = squeeze(F.coalesce(c, F.lit("")))
-    return F.when(F.length(flat) <= most, flat).otherwise(F.concat(F.regexp_replace(F.substring(flat, 1, most), r"(?U)\s+$", ""), F.lit("…")))
+    return F.when(F.length(flat) <= most, flat).otherwise(F.concat(F.regexp_replace(F.substring(flat, 1, most), r"(?U)[\s\x1c-\x1f]+$", ""), F.lit("…")))
 
 
 def hash_token(c: Column) -> Column:
@@ -153,7 +158,7 @@ def contains_any(haystack: Column, needles: tuple[str, ...]) -> Column:
 
 def keyword_similarity(a: Column, b: Column) -> Column:
     """Jaccard similarity of sets of character pairs of lowered text without white space; shorter text is its own set."""
-    flat = lambda c: F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"(?U)\s+", "")
+    flat = lambda c: F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), SPACES, "")
     of = lambda c: F.when(F.length(c) >= 2, F.array_distinct(bigrams(c))).otherwise(F.array(c))
     x, y = of(flat(a)), of(flat(b))
     return F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y))
@@ -161,7 +166,7 @@ def keyword_similarity(a: Column, b: Column) -> Column:
 
 def point_text(name: Column, summary: Column, claims: Column) -> Column:
     joined = F.array_join(F.concat(F.array(name, summary), claims), "\n")
-    return F.regexp_replace(joined, r"(?U)^\s+|\s+$", "")
+    return F.regexp_replace(joined, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
 
 
 def article_fingerprint(content_hash: Column, title: Column, content: Column) -> Column:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import rules
 
@@ -28,6 +30,23 @@ def bare_path(url: Column) -> Column:
     return F.when(cut == "", "/").otherwise(cut)
 
 
+def _target(url: str) -> str:
+    from urllib.parse import quote, unquote, urlparse, urlunparse
+
+    parts = urlparse(unquote(url))
+    return quote(urlunparse(("", "", parts.path, parts.params, parts.query, parts.fragment))) or "/"
+
+
+@F.pandas_udf(T.StringType())
+def robots_target(url: pd.Series) -> pd.Series:
+    """What robots rules are prefixes of: path, query and fragment, escapes undone and made anew by the standard library."""
+    return url.map(_target, na_action="ignore")
+
+
+def origin(url: Column) -> Column:
+    return F.lower(F.concat(scheme(url), F.lit("://"), authority(url)))
+
+
 def is_entry_page(url: Column, site: Column) -> Column:
     """The site's own page: same host and same path but for slashes at its end; scheme and query don't count."""
     same = (F.lower(authority(url)) == F.lower(authority(site))) & (bare_path(url) == bare_path(site))

@@ -105,7 +105,7 @@ def list_items(found: DataFrame, categories: DataFrame, sources: DataFrame, tags
 
 
 def tag_names(article_tags: DataFrame, tags: DataFrame) -> DataFrame:
-    return article_tags.join(F.broadcast(tags.select(F.col("id").alias("tag_id"), "name")), "tag_id").groupBy(F.col("article_id").alias("id")).agg(F.array_sort(F.collect_set("name")).alias("tags"))
+    return article_tags.join(tags.select(F.col("id").alias("tag_id"), "name"), "tag_id").groupBy(F.col("article_id").alias("id")).agg(F.array_sort(F.collect_set("name")).alias("tags"))
 
 
 def detail(articles: DataFrame, relations: DataFrame, edges: DataFrame, article_id) -> DataFrame:  # noqa: ANN001
@@ -128,6 +128,18 @@ def category_counts(categories: DataFrame, articles: DataFrame, hidden: DataFram
     return left.join(right, "primary_category_id", "left").groupBy("primary_category_id", "name").agg(F.count("article_id").alias("articles"))
 
 
+def freshness(sources: DataFrame) -> DataFrame:
+    """When each active source was last reached, and last with success: what readers see of it. Its tier is not shown."""
+    return sources.where("is_active").select("id", "name", "site_url", "last_crawled_at", "last_success_at").orderBy("name", "id")
+
+
+def tiers(sources: DataFrame) -> DataFrame:
+    """All sources with their tier and what follows from it, for administrators."""
+    from .crawl import interval
+
+    return sources.select("id", "name", "list_type", "is_active", "update_frequency", interval().cast("long").alias("seconds")).orderBy("id")
+
+
 def public_sources(sources: DataFrame) -> DataFrame:
     return sources.where("is_active").select("id", "name", "site_url", "update_frequency", "last_success_at").orderBy("name", "id")
 

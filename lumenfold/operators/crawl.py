@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import html, rules, urls
-from ..sources.store import fetch_pages, upsert
+from ..sources.store import fetch_pages, stored, upsert
 
 
 def interval() -> Column:
@@ -26,14 +29,46 @@ def crawlable(sources: DataFrame) -> DataFrame:
     return sources.withColumn("outcome", F.when(~F.col("is_active") | (F.col("list_type") == "blacklist"), "skipped"))
 
 
+def robots_rules(files: DataFrame) -> DataFrame:
+    """origin, grp, agent, line, allow, prefix: the rules of robots.txt files (origin, text), as the standard library reads
+    them. A group's lines are told for each of its agents; the first group with `*` among them is for all others, its agent
+    is `*` here. Groups without rules have none. A file that could not be had (null) makes no rules, so all is allowed."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from urllib.robotparser import RobotFileParser
+
+        for batch in batches:
+            rows = []
+            for origin, text in zip(batch["origin"], batch["text"], strict=True):
+                parser = RobotFileParser()
+                parser.parse((text or "").splitlines())
+                groups = [(e.useragents, e.rulelines) for e in parser.entries] + ([(["*"], parser.default_entry.rulelines)] if parser.default_entry else [])
+                for grp, (agents, lines) in enumerate(groups):
+                    # A group without lines still hides the groups below it: it allows everything.
+                    told = [(x.allowance, x.path) for x in lines] or [(True, "")]
+                    rows += [(origin, grp, agent, n, allow, path) for agent in agents for n, (allow, path) in enumerate(told)]
+            yield pd.DataFrame(rows, columns=["origin", "grp", "agent", "line", "allow", "prefix"])
+
+    return files.select("origin", "text").mapInPandas(run, "origin string, grp int, agent string, line int, allow boolean, prefix string")
+
+
+def rules_for(robots: DataFrame, agent: str) -> DataFrame:
+    """The rules of the group that counts for an agent: the first with one of its names in the agent's, else that for all."""
+    own = F.lit(agent.split("/")[0].lower())
+    for_all = F.col("agent") == "*"
+    fits = robots.where(for_all | F.contains(own, F.lower("agent")))
+    group = fits.groupBy("origin").agg(F.coalesce(F.min(F.when(~for_all, F.col("grp"))), F.min("grp")).alias("grp"))
+    return robots.join(group, ["origin", "grp"], "left_semi").select("origin", "line", "allow", "prefix").distinct()
+
+
 def allowed_by_robots(pages: DataFrame, robots: DataFrame, agent: str = "*") -> DataFrame:
-    """Pages with `allowed`: the longest rule of the origin for the agent or for all that is a prefix of the path
-    decides, allowing on a tie; no rule allows. robots: origin, agent, allow, prefix."""
-    origin = F.lower(F.concat(urls.scheme(F.col("url")), F.lit("://"), urls.authority(F.col("url"))))
-    rows = pages.withColumn("__origin", origin).withColumn("__path", F.when(urls.path(F.col("url")) == "", "/").otherwise(urls.path(F.col("url"))))
-    own = robots.where(F.col("agent").isin(agent, "*")).select(F.col("origin").alias("__origin"), "prefix", "allow")
-    hit = rows.join(own, "__origin").where("startswith(__path, prefix)").groupBy("url").agg(F.max(F.struct(F.length("prefix").alias("n"), F.col("allow").cast("int").alias("allow"))).alias("rule"))
-    return rows.join(hit, "url", "left").withColumn("allowed", F.coalesce(F.col("rule.allow") == 1, F.lit(True))).drop("__origin", "__path", "rule")
+    """Pages with `allowed`: the first line of the agent's group that is a prefix of the page's path and query decides;
+    a prefix `*` fits all; without such a line the page is allowed. robots: as robots_rules() makes it."""
+    rows = pages.withColumns({"__origin": urls.origin(F.col("url")), "__path": urls.robots_target(F.col("url"))})
+    own = rules_for(robots, agent).withColumnRenamed("origin", "__origin")
+    targets = rows.select("__origin", "__path").distinct()
+    hit = targets.join(own, "__origin").where("prefix = '*' or startswith(__path, prefix)").groupBy("__origin", "__path").agg(F.min_by("allow", "line").alias("__allow"))
+    return rows.join(hit, ["__origin", "__path"], "left").withColumn("allowed", F.coalesce("__allow", F.lit(True))).select(*pages.columns, "allowed")
 
 
 def gate(pages: DataFrame, allow: bool) -> DataFrame:
@@ -71,18 +106,38 @@ def discover(pages: DataFrame, url: str = "url", page_html: str = "html", key: s
     return rows.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit).select(key, "rank", "link", "score")
 
 
-def crawl(sources: DataFrame, page_urls: DataFrame, robots: DataFrame, fetcher, stored_pages: DataFrame, now: Column, seconds: float = 1.0, most: int = rules.MOST_LINKS) -> tuple[DataFrame, DataFrame]:  # noqa: ANN001
-    """(page snapshot, report by source). page_urls: source_id, url, position. Pages of skipped sources are not fetched;
-    denied ones are recorded; failures never stop the run; at most `most` pages of a source."""
+def index_links(sources: DataFrame, robots: DataFrame, fetcher, limit: int = rules.MOST_LINKS, agent: str = "*") -> tuple[DataFrame, DataFrame]:  # noqa: ANN001
+    """(source_id, url, position of what the index pages link to; source_id, outcome of each index page). Sources that are
+    not crawled are passed over; an index page that is denied or fails has no links."""
+    live = crawlable(sources).where("outcome is null").select(F.col("id").alias("source_id"), F.col("site_url").alias("url"))
+    checked = allowed_by_robots(live, robots, agent)
+    got = fetch_pages(checked.where("allowed").select("url").distinct(), fetcher)
+    pages = stored(checked.join(got, "url", "left"), "index-pages")
+    outcome = F.when(~F.col("allowed"), "robots_denied").when(F.col("ok"), "fetched").otherwise("failed")
+    links = discover(pages.where("allowed and ok"), key="source_id", limit=limit)
+    return links.select("source_id", F.col("link").alias("url"), F.col("rank").alias("position")), pages.select("source_id", outcome.alias("outcome"))
+
+
+def crawl(
+    sources: DataFrame, page_urls: DataFrame | None, robots: DataFrame, fetcher, stored_pages: DataFrame, now: Column, seconds: float = 1.0, most: int = rules.MOST_LINKS, agent: str = "*"  # noqa: ANN001
+) -> tuple[DataFrame, DataFrame]:
+    """(page snapshot, report by source). page_urls: source_id, url, position; without it, what the sources' index pages
+    link to. Pages of skipped sources are not fetched; denied ones are recorded; failures never stop the run; at most
+    `most` pages of a source. An index page counts in its source's report."""
+    index = None
+    if page_urls is None:
+        page_urls, index = index_links(sources, robots, fetcher, most, agent)
     wanted = first_seen(page_urls.join(crawlable(sources).where("outcome is null").select(F.col("id").alias("source_id")), "source_id", "left_semi"), ["source_id", "url"], "position")
     nth = Window.partitionBy("source_id").orderBy("position")
     wanted = wanted.withColumn("n", F.row_number().over(nth)).where(F.col("n") <= most)
-    checked = schedule(allowed_by_robots(wanted, robots), seconds)
+    checked = schedule(allowed_by_robots(wanted, robots, agent), seconds)
     got = fetch_pages(checked.where("allowed").select("url").distinct(), fetcher)
     rows = checked.join(got, "url", "left").select(
         "source_id", "url", F.when(F.col("ok"), F.col("html")).alias("raw_html"), "http_status", F.when(~F.col("allowed"), "robots_denied").when(F.col("ok"), "fetched").otherwise("failed").alias("status"), F.col("error").alias("error_message"), now.alias("fetched_at"),
     )
-    report = rows.groupBy("source_id").agg(F.count("*").alias("total"), *[F.count_if(F.col("status") == s).alias(s) for s in ("fetched", "failed", "robots_denied")])
+    outcomes = rows.select("source_id", F.col("status").alias("outcome"))
+    outcomes = outcomes if index is None else outcomes.unionByName(index)
+    report = outcomes.groupBy("source_id").agg(F.count("*").alias("total"), *[F.count_if(F.col("outcome") == s).alias(s) for s in ("fetched", "failed", "robots_denied")])
     return upsert(stored_pages, rows, ["source_id", "url"], "fetched_at", "status"), report
 
 

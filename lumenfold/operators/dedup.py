@@ -1,11 +1,12 @@
 """Duplicates of articles: exact and near groups, related pairs, election of primaries, previews of thresholds.
 
 `articles` have id (in order of creation), content, and what the election needs. Similarity joins run over distinct
-fingerprints, so copies are one value; near pairs are found by bands of bits, which loses none."""
+fingerprints, so copies are one value; near pairs are found by equal blocks of bits, which loses none."""
 
 from __future__ import annotations
 
 import math
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,6 +15,10 @@ from ..functions import rules, text
 from ..sources.store import stored
 
 
+#: Keys of one value, at most: what one plan can bear.
+MOST_TABLES = 300
+
+
 def fingerprints(articles: DataFrame, nfkc: bool = True) -> DataFrame:
     """id, content_hash, simhash of articles with content."""
     some = articles.where(F.trim(F.coalesce("content", F.lit(""))) != "").select("id", "content")
@@ -39,19 +44,46 @@ def most_distance(threshold: float) -> int:
     return math.floor(64 * (1 - threshold) + 1e-9)
 
 
-def near_values(values: DataFrame, distance: int) -> DataFrame:
-    """(a, b, distance), a < b: pairs of distinct simhash values at most so far apart. Two such values agree on one of
-    distance + 1 bands; a pair that agrees on several is kept where the first is met, so no distinct is needed."""
-    bands = distance + 1
-    edges = [64 * k // bands for k in range(bands + 1)]
-    part = lambda c, k: F.shiftrightunsigned(F.shiftleft(c, 64 - edges[k + 1]), 64 - edges[k + 1] + edges[k]) if k or edges[1] < 64 else c
-    keyed = values.select("simhash", F.posexplode(F.array(*[part(F.col("simhash"), k) for k in range(bands)])).alias("band", "bits"))
+def tables_for(values: int, distance: int) -> list[int]:
+    """Masks of blocks, as bit sets of block numbers, of the tables in which near values are sought.
+
+    With b blocks of 64 / b bits, two values at most `distance` apart agree on b - distance blocks or more, so on one of
+    the combinations of so many. More blocks make more tables, each with longer keys and fewer chance meetings: of
+    b = distance + 1, ... the one is taken for which rows and meetings of `values` spread-out values are fewest."""
+    costs = {}
+    for blocks in range(distance + 1, min(distance + 7, 33)):
+        same = blocks - distance
+        tables = math.comb(blocks, same)
+        if tables <= MOST_TABLES or same == 1:
+            costs[blocks] = tables * (values + values**2 / 2 ** (64 * same // blocks + 1))
+    blocks = min(costs, key=costs.get)
+    return [sum(1 << k for k in x) for x in combinations(range(blocks), blocks - distance)]
+
+
+def near_values(values: DataFrame, distance: int, tables: list[int] | None = None) -> DataFrame:
+    """(a, b, distance), a < b: pairs of distinct simhash values at most so far apart, found by equality of some blocks of
+    bits (see tables_for). A pair that meets in several tables is kept in the one of the first blocks it agrees on, so no
+    distinct is needed."""
+    tables = tables or tables_for(values.count(), distance)
+    blocks = max(tables).bit_length()
+    edges = [64 * k // blocks for k in range(blocks + 1)]
+    bits = [(1 << edges[k + 1]) - (1 << edges[k]) for k in range(blocks)]
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    long = lambda x: F.lit(signed(x)).cast("long")
+    keys = F.array(*[F.struct(long(t).alias("blocks"), F.col("simhash").bitwiseAND(long(sum(bits[k] for k in range(blocks) if t >> k & 1))).alias("bits")) for t in tables])
+    keyed = values.select("simhash", F.explode(keys).alias("k")).select("simhash", "k.blocks", "k.bits")
     x, y = keyed.alias("x"), keyed.alias("y")
-    pairs = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.bits") == F.col("y.bits")) & (F.col("x.simhash") < F.col("y.simhash")))
-    pairs = pairs.select(F.col("x.simhash").alias("a"), F.col("y.simhash").alias("b"), F.col("x.band").alias("band"))
-    pairs = pairs.withColumn("distance", text.hamming(F.col("a"), F.col("b"))).where(F.col("distance") <= distance)
-    first = F.coalesce(*[F.when(part(F.col("a"), k) == part(F.col("b"), k), k) for k in range(bands)])
-    return pairs.where(F.col("band") == first).drop("band")
+    pairs = x.join(y, (F.col("x.blocks") == F.col("y.blocks")) & (F.col("x.bits") == F.col("y.bits")) & (F.col("x.simhash") < F.col("y.simhash")))
+    pairs = pairs.select(F.col("x.simhash").alias("a"), F.col("y.simhash").alias("b"), F.col("x.blocks").alias("blocks"), text.hamming(F.col("x.simhash"), F.col("y.simhash")).alias("distance")).where(F.col("distance") <= distance)
+    other = F.col("a").bitwiseXOR(F.col("b"))
+    agree = long(0)
+    for k in range(blocks):
+        agree = agree.bitwiseOR(F.when(other.bitwiseAND(long(bits[k])) == 0, long(1 << k)).otherwise(long(0)))
+    pairs = pairs.withColumns({"rest": agree, "first": long(0)})
+    for _ in range(blocks - distance):  # the lowest bits of the agreement
+        low = F.col("rest").bitwiseAND(-F.col("rest"))
+        pairs = pairs.withColumns({"first": F.col("first").bitwiseOR(low), "rest": F.col("rest").bitwiseXOR(low)})
+    return pairs.where("blocks = first").select("a", "b", "distance")
 
 
 def all_values(values: DataFrame, distance: int) -> DataFrame:
@@ -138,7 +170,7 @@ def relation_rows(members: DataFrame, linked: DataFrame) -> DataFrame:
     rows = members.join(linked.select("id", "relation_type", "similarity", "evidence"), "id", "left")
     key = F.struct(*[F.struct((~F.coalesce("is_accessible", F.lit(False))).alias("a"), (-F.coalesce("weight", F.lit(0.0))).alias("b"), F.col("published_at").isNull().alias("c"), F.col("published_at").alias("d"), (-F.length(F.coalesce("content", F.lit("")))).alias("e"), (-text.title_quality(F.col("title"))).alias("f"), F.col("created_at").alias("g"), F.col("id").alias("id"))])
     so_far = Window.partitionBy("group_key").orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
-    onward = Window.partitionBy("group_key").orderBy("id").rowsBetween(0, Window.unboundedFollowing)
+    onward = Window.partitionBy("group_key").orderBy(F.desc("id")).rowsBetween(Window.unboundedPreceding, 0)  # from the last row back, so each is added once
     order = Window.partitionBy("group_key").orderBy("id")
     whole = Window.partitionBy("group_key")
     rows = rows.withColumn("lead", F.min(key).over(so_far)["col1"]["id"]).withColumn("near", F.coalesce(F.col("relation_type") == "near_duplicate", F.lit(False)))
@@ -198,20 +230,30 @@ def tier(similarity: Column, threshold: float, low: float = rules.RELATED_THRESH
 
 
 def preview(prints: DataFrame, current: float, proposed: float, low: float = rules.RELATED_THRESHOLD) -> DataFrame:
-    """change, pairs: what another threshold would do to pairs of articles with other contents.
+    """change, pairs: would_merge, would_unmerge, unchanged: what another threshold would do to pairs of articles.
 
-    Pairs are counted on distinct (content, simhash) values with how many articles have them. Pairs below every tier are
-    unchanged and never made; their number follows from the total."""
+    Pairs are counted on distinct (content, simhash) values with how many articles have them. Only pairs that reach the
+    lower of the two thresholds can change, so no others are made; the number of the unchanged ones, among them all pairs
+    of equal contents, follows from the total."""
     values = stored(prints.groupBy("simhash").agg(F.count("*").alias("n")), "preview-values")
     same_hash = prints.groupBy("simhash", "content_hash").agg(F.count("*").alias("k"))
     within = same_hash.groupBy("simhash").agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.col("k")).alias("sq")).select(F.lit(0).alias("distance"), ((F.col("n") * F.col("n") - F.col("sq")) / 2).cast("long").alias("w"))
-    distance = most_distance(min(current, proposed, low))
+    distance = most_distance(min(current, proposed))
     pairs = (near_values if distance < 16 else all_values)(values.select("simhash"), distance)
     across = pairs.join(values.select(F.col("simhash").alias("a"), F.col("n").alias("na")), "a").join(values.select(F.col("simhash").alias("b"), F.col("n").alias("nb")), "b").select("distance", (F.col("na") * F.col("nb")).alias("w"))
     s = F.lit(1.0) - F.col("distance") / F.lit(64.0)
     old, new = tier(s, current, low), tier(s, proposed, low)
     change = F.when((old != "near") & (new == "near"), "would_merge").when((old == "near") & (new != "near"), "would_unmerge").otherwise("unchanged")
-    return within.unionByName(across).groupBy(change.alias("change")).agg(F.sum("w").alias("pairs")).where("pairs > 0")
+    changed = stored(within.unionByName(across).groupBy(change.alias("change")).agg(F.sum("w").alias("pairs")).where("pairs > 0 and change <> 'unchanged'"), "preview-changes")
+    return with_unchanged(prints, changed)
+
+
+def with_unchanged(prints: DataFrame, changes: DataFrame) -> DataFrame:
+    """Counts of changed pairs (change, pairs) with a row `unchanged` for all other pairs of articles."""
+    n = F.col("n").cast("decimal(20,0)")
+    rest = prints.agg(F.count("*").alias("n")).crossJoin(changes.agg(F.coalesce(F.sum("pairs"), F.lit(0)).alias("some")))  # one row each
+    rest = rest.select(F.lit("unchanged").alias("change"), (n * (n - 1) / 2 - F.col("some")).cast("long").alias("pairs"))
+    return changes.select("change", F.col("pairs").cast("long").alias("pairs")).unionByName(rest)
 
 
 def preview_stored(prints: DataFrame, group_members: DataFrame, edges: DataFrame, proposed: float, low: float = rules.RELATED_THRESHOLD) -> DataFrame:

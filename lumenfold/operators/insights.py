@@ -60,7 +60,7 @@ def backlog(digests: DataFrame) -> DataFrame:
 def knowledge_stats(articles: DataFrame, categories: DataFrame) -> DataFrame:
     """Archived articles by category name with a label for none; and how many are pending and partial."""
     c = categories.select(F.col("id").alias("primary_category_id"), F.col("name"))
-    named = articles.join(F.broadcast(c), "primary_category_id", "left").withColumn("name", F.coalesce("name", F.lit(rules.UNCATEGORIZED_LABEL)))
+    named = articles.join(c, "primary_category_id", "left").withColumn("name", F.coalesce("name", F.lit(rules.UNCATEGORIZED_LABEL)))
     archived = named.where("status = 'knowledge_duplicate'").groupBy("name").agg(F.count("*").alias("n")).select(F.lit("archived").alias("kind"), "name", "n")
     rest = articles.where(F.col("knowledge_status").isin("pending", "partial")).groupBy(F.col("knowledge_status").alias("kind")).agg(F.count("*").alias("n")).select("kind", F.lit("").alias("name"), "n")
     return archived.unionByName(rest)

@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import text, vectors
+from ..functions import rules, text, vectors
+from ..sources.store import stored
 
 
 def similarity(a: Column, b: Column, a_text: Column, b_text: Column) -> Column:
@@ -29,33 +30,45 @@ def nearest_entries(points: DataFrame, entries: DataFrame, least: float, k: int
 
 
 def nearest_vectors(points: DataFrame, entries: DataFrame, least: float, k: int = 1, block: int = 20_000) -> DataFrame:
-    """The same for vectors of one dimension: entries go to the workers in blocks of bounded size (a stated query set
-    against all), and each Arrow batch of points is one matrix product."""
+    """The same, with vectors compared in blocks: entries go to the workers in blocks of bounded size (a stated query set
+    against all), and each Arrow batch of points is one matrix product. Vectors of other dimensions have similarity 0, as
+    those of zero length. Points or entries without a vector are compared by their texts, as nearest_entries() does; where
+    points have no text, such pairs have similarity 0."""
     spark, out = points.sparkSession, None
     held: list[tuple] = []
+    bare = lambda c: F.size(F.coalesce(F.col(c), F.array().cast("array<double>"))) == 0
+    points = points if "text" in points.columns else points.withColumn("text", F.lit(""))
+    points = points.withColumn("embedding", F.col("embedding").cast("array<double>"))
+    active = entries.where("status = 'active'").withColumn("embedding", F.col("embedding").cast("array<double>"))
 
     def search(of: list[tuple]) -> DataFrame:
-        shared = spark.sparkContext.broadcast((np.array([x[0] for x in of]), np.array([x[1] for x in of], np.float64)))
+        shared = spark.sparkContext.broadcast(of)
 
         def run(batches):  # noqa: ANN001, ANN202
-            ids, m = shared.value
-            m = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+            ids = np.array([x[0] for x in shared.value])
+            sizes = np.array([len(x[1]) for x in shared.value])
+            unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+            known = {d: unit(np.array([x[1] for x in shared.value if len(x[1]) == d], np.float64)) for d in set(sizes.tolist())}
             for batch in batches:
-                x = np.array(batch["embedding"].tolist(), np.float64)
-                s = (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)) @ m.T
+                own = np.array([len(x) for x in batch["embedding"]])
+                s = np.zeros((len(own), len(ids)))
+                for d in set(own.tolist()) & known.keys():
+                    s[np.ix_(own == d, sizes == d)] = unit(np.array(batch["embedding"][own == d].tolist(), np.float64)) @ known[d].T
                 best = np.lexsort((np.broadcast_to(ids, s.shape), -s), axis=1)[:, :k]
-                rows = np.repeat(np.arange(len(x)), best.shape[1])
+                rows = np.repeat(np.arange(len(own)), best.shape[1])
                 got = pd.DataFrame({"point_id": batch["point_id"].to_numpy()[rows], "entry_id": ids[best.ravel()], "similarity": s[rows, best.ravel()]})
                 yield got[got["similarity"] >= least]
 
-        return points.select("point_id", "embedding").mapInPandas(run, "point_id long, entry_id long, similarity double")
+        return points.where(~bare("embedding")).select("point_id", "embedding").mapInPandas(run, "point_id long, entry_id long, similarity double")
 
-    for row in entries.where("status = 'active'").select("entry_id", "embedding").toLocalIterator():
+    for row in active.where(~bare("embedding")).select("entry_id", "embedding").toLocalIterator():
         held.append((row[0], row[1]))
         if len(held) == block:
             out, held = (search(held) if out is None else out.unionByName(search(held))), []
-    if held or out is None:
-        out = search(held or [(-1, [0.0])]) if out is None else out.unionByName(search(held))
+    if held:
+        out = search(held) if out is None else out.unionByName(search(held))
+    texts = nearest_entries(points.where(bare("embedding")), active, least, k).drop("rank").unionByName(nearest_entries(points.where(~bare("embedding")), active.where(bare("embedding")), least, k).drop("rank"))
+    out = texts if out is None else out.unionByName(texts)
     w = Window.partitionBy("point_id").orderBy(F.desc("similarity"), "entry_id")
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
@@ -70,35 +83,103 @@ def verdicts(points: DataFrame, nearest: DataFrame, low: float, high: float, jud
     return rows.withColumn("is_new", ~covered)
 
 
-def roll_up(points: DataFrame) -> DataFrame:
-    """article_id, decision, similarity, matched_entry_id, new_points, covered_points: all covered, some, or none."""
+def roll_up(points: DataFrame, articles: DataFrame | None = None) -> DataFrame:
+    """article_id, decision, similarity, matched_entry_id, new_points, covered_points, rationale: all covered, some, or none.
+
+    With `articles` (article_id, ok, error: how their extraction went) each of them has a row: one whose extraction failed
+    is pending, one without points is new, both without a similarity."""
     out = points.groupBy("article_id").agg(
-        F.bool_and(F.col("is_new")).alias("all_new"), F.bool_or(F.col("is_new")).alias("any_new"), F.max("similarity").alias("similarity"), F.min_by(F.when(~F.col("is_new"), F.col("entry_id")), F.when(~F.col("is_new"), F.col("pos"))).alias("matched_entry_id"),
+        F.max("similarity").alias("similarity"), F.min_by(F.when(~F.col("is_new"), F.col("entry_id")), F.when(~F.col("is_new"), F.col("pos"))).alias("matched_entry_id"),
         F.count_if(F.col("is_new")).alias("new_points"), F.count_if(~F.col("is_new")).alias("covered_points"),
     )
-    return out.withColumn("decision", F.when(~F.col("any_new"), "covered").when(~F.col("all_new"), "partial").otherwise("new_knowledge")).drop("all_new", "any_new")
+    if articles is None:
+        out = out.withColumns({"ok": F.lit(True), "error": F.lit(None).cast("string")})
+    else:
+        out = articles.select("article_id", "ok", "error").join(out, "article_id", "left").fillna(0, ["new_points", "covered_points"])
+    new, covered, s = F.col("new_points"), F.col("covered_points"), F.col("similarity")
+    none = new + covered == 0
+    decision = F.when(~F.col("ok"), "pending").when(none | (covered == 0), "new_knowledge").when(new == 0, "covered").otherwise("partial")
+    why = (
+        F.when(~F.col("ok"), F.concat(F.lit(rules.EXTRACTION_FAILED), F.coalesce("error", F.lit(rules.UNKNOWN_REASON)))).when(none, rules.NO_POINTS).when(new == 0, F.format_string(rules.ALL_COVERED, covered, s))
+        .when(covered > 0, F.format_string(rules.SOME_COVERED, covered, new, s)).otherwise(F.format_string(rules.NONE_COVERED, new, s))
+    )
+    return out.select("article_id", decision.alias("decision"), F.when(F.col("ok") & ~none, s).alias("similarity"), F.when(F.col("ok"), F.col("matched_entry_id")).alias("matched_entry_id"), "new_points", "covered_points", why.alias("rationale"))
+
 
+def greedy_entries(points: DataFrame, low: float, high: float, judge: Callable[[str, int], bool] | None = None, limit: int = 200) -> DataFrame:
+    """point_id, article_id, pos, entry_id, similarity, is_new, created, rationale: a run's points judged in order.
+
+    points: point_id, article_id, pos, name, embedding, and, where known, what the stored entries say: stored_id and
+    stored_similarity (the most similar one at `low` or above) and named_id (the one with the point's name). A point is
+    covered by the most similar entry, stored or made before in this run, from `high` on, or between the thresholds if the
+    judge (name, entry_id) says so; any doubt or error is new. A new point joins the entry with its name or makes one.
+    Each point can be covered by those before it, so a run is one ordered group; it takes at most `limit` articles."""
+    for name, kind in (("stored_id", "long"), ("stored_similarity", "double"), ("named_id", "long")):
+        if name not in points.columns:
+            points = points.withColumn(name, F.lit(None).cast(kind))
+    if points.select("article_id").distinct().limit(limit + 1).count() > limit:
+        raise ValueError(f"a run takes at most {limit} articles")
 
-def greedy_entries(points: DataFrame, low: float, high: float) -> DataFrame:
-    """Points that no stored entry decides, in order: a new point becomes an entry that later points can be covered by; a
-    point with an entry's name joins it. A run's points are bounded by its article limit, so this is one ordered group."""
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         names: dict[str, int] = {}
         kept: list[tuple[int, np.ndarray]] = []
         out = []
         for row in pdf.sort_values(["article_id", "pos"]).itertuples():
-            v = np.asarray(row.embedding, float)
-            sims = [(float(v @ w / (np.linalg.norm(v) * np.linalg.norm(w) or 1)), -e) for e, w in kept if len(w) == len(v)]
-            s, e = max(sims, default=(0.0, 0))
-            covered = bool(sims) and s >= high
-            name = row.name.strip()
-            entry = -e if covered else names.setdefault(name, int(row.point_id))
-            if not covered and entry == row.point_id:
-                kept.append((entry, v))
-            out.append((row.point_id, entry, s if s >= low else 0.0, not covered))
-        return pd.DataFrame(out, columns=["point_id", "entry_id", "similarity", "is_new"])
-
-    return points.withColumn("__one", F.lit(1)).groupBy("__one").applyInPandas(run, "point_id long, entry_id long, similarity double, is_new boolean")
+            v = np.asarray([] if row.embedding is None else row.embedding, float)
+            sims = [(float(v @ w / (np.linalg.norm(v) * np.linalg.norm(w) or 1)), -n, e) for n, (e, w) in enumerate(kept, 1) if len(w) == len(v) > 0]
+            if not pd.isna(row.stored_id):
+                sims.append((float(row.stored_similarity), 0, int(row.stored_id)))
+            s, _, found = max(sims, default=(0.0, 0, None))
+            covered, why = False, rules.NO_SIMILAR
+            if found is None or s < low:
+                s, found = 0.0, None
+            elif s >= high:
+                covered, why = True, rules.COVERED_BY % (s, high)
+            else:
+                try:
+                    covered = bool(judge and judge(row.name, found))
+                except Exception:  # noqa: BLE001
+                    covered = False
+                why = (rules.JUDGED_COVERED if covered else rules.TAKEN_AS_NEW) % s
+            entry, made = found, False
+            if not covered:
+                name = row.name.strip()
+                entry = None if pd.isna(row.named_id) else int(row.named_id)
+                entry = names.get(name) if entry is None else entry
+                if entry is None:
+                    entry, made = int(row.point_id), True
+                    names[name] = entry
+                    kept.append((entry, v))
+            out.append((row.point_id, row.article_id, row.pos, entry, s, not covered, made, why))
+        return pd.DataFrame(out, columns=["point_id", "article_id", "pos", "entry_id", "similarity", "is_new", "created", "rationale"])
+
+    some = points.select("point_id", "article_id", "pos", "name", "embedding", "stored_id", "stored_similarity", "named_id")
+    return some.withColumn("__one", F.lit(1)).groupBy("__one").applyInPandas(run, "point_id long, article_id long, pos int, entry_id long, similarity double, is_new boolean, created boolean, rationale string")
+
+
+def judge_run(articles: DataFrame, extractions: DataFrame, entries: DataFrame, embed: Column, low: float, high: float, now: Column, judge: Callable[[str, int], bool] | None = None, limit: int = 200) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(decisions, articles, entries) after a run of the knowledge stage over its candidates.
+
+    articles: id, status, knowledge_status, crawled_at, ...; extractions: article_id, ok, points (name, summary, claims),
+    error, of the candidates; entries: entry_id, name, summary, status, embedding, article_ids, merged_into_id. `embed` makes
+    a vector of the columns name, summary and claims of a point, or null. Decisions are roll_up()'s; articles take their
+    states; entries gain those that new points made, and the articles of new points."""
+    chosen = stored(candidates(articles, limit).select(F.col("id").alias("article_id")), "run-articles")
+    own = extractions.join(chosen, "article_id", "left_semi")
+    rows = own.where("ok").select("article_id", F.posexplode("points").alias("pos", "p")).select("article_id", "pos", "p.*")
+    rows = rows.withColumn("point_id", F.xxhash64("article_id", "pos")).withColumn("text", text.point_text(F.col("name"), F.col("summary"), F.col("claims"))).withColumn("embedding", embed)
+    rows = stored(rows, "run-points")
+    near = nearest_vectors(rows, entries, low).select("point_id", F.col("entry_id").alias("stored_id"), F.col("similarity").alias("stored_similarity"))
+    named = entry_by_name(entries, rows).select("point_id", F.col("entry_id").alias("named_id"))
+    judged = stored(greedy_entries(rows.join(near, "point_id", "left").join(named, "point_id", "left"), low, high, judge, limit), "run-verdicts")
+    decided = roll_up(judged, own.select("article_id", "ok", "error"))
+    made = judged.where("created").select("point_id", "entry_id").join(rows, "point_id").select("entry_id", F.substring(F.trim("name"), 1, 300).alias("name"), "summary", F.lit("active").alias("status"), "embedding")
+    links = judged.where("is_new").groupBy("entry_id").agg(F.array_sort(F.collect_set("article_id")).alias("__new"))
+    every = entries.unionByName(made, allowMissingColumns=True).join(links, "entry_id", "left")
+    none = F.array().cast("array<bigint>")
+    united = every.withColumn("article_ids", F.array_distinct(F.concat(F.coalesce("article_ids", none), F.coalesce("__new", none)))).drop("__new")
+    states = decided.select("article_id", "decision")
+    return decided.withColumn("created_at", now), apply_decisions(articles, states), united
 
 
 def latest_decisions(decisions: DataFrame) -> DataFrame:
@@ -111,6 +192,7 @@ def apply_decisions(articles: DataFrame, decided: DataFrame) -> DataFrame:
     d = decided.select(F.col("article_id").alias("id"), F.col("decision").alias("__d"))
     rows = articles.join(d, "id", "left")
     status = F.when(F.col("__d") == "covered", "knowledge_duplicate").when(F.col("__d").isin("partial", "new_knowledge") & (F.col("status") == "knowledge_duplicate"), "normal").otherwise(F.col("status"))
+    # A pending decision leaves the article's status alone.
     known = F.when(F.col("__d") == "new_knowledge", "new").when(F.col("__d").isNotNull(), F.col("__d")).otherwise(F.col("knowledge_status"))
     return rows.withColumns({"status": status, "knowledge_status": known}).drop("__d")
 
@@ -182,20 +264,40 @@ def typed_points(reply: Column) -> Column:
     return F.transform(F.filter(got, lambda p: F.coalesce(F.trim(p["name"]), F.lit("")) != ""), fill)
 
 
-def merge_entries(entries: DataFrame, ids: list, target_name: str, now: Column) -> DataFrame:
-    """Entries after merging two active ones or more into the first: the rest are `merged`; summaries are joined and the
-    articles united and sorted. entries: entry_id, name, summary, status, article_ids, merged_into_id."""
-    chosen = entries.where(F.col("entry_id").isin(*ids) & (F.col("status") == "active"))
-    if chosen.count() < 2:
-        raise ValueError("a merge takes two active entries")
-    first = min(ids)
-    both = chosen.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("entry_id", "summary"))), lambda x: F.nullif(x["summary"], F.lit(""))), "；").alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("article_ids")))).alias("a"))
-    rows = entries.crossJoin(F.broadcast(both))  # one row
-    head, other = F.col("entry_id") == first, F.col("entry_id").isin(*[x for x in ids if x != first])
+def merge_entries(entries: DataFrame, ids: list, target_id, target_name: str, target_summary: str = "") -> DataFrame:  # noqa: ANN001
+    """Entries after merging two active ones or more into a new one, `target_id`: they are `merged` into it; without a
+    summary of its own it has theirs, joined in the order given; it has the articles of all, sorted.
+    entries: entry_id, name, summary, status, article_ids, merged_into_id."""
+    order = {x: n for n, x in enumerate(ids)}
+    chosen = entries.where(F.col("entry_id").isin(*order) & (F.col("status") == "active"))
+    if len(order) < 2 or chosen.count() < len(order):
+        raise ValueError("a merge takes two entries or more, all of them active")
+    place = F.element_at(F.create_map(*[F.lit(x) for pair in order.items() for x in pair]), F.col("entry_id"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(place.alias("n"), "summary"))), lambda x: F.nullif(x["summary"], F.lit(""))), "；")
+    target = chosen.agg(
+        F.lit(target_id).cast(entries.schema["entry_id"].dataType).alias("entry_id"), F.lit(target_name[:300]).alias("name"), (F.lit(target_summary) if target_summary else joined).alias("summary"), F.lit("active").alias("status"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("article_ids")))).alias("article_ids"),
+    )
+    gone = F.col("entry_id").isin(*order)
+    rest = entries.withColumns({"status": F.when(gone, "merged").otherwise(F.col("status")), "merged_into_id": F.when(gone, F.lit(target_id)).otherwise(F.col("merged_into_id"))})
+    return rest.unionByName(target, allowMissingColumns=True)
+
+
+def create_entries(entries: DataFrame, new: DataFrame) -> DataFrame:
+    """Entries with new ones (entry_id, name, summary, ...), active, names trimmed and cut to 300; a blank name is an error."""
+    name = F.substring(F.trim("name"), 1, 300)
+    checked = F.when(F.coalesce(name, F.lit("")) == "", F.raise_error("an entry needs a name")).otherwise(name)
+    return entries.unionByName(new.withColumns({"name": checked, "summary": F.coalesce("summary", F.lit("")), "status": F.lit("active")}), allowMissingColumns=True)
+
+
+def update_entries(entries: DataFrame, changes: DataFrame) -> DataFrame:
+    """Entries after changes (entry_id, name, summary, article_ids; null: no change). A blank name is an error; articles are
+    added, each once."""
+    c = changes.select("entry_id", F.substring(F.trim("name"), 1, 300).alias("__n"), F.col("summary").alias("__s"), F.col("article_ids").alias("__a"))
+    rows, none = entries.join(c, "entry_id", "left"), F.array().cast("array<bigint>")
     return rows.withColumns({
-        "name": F.when(head, target_name).otherwise(F.col("name")), "summary": F.when(head, F.col("s")).otherwise(F.col("summary")), "article_ids": F.when(head, F.col("a")).otherwise(F.col("article_ids")),
-        "status": F.when(other, "merged").otherwise(F.col("status")), "merged_into_id": F.when(other, first).otherwise(F.col("merged_into_id")),
-    }).drop("s", "a")
+        "name": F.when(F.col("__n") == "", F.raise_error("an entry needs a name")).otherwise(F.coalesce("__n", "name")), "summary": F.coalesce("__s", "summary"), "article_ids": F.array_distinct(F.concat(F.coalesce("article_ids", none), F.coalesce("__a", none))),
+    }).drop("__n", "__s", "__a")
 
 
 def retire(entries: DataFrame, entry_id) -> DataFrame:  # noqa: ANN001

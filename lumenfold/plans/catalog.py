@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import content, duplicates, notices, relational, streams
+from . import content, duplicates, notices, records, relational, streams
 
-PARTS = (content, duplicates, notices, relational, streams)
+PARTS = (content, duplicates, notices, records, relational, streams)
 
 
 def queries() -> dict:

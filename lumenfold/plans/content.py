@@ -85,12 +85,16 @@ def link_discovery(spark, sf_dir):  # noqa: ANN001, ANN201
     return crawl.discover(table(spark, sf_dir, "pages"))
 
 
+#: robots.txt by whether a host's name has an even number of characters: with a group of the crawler's own, or without.
+ROBOTS = ("User-agent: other\nDisallow: /\n\nUser-agent: LumenBot\nUser-agent: third\nAllow: /en/7\nDisallow: /en/ # closed\nDisallow: /fr/\n\nUser-agent: *\nDisallow: /", "User-agent: *\nDisallow: /en/\nAllow: /en/7\nDisallow:\nDisallow: /")
+
+
 def robots_allowed(spark, sf_dir):  # noqa: ANN001, ANN201
-    """Rules made of the hosts themselves: /en/ is closed, /en/7 open again."""
+    """Pages that a crawler may fetch by the robots.txt of their hosts; some hosts have none."""
     p = table(spark, sf_dir, "pages")
-    origin = p.select(F.lower(F.concat(urls.scheme(F.col("url")), F.lit("://"), urls.authority(F.col("url")))).alias("origin")).distinct()
-    rules_ = origin.select("origin", F.lit("*").alias("agent"), F.explode(F.array(F.struct(F.lit("/en/").alias("prefix"), F.lit(False).alias("allow")), F.struct(F.lit("/en/7").alias("prefix"), F.lit(True).alias("allow")))).alias("r")).select("origin", "agent", "r.*")
-    return crawl.allowed_by_robots(p, rules_).select("page_id", "allowed")
+    host = urls.authority(F.col("url"))
+    files = p.select(urls.origin(F.col("url")).alias("origin"), F.when(F.length(host) % 3 == 0, F.lit(None)).when(F.length(host) % 2 == 0, ROBOTS[0]).otherwise(ROBOTS[1]).alias("text")).distinct()
+    return crawl.allowed_by_robots(p, crawl.robots_rules(files), "LumenBot/1.0").select("page_id", "allowed")
 
 
 def throttle_schedule(spark, sf_dir):  # noqa: ANN001, ANN201
@@ -173,7 +177,7 @@ SQL = {
     "url_parts": f"SELECT page_id, scheme, host, {BARE} AS path FROM ({URL})",
     "url_scores": f"SELECT page_id, (CASE WHEN regexp_matches(p, '/(?:19|20)[0-9][0-9]') THEN 3 ELSE 0 END + CASE WHEN {_segments(rules.ARTICLE_SEGMENTS)} THEN 3 ELSE 0 END + CASE WHEN regexp_matches(p, '\\.(html|htm|shtml)$') THEN 2 ELSE 0 END + 2 + CASE WHEN len(s) >= 2 THEN 1 ELSE 0 END - CASE WHEN {_segments(rules.NAV_SEGMENTS)} THEN 3 ELSE 0 END)::BIGINT AS score FROM (SELECT page_id, lower(path) AS p, list_filter(string_split(lower(path), '/'), lambda x: x <> '') AS s FROM ({URL}))",
     "html_titles": "SELECT page_id, trim(replace(replace(replace(replace(replace(regexp_extract(html, '<h1[^>]*>(.*?)</h1>', 1, 's'), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#39;', chr(39)), '&amp;', '&')) AS title FROM pages",
-    "robots_allowed": f"SELECT page_id, NOT starts_with(path, '/en/') OR starts_with(path, '/en/7') AS allowed FROM ({URL})",
+    "robots_allowed": f"SELECT page_id, CASE WHEN length(host) % 3 = 0 THEN true WHEN length(host) % 2 = 0 THEN starts_with(path, '/en/7') OR NOT (starts_with(path, '/en/') OR starts_with(path, '/fr/')) ELSE NOT starts_with(path, '/en/') END AS allowed FROM ({URL})",
     "throttle_schedule": f"SELECT page_id, (row_number() OVER (PARTITION BY host ORDER BY page_id) - 1)::DOUBLE AS not_before FROM ({URL})",
     "cosine_topk": TOPK,
     "cosine_topk_native": TOPK,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import text
+from ..functions import rules, text
 from ..operators import browse, dedup, insights
 from ..sources.store import stored
 from .tables import ARTICLES, GROUPS, LINKS, NEAREST, NORMAL, PRINTS, articles, contents
@@ -92,11 +92,11 @@ def related_bidirectional(spark, sf_dir):  # noqa: ANN001, ANN201
 
 
 def threshold_preview(spark, sf_dir):  # noqa: ANN001, ANN201
-    return dedup.preview(prints(spark, sf_dir), 0.90, 0.85).where("change <> 'unchanged'")
+    return dedup.preview(prints(spark, sf_dir), 0.90, 0.85)
 
 
 def threshold_preview_stricter(spark, sf_dir):  # noqa: ANN001, ANN201
-    return dedup.preview(prints(spark, sf_dir), 0.90, 0.95).where("change <> 'unchanged'")
+    return dedup.preview(prints(spark, sf_dir), 0.90, 0.95)
 
 
 def threshold_preview_changes(spark, sf_dir):  # noqa: ANN001, ANN201
@@ -104,7 +104,7 @@ def threshold_preview_changes(spark, sf_dir):  # noqa: ANN001, ANN201
     p = prints(spark, sf_dir)
     linked = stored(dedup.links(p), "links")
     changes = dedup.preview_stored(p, dedup.groups(linked), dedup.related(p, linked), 0.85)
-    return changes.groupBy("change").agg(F.count("*").alias("pairs"))
+    return dedup.with_unchanged(p, stored(changes.groupBy("change").agg(F.count("*").alias("pairs")), "preview-counts"))
 
 
 def hit_report(spark, sf_dir):  # noqa: ANN001, ANN201
@@ -144,26 +144,39 @@ def article_list(spark, sf_dir):  # noqa: ANN001, ANN201
     tags = found.select("id", F.array_sort("tags").alias("tags"))
     sources = a.select(F.col("source_id").alias("id"), F.concat(F.lit("Site "), F.col("source_id")).alias("name")).distinct()
     decisions = a.where("knowledge_status is not null").select("id", F.col("knowledge_status").alias("decision"))
-    return browse.list_items(found.drop("tags"), categories(spark, sf_dir), sources, tags, sizes, decisions).drop("summary", "categories", "tags")
+    out = browse.list_items(found.drop("tags"), categories(spark, sf_dir), sources, tags, sizes, decisions)
+    return out.withColumns({"categories": F.array_join("categories", ","), "tags": F.array_join("tags", ",")})
 
 
 def article_detail(spark, sf_dir):  # noqa: ANN001, ANN201
     """The record that the last member of the largest group stands for."""
     rel = relations(spark, sf_dir)
     some = rel.groupBy("group_key").agg(F.count("*").alias("n"), F.max("article_id").alias("last")).orderBy(F.desc("n"), "group_key").first()
-    edges = rel.limit(0).select("article_id", "target_article_id")
-    out = browse.detail(articles(spark, sf_dir), rel, edges, some["last"] if some else -1)
+    a = articles(spark, sf_dir)
+    edges = a.where("id > 0").select(F.col("id").alias("article_id"), (F.col("id") - 1).alias("target_article_id"))
+    out = browse.detail(a, rel, edges, some["last"] if some else -1)
     return out.select("id", F.size("sources").cast("long").alias("sources"), F.size("related").cast("long").alias("related"))
 
 
+def inaccessible_reelection(spark, sf_dir):  # noqa: ANN001, ANN201
+    """Primaries after every third member became inaccessible."""
+    rows = stored(members(spark, sf_dir), "members")
+    return dedup.elect(dedup.mark_inaccessible(rows, rows.where("id % 3 = 0").select("id")))
+
+
 QUERIES = {f.__name__: f for f in (
     content_fingerprint, simhash64, simhash64_native, exact_duplicate_groups, exact_hidden_members, nearest_near, nearest_related, dedup_links, dedup_groups, group_primary, group_reelection, relation_rows, group_sizes,
-    group_overview, related_bidirectional, threshold_preview, threshold_preview_stricter, threshold_preview_changes, hit_report, visible_documents_page, visible_total, insights_dedup_stats, insights_category_distribution, article_list, article_detail,
+    group_overview, related_bidirectional, threshold_preview, threshold_preview_stricter, threshold_preview_changes, hit_report, visible_documents_page, visible_total, insights_dedup_stats, insights_category_distribution, article_list, article_detail, inaccessible_reelection,
 )}
 ELECTION = "is_accessible DESC, weight DESC, published_at ASC NULLS LAST, length(content) DESC, length(trim(title)) - CASE WHEN regexp_matches(lower(title), '首页|无标题|untitled|404|导航|目录') THEN 100 ELSE 0 END DESC, crawled_at, id"
 ELECTED = f"{ARTICLES}, e AS (SELECT group_key, root, g.id, a.title, row_number() OVER (PARTITION BY group_key ORDER BY {ELECTION.replace(', id', ', g.id')}) AS n FROM g JOIN a ON g.id = a.id)"
 HIDDEN = f"{PRINTS}, {ARTICLES}, v AS (SELECT * FROM a WHERE status NOT IN ('filtered', 'error', 'knowledge_duplicate') AND (knowledge_status IS NULL OR knowledge_status <> 'covered') AND id NOT IN (SELECT id FROM x WHERE first_id < id))"
-PREVIEW = "WITH {prints}, q AS (SELECT bit_count(xor(a.simhash, b.simhash)) AS d FROM p a JOIN p b ON a.id < b.id AND a.content_hash <> b.content_hash) SELECT {change} AS change, count(*) AS pairs FROM q WHERE {test} GROUP BY 1"
+PREVIEW = "WITH {prints}, q AS (SELECT a.content_hash <> b.content_hash AS other, bit_count(xor(a.simhash, b.simhash)) AS d FROM p a JOIN p b ON a.id < b.id) SELECT CASE WHEN other AND {test} THEN {change} ELSE 'unchanged' END AS change, count(*) AS pairs FROM q GROUP BY 1"
+RELATIONS = f"""{ELECTED}, j AS (SELECT e.*, l.relation_type, l.similarity, min(n) OVER (PARTITION BY group_key ORDER BY e.id) AS led, coalesce(relation_type = 'near_duplicate', false) AS near FROM e LEFT JOIN l ON l.id = e.id),
+  k AS (SELECT *, bool_or(near) OVER (PARTITION BY group_key ORDER BY id) AS any_near, coalesce(led <> lag(led) OVER (PARTITION BY group_key ORDER BY id), false) AS switch FROM j),
+  y AS (SELECT *, bool_or(switch AND any_near) OVER (PARTITION BY group_key ORDER BY id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS recast, coalesce(relation_type, lead(relation_type) OVER (PARTITION BY group_key ORDER BY id)) AS own FROM k),
+  rel AS (SELECT y.id AS article_id, t.id AS target_article_id, y.group_key, CASE WHEN recast THEN 'near_duplicate' ELSE own END AS relation_type, y.n = 1 AS is_primary, round(CASE WHEN y.n = 1 OR led = y.n THEN 1.0 ELSE similarity END, 6)::DOUBLE AS similarity,
+    CASE WHEN y.n = 1 THEN '{rules.PRIMARY_EVIDENCE}' WHEN led = y.n THEN NULL WHEN y.relation_type = 'near_duplicate' THEN printf('SimHash 相似度 %.3f ≥ 阈值 0.90', similarity) END AS evidence FROM y JOIN e t ON t.group_key = y.group_key AND t.n = 1)"""
 SQL = {
     "content_fingerprint": f"SELECT doc_id AS id, sha256({NORMAL}) AS content_hash FROM documents",
     "simhash64": f"WITH {PRINTS} SELECT id, simhash FROM p",
@@ -179,14 +192,21 @@ SQL = {
     "group_sizes": f"WITH RECURSIVE {GROUPS} SELECT group_key, count(*) AS sources FROM g GROUP BY 1",
     "related_bidirectional": f"WITH {LINKS}, f AS ({NEAREST.format(d=32)}), r AS (SELECT id AS article_id, nearest AS related_id FROM f WHERE id NOT IN (SELECT id FROM l)) SELECT * FROM r UNION SELECT related_id, article_id FROM r",
     "threshold_preview": PREVIEW.format(prints=PRINTS, change="'would_merge'", test="d > 6 AND d <= 9"),
+    "relation_rows": f"WITH RECURSIVE {GROUPS}, {RELATIONS} SELECT * FROM rel",
+    "group_overview": f"WITH RECURSIVE {GROUPS}, {RELATIONS} SELECT group_key, max(article_id) FILTER (WHERE is_primary) AS primary_id, count(*) AS members, count(*) FILTER (WHERE relation_type = 'exact_duplicate') AS exact_rows FROM rel GROUP BY 1",
+    "insights_dedup_stats": f"WITH RECURSIVE {GROUPS}, {RELATIONS}, c AS (SELECT count(*) FILTER (WHERE relation_type = 'exact_duplicate' AND NOT is_primary) AS exact, count(*) FILTER (WHERE relation_type = 'near_duplicate' AND NOT is_primary) AS near FROM rel) SELECT exact, near, 0::BIGINT AS related, exact + near AS merged, total, greatest(0, total - exact - near) AS unique_articles FROM c, (SELECT count(*) AS total FROM a WHERE status <> 'filtered')",
+    "article_list": f"""WITH RECURSIVE {GROUPS}, {ELECTED}, z AS (SELECT group_key, count(*) AS sources FROM g GROUP BY 1)
+  SELECT a.id, a.title, a.summary, a.url, coalesce(published_at, crawled_at) AS time, CASE WHEN category IN ('de', 'en', 'es', 'fr', 'it') THEN upper(category) ELSE '' END AS categories, CASE WHEN source_id IS NULL THEN '{rules.UNKNOWN_SOURCE}' ELSE 'Site ' || source_id END AS source_name, array_to_string(list_sort([category, source_id]), ',') AS tags, coalesce(sources, 1) AS sources, knowledge_status, knowledge_status AS decision
+  FROM a LEFT JOIN e ON e.id = a.id LEFT JOIN z ON z.group_key = e.group_key WHERE coalesce(n, 1) = 1 AND status NOT IN ('filtered', 'error', 'knowledge_duplicate') AND (knowledge_status IS NULL OR knowledge_status <> 'covered') ORDER BY 5 DESC, 1 LIMIT 100""",
+    "inaccessible_reelection": f"WITH RECURSIVE {GROUPS}, {ELECTED.replace('is_accessible DESC', '(is_accessible AND g.id % 3 <> 0) DESC')} SELECT group_key, id AS primary_id FROM e WHERE n = 1",
     "threshold_preview_stricter": PREVIEW.format(prints=PRINTS, change="'would_unmerge'", test="d <= 6 AND d > 3"),
     "threshold_preview_changes": f"""WITH RECURSIVE {GROUPS}, f AS ({NEAREST.format(d=32)}), e AS (SELECT nearest AS u, id AS v FROM f WHERE id NOT IN (SELECT id FROM l)),
   q AS (SELECT bit_count(xor(a.simhash, b.simhash)) AS d, CASE WHEN ga.root = gb.root THEN 'near' WHEN e.u IS NOT NULL THEN 'related' ELSE 'none' END AS cur FROM p a JOIN p b ON a.id < b.id AND a.content_hash <> b.content_hash
     LEFT JOIN g ga ON ga.id = a.id LEFT JOIN g gb ON gb.id = b.id LEFT JOIN e ON e.u = a.id AND e.v = b.id),
   w AS (SELECT cur, CASE WHEN d <= 9 THEN 'near' WHEN d <= 32 THEN 'related' ELSE 'none' END AS new FROM q)
-  SELECT CASE WHEN new = 'near' THEN 'would_merge' WHEN cur = 'near' THEN 'would_unmerge' WHEN new = 'related' THEN 'would_relate' ELSE 'would_unrelate' END AS change, count(*) AS pairs FROM w WHERE cur <> new GROUP BY 1""",
+  SELECT CASE WHEN new = cur THEN 'unchanged' WHEN new = 'near' THEN 'would_merge' WHEN cur = 'near' THEN 'would_unmerge' WHEN new = 'related' THEN 'would_relate' ELSE 'would_unrelate' END AS change, (count(*) + CASE WHEN change = 'unchanged' THEN (SELECT count(*) FROM p a JOIN p b ON a.id < b.id AND a.content_hash = b.content_hash) ELSE 0 END)::BIGINT AS pairs FROM w GROUP BY 1""",
     "hit_report": f"WITH RECURSIVE {GROUPS}, {ELECTED} SELECT e.id AS article_id, f.id AS target_article_id, e.title AS article_title, f.title AS target_title FROM e JOIN e f ON e.group_key = f.group_key AND f.n = 1 WHERE e.n > 1",
-    "article_detail": f"WITH RECURSIVE {GROUPS}, {ELECTED} SELECT id, sources, 0::BIGINT AS related FROM (SELECT group_key, max(id) FILTER (WHERE n = 1) AS id, count(*) AS sources FROM e GROUP BY 1 ORDER BY 3 DESC, 1 LIMIT 1)",
+    "article_detail": f"WITH RECURSIVE {GROUPS}, {ELECTED} SELECT id, sources, (SELECT count(*) FROM a WHERE a.id IN (q.id - 1, q.id + 1)) AS related FROM (SELECT group_key, max(id) FILTER (WHERE n = 1) AS id, count(*) AS sources FROM e GROUP BY 1 ORDER BY 3 DESC, 1 LIMIT 1) q",
     "visible_documents_page": f"WITH {HIDDEN} SELECT id, coalesce(published_at, crawled_at) AS time, category FROM v ORDER BY 2 DESC, 1 LIMIT 50 OFFSET 50",
     "visible_total": f"WITH {HIDDEN} SELECT count(*) AS total, greatest(1, ceil(count(*) / 50.0))::BIGINT AS pages FROM v",
     "insights_category_distribution": f"WITH {PRINTS}, {ARTICLES}, c AS (SELECT unnest(['de', 'en', 'es', 'fr', 'it']) AS id) SELECT upper(c.id) AS name, count(v.id) AS articles FROM c LEFT JOIN (SELECT * FROM a WHERE status <> 'filtered' AND id NOT IN (SELECT id FROM x WHERE first_id < id)) v ON v.category = c.id GROUP BY 1",

@@ -65,7 +65,12 @@ def subscriptions(spark, sf_dir):  # noqa: ANN001, ANN201
 def entries(spark, sf_dir):  # noqa: ANN001, ANN201
     a = articles(spark, sf_dir)
     digested = a.where("n_chars > 2000").select(F.lit(3).cast("long").alias("subscription_id"), F.col("id").alias("article_id"))
-    return digests.collect_entries(subscriptions(spark, sf_dir), topics(spark, sf_dir), a, a.limit(0).select(F.col("id").alias("article_id")), digested, F.lit("2024-01-01 12:00:00").cast("timestamp"))
+    hidden = a.where("n_chars % 5 = 0").select(F.col("id").alias("article_id"))
+    return digests.collect_entries(subscriptions(spark, sf_dir), topics(spark, sf_dir), a, hidden, digested, NOON())
+
+
+def NOON():  # noqa: ANN201, N802
+    return F.lit("2024-01-01 12:00:00").cast("timestamp")
 
 
 def digest_entries(spark, sf_dir):  # noqa: ANN001, ANN201
@@ -80,9 +85,113 @@ def digest_plan(spark, sf_dir):  # noqa: ANN001, ANN201
     return digests.plan(s, old, none, now(), False, 3).select("subscription_id", "action")
 
 
+def digest_actions(spark, sf_dir):  # noqa: ANN001, ANN201
+    """Actions at noon of the first day, with what each digest would hold."""
+    s = subscriptions(spark, sf_dir)
+    old = table(spark, sf_dir, "benchmark").where("item_id % 7 = 0").select(F.col("item_id").alias("subscription_id"), F.lit("2024-01-01").cast("timestamp").alias("period_start"), F.when(F.col("item_id") % 2 == 0, "sent").otherwise("failed").alias("status"), F.lit(1).alias("retry_count"))
+    return digests.plan(s, old, entries(spark, sf_dir), NOON(), False, 3).select("subscription_id", "items", "action")
+
+
 def rendered_digests(spark, sf_dir):  # noqa: ANN001, ANN201
-    mails = digests.render(entries(spark, sf_dir), subscriptions(spark, sf_dir), articles(spark, sf_dir))
-    return mails.select("subscription_id", "email", F.length("mail.html").alias("n_html"), F.length("mail.text").alias("n_text"))
+    """The mails of noon of the first day, empty ones too."""
+    a = articles(spark, sf_dir)
+    sources = a.select(F.col("source_id").alias("id"), F.concat(F.lit("Site <"), "source_id", F.lit(">")).alias("name")).distinct().where("id <> 'src1'")
+    sizes = a.select(F.col("id").alias("article_id"), (F.col("n_chars") % 3).alias("sources"))
+    s = subscriptions(spark, sf_dir)
+    tokens = s.select(F.col("id").alias("subscription_id"), F.concat(F.lit("t"), "id").alias("token"))
+    return digests.render(entries(spark, sf_dir), s, a, NOON(), sources, topics(spark, sf_dir), sizes, tokens, "https://site.example/", send_empty=True)
+
+
+def tokens(spark, sf_dir):  # noqa: ANN001, ANN201
+    """Subscriptions with the hashes of their tokens; addresses are shared by four."""
+    b = table(spark, sf_dir, "benchmark")
+    id_ = F.col("item_id")
+    status = F.when(id_ % 3 == 0, "pending_confirmation").when(id_ % 3 == 1, "confirmed").otherwise("unsubscribed")
+    none = F.lit(None).cast("timestamp")
+    return b.select(
+        id_.alias("id"), F.concat(F.lit("r"), F.floor(id_ / 4), F.lit("@example.org")).alias("email"), status.alias("status"), text.hash_token(F.concat(F.lit("c"), id_)).alias("confirm_token_hash"), text.hash_token(F.concat(F.lit("u"), id_)).alias("unsubscribe_token_hash"),
+        F.when(id_ % 2 == 0, F.lit("2024-01-01")).otherwise(F.lit("2024-02-01")).cast("timestamp").alias("confirm_expires_at"), none.alias("confirmed_at"), none.alias("unsubscribed_at"),
+    )
+
+
+def confirmations(spark, sf_dir):  # noqa: ANN001, ANN201
+    """Outcomes of all tokens and a wrong one, beside the states they leave."""
+    s = tokens(spark, sf_dir)
+    asked = s.select(F.concat(F.lit("c"), "id").alias("token")).unionByName(spark.createDataFrame([("wrong",), ("",)], "token string"))
+    out, told = digests.confirm(s, asked, now())
+    return told.select("token", F.col("outcome").alias("state")).unionByName(out.select(F.concat(F.lit("after "), "id").alias("token"), F.concat_ws(" ", "status", F.col("confirmed_at").cast("string")).alias("state")))
+
+
+def unsubscriptions(spark, sf_dir):  # noqa: ANN001, ANN201
+    """How many subscriptions each request ended, beside the states they leave."""
+    s = tokens(spark, sf_dir)
+    asked = s.where("id % 5 = 0").select(F.concat(F.lit("u"), "id").alias("token"), F.when(F.col("id") % 2 == 0, "all").otherwise("self").alias("scope")).unionByName(spark.createDataFrame([("wrong", "all")], "token string, scope string"))
+    out, told = digests.unsubscribe(s, asked, now())
+    return told.select("token", F.col("ended").cast("string").alias("state")).unionByName(out.select(F.concat(F.lit("after "), "id").alias("token"), F.concat_ws(" ", "status", F.col("unsubscribed_at").cast("string")).alias("state")))
+
+
+def deleted_subscriptions(spark, sf_dir):  # noqa: ANN001, ANN201
+    s = tokens(spark, sf_dir)
+    kept, own = digests.delete_by_token(s, topics(spark, sf_dir), s.where("id % 3 = 0").select(F.concat(F.lit("u"), "id").alias("token")))
+    return kept.select("id").join(own.groupBy(F.col("subscription_id").alias("id")).agg(F.count("*").alias("topics")), "id", "full")
+
+
+def send_windows(spark, sf_dir):  # noqa: ANN001, ANN201
+    e = logged(spark, sf_dir)
+    open_ = digests.in_window(F.lit(9), F.lit(21), F.col("ts"))
+    always = digests.in_window(F.lit(5), F.lit(5), F.col("ts"))
+    return e.groupBy(open_.alias("open"), always.alias("always")).agg(F.count("*").alias("n"))
+
+
+def delivery_outcomes(spark, sf_dir):  # noqa: ANN001, ANN201
+    """Digests after a delivery that reached some of them."""
+    d = delivered(spark, sf_dir).withColumns({"sent_at": F.lit(None).cast("timestamp"), "retry_count": F.lit(1), "error": F.lit("old")})
+    o = d.where("id % 3 <> 0").select("id", (F.col("id") % 3 == 1).alias("ok"), F.when(F.col("id") % 3 == 2, "refused").alias("error"))
+    return digests.apply_outcomes(d, o, now()).groupBy("status", "retry_count", "error", F.col("sent_at").isNotNull().alias("sent_now")).agg(F.count("*").alias("n"))
+
+
+def sent_marks(spark, sf_dir):  # noqa: ANN001, ANN201
+    s = subscriptions(spark, sf_dir)
+    d = s.where("id % 2 = 0").select(F.col("id").alias("subscription_id"), (F.col("id") % 4 == 0).alias("ok"))
+    return digests.mark_sent(s, d, now()).select("id", "last_sent_at")
+
+
+def digest_detail(spark, sf_dir):  # noqa: ANN001, ANN201
+    """What the digest of noon of subscription 3 holds, one of its articles deleted since."""
+    a = articles(spark, sf_dir)
+    items = entries(spark, sf_dir).select(F.col("subscription_id").alias("digest_id"), "article_id", "position", F.array_join("reasons", ";").alias("matched_topics"))
+    d = subscriptions(spark, sf_dir).select("id")
+    sources = a.select(F.col("source_id").alias("id"), F.upper("source_id").alias("name")).distinct().where("id <> 'src1'")
+    out = digests.digest_detail(d, items, a.where("id % 2 = 0"), sources, 3)
+    return out.select(F.col("position").cast("long").alias("position"), "article_id", "url", "source_name", "matched_topics")
+
+
+def valid_requests(spark, sf_dir):  # noqa: ANN001, ANN201
+    """What is wrong with subscription requests made of customers."""
+    key = F.col("c_custkey")
+    email = F.when(key % 7 == 0, "nobody at home").otherwise(F.concat(F.lower(F.replace("c_name", F.lit("#"), F.lit("."))), F.lit("@x.org")))
+    topic = F.struct(F.when(key % 5 == 0, "mood").otherwise("keyword").alias("topic_type"), F.repeat(F.lit("x"), (key % 55).cast("int")).alias("topic_value"))
+    r = table(spark, sf_dir, "customer").select("c_custkey", email.alias("email"), (key % 60).alias("max_items"), F.array_repeat(topic, (key % 23).cast("int")).alias("topics"))
+    return digests.valid_subscriptions(r).select("c_custkey", "reject")
+
+
+def knowledge_run(spark, sf_dir):  # noqa: ANN001, ANN201
+    """A run over the candidates: points are their titles, entries the titles of labelled articles, vectors tell titles
+    by their first letters. Articles with a short title have no points; extraction failed for some."""
+    a = articles(spark, sf_dir)
+    point = F.struct(F.col("title").alias("name"), F.lit("").alias("summary"), F.array().cast("array<string>").alias("claims"))
+    x = a.select(F.col("id").alias("article_id"), (F.col("id") % 11 != 0).alias("ok"), F.when(F.col("id") % 11 == 0, "slow").alias("error"), F.when(F.length("title") > 8, F.array(point)).otherwise(F.array().cast(f"array<{point_type()}>")).alias("points"))
+    vector = F.array(*[F.ascii(F.substring("name", k, 1)).cast("double") for k in (1, 2, 3)])
+    e = a.where("weight = 1").select(F.col("id").alias("entry_id"), F.col("title").alias("name"), F.lit("").alias("summary"), F.lit("active").alias("status"), F.array(F.col("id")).alias("article_ids"), F.lit(None).cast("long").alias("merged_into_id"))
+    e = e.withColumn("embedding", F.array(F.lit(1.0), F.lit(0.0), F.lit(0.0)))
+    decided, _, _ = knowledge.judge_run(a.withColumn("knowledge_status", F.lit(None).cast("string")).where("status = 'normal'"), x, e, vector, 0.99, 0.999, now(), limit=40)
+    return decided.groupBy("decision").agg(F.count("*").alias("n"))
+
+
+def point_type() -> str:
+    return "struct<name:string,summary:string,claims:array<string>>"
+
+
 
 
 def digest_topn_per_user(spark, sf_dir):  # noqa: ANN001, ANN201
@@ -227,7 +336,7 @@ def topic_labels(spark, sf_dir):  # noqa: ANN001, ANN201
 QUERIES = {f.__name__: f for f in (
     period_bucket_daily, period_bucket_weekly, topic_match_reasons, digest_entries, digest_plan, rendered_digests, digest_topn_per_user, digest_unsent, rate_limit_hour, usage_today, delivery_health, backlog_zero_filled, run_report, due_sources,
     interval_map, crawl_finalize, settings_history_lag, settings_current, settings_rollback, settings_overlay, knowledge_stats, push_blocked, knowledge_candidates, latest_decision_per_article, decided_articles, subscription_states,
-    equal_topic_sets, typed_points, masked_subscriptions, topic_labels,
+    equal_topic_sets, typed_points, masked_subscriptions, topic_labels, digest_actions, confirmations, unsubscriptions, deleted_subscriptions, send_windows, delivery_outcomes, sent_marks, digest_detail, valid_requests, knowledge_run,
 )}
 TOPIC = """t AS (SELECT item_id AS subscription_id, unnest([{'o': 0, 'k': 'keyword', 'v': string_split(text, ' ')[2]}, {'o': 1, 'k': 'category', 'v': CASE WHEN contains(text, 'ñ') THEN 'es' WHEN contains(text, 'é') THEN 'fr' END},
   {'o': 2, 'k': 'source', 'v': 'src' || length(text)}, {'o': 3, 'k': 'tag', 'v': CASE WHEN contains(text, 'ñ') THEN 'es' WHEN contains(text, 'é') THEN 'fr' END}]) AS s FROM benchmark),
@@ -238,12 +347,38 @@ STATUS_SQL = "CASE event_type WHEN 'click' THEN 'sent' WHEN 'purchase' THEN 'sen
 SOURCES = "s AS (SELECT user_id AS id, max(ts) AS last_crawled_at, arg_max(event_type, (ts, event_id)) AS kind, count(*) AS n FROM events GROUP BY 1), i AS (SELECT *, CASE kind WHEN 'view' THEN 10800 WHEN 'click' THEN 604800 WHEN 'error' THEN n * 60 ELSE 86400 END::BIGINT AS seconds FROM s)"
 HISTORY = "h AS (SELECT event_id AS id, event_type AS key, round(value, 2) AS new_value, ts, lag(round(value, 2)) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS old_value FROM events)"
 DECISIONS = "d AS (SELECT conv_id AS article_id, arg_max(conv_id * 100000 + turn, turn) AS id, arg_max(CASE WHEN role = 'user' THEN 'covered' WHEN length(text) > 200 THEN 'partial' ELSE 'new_knowledge' END, turn) AS decision FROM conversations GROUP BY 1)"
+TOKENS = "k AS (SELECT item_id AS id, item_id // 4 AS e, CASE item_id % 3 WHEN 0 THEN 'pending_confirmation' WHEN 1 THEN 'confirmed' ELSE 'unsubscribed' END AS status, item_id % 2 = 0 AS late FROM benchmark)"
+
+
+def ESC(c: str) -> str:  # noqa: N802
+    return f"replace(replace(replace(replace(replace({c}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(39), '&#39;'), chr(34), '&#34;')"
+
+
+ENTRIES = "n AS (SELECT subscription_id, article_id, position FROM (SELECT subscription_id, article_id, row_number() OVER (PARTITION BY subscription_id ORDER BY coalesce(published_at, TIMESTAMP '2024-01-01 12:00:00') DESC, crawled_at DESC, article_id DESC) AS position FROM (SELECT DISTINCT subscription_id, article_id FROM m) JOIN a ON a.id = article_id WHERE status NOT IN ('filtered', 'error', 'knowledge_duplicate') AND (knowledge_status IS NULL OR knowledge_status NOT IN ('covered', 'pending')) AND crawled_at >= TIMESTAMP '2024-01-01' AND n_chars % 5 <> 0 AND NOT (subscription_id = 3 AND n_chars > 2000)) WHERE position <= 5)"
 SQL = {
     "period_bucket_daily": "SELECT date_trunc('day', ts)::TIMESTAMP AS start, date_trunc('day', ts)::TIMESTAMP + INTERVAL 1 DAY AS end, count(*) AS n FROM events GROUP BY 1, 2",
     "period_bucket_weekly": "SELECT date_trunc('week', ts)::TIMESTAMP AS start, date_trunc('week', ts)::TIMESTAMP + INTERVAL 7 DAY AS end, count(*) AS n FROM events GROUP BY 1, 2",
     "topic_match_reasons": f"WITH {MATCH} SELECT subscription_id, article_id, string_agg(reason, ';' ORDER BY o) AS reasons FROM m GROUP BY 1, 2",
-    "digest_entries": f"WITH {MATCH} SELECT subscription_id, article_id, position FROM (SELECT subscription_id, article_id, row_number() OVER (PARTITION BY subscription_id ORDER BY coalesce(published_at, TIMESTAMP '2024-01-01 12:00:00') DESC, crawled_at DESC, article_id DESC) AS position FROM (SELECT DISTINCT subscription_id, article_id FROM m) JOIN a ON a.id = article_id WHERE status NOT IN ('filtered', 'error', 'knowledge_duplicate') AND (knowledge_status IS NULL OR knowledge_status NOT IN ('covered', 'pending')) AND crawled_at >= TIMESTAMP '2024-01-01' AND NOT (subscription_id = 3 AND n_chars > 2000)) WHERE position <= 5",
+    "digest_entries": f"WITH {MATCH}, {ENTRIES} SELECT * FROM n",
     "digest_plan": "SELECT item_id AS subscription_id, CASE WHEN length(text) > 220 THEN 'return' WHEN length(text) > 180 THEN 'resend' ELSE 'skip' END AS action FROM benchmark WHERE length(text) > 120",
+    "digest_actions": f"WITH {MATCH}, {ENTRIES} SELECT item_id AS subscription_id, count(article_id) AS items, CASE WHEN item_id % 14 = 0 THEN 'return' WHEN item_id % 7 = 0 THEN 'resend' WHEN length(text) > 200 THEN 'none' WHEN count(article_id) = 0 THEN 'skip' ELSE 'create' END AS action FROM benchmark LEFT JOIN n ON n.subscription_id = item_id WHERE length(text) > 120 GROUP BY item_id, text",
+    "rendered_digests": f"""WITH {MATCH}, {ENTRIES}, r AS (SELECT subscription_id, article_id, string_agg(reason, '、' ORDER BY o) AS reasons FROM m GROUP BY 1, 2),
+  i AS (SELECT subscription_id, position, title, url, CASE WHEN source_id = 'src1' THEN '{rules.UNKNOWN_SOURCE}' ELSE 'Site <' || source_id || '>' END AS source, coalesce(strftime(published_at, '%Y-%m-%d %H:%M'), '{rules.UNKNOWN_TIME}') AS pub, reasons, CASE WHEN coalesce(summary, '') = '' THEN '{rules.MAIL_NO_SUMMARY}' ELSE summary END AS summary, CASE WHEN n_chars % 3 = 2 THEN '另有 1 个来源转载' END AS again FROM n JOIN r USING (subscription_id, article_id) JOIN a ON a.id = article_id),
+  g AS (SELECT subscription_id, count(*) AS k, string_agg('<li><a href="' || {ESC('url')} || '">' || {ESC('title')} || '</a><p>' || {ESC('source')} || '　·　' || pub || '　·　命中方向：' || {ESC('reasons')} || coalesce('　·　' || again, '') || '</p><p>' || {ESC('summary')} || '</p></li>', '' ORDER BY position) AS h,
+    string_agg(position || '. ' || title || chr(10) || '   来源：' || source || '　发布时间：' || pub || chr(10) || '   命中方向：' || reasons || chr(10) || '   摘要：' || summary || chr(10) || '   原文：' || url || coalesce(chr(10) || '   （该内容' || again || '）', ''), chr(10) ORDER BY position) AS t FROM i GROUP BY 1),
+  w AS (SELECT subscription_id, string_agg(reason, '、' ORDER BY o) AS topics FROM u GROUP BY 1),
+  b AS (SELECT item_id AS subscription_id, 'reader' || item_id || '@example.org' AS email, 're' || repeat('*', length('reader' || item_id) - 2) || '@example.org' AS masked, coalesce(k, 0) AS k, h, t, coalesce(topics, '') AS topics, 'https://site.example/unsubscribe?token=t' || item_id AS leave, '2024-01-01 ~ 2024-01-01（每日）' AS period FROM benchmark LEFT JOIN g ON g.subscription_id = item_id LEFT JOIN w ON w.subscription_id = item_id)
+  SELECT subscription_id, email, CASE WHEN k > 0 THEN '[每日摘要] 01-01 起 ' || k || ' 篇新内容' ELSE '[每日摘要] 本周期无新内容' END AS subject,
+  '<h1>订阅摘要</h1>' || chr(10) || '<p>' || masked || '　·　' || period || '　·　本期 ' || k || ' 篇</p>' || chr(10) || CASE WHEN k > 0 THEN '<ol>' || h || '</ol>' ELSE '<p>{rules.MAIL_NOTHING}</p>' END || chr(10) || '<p>{rules.MAIL_WHY}' || {ESC('topics')} || '。<br><a href="' || {ESC('leave')} || '">{rules.MAIL_LEAVE}</a>　·　{rules.MAIL_NOTE}</p>' AS html,
+  masked || ' 的订阅摘要（' || period || '）' || chr(10) || chr(10) || CASE WHEN k > 0 THEN '本期共 ' || k || ' 篇与你的订阅方向相关的新内容：' || chr(10) || chr(10) || t ELSE '{rules.MAIL_NOTHING}' END || chr(10) || chr(10) || '——' || chr(10) || '{rules.MAIL_WHY}' || topics || '。' || chr(10) || '{rules.MAIL_LEAVE_TEXT}' || leave || chr(10) || '{rules.MAIL_NOTE}' AS text FROM b""",
+    "confirmations": f"WITH {TOKENS}, o AS (SELECT *, CASE WHEN status = 'unsubscribed' THEN 'unsubscribed' WHEN status = 'pending_confirmation' AND late THEN 'expired' ELSE 'confirmed' END AS outcome FROM k) SELECT 'c' || id AS token, outcome AS state FROM o UNION ALL SELECT unnest(['wrong', '']), 'invalid' UNION ALL SELECT 'after ' || id, CASE WHEN status = 'pending_confirmation' AND NOT late THEN 'confirmed {NOW}' ELSE status END FROM o",
+    "unsubscriptions": f"WITH {TOKENS}, q AS (SELECT id, e, CASE WHEN id % 2 = 0 THEN 'all' ELSE 'self' END AS scope FROM k WHERE id % 5 = 0), h AS (SELECT q.id AS asked, k.id FROM q JOIN k ON k.id = q.id OR (scope = 'all' AND k.e = q.e)) SELECT 'u' || asked AS token, count(*)::VARCHAR AS state FROM h GROUP BY asked UNION ALL SELECT 'wrong', '0' UNION ALL SELECT 'after ' || id, CASE WHEN id IN (SELECT id FROM h) THEN 'unsubscribed {NOW}' ELSE status END FROM k",
+    "deleted_subscriptions": f"WITH {TOPIC} SELECT item_id AS id, count(k) AS topics FROM benchmark LEFT JOIN u ON subscription_id = item_id WHERE item_id % 3 <> 0 GROUP BY 1",
+    "send_windows": "SELECT hour(ts) BETWEEN 9 AND 20 AS open, true AS always, count(*) AS n FROM events GROUP BY 1, 2",
+    "delivery_outcomes": f"SELECT CASE event_id % 3 WHEN 1 THEN 'sent' WHEN 2 THEN 'failed' ELSE s END AS status, CASE event_id % 3 WHEN 2 THEN 2 ELSE 1 END::INT AS retry_count, CASE event_id % 3 WHEN 0 THEN 'old' WHEN 2 THEN 'refused' END AS error, event_id % 3 = 1 AS sent_now, count(*) AS n FROM (SELECT event_id, {STATUS_SQL} AS s FROM events) GROUP BY 1, 2, 3, 4",
+    "sent_marks": f"SELECT item_id AS id, CASE WHEN item_id % 4 = 0 THEN TIMESTAMP '{NOW}' END AS last_sent_at FROM benchmark",
+    "digest_detail": f"WITH {MATCH}, {ENTRIES}, r AS (SELECT subscription_id, article_id, string_agg(reason, ';' ORDER BY o) AS matched_topics FROM m GROUP BY 1, 2) SELECT position, article_id, CASE WHEN article_id % 2 = 0 THEN url END AS url, CASE WHEN article_id % 2 = 0 AND source_id <> 'src1' THEN upper(source_id) ELSE '{rules.UNKNOWN_SOURCE}' END AS source_name, matched_topics FROM n JOIN r USING (subscription_id, article_id) JOIN a ON a.id = article_id WHERE subscription_id = 3",
+    "valid_requests": "SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN 'email' WHEN c_custkey % 60 NOT BETWEEN 1 AND 50 THEN 'max_items' WHEN c_custkey % 23 NOT BETWEEN 1 AND 20 THEN 'topics' WHEN c_custkey % 5 <> 0 AND c_custkey % 55 NOT BETWEEN 1 AND 50 THEN 'keyword' WHEN c_custkey % 5 = 0 THEN 'topic_type' END AS reject FROM customer",
     "digest_topn_per_user": "SELECT user_id, event_id, position FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS position FROM events) WHERE position <= 5",
     "digest_unsent": "SELECT event_id, user_id FROM events WHERE event_type = 'view' AND user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase' AND ts < TIMESTAMP '2024-01-05')",
     "rate_limit_hour": "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY floor(epoch(ts))::BIGINT RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW) AS requests FROM events",

@@ -13,7 +13,11 @@ from ..functions import rules
 
 
 def shared_dir(spark: SparkSession) -> str:
+    """The folder that every executor shares: the session's spark.checkpoint.dir, or a local one where that is unset and
+    all runs in one process (tests)."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not where and ("local-cluster" in spark.sparkContext.master or not spark.sparkContext.master.startswith("local")):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return where or f"file:///tmp/lumenfold-checkpoints/{spark.sparkContext.applicationId}"
 
 

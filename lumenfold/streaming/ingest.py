@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from ..operators.dedup import fingerprints
-from ..sources.store import latest
+from ..sources.store import latest, stored
 
 
 def read_stream(spark: SparkSession, path: str, schema: StructType, files: int = 100) -> DataFrame:
@@ -54,20 +54,22 @@ def existing(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
 
 def ingest_articles(stream: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
     """Articles (id, content, ...) appended with their fingerprint and the first article with the same content, in this
-    batch or before. Each batch has a folder of its own, overwritten if the batch is run again."""
-    spark = stream.sparkSession
-    schema = "content_hash string, first_id long"
+    batch or before. What is known of earlier batches is a table of its own beside the articles, with one row (24 bytes or
+    so) for each content and the batch that brought it; a batch reads that table and adds the contents it is first with, so
+    articles are never read again. Each batch has folders of its own, overwritten if the batch is run again."""
+    spark, known_path = stream.sparkSession, f"{target.rstrip('/')}-known"
+    known_schema = spark.createDataFrame([], "content_hash binary, first_id long, batch int").schema
 
     def each(batch: DataFrame, n: int) -> None:
-        prints = fingerprints(batch).select("id", "content_hash", "simhash")
-        # Folders of earlier batches alone: on a retry the own one must not count.
-        known = existing(spark, target, batch_schema()).where(F.col("batch") < n).groupBy("content_hash").agg(F.min("id").alias("known_id"))
+        prints = stored(fingerprints(batch).select("id", F.unhex("content_hash").alias("content_hash"), "simhash"), "batch-prints")
         first = prints.groupBy("content_hash").agg(F.min("id").alias("batch_id"))
-        out = prints.join(first, "content_hash").join(known, "content_hash", "left").withColumn("first_id", F.least("known_id", "batch_id"))
-        out.select("id", "content_hash", "simhash", "first_id").write.mode("overwrite").parquet(f"{target}/batch={n}")
-
-    def batch_schema() -> StructType:
-        return spark.createDataFrame([], f"id long, {schema}, simhash long, batch int").schema
+        # Folders of earlier batches alone: on a retry the own one must not count.
+        known = existing(spark, known_path, known_schema).where(F.col("batch") < n).select("content_hash", F.col("first_id").alias("known_id"))
+        # A content may come again with a smaller id, so the smallest of its rows counts.
+        known = known.join(first.select("content_hash"), "content_hash", "left_semi").groupBy("content_hash").agg(F.min("known_id").alias("known_id"))
+        told = stored(first.join(known, "content_hash", "left").select("content_hash", F.least("known_id", "batch_id").alias("first_id"), (F.col("known_id").isNull() | (F.col("batch_id") < F.col("known_id"))).alias("new")), "batch-first")
+        told.where("new").select("content_hash", "first_id").write.mode("overwrite").parquet(f"{known_path}/batch={n}")
+        prints.join(told, "content_hash").select("id", F.lower(F.hex("content_hash")).alias("content_hash"), "simhash", "first_id").write.mode("overwrite").parquet(f"{target}/batch={n}")
 
     return run_available(stream, checkpoint, each)
 

@@ -33,6 +33,13 @@ def test_normalising(spark):
     assert got == {0: "a b c", 1: "AI x", 2: "", 3: "é z"}
 
 
+def test_separators_are_white_space(spark):
+    """As str.split() has it: the four ASCII separators too."""
+    rows = [(" a\x1c\x1db\x1e c\x1f",), ("\x1fx",), ("a\x85b\u2003c\u00a0d",)]
+    got = [r[0] for r in spark.createDataFrame(rows, "t string").select(text.normalize_content(F.col("t"))).collect()]
+    assert got == [" ".join(unicodedata.normalize("NFKC", t).split()) for (t,) in rows]
+
+
 def test_fold(spark):
     assert one(spark, text.fold_text(F.lit("Ｋｕｂｅ Straße"))) == "kube strasse"
 

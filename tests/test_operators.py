@@ -91,8 +91,9 @@ def test_groups_and_relation_rows(spark, seed):
     info = spark.createDataFrame([(a["id"], a["w"], None if a["p"] is None else datetime(2026, 1, a["p"]), a["c"], a["ok"], a["t"], T0 + timedelta(seconds=a["id"])) for a in arts], MEMBER.rsplit(",", 1)[0])
     got = {}
     for r in dedup.relation_rows(dedup.groups(linked).join(info, "id"), linked).collect():
-        got[r["article_id"]] = (r["target_article_id"], r["relation_type"], round(r["similarity"], 6), r["is_primary"])
-    assert got == {m: (p, k, round(s, 6), m == p) for m, (_, p, k, s, _) in want.items()}
+        got[r["article_id"]] = (r["target_article_id"], r["relation_type"], round(r["similarity"], 6), r["is_primary"], r["evidence"])
+    own = {r["id"]: r["evidence"] for r in linked.collect()}
+    assert got == {m: (p, k, round(s, 6), m == p, own[m] if e == "own" else e) for m, (_, p, k, s, e) in want.items()}
 
 
 def test_bands_lose_nothing(spark):
@@ -108,6 +109,13 @@ def test_bands_lose_nothing(spark):
     a = {(r["a"], r["b"], r["distance"]) for r in dedup.near_values(df, 6).collect()}
     assert a == {(r["a"], r["b"], r["distance"]) for r in dedup.all_values(df, 6).collect()}
     assert len(a) == dedup.near_values(df, 6).count()
+    df = spark.createDataFrame([(v - (1 << 63) if v % 3 == 0 else v,) for v in values], "simhash long")  # negative ones too
+    for distance in (0, 3, 6, 9):
+        want = {(r["a"], r["b"], r["distance"]) for r in dedup.all_values(df, distance).collect()}
+        for n in (2, 10**5, 10**9):  # other tables for more values
+            got = [(r["a"], r["b"], r["distance"]) for r in dedup.near_values(df, distance, dedup.tables_for(n, distance)).collect()]
+            assert len(got) == len(set(got)) and set(got) == want
+    assert [len(dedup.tables_for(n, 6)) for n in (10, 10**4, 10**6, 10**8)] == [7, 28, 84, 210]
 
 
 def test_most_distance():
@@ -166,7 +174,7 @@ def test_pages(spark):
 def test_crawl(spark):
     src = spark.createDataFrame([("s", True, "whitelist"), ("b", True, "blacklist")], "id string, is_active boolean, list_type string")
     urls_ = spark.createDataFrame([("s", "https://x.org/p", 1), ("s", "https://x.org/p", 5), ("s", "https://x.org/no/q", 2), ("s", "https://x.org/bad", 3), ("b", "https://y.org/", 1)], "source_id string, url string, position int")
-    robots = spark.createDataFrame([("https://x.org", "*", False, "/no")], "origin string, agent string, allow boolean, prefix string")
+    robots = crawl.robots_rules(spark.createDataFrame([("https://x.org", "User-agent: *\nDisallow: /no")], "origin string, text string"))
 
     def fetcher(url):
         if url.endswith("bad"):
@@ -181,6 +189,48 @@ def test_crawl(spark):
     assert [r["url"] for r in crawl.fetched_pages(pages).collect()] == ["https://x.org/p"]
 
 
+def test_robots_as_the_standard_library(spark):
+    """First matching line of the first group that fits, escapes and queries, comments and blank lines."""
+    from urllib.robotparser import RobotFileParser
+
+    rng = random.Random(3)
+    paths = ["/", "", "/a", "/a/b", "/a%20b", "/s?q=", "/s?q=x", "*", "/é", "/%C3%A9", "/a;p", "/A", "/a#f", "/x?y#z"]
+    files = []
+    for k in range(60):
+        lines = []
+        for _ in range(rng.randrange(1, 5)):
+            lines += [f"{rng.choice(['User-agent', 'user-AGENT '])}: {rng.choice(['*', 'bot', 'Lumen', 'other', 'lumenbot'])}" for _ in range(rng.randrange(1, 3))]
+            lines += [f"{rng.choice(['Disallow', 'Allow', 'allow'])}: {rng.choice(paths)}{rng.choice(['', ' # why'])}" for _ in range(rng.randrange(4))]
+            lines += rng.choice([[], [""], ["Crawl-delay: 3"], ["nonsense"]])
+        files.append((f"https://h{k}.org", "\n".join(lines)))
+    files.append(("https://none.org", None))
+    urls_ = [(o + p + more,) for o, _ in files for p in paths if p[:1] in ("", "/") for more in ("", "c") if p or not more]
+    robots = crawl.robots_rules(spark.createDataFrame(files, "origin string, text string"))
+    for agent in ("*", "LumenBot/2.0", "nobody"):
+        got = {r["url"]: r["allowed"] for r in crawl.allowed_by_robots(spark.createDataFrame(urls_, "url string"), robots, agent).collect()}
+        for o, t in files:
+            parser = RobotFileParser()
+            parser.parse((t or "").splitlines())
+            for (u,) in urls_:
+                if u.startswith(o):
+                    assert got[u] == parser.can_fetch(agent, u), (agent, u, t)
+
+
+def test_crawl_from_index_pages(spark):
+    src = spark.createDataFrame([("s", True, "whitelist", "https://x.org/"), ("d", True, "neutral", "https://d.org/"), ("f", True, "neutral", "https://f.org/"), ("b", True, "blacklist", "https://b.org/")], "id string, is_active boolean, list_type string, site_url string")
+    robots = crawl.robots_rules(spark.createDataFrame([("https://d.org", "User-agent: *\nDisallow: /"), ("https://x.org", "User-agent: *\nDisallow: /posts/no")], "origin string, text string"))
+
+    def fetcher(url):
+        if url == "https://x.org/":
+            return {"http_status": 200, "html": '<a href="/posts/1">A first article</a><a href="/posts/no">A closed article</a><a href="/posts/2">A second article</a><a href="https://y.org/">elsewhere</a>'}
+        return {"http_status": 500 if "f.org" in url else 200, "html": url}
+
+    none = spark.createDataFrame([], "source_id string, url string, raw_html string, http_status int, status string, error_message string, fetched_at timestamp")
+    pages, report = crawl.crawl(src, None, robots, fetcher, none, F.lit(T0))
+    assert {r["url"]: r["status"] for r in pages.collect()} == {"https://x.org/posts/1": "fetched", "https://x.org/posts/no": "robots_denied", "https://x.org/posts/2": "fetched"}
+    assert {r["source_id"]: (r["total"], r["fetched"], r["failed"], r["robots_denied"]) for r in report.collect()} == {"s": (4, 3, 0, 1), "d": (1, 0, 0, 1), "f": (1, 0, 1, 0)}
+
+
 def test_discovery(spark):
     page = "".join(f'<a href="/{x}">{x}</a>' for x in ("about", "login", "tags", "home")) + '<a href="/posts/1">A first article</a><a href="/posts/2.html">second one here</a><a href="/posts/1">again</a>'
     df = spark.createDataFrame([(1, "https://h.org/", page)], "page_id long, url string, html string")
@@ -250,8 +300,40 @@ def test_coverage(spark):
 
 def test_greedy_entries(spark):
     pts = spark.createDataFrame([(1, 1, 0, "a", [1.0, 0.0]), (2, 1, 1, "b", [1.0, 0.1]), (3, 2, 0, "a", [0.0, 1.0])], "point_id long, article_id long, pos int, name string, embedding array<double>")
-    got = {r["point_id"]: (r["entry_id"], r["is_new"]) for r in knowledge.greedy_entries(pts, 0.8, 0.92).collect()}
-    assert got == {1: (1, True), 2: (1, False), 3: (1, True)}
+    got = {r["point_id"]: (r["entry_id"], r["is_new"], r["created"]) for r in knowledge.greedy_entries(pts, 0.8, 0.92).collect()}
+    assert got == {1: (1, True, True), 2: (1, False, False), 3: (1, True, False)}
+    with pytest.raises(ValueError):
+        knowledge.greedy_entries(pts, 0.8, 0.92, limit=1)
+
+
+def test_vectors_of_all_shapes(spark):
+    """Missing and ragged vectors: texts decide, or nothing does."""
+    pts = spark.createDataFrame([(1, [1.0, 0.0], "abc"), (2, None, "abcd"), (3, [1.0], "zz"), (4, [], "")], "point_id long, embedding array<double>, text string")
+    ent = spark.createDataFrame([(7, "active", [1.0, 0.0], "n", ""), (8, "active", None, "abcd", ""), (9, "active", [0.0, 1.0], "q", ""), (10, "retired", [1.0, 0.0], "abcd", "")], "entry_id long, status string, embedding array<double>, name string, summary string")
+    got = {(r["point_id"], r["entry_id"]): round(r["similarity"], 6) for r in knowledge.nearest_vectors(pts, ent, 0.3, 3).collect()}
+    assert got == {(1, 7): 1.0, (1, 8): round(2 / 3, 6), (2, 8): 1.0}
+    assert {(r["point_id"], r["entry_id"]): round(r["similarity"], 6) for r in knowledge.nearest_entries(pts, ent, 0.3, 3).collect()} == got
+    assert knowledge.nearest_vectors(pts, ent.limit(0), 0.0).count() == knowledge.nearest_vectors(pts.limit(0), ent, 0.0).count() == 0
+
+
+def test_knowledge_run(spark):
+    """Stored entries, entries made in the run, names, the judge, failures and articles without points."""
+    a = spark.createDataFrame([(i, s, k, T0 + timedelta(hours=-i)) for i, s, k in [(1, "normal", None), (2, "normal", "pending"), (3, "normal", None), (4, "normal", None), (5, "filtered", None), (6, "normal", "new"), (7, "normal", None)]], "id long, status string, knowledge_status string, crawled_at timestamp")
+    p = lambda *names: [(n, "", []) for n in names]
+    x = spark.createDataFrame([(1, True, p("known"), None), (2, True, p("fresh", "known"), None), (3, False, None, "slow"), (4, True, [], None), (5, True, p("known"), None), (7, True, p("fresh2", "between", "named"), None)], "article_id long, ok boolean, points array<struct<name:string,summary:string,claims:array<string>>>, error string")
+    e = spark.createDataFrame([(100, "known", "", "active", [1.0, 0.0, 0.0], [50], None), (101, "named", "", "active", [0.0, 0.0, -1.0], None, None)], "entry_id long, name string, summary string, status string, embedding array<double>, article_ids array<long>, merged_into_id long")
+    vector = F.create_map(*[F.lit(v) if isinstance(v, str) else F.array(*map(F.lit, v)) for pair in {"known": [1.0, 0.0, 0.0], "fresh": [0.0, 1.0, 0.0], "fresh2": [0.0, 1.0, 0.01], "between": [1.0, 0.55, 0.0], "named": [0.0, 0.0, 1.0]}.items() for v in pair])
+    asked = lambda name, entry: True
+    decided, articles, entries = knowledge.judge_run(a, x, e, F.element_at(vector, F.col("name")), 0.80, 0.92, F.lit(T0), asked)
+    got = {r["article_id"]: (r["decision"], r["matched_entry_id"], r["new_points"], r["covered_points"]) for r in decided.collect()}
+    fresh = next(r["entry_id"] for r in entries.collect() if r["name"] == "fresh")
+    assert got == {1: ("covered", 100, 0, 1), 2: ("partial", 100, 1, 1), 3: ("pending", None, 0, 0), 4: ("new_knowledge", None, 0, 0), 7: ("partial", fresh, 1, 2)}
+    assert {r["id"]: (r["status"], r["knowledge_status"]) for r in articles.collect()} == {1: ("knowledge_duplicate", "covered"), 2: ("normal", "partial"), 3: ("normal", "pending"), 4: ("normal", "new"), 5: ("filtered", None), 6: ("normal", "new"), 7: ("normal", "partial")}
+    assert {r["name"]: r["article_ids"] for r in entries.collect()} == {"known": [50], "named": [7], "fresh": [2]}
+    why = {r["article_id"]: r["rationale"] for r in decided.collect()}
+    assert why[3] == rules.EXTRACTION_FAILED + "slow" and why[4] == rules.NO_POINTS and why[1] == rules.ALL_COVERED % (1, 1.0)
+    doubted, _, _ = knowledge.judge_run(a, x, e, F.element_at(vector, F.col("name")), 0.80, 0.92, F.lit(T0))
+    assert {r["article_id"]: r["new_points"] for r in doubted.collect()}[7] == 2
 
 
 def test_extraction_cache(spark):
@@ -266,11 +348,17 @@ def test_extraction_cache(spark):
 
 def test_merge_entries(spark):
     e = spark.createDataFrame([(1, "a", "s1", "active", [3, 1], None), (2, "b", "", "active", [2], None), (3, "c", "s3", "active", [1], None)], "entry_id long, name string, summary string, status string, article_ids array<long>, merged_into_id long")
-    got = {r["entry_id"]: r for r in knowledge.merge_entries(e, [1, 2, 3], "new", F.lit(T0)).collect()}
-    assert got[1]["name"] == "new" and got[1]["summary"] == "s1；s3" and got[1]["article_ids"] == [1, 2, 3]
-    assert got[2]["status"] == "merged" and got[2]["merged_into_id"] == 1
-    with pytest.raises(ValueError):
-        knowledge.merge_entries(knowledge.retire(e, 1), [1, 2], "x", F.lit(T0)).collect()
+    got = {r["entry_id"]: r for r in knowledge.merge_entries(e, [3, 2, 1], 9, "new").collect()}
+    assert (got[9]["name"], got[9]["summary"], got[9]["article_ids"], got[9]["status"]) == ("new", "s3；s1", [1, 2, 3], "active")
+    assert {(got[k]["status"], got[k]["merged_into_id"]) for k in (1, 2, 3)} == {("merged", 9)}
+    for bad, ids in ((knowledge.retire(e, 1), [1, 2]), (e, [1]), (e, [1, 1])):
+        with pytest.raises(ValueError):
+            knowledge.merge_entries(bad, ids, 9, "x")
+    with pytest.raises(Exception, match="needs a name"):
+        knowledge.create_entries(e, spark.createDataFrame([(5, " ", None)], "entry_id long, name string, summary string")).collect()
+    with pytest.raises(Exception, match="scope"):
+        s = spark.createDataFrame([(1, "m", "confirmed", "h", None)], "id long, email string, status string, unsubscribe_token_hash string, unsubscribed_at timestamp")
+        digests.unsubscribe(s, spark.createDataFrame([("t", "some")], "token string, scope string"), F.lit(T0))[1].collect()
 
 
 def test_parse_states(spark):
