@@ -71,9 +71,45 @@ FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)
 """
 
 
+#: Words of ASCII-lowered texts.
+WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+')"
+OP2_SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, {WORDS} AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS g FROM d),
+u AS (SELECT doc_id, len(g) AS n, unnest(g) AS x FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS o FROM u a JOIN u b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM p WHERE 100 * o >= 80 * (na + nb - o)), f AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+c AS (SELECT doc_id AS id, doc_id AS root FROM s UNION SELECT f.b, c.root FROM c JOIN f ON f.a = c.id AND c.root < f.b)
+SELECT doc_id, len(g) AS n_shingles, (SELECT min(root) FROM c WHERE c.id = doc_id) AS component_id FROM s
+"""
+#: Base32 of a SHA-1 in hex: five digits are four symbols.
+BASE32 = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(sha, {at}, 5))::BIGINT >> {shift}) & 31)::INT + 1, 1)" for at in range(1, 41, 5) for shift in (15, 10, 5, 0))
+OP8_SQL = f"""
+WITH p AS (SELECT page_id, lower(url) AS url, coalesce(html, '') AS h FROM pages),
+q AS (SELECT *, sha1(h) AS sha, max(page_id) OVER (PARTITION BY h) AS lead, regexp_replace(regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1), '^www\\.', '') AS host, regexp_extract(regexp_replace(url, '^[a-z]+://[^/?#]*', ''), '^([^?#]*)', 1) AS path, regexp_extract(url, '\\?([^#]*)', 1) AS query FROM p)
+SELECT page_id, octet_length(encode(h))::BIGINT AS payload_bytes, {BASE32} AS payload_digest, CASE WHEN page_id = lead THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> lead THEN lead END AS refers_to,
+       array_to_string(list_reverse(string_split(host, '.')), ',') || ')' || CASE WHEN path = '' THEN '/' ELSE path END || CASE WHEN query <> '' THEN '?' || query ELSE '' END AS url_key,
+       strftime(make_timestamp((1704067200 + page_id) * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS captured
+FROM q
+"""
+#: Bytes as two hex digits each: 50 of them are 100 characters.
+OP9_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS s FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 49)) AS i FROM d)),
+m AS (SELECT s, min(doc_id) AS low FROM w GROUP BY s),
+b AS (SELECT w.doc_id, w.i FROM w JOIN m ON w.s = m.s AND m.low < w.doc_id),
+g AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM (SELECT doc_id, i, CASE WHEN i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 THEN 1 ELSE 0 END AS new FROM b)),
+r AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS z FROM g GROUP BY doc_id, run),
+k AS (SELECT r.doc_id, a, z, h, coalesce(lag(z) OVER (PARTITION BY r.doc_id ORDER BY a), 0) AS before FROM r JOIN d ON d.doc_id = r.doc_id),
+t AS (SELECT doc_id, count(*) AS spans, sum(z - a) AS gone, max(z) AS z, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS kept FROM k GROUP BY doc_id)
+SELECT d.doc_id, length(h) // 2 AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(CASE WHEN spans IS NULL THEN h ELSE kept || substr(h, 2 * z + 1) END)) AS kept_sha256
+FROM d LEFT JOIN t ON t.doc_id = d.doc_id
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_packing, op2_ngram_join, op3_quality, op4_decontamination, op5_exact_dedup, op6_token_counts, op7_lm_scoring, op8_warc, op9_suffix_dedup, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_dedup": OP5_SQL}
+    return {"op2_ngram_join": OP2_SQL, "op5_exact_dedup": OP5_SQL, "op8_warc": OP8_SQL, "op9_suffix_dedup": OP9_SQL}

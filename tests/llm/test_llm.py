@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumenfold.llm import common, decontaminate, exact_dedup, language_id, lm_scoring, ngram_join, packing, quality, suffix_dedup, token_counts, warc
-from lumenfold.llm.queries import OP5_SQL, queries, tokenizer_path
+from lumenfold.llm.queries import oracle_sql, queries, tokenizer_path
 
 SF = "/root/testdata/sf0.001"
 EXTRA = ["id", "body", "key", "chunk", "sid", "n", "kind", "a", "b", "votes", "prefix", "kept", "title"]
@@ -78,14 +78,20 @@ def test_exact_dedup(docs, rows, nothing):
     assert exact_dedup.keep_one(nothing).count() == 0
 
 
-def test_exact_dedup_sql(spark):
+@pytest.mark.parametrize("name", sorted(oracle_sql()))
+def test_sql(spark, name):
+    """Whole tables against DuckDB."""
     import duckdb
 
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
-    cur = con.execute(OP5_SQL)
+    con.execute("SET TimeZone = 'UTC'")
+    for table in ("documents", "pages"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
+    cur = con.execute(oracle_sql()[name])
     names = [d[0] for d in cur.description]
-    assert counted(queries()["op5_exact_dedup"](spark, SF), *names) == Counter(cur.fetchall())
+    got = queries()[name](spark, SF)
+    assert sorted(got.columns) == sorted(names)
+    assert counted(got, *names) == Counter(cur.fetchall())
 
 
 def test_binary_pieces():
