@@ -123,6 +123,10 @@ def powers(base: int, n: int) -> np.ndarray:
     return out
 
 
+#: Rows of one file of a round of components(), at least: a round of few edges is a few files, not one for each partition.
+ROUND_ROWS = 5_000
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of an edge list: (id, component), component the smallest id.
 
@@ -138,7 +142,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        e = stored(small.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+        small = small.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+        e = stored(small.coalesce(max(1, -(-print_[0] // ROUND_ROWS))), "edges")  # edges never grow in number
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == print_:
             break
