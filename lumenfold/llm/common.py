@@ -61,9 +61,14 @@ def text_bytes(df: DataFrame, text_col: str = "text") -> int:
     return df.agg(F.sum(F.octet_length(F.col(text_col)).cast("long")).alias("n")).first()["n"] or 0
 
 
+#: Partitions of a table however small it is, unless the session has fewer.
+LEAST_PARTS = 8
+
+
 def parts_for(spark: SparkSession, total: int, each: int) -> int:
-    """So many partitions that each gets about `each` of `total`; at least the session's own number."""
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // each), 1)
+    """So many partitions that each gets about `each` of `total`. Small tables get a few, whatever number the session shuffles
+    with: each partition is a task, and a file of every table that is written."""
+    return max(min(int(spark.conf.get("spark.sql.shuffle.partitions")), LEAST_PARTS), -(-total // each), 1)
 
 
 def utf8(batch: pa.RecordBatch, name: str) -> list[bytes]:

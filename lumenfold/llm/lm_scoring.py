@@ -27,7 +27,7 @@ SLOT_BITS = (8, 16, 19, 20, 21, 22)
 #: Tasks that sum the table of short contexts; bytes of text for one cell of grams, and grams for one task that fits weights.
 LOW_TASKS, CELL_BYTES, FIT_GRAMS = 64, 2 << 20, 1_000_000
 #: Bytes of text in one chunk, at most about.
-CHUNK_BYTES = 24 << 20
+CHUNK_BYTES = 16 << 20
 #: Scores are whole numbers of this unit (of log10), and sums of fits of FIT_UNIT, so that no order of adding changes them.
 UNIT, FIT_UNIT = 1 / 65536, 1 / 4096
 #: Bytes of a text that say whom to believe, the weight of what they say, and where a text begins (in stretched odds).
