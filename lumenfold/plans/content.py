@@ -135,7 +135,7 @@ def vector_coverage_tiers(spark, sf_dir):  # noqa: ANN001, ANN201
 
 def article_coverage_rollup(spark, sf_dir):  # noqa: ANN001, ANN201
     v = knowledge.verdicts(points(spark, sf_dir), nearest(spark, sf_dir), 0.3, 0.6)
-    return knowledge.roll_up(v).withColumn("similarity", F.round("similarity", 5))
+    return knowledge.roll_up(v).drop("rationale").withColumn("similarity", F.round("similarity", 5))
 
 
 QUERIES = {f.__name__: f for f in (
