@@ -17,7 +17,7 @@ from .common import mapped, stored, utf8
 
 FIELDS = {"doc_id": pa.int64(), "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64(), "doc_tokens": pa.int64(), "bucket": pa.int32(), "part": pa.int64(), "row": pa.int64()}
 #: Bytes of memory for the ids of runs that one worker remembers, about; bytes of text, and runs, that are encoded at once.
-CACHE_BYTES, TOGETHER_BYTES, TOGETHER = 128 << 20, 4 << 20, 512
+CACHE_BYTES, TOGETHER_BYTES, TOGETHER = 192 << 20, 6 << 20, 512
 #: Python's own bytes for a byte string, a number and their place in a dictionary.
 ENTRY_BYTES = 160
 SIGNS = bytes(x for x in range(33, 127) if not chr(x).isalnum())
