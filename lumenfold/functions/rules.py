@@ -45,7 +45,9 @@ SKIPPED_LINKS = ("#", "mailto:", "javascript:", "tel:")
 COLLECT_TIMES, MOST_LINKS = 5, 20
 
 TITLE_PENALTIES = ("首页", "无标题", "untitled", "404", "导航", "目录")
-PRIMARY_EVIDENCE = "合并组主记录"
+# Evidence of relations. Numbers stand for %s in order.
+PRIMARY_EVIDENCE, EXACT_EVIDENCE = "合并组主记录", "正文指纹相同（仅模板/导航差异）"
+NEAR_EVIDENCE, RELATED_EVIDENCE = "SimHash 相似度 %.3f ≥ 阈值 %.2f", "相似度 %.3f < 合并阈值 %.2f，按不同视角关联（不合并）"
 
 HIDDEN_STATUSES = ("filtered", "error", "knowledge_duplicate")
 MERGE_TYPES = ("exact_duplicate", "near_duplicate")

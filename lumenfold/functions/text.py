@@ -178,7 +178,11 @@ def parse_bool(c: Column) -> Column:
 
 
 def near_evidence(similarity: Column, threshold: float) -> Column:
-    return F.format_string(f"SimHash 相似度 %.3f ≥ 阈值 {threshold:.2f}", similarity)
+    return F.format_string(rules.NEAR_EVIDENCE, similarity, F.lit(threshold))
+
+
+def related_evidence(similarity: Column, threshold: float) -> Column:
+    return F.format_string(rules.RELATED_EVIDENCE, similarity, F.lit(threshold))
 
 
 def describe_topic(kind: Column, value: Column, source_name: Column | None = None) -> Column:

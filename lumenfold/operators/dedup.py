@@ -6,17 +6,13 @@ fingerprints, so copies are one value; near pairs are found by equal blocks of b
 from __future__ import annotations
 
 import math
-from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules, text
 from ..sources.store import stored
-
-
-#: Keys of one value, at most: what one plan can bear.
-MOST_TABLES = 300
+from . import hamming
 
 
 def fingerprints(articles: DataFrame, nfkc: bool = True) -> DataFrame:
@@ -44,66 +40,19 @@ def most_distance(threshold: float) -> int:
     return math.floor(64 * (1 - threshold) + 1e-9)
 
 
-def tables_for(values: int, distance: int) -> list[int]:
-    """Masks of blocks, as bit sets of block numbers, of the tables in which near values are sought.
-
-    With b blocks of 64 / b bits, two values at most `distance` apart agree on b - distance blocks or more, so on one of
-    the combinations of so many. More blocks make more tables, each with longer keys and fewer chance meetings: of
-    b = distance + 1, ... the one is taken for which rows and meetings of `values` spread-out values are fewest."""
-    costs = {}
-    for blocks in range(distance + 1, min(distance + 7, 33)):
-        same = blocks - distance
-        tables = math.comb(blocks, same)
-        if tables <= MOST_TABLES or same == 1:
-            costs[blocks] = tables * (values + values**2 / 2 ** (64 * same // blocks + 1))
-    blocks = min(costs, key=costs.get)
-    return [sum(1 << k for k in x) for x in combinations(range(blocks), blocks - distance)]
-
-
-def near_values(values: DataFrame, distance: int, tables: list[int] | None = None) -> DataFrame:
-    """(a, b, distance), a < b: pairs of distinct simhash values at most so far apart, found by equality of some blocks of
-    bits (see tables_for). A pair that meets in several tables is kept in the one of the first blocks it agrees on, so no
-    distinct is needed."""
-    tables = tables or tables_for(values.count(), distance)
-    blocks = max(tables).bit_length()
-    edges = [64 * k // blocks for k in range(blocks + 1)]
-    bits = [(1 << edges[k + 1]) - (1 << edges[k]) for k in range(blocks)]
-    signed = lambda x: x - (1 << 64) if x >> 63 else x
-    long = lambda x: F.lit(signed(x)).cast("long")
-    keys = F.array(*[F.struct(long(t).alias("blocks"), F.col("simhash").bitwiseAND(long(sum(bits[k] for k in range(blocks) if t >> k & 1))).alias("bits")) for t in tables])
-    keyed = values.select("simhash", F.explode(keys).alias("k")).select("simhash", "k.blocks", "k.bits")
-    x, y = keyed.alias("x"), keyed.alias("y")
-    pairs = x.join(y, (F.col("x.blocks") == F.col("y.blocks")) & (F.col("x.bits") == F.col("y.bits")) & (F.col("x.simhash") < F.col("y.simhash")))
-    pairs = pairs.select(F.col("x.simhash").alias("a"), F.col("y.simhash").alias("b"), F.col("x.blocks").alias("blocks"), text.hamming(F.col("x.simhash"), F.col("y.simhash")).alias("distance")).where(F.col("distance") <= distance)
-    other = F.col("a").bitwiseXOR(F.col("b"))
-    agree = long(0)
-    for k in range(blocks):
-        agree = agree.bitwiseOR(F.when(other.bitwiseAND(long(bits[k])) == 0, long(1 << k)).otherwise(long(0)))
-    pairs = pairs.withColumns({"rest": agree, "first": long(0)})
-    for _ in range(blocks - distance):  # the lowest bits of the agreement
-        low = F.col("rest").bitwiseAND(-F.col("rest"))
-        pairs = pairs.withColumns({"first": F.col("first").bitwiseOR(low), "rest": F.col("rest").bitwiseXOR(low)})
-    return pairs.where("blocks = first").select("a", "b", "distance")
-
-
-def all_values(values: DataFrame, distance: int) -> DataFrame:
-    """The same for distances that no band can narrow: every pair of distinct values is compared, on 8-byte rows. For
-    the related tier only, whose definition compares each article with all earlier ones."""
-    x, y = values.alias("x"), values.alias("y")
-    pairs = x.join(y, (F.col("x.simhash") < F.col("y.simhash")) & (text.hamming(F.col("x.simhash"), F.col("y.simhash")) <= distance))
-    return pairs.select(F.col("x.simhash").alias("a"), F.col("y.simhash").alias("b")).withColumn("distance", text.hamming(F.col("a"), F.col("b")))
-
-
-def nearest_predecessors(prints: DataFrame, threshold: float, by_bands: bool | None = None) -> DataFrame:
-    """id, nearest, distance: of all earlier articles within the threshold the most similar, of equals the first."""
-    distance = min(most_distance(threshold), 63)
-    values = stored(prints.groupBy("simhash").agg(F.min("id").alias("first_id")), "simhash-values")
-    use = distance < 16 if by_bands is None else by_bands
-    pairs = (near_values if use else all_values)(values.select("simhash"), distance)
-    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "distance")).unionByName(values.select(F.col("simhash").alias("a"), F.col("simhash").alias("b"), F.lit(0).alias("distance")))
-    best = both.join(values.select(F.col("simhash").alias("b"), "first_id"), "b")
-    own = prints.select("id", F.col("simhash").alias("a")).join(best, "a").where("first_id < id")
-    return own.groupBy("id").agg(F.min(F.struct("distance", "first_id")).alias("m")).select("id", F.col("m.first_id").alias("nearest"), F.col("m.distance").alias("distance"))
+def value_rows(prints: DataFrame) -> DataFrame:
+    """simhash, first_id, n: the distinct values with their first article and how many have them."""
+    return stored(prints.groupBy("simhash").agg(F.min("id").alias("first_id"), F.count("*").alias("n")), "simhash-values")
+
+
+def nearest_predecessors(prints: DataFrame, threshold: float, plan: hamming.Plan | None = None) -> DataFrame:
+    """id, nearest, distance: of all earlier articles within the threshold the most similar, of equals the first.
+
+    A later article of a value has the value's first one at distance 0. So only first articles look for others, and the
+    join is over distinct values."""
+    values = value_rows(prints)
+    copies = prints.join(values.select("simhash", "first_id"), "simhash").where("first_id < id").select("id", F.col("first_id").alias("nearest"), F.lit(0).alias("distance"))
+    return hamming.nearest(values, min(most_distance(threshold), 63), plan).unionByName(copies)
 
 
 def links(prints: DataFrame, threshold: float = rules.NEAR_THRESHOLD) -> DataFrame:
@@ -113,7 +62,7 @@ def links(prints: DataFrame, threshold: float = rules.NEAR_THRESHOLD) -> DataFra
     near = nearest_predecessors(prints, threshold).join(exact.select("id"), "id", "left_anti")
     similarity = F.lit(1.0) - F.col("distance") / F.lit(64.0)
     near = near.select("id", F.col("nearest").alias("parent"), F.lit("near_duplicate").alias("relation_type"), similarity.alias("similarity"))
-    evidence = F.when(F.col("relation_type") == "near_duplicate", text.near_evidence(F.col("similarity"), threshold))
+    evidence = F.when(F.col("relation_type") == "near_duplicate", text.near_evidence(F.col("similarity"), threshold)).otherwise(rules.EXACT_EVIDENCE)
     return exact.unionByName(near).withColumn("evidence", evidence)
 
 
@@ -188,11 +137,12 @@ def relation_rows(members: DataFrame, linked: DataFrame) -> DataFrame:
     )
 
 
-def related(prints: DataFrame, linked: DataFrame, low: float = rules.RELATED_THRESHOLD) -> DataFrame:
-    """article_id, target_article_id, similarity: the nearest predecessor of an article that joined no group, if it
-    reaches `low`. Created once for each pair."""
+def related(prints: DataFrame, linked: DataFrame, low: float = rules.RELATED_THRESHOLD, threshold: float = rules.NEAR_THRESHOLD) -> DataFrame:
+    """article_id, target_article_id, similarity, evidence: the nearest predecessor of an article that joined no group, if
+    it reaches `low` though not the `threshold` of merging. Created once for each pair."""
     near = nearest_predecessors(prints, low).join(linked.select("id"), "id", "left_anti")
-    return near.select(F.col("id").alias("article_id"), F.col("nearest").alias("target_article_id"), (F.lit(1.0) - F.col("distance") / F.lit(64.0)).alias("similarity")).dropDuplicates(["article_id", "target_article_id"])
+    rows = near.select(F.col("id").alias("article_id"), F.col("nearest").alias("target_article_id"), (F.lit(1.0) - F.col("distance") / F.lit(64.0)).alias("similarity")).dropDuplicates(["article_id", "target_article_id"])
+    return rows.withColumn("evidence", text.related_evidence(F.col("similarity"), threshold))
 
 
 def related_both_ways(edges: DataFrame) -> DataFrame:
@@ -233,14 +183,11 @@ def preview(prints: DataFrame, current: float, proposed: float, low: float = rul
     """change, pairs: would_merge, would_unmerge, unchanged: what another threshold would do to pairs of articles.
 
     Pairs are counted on distinct (content, simhash) values with how many articles have them. Only pairs that reach the
-    lower of the two thresholds can change, so no others are made; the number of the unchanged ones, among them all pairs
-    of equal contents, follows from the total."""
-    values = stored(prints.groupBy("simhash").agg(F.count("*").alias("n")), "preview-values")
+    lower of the two thresholds can change, so no others are looked for, and those found are summed by distance where they
+    are found; the number of the unchanged ones, among them all pairs of equal contents, follows from the total."""
     same_hash = prints.groupBy("simhash", "content_hash").agg(F.count("*").alias("k"))
     within = same_hash.groupBy("simhash").agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.col("k")).alias("sq")).select(F.lit(0).alias("distance"), ((F.col("n") * F.col("n") - F.col("sq")) / 2).cast("long").alias("w"))
-    distance = most_distance(min(current, proposed))
-    pairs = (near_values if distance < 16 else all_values)(values.select("simhash"), distance)
-    across = pairs.join(values.select(F.col("simhash").alias("a"), F.col("n").alias("na")), "a").join(values.select(F.col("simhash").alias("b"), F.col("n").alias("nb")), "b").select("distance", (F.col("na") * F.col("nb")).alias("w"))
+    across = hamming.counts(value_rows(prints), most_distance(min(current, proposed)))
     s = F.lit(1.0) - F.col("distance") / F.lit(64.0)
     old, new = tier(s, current, low), tier(s, proposed, low)
     change = F.when((old != "near") & (new == "near"), "would_merge").when((old == "near") & (new != "near"), "would_unmerge").otherwise("unchanged")
@@ -260,9 +207,8 @@ def preview_stored(prints: DataFrame, group_members: DataFrame, edges: DataFrame
     """article_id, other_article_id, similarity, current, proposed, change: pairs of articles with other contents whose
     stored state is not what another threshold would give. group_members: group_key, id; edges: article_id,
     target_article_id of related pairs. Stored pairs and pairs at `low` or above are looked at; no other can change."""
-    values = stored(prints.select("simhash").distinct(), "preview-values")
-    distance = most_distance(min(proposed, low))
-    near = (near_values if distance < 16 else all_values)(values, distance)
+    values = value_rows(prints)
+    near = hamming.pairs(values, most_distance(min(proposed, low)))
     near = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "distance")).unionByName(values.select(F.col("simhash").alias("a"), F.col("simhash").alias("b"), F.lit(0).alias("distance")))
     x = prints.select(F.col("id").alias("article_id"), F.col("simhash").alias("a"), F.col("content_hash").alias("h"))
     y = prints.select(F.col("id").alias("other_article_id"), F.col("simhash").alias("b"), F.col("content_hash").alias("k"))

@@ -176,7 +176,7 @@ RELATIONS = f"""{ELECTED}, j AS (SELECT e.*, l.relation_type, l.similarity, min(
   k AS (SELECT *, bool_or(near) OVER (PARTITION BY group_key ORDER BY id) AS any_near, coalesce(led <> lag(led) OVER (PARTITION BY group_key ORDER BY id), false) AS switch FROM j),
   y AS (SELECT *, bool_or(switch AND any_near) OVER (PARTITION BY group_key ORDER BY id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS recast, coalesce(relation_type, lead(relation_type) OVER (PARTITION BY group_key ORDER BY id)) AS own FROM k),
   rel AS (SELECT y.id AS article_id, t.id AS target_article_id, y.group_key, CASE WHEN recast THEN 'near_duplicate' ELSE own END AS relation_type, y.n = 1 AS is_primary, round(CASE WHEN y.n = 1 OR led = y.n THEN 1.0 ELSE similarity END, 6)::DOUBLE AS similarity,
-    CASE WHEN y.n = 1 THEN '{rules.PRIMARY_EVIDENCE}' WHEN led = y.n THEN NULL WHEN y.relation_type = 'near_duplicate' THEN printf('SimHash 相似度 %.3f ≥ 阈值 0.90', similarity) END AS evidence FROM y JOIN e t ON t.group_key = y.group_key AND t.n = 1)"""
+    CASE WHEN y.n = 1 THEN '{rules.PRIMARY_EVIDENCE}' WHEN led = y.n THEN NULL WHEN y.relation_type = 'near_duplicate' THEN printf('SimHash 相似度 %.3f ≥ 阈值 0.90', similarity) WHEN y.relation_type = 'exact_duplicate' THEN '正文指纹相同（仅模板/导航差异）' END AS evidence FROM y JOIN e t ON t.group_key = y.group_key AND t.n = 1)"""
 SQL = {
     "content_fingerprint": f"SELECT doc_id AS id, sha256({NORMAL}) AS content_hash FROM documents",
     "simhash64": f"WITH {PRINTS} SELECT id, simhash FROM p",

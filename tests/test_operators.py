@@ -1,11 +1,14 @@
 import random
+from collections import Counter
 from datetime import datetime, timedelta
+from itertools import combinations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lumenfold.functions import rules, text
-from lumenfold.operators import browse, classify, crawl, dedup, digests, insights, knowledge, state
+from lumenfold.operators import browse, classify, crawl, dedup, digests, hamming, insights, knowledge, state
 from lumenfold.sources import store
 
 T0 = datetime(2026, 9, 14, 10)
@@ -96,26 +99,77 @@ def test_groups_and_relation_rows(spark, seed):
     assert got == {m: (p, k, round(s, 6), m == p, own[m] if e == "own" else e) for m, (_, p, k, s, e) in want.items()}
 
 
-def test_bands_lose_nothing(spark):
-    rng = random.Random(5)
-    base = rng.getrandbits(63)
-    values = {base}
-    for _ in range(200):
-        v = base
+def clustered(n, seed, bits=64):
+    """Distinct values, most of them few bits away from one of three."""
+    rng = random.Random(seed)
+    base, found = [rng.getrandbits(bits) for _ in range(3)], {}
+    while len(found) < n:
+        v = rng.choice(base)
         for _ in range(rng.randrange(12)):
-            v ^= 1 << rng.randrange(63)
-        values.add(v)
-    df = spark.createDataFrame([(v,) for v in values], "simhash long")
-    a = {(r["a"], r["b"], r["distance"]) for r in dedup.near_values(df, 6).collect()}
-    assert a == {(r["a"], r["b"], r["distance"]) for r in dedup.all_values(df, 6).collect()}
-    assert len(a) == dedup.near_values(df, 6).count()
-    df = spark.createDataFrame([(v - (1 << 63) if v % 3 == 0 else v,) for v in values], "simhash long")  # negative ones too
-    for distance in (0, 3, 6, 9):
-        want = {(r["a"], r["b"], r["distance"]) for r in dedup.all_values(df, distance).collect()}
-        for n in (2, 10**5, 10**9):  # other tables for more values
-            got = [(r["a"], r["b"], r["distance"]) for r in dedup.near_values(df, distance, dedup.tables_for(n, distance)).collect()]
-            assert len(got) == len(set(got)) and set(got) == want
-    assert [len(dedup.tables_for(n, 6)) for n in (10, 10**4, 10**6, 10**8)] == [7, 28, 84, 210]
+            v ^= 1 << rng.randrange(bits)
+        found[hamming.signed(v)] = rng.randrange(1, 4)
+    order = list(found)
+    rng.shuffle(order)
+    return [(v, 10 * k, found[v]) for k, v in enumerate(order)]
+
+
+def hamming_plans(values, distance, monkeypatch):
+    """Tiles; tables of all numbers of blocks; tables with split keys."""
+    sample = np.array([v for v, _, _ in values], np.int64).view(np.uint64)
+    yield hamming.Plan(distance, [], [], [], len(values))
+    for blocks in range(distance + 1, distance + 4):
+        tables = list(combinations(range(blocks), blocks - distance))
+        if len(tables) <= 60:
+            yield hamming.Plan(distance, hamming.deal_bits(sample, blocks), tables, [], len(values))
+    with monkeypatch.context() as m:
+        m.setattr(hamming, "HOT_KEY", 8)
+        m.setattr(hamming, "PAIR_S", 1.0)  # tiles are dear
+        plan = hamming.plan_for(sample, len(values), distance)
+        assert plan.tables and (plan.hot or not distance)
+        yield plan
+
+
+@pytest.mark.parametrize("distance", [0, 3, 6])
+def test_hamming_joins_lose_nothing(spark, distance, monkeypatch):
+    values = clustered(160, distance)
+    df = spark.createDataFrame(values, "simhash long, first_id long, n long").repartition(3)
+    want, near, sums = set(), {}, Counter()
+    for x, fx, nx in values:
+        for y, fy, ny in values:
+            d = bin((x ^ y) & (2**64 - 1)).count("1")
+            if d <= distance and fy < fx:
+                want.add((min(x, y), max(x, y), d))
+                sums[d] += nx * ny
+                near[fx] = min(near.get(fx, (99, 0)), (d, fy))
+    for plan in hamming_plans(values, distance, monkeypatch):
+        got = [tuple(r) for r in hamming.pairs(df, distance, plan).collect()]
+        assert len(got) == len(want) and set(got) == want
+        assert {r["distance"]: r["w"] for r in hamming.counts(df, distance, plan).collect()} == sums
+        assert {r["id"]: (r["distance"], r["nearest"]) for r in hamming.nearest(df, distance, plan).collect()} == near
+
+
+def test_hamming_tiles(spark, monkeypatch):
+    """Many tiles, the related tier's distance, ties, and a table without rows."""
+    monkeypatch.setattr(hamming, "TILE", 20)
+    values = clustered(150, 9)
+    df = spark.createDataFrame(values, "simhash long, first_id long, n long")
+    near = {}
+    for x, fx, _ in values:
+        best = min(((bin((x ^ y) & (2**64 - 1)).count("1"), fy) for y, fy, _ in values if fy < fx), default=(99, 0))
+        if best[0] <= 32:
+            near[fx] = best
+    plan = hamming.Plan(32, [], [], [], len(values))
+    assert {r["id"]: (r["distance"], r["nearest"]) for r in hamming.nearest(df, 32, plan).collect()} == near
+    assert hamming.nearest(df.limit(0), 32).count() == hamming.pairs(df.limit(0), 6).count() == hamming.counts(df.limit(0), 6).count() == 0
+
+
+def test_hamming_plans_follow_the_data():
+    """Evenly spread values take tables when they are many, clustered ones tiles for longer; tables grow with the number."""
+    spread = np.random.default_rng(1).integers(0, 2**63, 20_000, np.int64).view(np.uint64)
+    assert [len(hamming.plan_for(spread, n, 6).tables) for n in (10**3, 10**7)] == [0, 28]
+    tight = spread & np.uint64(0xFFF)
+    assert not hamming.plan_for(tight, 10**5, 9).tables
+    assert hamming.plan_for(spread, 10**6, 6).meetings < hamming.plan_for(spread, 10**7, 6).meetings
 
 
 def test_most_distance():
