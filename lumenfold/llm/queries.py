@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, language_id, lm_scoring, ngram_join, packing, quality, suffix_dedup, token_counts, warc
+from . import decontaminate, divergence, exact_dedup, hard_negatives, language_id, line_dedup, lm_scoring, ngram_join, packing, quality, suffix_dedup, token_counts, warc
 
 #: The tokenizer whose ids packing and token counts use; found where its package is installed.
 TOKENIZER = "word_bpe_49k.json"
@@ -64,6 +65,21 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score", "n_words", "spans")
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"), least_docs=10, top=10)
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    noisy = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(vectors.withColumn("label", noisy), F.col("vec_id") % 100 == 0)
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = line_dedup.drop_lines(table(spark, sf_dir, "documents"), least_docs=10, least_chars=1)
+    return done.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 OP5_SQL = """
 SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
        doc_id = max(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
@@ -106,10 +122,43 @@ SELECT d.doc_id, length(h) // 2 AS n_bytes, coalesce(gone, 0)::BIGINT AS n_remov
 FROM d LEFT JOIN t ON t.doc_id = d.doc_id
 """
 
+#: ASCII letters, for translate().
+LETTERS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+OP11_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source, translate(coalesce(text, ''), {LETTERS}) AS t FROM documents),
+w AS (SELECT rid, lang, source, unnest(regexp_extract_all(t, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM d),
+k AS (SELECT lang, term, count(*) AS total FROM w GROUP BY 1, 2 HAVING count(DISTINCT rid) >= 10),
+g AS (SELECT DISTINCT lang, source FROM d), v AS (SELECT lang, count(*) AS v, sum(total)::HUGEINT AS n FROM k GROUP BY 1),
+c AS (SELECT lang, source, term, count(*) AS c FROM w GROUP BY 1, 2, 3),
+x AS (SELECT g.lang, g.source, k.term, coalesce(c, 0) AS c, total FROM g JOIN k ON k.lang = g.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+n AS (SELECT lang, source, sum(c)::HUGEINT AS n FROM x GROUP BY 1, 2),
+p AS (SELECT x.lang, x.source, term, c, 1 + 1000000000::HUGEINT * (c + 2) // (n.n + 2 * v.v) AS p, 1 + 1000000000::HUGEINT * (total + 2) // (v.n + 2 * v.v) AS q FROM x JOIN n ON n.lang = x.lang AND n.source = x.source JOIN v ON v.lang = x.lang),
+s AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS f FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3),
+r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f, 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q) // (p + q))::BIGINT FROM p WHERE c > 0 AND p > q)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM r) WHERE part = 'pair' OR rank <= 10
+"""
+OP12_SQL = """
+WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS s FROM e a JOIN e b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT a, b, s FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS r FROM s WHERE same) WHERE r <= 5),
+n AS (SELECT p.a, p.b, p.s, s.b AS c, s.s AS t, row_number() OVER (PARTITION BY p.a, p.b ORDER BY s.s DESC, s.b)::INT AS rank FROM p JOIN s ON s.a = p.a AND NOT s.same AND 80 * p.s <= 100 * s.s AND 100 * s.s <= 100 * p.s)
+SELECT a AS anchor_id, b AS positive_id, rank, c AS negative_id, s AS positive_score, t AS negative_score FROM n WHERE rank <= 5
+"""
+OP13_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+x AS (SELECT rid, doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS pos FROM d),
+k AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), {LETTERS}) AS key FROM x),
+f AS (SELECT key FROM k WHERE key <> '' GROUP BY key HAVING count(DISTINCT rid) >= 10),
+m AS (SELECT k.*, f.key IS NOT NULL AS gone FROM k LEFT JOIN f ON f.key = k.key)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256 FROM m GROUP BY rid, doc_id
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_ngram_join, op3_quality, op4_decontamination, op5_exact_dedup, op6_token_counts, op7_lm_scoring, op8_warc, op9_suffix_dedup, op10_language_id)}
+    return {f.__name__: f for f in (op1_packing, op2_ngram_join, op3_quality, op4_decontamination, op5_exact_dedup, op6_token_counts, op7_lm_scoring, op8_warc, op9_suffix_dedup, op10_language_id, op11_divergence, op12_hard_negatives, op13_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_ngram_join": OP2_SQL, "op5_exact_dedup": OP5_SQL, "op8_warc": OP8_SQL, "op9_suffix_dedup": OP9_SQL}
+    return {"op2_ngram_join": OP2_SQL, "op5_exact_dedup": OP5_SQL, "op8_warc": OP8_SQL, "op9_suffix_dedup": OP9_SQL, "op11_divergence": OP11_SQL, "op12_hard_negatives": OP12_SQL, "op13_line_dedup": OP13_SQL}

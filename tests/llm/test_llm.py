@@ -85,7 +85,7 @@ def test_sql(spark, name):
 
     con = duckdb.connect()
     con.execute("SET TimeZone = 'UTC'")
-    for table in ("documents", "pages"):
+    for table in ("documents", "pages", "embeddings"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     cur = con.execute(oracle_sql()[name])
     names = [d[0] for d in cur.description]
