@@ -178,11 +178,12 @@ def parse_bool(c: Column) -> Column:
 
 
 def near_evidence(similarity: Column, threshold: float) -> Column:
-    return F.format_string(rules.NEAR_EVIDENCE, similarity, F.lit(threshold))
+    return F.format_string(rules.NEAR_EVIDENCE, F.bround(similarity, 3), F.lit(threshold))
 
 
 def related_evidence(similarity: Column, threshold: float) -> Column:
-    return F.format_string(rules.RELATED_EVIDENCE, similarity, F.lit(threshold))
+    """Similarities are 64ths, so ties at the third place are exact; they go to the even digit."""
+    return F.format_string(rules.RELATED_EVIDENCE, F.bround(similarity, 3), F.lit(threshold))
 
 
 def describe_topic(kind: Column, value: Column, source_name: Column | None = None) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,8 +13,27 @@ from ..sources.store import stored
 from .tables import ARTICLES, GROUPS, LINKS, NEAREST, NORMAL, PRINTS, articles, contents
 
 
+_MADE: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def once(spark: SparkSession, sf_dir: str, tag: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """A table that several queries of one session need, written once for each folder of tables."""
+    key = (spark.sparkContext.applicationId, sf_dir, tag)
+    if key not in _MADE:
+        _MADE[key] = stored(make(), tag)
+    return _MADE[key]
+
+
 def prints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stored(dedup.fingerprints(contents(spark, sf_dir)), "prints")
+    return once(spark, sf_dir, "prints", lambda: dedup.fingerprints(contents(spark, sf_dir)))
+
+
+def linked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return once(spark, sf_dir, "links", lambda: dedup.links(prints(spark, sf_dir)))
+
+
+def grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return once(spark, sf_dir, "groups", lambda: dedup.groups(linked(spark, sf_dir)))
 
 
 def content_fingerprint(spark, sf_dir):  # noqa: ANN001, ANN201
@@ -46,11 +67,11 @@ def nearest_related(spark, sf_dir):  # noqa: ANN001, ANN201
 
 
 def dedup_links(spark, sf_dir):  # noqa: ANN001, ANN201
-    return dedup.links(prints(spark, sf_dir)).select("id", "parent", "relation_type", "similarity")
+    return linked(spark, sf_dir).select("id", "parent", "relation_type", "similarity")
 
 
 def dedup_groups(spark, sf_dir):  # noqa: ANN001, ANN201
-    return dedup.groups(dedup.links(prints(spark, sf_dir)))
+    return grouped(spark, sf_dir)
 
 
 def members(spark, sf_dir):  # noqa: ANN001, ANN201
@@ -68,9 +89,7 @@ def group_reelection(spark, sf_dir):  # noqa: ANN001, ANN201
 
 
 def relations(spark, sf_dir):  # noqa: ANN001, ANN201
-    linked = stored(dedup.links(prints(spark, sf_dir)), "links")
-    rows = dedup.groups(linked).join(articles(spark, sf_dir), "id")
-    return stored(dedup.relation_rows(rows, linked), "relations")
+    return once(spark, sf_dir, "relations", lambda: dedup.relation_rows(members(spark, sf_dir), linked(spark, sf_dir)))
 
 
 def relation_rows(spark, sf_dir):  # noqa: ANN001, ANN201
@@ -87,8 +106,12 @@ def group_overview(spark, sf_dir):  # noqa: ANN001, ANN201
 
 
 def related_bidirectional(spark, sf_dir):  # noqa: ANN001, ANN201
-    p = prints(spark, sf_dir)
-    return dedup.related_both_ways(dedup.related(p, dedup.links(p)))
+    return dedup.related_both_ways(dedup.related(prints(spark, sf_dir), linked(spark, sf_dir)))
+
+
+def related_edges(spark, sf_dir):  # noqa: ANN001, ANN201
+    """What is recommended beside an article that joined no group, with why."""
+    return dedup.related(prints(spark, sf_dir), linked(spark, sf_dir)).withColumn("similarity", F.round("similarity", 6))
 
 
 def threshold_preview(spark, sf_dir):  # noqa: ANN001, ANN201
@@ -102,8 +125,7 @@ def threshold_preview_stricter(spark, sf_dir):  # noqa: ANN001, ANN201
 def threshold_preview_changes(spark, sf_dir):  # noqa: ANN001, ANN201
     """What a threshold of 0.85 would change in the stored groups and related pairs."""
     p = prints(spark, sf_dir)
-    linked = stored(dedup.links(p), "links")
-    changes = dedup.preview_stored(p, dedup.groups(linked), dedup.related(p, linked), 0.85)
+    changes = dedup.preview_stored(p, grouped(spark, sf_dir), dedup.related(p, linked(spark, sf_dir)), 0.85)
     return dedup.with_unchanged(p, stored(changes.groupBy("change").agg(F.count("*").alias("pairs")), "preview-counts"))
 
 
@@ -166,7 +188,7 @@ def inaccessible_reelection(spark, sf_dir):  # noqa: ANN001, ANN201
 
 QUERIES = {f.__name__: f for f in (
     content_fingerprint, simhash64, simhash64_native, exact_duplicate_groups, exact_hidden_members, nearest_near, nearest_related, dedup_links, dedup_groups, group_primary, group_reelection, relation_rows, group_sizes,
-    group_overview, related_bidirectional, threshold_preview, threshold_preview_stricter, threshold_preview_changes, hit_report, visible_documents_page, visible_total, insights_dedup_stats, insights_category_distribution, article_list, article_detail, inaccessible_reelection,
+    group_overview, related_bidirectional, related_edges, threshold_preview, threshold_preview_stricter, threshold_preview_changes, hit_report, visible_documents_page, visible_total, insights_dedup_stats, insights_category_distribution, article_list, article_detail, inaccessible_reelection,
 )}
 ELECTION = "is_accessible DESC, weight DESC, published_at ASC NULLS LAST, length(content) DESC, length(trim(title)) - CASE WHEN regexp_matches(lower(title), '首页|无标题|untitled|404|导航|目录') THEN 100 ELSE 0 END DESC, crawled_at, id"
 ELECTED = f"{ARTICLES}, e AS (SELECT group_key, root, g.id, a.title, row_number() OVER (PARTITION BY group_key ORDER BY {ELECTION.replace(', id', ', g.id')}) AS n FROM g JOIN a ON g.id = a.id)"
@@ -191,6 +213,7 @@ SQL = {
     "group_reelection": f"WITH RECURSIVE {GROUPS}, {ELECTED} SELECT group_key, root AS previous, id AS chosen, root <> id AS changed FROM e WHERE n = 1",
     "group_sizes": f"WITH RECURSIVE {GROUPS} SELECT group_key, count(*) AS sources FROM g GROUP BY 1",
     "related_bidirectional": f"WITH {LINKS}, f AS ({NEAREST.format(d=32)}), r AS (SELECT id AS article_id, nearest AS related_id FROM f WHERE id NOT IN (SELECT id FROM l)) SELECT * FROM r UNION SELECT related_id, article_id FROM r",
+    "related_edges": f"WITH {LINKS}, f AS ({NEAREST.format(d=32)}) SELECT id AS article_id, nearest AS target_article_id, round(1 - distance / 64.0::DOUBLE, 6) AS similarity, printf('相似度 %.3f < 合并阈值 0.90，按不同视角关联（不合并）', 1 - distance / 64.0::DOUBLE) AS evidence FROM f WHERE id NOT IN (SELECT id FROM l)",
     "threshold_preview": PREVIEW.format(prints=PRINTS, change="'would_merge'", test="d > 6 AND d <= 9"),
     "relation_rows": f"WITH RECURSIVE {GROUPS}, {RELATIONS} SELECT * FROM rel",
     "group_overview": f"WITH RECURSIVE {GROUPS}, {RELATIONS} SELECT group_key, max(article_id) FILTER (WHERE is_primary) AS primary_id, count(*) AS members, count(*) FILTER (WHERE relation_type = 'exact_duplicate') AS exact_rows FROM rel GROUP BY 1",

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from ..session import ship
 from ..sources.store import shared_dir
-from ..streaming import ingest
-from .tables import NORMAL
+from ..streaming import arrivals, ingest
+from .tables import LINKS, NEAREST, NORMAL, contents
 
 
 def streamed(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,10 +53,31 @@ def stream_exact_dedup(spark, sf_dir):  # noqa: ANN001, ANN201
     return spark.read.parquet(f"{path}/articles").select("id", "first_id")
 
 
-QUERIES = {f.__name__: f for f in (stream_tumbling_counts, stream_sliding_counts, stream_dedup_first_seen, stream_exact_dedup)}
+def in_order(spark: SparkSession, rows: DataFrame, key: str, batches: int, files: int = 1) -> DataFrame:
+    """Rows as a stream in so many batches, in order of a key: what would have arrived day by day."""
+    path = f"{shared_dir(spark)}/arrivals-{uuid.uuid4().hex}"
+    edges = rows.approxQuantile(key, [k / batches for k in range(1, batches)], 0.01)
+    for low, high in zip([None, *edges], [*edges, None], strict=True):
+        part = rows.where(F.lit(True) if low is None else F.col(key) > low).where(F.lit(True) if high is None else F.col(key) <= high)
+        part.coalesce(files).write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(path)
+
+
+def stream_near_dedup(spark, sf_dir):  # noqa: ANN001, ANN201
+    """Documents that arrive in five batches, each linked with what came before: exact, near or related."""
+    path = f"{shared_dir(spark)}/arrivals-{uuid.uuid4().hex}"
+    docs = in_order(spark, contents(spark, sf_dir), "id", 5)
+    arrivals.dedup_arrivals(docs, path, f"{path}/state").awaitTermination()
+    return spark.read.parquet(f"{path}/links").drop("batch").withColumn("similarity", F.round("similarity", 6))
+
+
+QUERIES = {f.__name__: f for f in (stream_tumbling_counts, stream_sliding_counts, stream_dedup_first_seen, stream_exact_dedup, stream_near_dedup)}
 SQL = {
     "stream_tumbling_counts": "SELECT date_trunc('day', ts)::TIMESTAMP AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2",
     "stream_sliding_counts": "SELECT time_bucket(INTERVAL 10 MINUTE, ts) - k * INTERVAL 10 MINUTE AS start, user_id, count(*) AS n FROM events, range(6) r(k) GROUP BY 1, 2",
     "stream_dedup_first_seen": "SELECT DISTINCT user_id, event_type FROM events",
     "stream_exact_dedup": f"SELECT doc_id AS id, min(doc_id) OVER (PARTITION BY {NORMAL}) AS first_id FROM documents WHERE trim(text) <> ''",
+    "stream_near_dedup": f"""WITH {LINKS}, f AS ({NEAREST.format(d=32)})
+  SELECT id, parent, relation_type, round(similarity, 6) AS similarity, CASE WHEN relation_type = 'exact_duplicate' THEN '正文指纹相同（仅模板/导航差异）' ELSE printf('SimHash 相似度 %.3f ≥ 阈值 0.90', similarity) END AS evidence FROM l
+  UNION ALL SELECT id, nearest, 'related', round(1 - distance / 64.0::DOUBLE, 6), printf('相似度 %.3f < 合并阈值 0.90，按不同视角关联（不合并）', 1 - distance / 64.0::DOUBLE) FROM f WHERE id NOT IN (SELECT id FROM l)""",
 }
