@@ -59,6 +59,7 @@ INTERVALS = {"high": 3 * 3600, "normal": 24 * 3600, "low": 7 * 24 * 3600}
 PERIOD_DAYS = {"daily": 1, "weekly": 7}
 TOPIC_LABELS = {"source": "来源：", "category": "类别：", "tag": "标签：", "keyword": "关键词："}
 HEALTH_SAMPLE = 50
+MOST_TOPICS, MOST_KEYWORD, MOST_ITEMS = 20, 50, 50
 # The words of a digest mail.
 FREQUENCY_LABELS = {"daily": "每日", "weekly": "每周"}
 MAIL_HEADING, MAIL_NOTHING, MAIL_NO_SUMMARY, MAIL_NOTE, MAIL_DOT, MAIL_LEAVE = "订阅摘要", "本周期没有新的相关内容。", "（暂无摘要）", "本邮件由自动推送生成，请勿直接回复。", "　·　", "一键退订"

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import time
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import html, rules, urls
-from ..sources.store import fetch_pages, stored, upsert
+from ..sources.store import fetch_politely, stored, upsert
 
 
 def interval() -> Column:
@@ -106,12 +107,17 @@ def discover(pages: DataFrame, url: str = "url", page_html: str = "html", key: s
     return rows.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit).select(key, "rank", "link", "score")
 
 
-def index_links(sources: DataFrame, robots: DataFrame, fetcher, limit: int = rules.MOST_LINKS, agent: str = "*") -> tuple[DataFrame, DataFrame]:  # noqa: ANN001
+def by_host(pages: DataFrame, order: str) -> DataFrame:
+    """host, ord, url: each URL once, at its first place, for fetch_politely()."""
+    return pages.groupBy("url").agg(F.min(order).alias("ord")).select(urls.authority(F.col("url")).alias("host"), "ord", "url")
+
+
+def index_links(sources: DataFrame, robots: DataFrame, fetch: Callable[[DataFrame], DataFrame], limit: int = rules.MOST_LINKS, agent: str = "*") -> tuple[DataFrame, DataFrame]:
     """(source_id, url, position of what the index pages link to; source_id, outcome of each index page). Sources that are
     not crawled are passed over; an index page that is denied or fails has no links."""
     live = crawlable(sources).where("outcome is null").select(F.col("id").alias("source_id"), F.col("site_url").alias("url"))
     checked = allowed_by_robots(live, robots, agent)
-    got = fetch_pages(checked.where("allowed").select("url").distinct(), fetcher)
+    got = fetch(by_host(checked.where("allowed"), "source_id"))
     pages = stored(checked.join(got, "url", "left"), "index-pages")
     outcome = F.when(~F.col("allowed"), "robots_denied").when(F.col("ok"), "fetched").otherwise("failed")
     links = discover(pages.where("allowed and ok"), key="source_id", limit=limit)
@@ -119,19 +125,22 @@ def index_links(sources: DataFrame, robots: DataFrame, fetcher, limit: int = rul
 
 
 def crawl(
-    sources: DataFrame, page_urls: DataFrame | None, robots: DataFrame, fetcher, stored_pages: DataFrame, now: Column, seconds: float = 1.0, most: int = rules.MOST_LINKS, agent: str = "*"  # noqa: ANN001
+    sources: DataFrame, page_urls: DataFrame | None, robots: DataFrame, fetcher, stored_pages: DataFrame, now: Column, seconds: float = 1.0, most: int = rules.MOST_LINKS, agent: str = "*",  # noqa: ANN001
+    clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep,
 ) -> tuple[DataFrame, DataFrame]:
     """(page snapshot, report by source). page_urls: source_id, url, position; without it, what the sources' index pages
     link to. Pages of skipped sources are not fetched; denied ones are recorded; failures never stop the run; at most
-    `most` pages of a source. An index page counts in its source's report."""
+    `most` pages of a source. An index page counts in its source's report. Requests of one host are `seconds` apart, by one
+    task, in the order of `schedule`; see fetch_politely() for the clock and the waiting."""
+    fetch = lambda pages: fetch_politely(pages, fetcher, seconds, clock, sleep).drop("host", "at")
     index = None
     if page_urls is None:
-        page_urls, index = index_links(sources, robots, fetcher, most, agent)
+        page_urls, index = index_links(sources, robots, fetch, most, agent)
     wanted = first_seen(page_urls.join(crawlable(sources).where("outcome is null").select(F.col("id").alias("source_id")), "source_id", "left_semi"), ["source_id", "url"], "position")
     nth = Window.partitionBy("source_id").orderBy("position")
     wanted = wanted.withColumn("n", F.row_number().over(nth)).where(F.col("n") <= most)
     checked = schedule(allowed_by_robots(wanted, robots, agent), seconds)
-    got = fetch_pages(checked.where("allowed").select("url").distinct(), fetcher)
+    got = fetch(by_host(checked.where("allowed"), "not_before"))
     rows = checked.join(got, "url", "left").select(
         "source_id", "url", F.when(F.col("ok"), F.col("html")).alias("raw_html"), "http_status", F.when(~F.col("allowed"), "robots_denied").when(F.col("ok"), "fetched").otherwise("failed").alias("status"), F.col("error").alias("error_message"), now.alias("fetched_at"),
     )

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules, text
+from . import keywords
 from .browse import pushable, without_hidden
 
 
@@ -28,7 +29,7 @@ def in_window(start: Column, end: Column, now: Column) -> Column:
 
 def match_topics(articles: DataFrame, topics: DataFrame, sources: DataFrame | None = None) -> DataFrame:
     """subscription_id, article_id, reasons (in topic order). Three kinds of topic are equi-joins. Keyword topics are
-    containment: distinct keywords (not subscriptions) meet the articles in one nested loop over folded texts.
+    containment: one automaton of all distinct folded keywords runs over each folded text.
 
     articles: id, title, summary, category, tags, source_id; topics: subscription_id, ord, topic_type, topic_value."""
     t = topics.select("subscription_id", "ord", "topic_type", "topic_value")
@@ -43,7 +44,7 @@ def match_topics(articles: DataFrame, topics: DataFrame, sources: DataFrame | No
     c = pick(articles.select("id", F.col("source_id").cast("string").alias("topic_value")).join(of("source"), "topic_value"))
     words = of("keyword").select("topic_value").distinct().withColumn("needle", text.fold_text(F.col("topic_value"))).where("needle <> ''")
     folded = articles.select("id", text.fold_text(F.concat(F.coalesce("title", F.lit("")), F.lit("\n"), F.coalesce("summary", F.lit("")))).alias("haystack"))
-    d = pick(folded.join(words, F.expr("contains(haystack, needle)")).select("id", "topic_value").join(of("keyword"), "topic_value"))
+    d = pick(keywords.containing(folded, words).join(words, "needle").select("id", "topic_value").join(of("keyword"), "topic_value"))
     every = a.unionByName(b).unionByName(c).unionByName(d)
     return every.groupBy("subscription_id", "article_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "reason"))), lambda x: x["reason"]).alias("reasons"))
 

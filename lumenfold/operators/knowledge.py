@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules, text, vectors
 from ..sources.store import stored
+from . import vector_index
 
 
 def similarity(a: Column, b: Column, a_text: Column, b_text: Column) -> Column:
@@ -29,48 +30,40 @@ def nearest_entries(points: DataFrame, entries: DataFrame, least: float, k: int
     return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def nearest_vectors(points: DataFrame, entries: DataFrame, least: float, k: int = 1, block: int = 20_000) -> DataFrame:
-    """The same, with vectors compared in blocks: entries go to the workers in blocks of bounded size (a stated query set
-    against all), and each Arrow batch of points is one matrix product. Vectors of other dimensions have similarity 0, as
-    those of zero length. Points or entries without a vector are compared by their texts, as nearest_entries() does; where
-    points have no text, such pairs have similarity 0."""
-    spark, out = points.sparkSession, None
-    held: list[tuple] = []
-    bare = lambda c: F.size(F.coalesce(F.col(c), F.array().cast("array<double>"))) == 0
+def nearest_vectors(points: DataFrame, entries: DataFrame, least: float, k: int = 1, index: vector_index.Cells | None = None) -> DataFrame:
+    """The same through an index of cells (built here, unless given): exact, and entries never pass the driver.
+
+    Vectors of other dimensions have similarity 0, as those of zero length; such pairs count where `least` lets them, the
+    first k by id for each point. Points or entries without a vector are compared by their texts, as nearest_entries()
+    does; where points have no text, such pairs have similarity 0."""
     points = points if "text" in points.columns else points.withColumn("text", F.lit(""))
-    points = points.withColumn("embedding", F.col("embedding").cast("array<double>"))
-    active = entries.where("status = 'active'").withColumn("embedding", F.col("embedding").cast("array<double>"))
-
-    def search(of: list[tuple]) -> DataFrame:
-        shared = spark.sparkContext.broadcast(of)
-
-        def run(batches):  # noqa: ANN001, ANN202
-            ids = np.array([x[0] for x in shared.value])
-            sizes = np.array([len(x[1]) for x in shared.value])
-            unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-            known = {d: unit(np.array([x[1] for x in shared.value if len(x[1]) == d], np.float64)) for d in set(sizes.tolist())}
-            for batch in batches:
-                own = np.array([len(x) for x in batch["embedding"]])
-                s = np.zeros((len(own), len(ids)))
-                for d in set(own.tolist()) & known.keys():
-                    s[np.ix_(own == d, sizes == d)] = unit(np.array(batch["embedding"][own == d].tolist(), np.float64)) @ known[d].T
-                best = np.lexsort((np.broadcast_to(ids, s.shape), -s), axis=1)[:, :k]
-                rows = np.repeat(np.arange(len(own)), best.shape[1])
-                got = pd.DataFrame({"point_id": batch["point_id"].to_numpy()[rows], "entry_id": ids[best.ravel()], "similarity": s[rows, best.ravel()]})
-                yield got[got["similarity"] >= least]
-
-        return points.where(~bare("embedding")).select("point_id", "embedding").mapInPandas(run, "point_id long, entry_id long, similarity double")
-
-    for row in active.where(~bare("embedding")).select("entry_id", "embedding").toLocalIterator():
-        held.append((row[0], row[1]))
-        if len(held) == block:
-            out, held = (search(held) if out is None else out.unionByName(search(held))), []
-    if held:
-        out = search(held) if out is None else out.unionByName(search(held))
-    texts = nearest_entries(points.where(bare("embedding")), active, least, k).drop("rank").unionByName(nearest_entries(points.where(~bare("embedding")), active.where(bare("embedding")), least, k).drop("rank"))
-    out = texts if out is None else out.unionByName(texts)
-    w = Window.partitionBy("point_id").orderBy(F.desc("similarity"), "entry_id")
-    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    size = F.size(vector_index.vector("embedding"))
+    active = entries.where("status = 'active'")
+    real, known = points.where(size > 0), active.where(size > 0)
+    index = index or vector_index.build(known)
+    out = vector_index.nearest(real, index, least, k)
+    if least <= 0:
+        out = out.unionByName(unlike(real, known, k))
+    bare = points.where(size == 0), active.where(size == 0)
+    if not bare[0].isEmpty():
+        out = out.unionByName(nearest_entries(bare[0], active, least, k).drop("rank"))
+    if not bare[1].isEmpty():
+        out = out.unionByName(nearest_entries(real, bare[1], least, k).drop("rank"))
+    return vector_index.best(out, k)
+
+
+def unlike(points: DataFrame, entries: DataFrame, k: int) -> DataFrame:
+    """(point_id, entry_id, similarity 0): for each point the first k entries by id whose vector has another dimension or norm
+    zero, or any where its own norm is zero. Only the first k of each kind of vector are looked at."""
+    v = vector_index.vector("embedding")
+    kind = F.when(F.exists(v, lambda x: x != 0), F.size(v)).otherwise(F.lit(0))
+    first = Window.partitionBy("kind").orderBy("entry_id")
+    few = entries.select("entry_id", kind.alias("kind")).withColumn("n", F.row_number().over(first)).where(F.col("n") <= k).drop("n")
+    kinds = points.select(kind.alias("own")).distinct()
+    pairs = kinds.join(F.broadcast(few), (F.col("own") == 0) | (F.col("own") != F.col("kind")))  # k rows a dimension, of which there are few
+    order = Window.partitionBy("own").orderBy("entry_id")
+    pairs = pairs.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k)
+    return points.select("point_id", kind.alias("own")).join(F.broadcast(pairs), "own").select("point_id", "entry_id", F.lit(0.0).alias("similarity"))
 
 
 def verdicts(points: DataFrame, nearest: DataFrame, low: float, high: float, judge: Callable[[Column, Column], Column] | None = None) -> DataFrame:

@@ -7,10 +7,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import limits
 from ..session import ship
 from ..sources.store import shared_dir
 from ..streaming import arrivals, ingest
-from .tables import LINKS, NEAREST, NORMAL, contents
+from .tables import LINKS, NEAREST, NORMAL, contents, table
 
 
 def streamed(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,7 +72,30 @@ def stream_near_dedup(spark, sf_dir):  # noqa: ANN001, ANN201
     return spark.read.parquet(f"{path}/links").drop("batch").withColumn("similarity", F.round("similarity", 6))
 
 
-QUERIES = {f.__name__: f for f in (stream_tumbling_counts, stream_sliding_counts, stream_dedup_first_seen, stream_exact_dedup, stream_near_dedup)}
+#: Requests of an address, or a network address, that may create a subscription within an hour.
+REQUESTS = 5
+
+
+def requests(spark, sf_dir):  # noqa: ANN001, ANN201
+    """Events as requests: the user is the address, a third of the users share a network address."""
+    return table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.concat("user_id", F.lit("@example.org")).alias("email"), F.concat(F.lit("10.0.0."), F.col("user_id") % 3).alias("ip"), F.col("ts").cast("timestamp").alias("at"))
+
+
+def rate_decisions(spark, sf_dir):  # noqa: ANN001, ANN201
+    """Which request is refused, by what, in order of time."""
+    return limits.rate_decisions(requests(spark, sf_dir), REQUESTS)
+
+
+def stream_rate_limits(spark, sf_dir):  # noqa: ANN001, ANN201
+    """The same of requests that arrive in three batches."""
+    path = f"{shared_dir(spark)}/requests-{uuid.uuid4().hex}"
+    rows = requests(spark, sf_dir).withColumn("second", F.unix_seconds("at"))
+    arriving = in_order(spark, rows, "second", 3).drop("second")
+    ingest.limit_requests(arriving, path, f"{path}-state", REQUESTS).awaitTermination()
+    return spark.read.parquet(path).select("id", "refused")
+
+
+QUERIES = {f.__name__: f for f in (stream_tumbling_counts, stream_sliding_counts, stream_dedup_first_seen, stream_exact_dedup, stream_near_dedup, rate_decisions, stream_rate_limits)}
 SQL = {
     "stream_tumbling_counts": "SELECT date_trunc('day', ts)::TIMESTAMP AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2",
     "stream_sliding_counts": "SELECT time_bucket(INTERVAL 10 MINUTE, ts) - k * INTERVAL 10 MINUTE AS start, user_id, count(*) AS n FROM events, range(6) r(k) GROUP BY 1, 2",

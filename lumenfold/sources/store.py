@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -69,10 +70,6 @@ def default_categories(existing: DataFrame) -> DataFrame:
     return rows if existing.isEmpty() else rows.limit(0)
 
 
-def write_snapshot(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
-    (df.write.partitionBy(*partition_by) if partition_by else df.write).mode("overwrite").parquet(path)
-
-
 def append_log(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
@@ -85,25 +82,53 @@ def read_jdbc(spark: SparkSession, url: str, table: str, key: str | None = None,
     return reader.load()
 
 
+def fetched(fetcher: Callable[[str], dict], url: str) -> dict:
+    try:
+        got = fetcher(url)
+    except Exception as e:  # noqa: BLE001
+        got = {"error": str(e)}
+    status, error = got.get("http_status"), got.get("error")
+    return {"url": url, "html": got.get("html"), "http_status": status, "error": error, "ok": not error and status is not None and 200 <= status < 300}
+
+
 def fetch_pages(urls: DataFrame, fetcher: Callable[[str], dict]) -> DataFrame:
     """(url, html, http_status, error, ok) of each URL by an injected fetcher that never stops the job: an exception is an
     error of its row. ok: no error and a 2xx status."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for url in batch["url"]:
-                try:
-                    got = fetcher(url)
-                except Exception as e:  # noqa: BLE001
-                    got = {"error": str(e)}
-                status, error = got.get("http_status"), got.get("error")
-                rows.append({"url": url, "html": got.get("html"), "http_status": status, "error": error, "ok": not error and status is not None and 200 <= status < 300})
-            yield pd.DataFrame(rows, columns=["url", "html", "http_status", "error", "ok"])
+            yield pd.DataFrame([fetched(fetcher, url) for url in batch["url"]], columns=["url", "html", "http_status", "error", "ok"])
 
     return urls.select("url").mapInPandas(run, "url string, html string, http_status int, error string, ok boolean")
 
 
+def fetch_politely(urls: DataFrame, fetcher: Callable[[str], dict], interval: float, clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep) -> DataFrame:
+    """(host, url, html, http_status, error, ok, at) as fetch_pages(), but requests of one host are at least `interval` seconds
+    apart. urls: host, ord, url.
+
+    All URLs of a host are in one partition, so one task alone talks to it. A task takes the first URL of each of its hosts,
+    then the second, and so on, and waits only where a host's turn has not come. `at` is the clock's time of the request.
+    The clock and the waiting may be given, as in tests. A task that is run again starts with no memory of the attempt
+    before; speculative execution must be off."""
+    turn = Window.partitionBy("host").orderBy("ord", "url")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        free: dict[str, float] = {}
+        for batch in batches:
+            rows = []
+            for host, url in zip(batch["host"], batch["url"], strict=True):
+                wait = free.get(host, clock()) - clock()
+                if wait > 0:
+                    sleep(wait)
+                at = clock()
+                free[host] = at + interval
+                rows.append({"host": host, **fetched(fetcher, url), "at": at})
+            yield pd.DataFrame(rows, columns=["host", "url", "html", "http_status", "error", "ok", "at"])
+
+    ordered = urls.select("host", "ord", "url").withColumn("turn", F.row_number().over(turn))
+    return ordered.repartition("host").sortWithinPartitions("turn", "host").mapInPandas(run, "host string, url string, html string, http_status int, error string, ok boolean, at double")
+
+
 def outbox(mails: DataFrame, path: str) -> None:
     """The mail sink: messages are appended as JSON for a sender outside the engine."""
     mails.write.mode("append").json(path)

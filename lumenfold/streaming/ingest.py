@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
+from ..operators import limits
 from ..operators.dedup import fingerprints
 from ..sources.store import latest, stored
 
@@ -74,6 +75,26 @@ def ingest_articles(stream: DataFrame, target: str, checkpoint: str) -> Streamin
     return run_available(stream, checkpoint, each)
 
 
+def limit_requests(stream: DataFrame, target: str, checkpoint: str, limit: int, seconds: int = limits.HOUR, keys: tuple[str, str] = ("email", "ip")) -> StreamingQuery:
+    """Requests (id, both keys, at) as they arrive, each with `refused` (see limits.rate_decisions), in a folder for each batch
+    and hour. A batch is decided given what was created in the `seconds` before its first request, which is all the state
+    there is: older hours are not read. Batches come in order of time."""
+    spark = stream.sparkSession
+    schema = StructType(stream.schema.fields).add("refused", "string").add("batch", "integer").add("hour", "long")
+
+    def each(batch: DataFrame, n: int) -> None:
+        rows = stored(batch, "batch-requests")
+        first = rows.agg(F.min(F.unix_seconds("at"))).first()[0]
+        if first is None:
+            return
+        since = existing(spark, target, schema).where((F.col("batch") < n) & (F.col("hour") >= (first - seconds) // 3600) & (F.unix_micros("at") >= (first - seconds) * 1_000_000))
+        told = limits.rate_decisions(rows, limit, since.where("refused is null").select("id", *keys, "at"), seconds, keys)
+        out = rows.join(told, "id").withColumn("hour", F.floor(F.unix_seconds("at") / 3600))
+        out.write.mode("overwrite").partitionBy("hour").parquet(f"{target}/batch={n}")
+
+    return run_available(stream, checkpoint, each)
+
+
 def upsert_pages(stream: DataFrame, target: str, checkpoint: str, keys: list[str], version: str) -> StreamingQuery:
     """Every version is appended; pages_now() reads the newest of each key. So a failed batch leaves no half state."""
 

@@ -236,7 +236,7 @@ def test_crawl(spark):
         return {"http_status": 200, "html": f"<p>{url}</p>"}
 
     old = spark.createDataFrame([("s", "https://x.org/bad", "<old>", 200, "fetched", None, T0)], "source_id string, url string, raw_html string, http_status int, status string, error_message string, fetched_at timestamp")
-    pages, report = crawl.crawl(src, urls_, robots, fetcher, old, F.lit(T0 + timedelta(hours=1)))
+    pages, report = crawl.crawl(src, urls_, robots, fetcher, old, F.lit(T0 + timedelta(hours=1)), seconds=0.01)
     got = {r["url"]: (r["status"], r["raw_html"]) for r in pages.collect()}
     assert got == {"https://x.org/p": ("fetched", "<p>https://x.org/p</p>"), "https://x.org/no/q": ("robots_denied", None), "https://x.org/bad": ("failed", None)}
     assert report.first().asDict() == {"source_id": "s", "total": 3, "fetched": 1, "failed": 1, "robots_denied": 1}
@@ -280,7 +280,7 @@ def test_crawl_from_index_pages(spark):
         return {"http_status": 500 if "f.org" in url else 200, "html": url}
 
     none = spark.createDataFrame([], "source_id string, url string, raw_html string, http_status int, status string, error_message string, fetched_at timestamp")
-    pages, report = crawl.crawl(src, None, robots, fetcher, none, F.lit(T0))
+    pages, report = crawl.crawl(src, None, robots, fetcher, none, F.lit(T0), seconds=0.01)
     assert {r["url"]: r["status"] for r in pages.collect()} == {"https://x.org/posts/1": "fetched", "https://x.org/posts/no": "robots_denied", "https://x.org/posts/2": "fetched"}
     assert {r["source_id"]: (r["total"], r["fetched"], r["failed"], r["robots_denied"]) for r in report.collect()} == {"s": (4, 3, 0, 1), "d": (1, 0, 0, 1), "f": (1, 0, 1, 0)}
 
