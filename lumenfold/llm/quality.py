@@ -22,10 +22,22 @@ BUCKETS, FIT_ROWS = 1 << 12, 20_000
 #: The default bound on the labelled rows that insults are learned from; in how many toxic texts a word must stand, and its
 #: share of toxic ones were both kinds of text equally many.
 FIT_LABELS, LEAST_TOXIC, LEAST_SHARE = 50_000, 8, 0.98
-# Insults that make a text toxic when they stand as words of their own.
-INSULTS = "asshole bastard bitch clown cretin cunt degenerate disgusting dumbass faggot filth freak idiot idiots imbecile jackass loser losers moron morons pathetic retard retarded scum scumbag slut stupid subhuman trash vermin whore worthless".split()
+# Words that insult whatever stands around them, by language (en, de, es, fr, it), and words that may be meant
+# plainly and so count only beside others.
+INSULTS = (
+    "asshole bastard bitch cretin cunt dumbass faggot idiot idiots imbecile jackass moron morons retard retarded scum scumbag slut stupid subhuman whore".split()
+    + "abschaum arschloch dummkopf fotze hure hurensohn missgeburt schlampe vollidiot wichser".split()
+    + "cabrón estúpida estúpido gilipollas idiota imbécil maricón mierda pendejo puta zorra".split()
+    + "abruti connard connasse crétin débile enculé ordure pute salaud salope".split()
+    + "bastardo coglione stronza stronzo troia".split()
+)
+AMBIGUOUS = "clown degenerate disgusting filth freak loser losers pathetic trash vermin worthless".split()
+#: Who is spoken to, and what a threat says will be done to them.
+SPOKEN_TO = frozenset(x.encode() for x in "you your yours u ur yourself du dich dir dein deine euch tu te toi ton ta vous votre ti usted ustedes eres vosotros sei".split())
+THREATS = frozenset(x.encode() for x in "kill murder stab shoot strangle hurt beat burn hang umbringen töten matar mataré matarte tuer tuerai uccidere".split())
+STRONG, PLAIN, LEARNED = 3, 2, 1
 LABELLERS = ["symbols", "tables", "shouting", "repeats", "adjacent", "lines", "words", "length", "shapes", "runs"]
-CIVILITY = ["listed", "learned", "together"]
+CIVILITY = ["listed", "distinct", "learned", "addressed", "dense", "threat"]
 SHAPE = bytes(65 if 65 <= x <= 90 else 97 if 97 <= x <= 122 or x >= 128 else 48 if 48 <= x <= 57 else x for x in range(256))
 RUNS, JUNK = re.compile(rb"a{2,}|A{2,}|0{2,}"), re.compile(rb"[^\w\s]{2,}")
 
@@ -37,18 +49,42 @@ def vote(value: float, good: float, bad: float) -> int:
     return 1 if value >= good else 0 if value <= bad else -1
 
 
-def uncivil(text: bytes, insults: dict[bytes, int]) -> tuple[list[int], dict[int, float], int]:
-    """(votes on civility, hashed features, weight of insults) of a text. A listed insult weighs 2, a learned one 1.
+class Insults:
+    """Words with their kind: listed ones, and those that labels taught (taught: whether there are any)."""
 
-    One labeller goes by listed insults and says nothing where there is none (they are of one language), one by learned
-    ones, if any were learned, and one by the weight of both, each time an insult stands there."""
-    found = Counter(filter(insults.__contains__, words_of(text)))
-    weight = sum(insults[x] * n for x, n in found.items())
-    listed, learned = sum(n for x, n in found.items() if insults[x] == 2), sum(n for x, n in found.items() if insults[x] == 1)
-    votes = [0 if listed else -1, vote(learned, 0, 2) if 1 in insults.values() else -1, vote(weight, 0, 2)]
-    features = {zlib.crc32(b"insult" + x) % BUCKETS: 1.0 for x in found}
-    features[zlib.crc32(b"weight%d" % min(weight, 2)) % BUCKETS] = 1.0
-    return votes, features, weight
+    def __init__(self, learned: set[bytes] = frozenset()) -> None:
+        strong, plain = (dict.fromkeys((x.encode() for x in some), kind) for some, kind in ((INSULTS, STRONG), (AMBIGUOUS, PLAIN)))
+        self.words, self.taught = dict.fromkeys(learned, LEARNED) | strong | plain, bool(learned)
+
+
+def beside(words: list[bytes], at: int, others: frozenset[bytes], span: int) -> bool:
+    return not others.isdisjoint(words[max(0, at - span) : at + span + 1])
+
+
+def uncivil(text: bytes, insults: Insults) -> tuple[list[int], dict[int, float], int]:
+    """(votes on civility, hashed features, number of insults) of a text. A threat to someone spoken to counts as an insult.
+
+    The labellers see different things: two listed insults; how many distinct ones; words learned from labels; an insult next
+    to someone spoken to; how many of the words are insults; threats. A single word that may be meant plainly moves none of
+    them against the text, and no labeller alone decides. Features are the insults where there are two or more, their number,
+    the labellers' views, and the text's own words, each by its share."""
+    words = words_of(text)
+    threats = [k for k, x in enumerate(words) if x in THREATS and beside(words, k, SPOKEN_TO, 3)]
+    kinds = [insults.words.get(x, 0) for x in words]
+    found = [k for k, kind in enumerate(kinds) if kind]
+    hits, learned = len(found) + len(threats), kinds.count(LEARNED)
+    distinct = len({words[k] for k in found}) + len({words[k] for k in threats})
+    spoken = bool(threats) or any(beside(words, k, SPOKEN_TO, 4) for k in found if kinds[k] == STRONG or hits > 1)
+    dense = hits > 1 and hits >= 0.01 * len(words)
+    votes = [0 if hits - learned > 1 else -1, vote(distinct, 0, 2), vote(learned, 0, 2) if insults.taught else -1, 0 if spoken else -1, 0 if dense else -1, 0 if threats else -1]
+    told = [b"insult" + words[k] for k in found] if hits > 1 else []
+    told += [b"hits%d" % min(hits, 3), b"distinct%d" % min(distinct, 3)] + [b"spoken"] * spoken + [b"dense"] * dense + [b"threat"] * bool(threats)
+    features = {zlib.crc32(x) % BUCKETS: 1.0 for x in told}
+    for x, n in Counter(words).items():
+        if x not in insults.words:
+            at = zlib.crc32(b"word" + x) % BUCKETS
+            features[at] = features.get(at, 0.0) + n / len(words)
+    return votes, features, hits
 
 
 def measure(text: bytes) -> tuple[list[int], dict[int, float]]:
@@ -87,8 +123,8 @@ def measure(text: bytes) -> tuple[list[int], dict[int, float]]:
     return votes, features
 
 
-def learn_insults(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", toxic_col: str = "toxic", fit_labels: int = FIT_LABELS) -> set[bytes]:
-    """Words that stand in LEAST_TOXIC toxic texts or more and hardly in others, of at most `fit_labels` labelled rows (those
+def learn_insults(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", toxic_col: str = "toxic", fit_labels: int = FIT_LABELS) -> Insults:
+    """The listed insults, and words that stand in LEAST_TOXIC toxic texts or more and hardly in others, of at most `fit_labels` labelled rows (those
     with the smallest hashes of id and label). Rows without an id or a label teach nothing."""
     some = labels.where(F.col(toxic_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), (F.col(toxic_col) > 0).alias("toxic"))
     some = stored(smallest_hashes(some, fit_labels, "id", "toxic"), "labelled")
@@ -109,18 +145,18 @@ def learn_insults(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     table = stored(mapped(rows, count, "word binary, toxic long, clean long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).where((F.col("toxic") >= LEAST_TOXIC) | (F.length("word") == 0)), "toxic-words")
     total = table.where(F.length("word") == 0).first()
     if not total or not total["toxic"] or not total["clean"]:
-        return set()
+        return Insults()
     share = F.col("toxic") / total["toxic"] / (F.col("toxic") / total["toxic"] + F.col("clean") / total["clean"])
-    return {bytes(r["word"]) for r in table.where((F.length("word") > 0) & (share >= LEAST_SHARE)).select("word").toLocalIterator()}
+    return Insults({bytes(r["word"]) for r in table.where((F.length("word") > 0) & (share >= LEAST_SHARE)).select("word").toLocalIterator()})
 
 
 def signs(votes: list[int]) -> str:
     return "".join("-" if v < 0 else str(v) for v in votes)
 
 
-def measured(docs: DataFrame, insults: dict[bytes, int], id_col: str, text_col: str) -> DataFrame:
+def measured(docs: DataFrame, insults: Insults, id_col: str, text_col: str) -> DataFrame:
     """id, key (hash of the text), for form and civility each votes (a string of 0, 1 and -), buckets and values, and the
-    weight of insults, of every text, in one scan."""
+    number of insults, of every text, in one scan."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -178,17 +214,16 @@ def score_quality(
 ) -> DataFrame:
     """doc_id, text_key, votes, posterior, quality_score, insults, toxicity, toxic, kept: one row per input row.
 
-    Ten labellers vote on the form of every whole text and three on its civility. EM over the counts of their vote patterns (at
-    most 3^10 and 3^3) estimates accuracies and posteriors. For each question a linear scorer over hashed features (word
-    shapes and measures; insults and their weight) is fitted to the posteriors of at most `fit_rows` texts, chosen by the
+    Ten labellers vote on the form of every whole text and six on its civility. EM over the counts of their vote patterns (at
+    most 3^10 and 3^6) estimates accuracies and posteriors. For each question a linear scorer over hashed features (word
+    shapes and measures; insults, the labellers' views and the text's words) is fitted to the posteriors of at most `fit_rows` texts, chosen by the
     smallest hashes of id and text, and scores all. Insults are listed ones and those that learn_insults() takes from at most
     `fit_labels` rows of `labels` (id, toxic). quality_score is P(well formed); toxicity is P(not civil), and a text is toxic
     from `toxic_threshold` on. kept says that it is neither toxic nor below `threshold`. Null and empty texts score by the same
     rules (no words: the length labeller votes against). Rows that repeat, or share a doc_id, each count and are scored on
     their own; an empty table gives no rows. Only the id and the text are read.
     """
-    learned = learn_insults(docs, labels, id_col, text_col, fit_labels=fit_labels) if labels is not None else set()
-    insults = dict.fromkeys(learned, 1) | {x.encode(): 2 for x in INSULTS}
+    insults = learn_insults(docs, labels, id_col, text_col, fit_labels=fit_labels) if labels is not None else Insults()
     rows = stored(measured(docs, insults, id_col, text_col), "measures")
     sample = smallest_hashes(rows, fit_rows, "id", "key").select("votes", "buckets", "weights", "civil_votes", "civil_buckets", "civil_weights").collect()
     good, w = [], []

@@ -817,11 +817,23 @@ def test_quality(spark, docs, rows, nothing):
     assert kept.columns == docs.columns and kept.count() == quality.score_quality(docs).where("kept").count()
     odd = spark.createDataFrame([(1, 1), (None, 1), (3, None), (500, 1), (1, 0)], "doc_id long, toxic int")
     assert quality.score_quality(docs, odd).count() == len(rows)
-    assert quality.learn_insults(nothing, odd) == quality.learn_insults(docs, odd.limit(0)) == set()
+    assert not quality.learn_insults(nothing, odd).taught and not quality.learn_insults(docs, odd.limit(0)).taught
     taught = spark.createDataFrame([(i, ("grumbel " if i % 3 == 0 else "") + f"plain word{i}") for i in range(60)], "doc_id long, text string")
-    assert quality.learn_insults(taught, taught.selectExpr("doc_id", "int(doc_id % 3 = 0) AS toxic")) == {b"grumbel"}
-    flagged = spark.createDataFrame([(1, "You are a worthless idiot, really"), (2, "A calm and friendly line of text here")], "doc_id long, text string")
-    assert {r["doc_id"]: r["toxic"] for r in quality.score_quality(flagged).collect()} == {1: True, 2: False}
+    learned = quality.learn_insults(taught, taught.selectExpr("doc_id", "int(doc_id % 3 = 0) AS toxic"))
+    assert {x for x, kind in learned.words.items() if kind == quality.LEARNED} == {b"grumbel"}
+
+
+def test_single_words_do_not_decide(spark):
+    """Plain sentences with a word that may insult stay; insults in other languages go. Fitted to sf0.01 with its labels."""
+    real = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    given = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    clean = real.join(given.where("toxic = 0 and quality = 1"), "doc_id").orderBy("doc_id").first()["text"]
+    plain = ["Please take the trash out on Monday.", "The circus clown made the children laugh.", "A moron is also the name of a small sea worm."]
+    rude = ["You are a worthless idiot, really", "Eres un hijo de puta y te odio, imbécil de mierda.", "Du bist ein Arschloch und ein Hurensohn"]
+    texts = [(kind, lead + x) for kind, some in ((False, plain), (True, rude)) for x in some for lead in ("", clean + " ")]
+    extra = spark.createDataFrame([(10**9 + k, x) for k, (_, x) in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"] - 10**9: r["toxic"] for r in quality.score_quality(real.unionByName(extra), given).where("doc_id >= 1000000000").collect()}
+    assert got == {k: kind for k, (kind, _) in enumerate(texts)}
 
 
 def test_features_of_all_shapes():
@@ -835,19 +847,24 @@ def test_features_of_all_shapes():
 
 
 def test_votes_on_civility():
-    insults = {b"idiot": 2, b"grumbel": 1}
-    for text, votes, weight in [(b"", [-1, 1, 1], 0), (b"You IDIOT!", [0, 1, 0], 2), (b"grumbel", [-1, -1, -1], 1), (b"grumbel grumbel", [-1, 0, 0], 2), (b"idiots are plural", [-1, 1, 1], 0)]:
-        got = quality.uncivil(text, insults)
-        assert (got[0], got[2]) == (votes, weight), text
-    assert quality.uncivil(b"calm", {b"idiot": 2})[0] == [-1, -1, 1]
+    taught = quality.Insults({b"grumbel"})
+    for text, votes, hits in [
+        (b"", [-1, 1, 1, -1, -1, -1], 0), (b"You IDIOT!", [-1, -1, 1, 0, -1, -1], 1), (b"You clown", [-1, -1, 1, -1, -1, -1], 1), (b"grumbel", [-1, -1, -1, -1, -1, -1], 1), (b"grumbel grumbel", [-1, -1, 0, -1, 0, -1], 2),
+        (b"trash and a clown", [0, 0, 1, -1, 0, -1], 2), (b"I will kill you", [-1, -1, 1, 0, -1, 0], 1), (b"kill the lights before you go out", [-1, 1, 1, -1, -1, -1], 0), (b"idiocy is plural", [-1, 1, 1, -1, -1, -1], 0),
+        (b"idiot idiot " + b"calm words here " * 100, [0, -1, 1, -1, -1, -1], 2),
+    ]:
+        got = quality.uncivil(text, taught)
+        assert (got[0], got[2]) == (votes, hits), text
+    assert quality.uncivil(b"calm", quality.Insults())[0] == [-1, 1, -1, -1, -1, -1]
+    assert quality.uncivil("Eres IMBÉCIL".encode(), quality.Insults())[0][3] == 0
 
 
 def test_quality_against_plain_python(spark):
     """EM and both scorers written out in plain Python over the votes and features of every text."""
     rng = random.Random(21)
-    rows = [(k, words(rng, rng.randrange(1, 40)) + rng.choice(["", " idiot", " you stupid scum", " | | | ###"])) for k in range(120)] + [(7, None), (None, ""), (9, "a a a a a a a a a a a a a")]
+    rows = [(k, words(rng, rng.randrange(1, 40)) + rng.choice(["", " idiot", " you stupid scum", " a filthy trash clown", " | | | ###"])) for k in range(120)] + [(7, None), (None, ""), (9, "a a a a a a a a a a a a a")]
     got = quality.score_quality(spark.createDataFrame(rows, "doc_id long, text string").withColumn("votes", F.lit("x")), threshold=0.6)
-    insults = {x.encode(): 2 for x in quality.INSULTS}
+    insults = quality.Insults()
     key = {(r["id"], r["text"]): (r["h"], r["key"]) for r in spark.createDataFrame(rows, "id long, text string").selectExpr("id", "text", "xxhash64(id, xxhash64(text)) AS h", "xxhash64(text) AS key").collect()}
     in_order = sorted(rows, key=lambda r: (key[r][0], r[0] is not None, r[0] or 0, key[r][1]))
 
