@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -192,18 +193,26 @@ def posteriors(patterns: dict[str, int], rounds: int = 50) -> dict[str, float]:
     return dict(zip(keys, good.tolist(), strict=True))
 
 
-def fit(rows: list[tuple[list[int], list[float], float]], epochs: int = 30, rate: float = 1.0) -> np.ndarray:
+def features_of(table: pa.Table | pa.RecordBatch, lead: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(buckets, values, row of each) of all rows of a batch: arrays, not Python objects, as texts have hundreds of features."""
+    parts = [table.column(f"{lead}{x}") for x in ("buckets", "weights")]
+    parts = [x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in parts]
+    sizes = pc.list_value_length(parts[0]).to_numpy(zero_copy_only=False)
+    return parts[0].flatten().to_numpy(), parts[1].flatten().to_numpy(), np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+
+
+def fit(index: np.ndarray, value: np.ndarray, owner: np.ndarray, good: np.ndarray, epochs: int = 30, rate: float = 1.0) -> np.ndarray:
     """Weights (the last is the bias) of a logistic scorer on soft labels; AdaGrad over minibatches in a fixed order."""
     w, seen = np.zeros(BUCKETS + 1), np.full(BUCKETS + 1, 1e-6)
+    edges = np.searchsorted(owner, np.arange(0, len(good) + 256, 256))
     for _ in range(epochs):
-        for at in range(0, len(rows), 256):
-            some = rows[at : at + 256]
-            sizes = [len(x[0]) + 1 for x in some]
-            index = np.concatenate([[*x[0], BUCKETS] for x in some]).astype(np.int64)
-            value = np.concatenate([[*x[1], 1.0] for x in some])
-            owner = np.repeat(np.arange(len(some)), sizes)
-            p = 1 / (1 + np.exp(-np.bincount(owner, w[index] * value, len(some))))
-            slope = np.bincount(index, (p - np.array([x[2] for x in some]))[owner] * value, BUCKETS + 1) / len(some) + 1e-4 * w
+        for k, at in enumerate(range(0, len(good), 256)):
+            some, y = slice(edges[k], edges[k + 1]), good[at : at + 256]
+            row, own = owner[some] - at, index[some]
+            miss = 1 / (1 + np.exp(-(np.bincount(row, w[own] * value[some], len(y)) + w[-1]))) - y
+            slope = np.bincount(own, miss[row] * value[some], BUCKETS + 1)
+            slope[-1] = miss.sum()
+            slope = slope / len(y) + 1e-4 * w
             seen += slope**2
             w -= rate * 0.1 * slope / np.sqrt(seen)
     return w
@@ -225,16 +234,18 @@ def score_quality(
     """
     insults = learn_insults(docs, labels, id_col, text_col, fit_labels=fit_labels) if labels is not None else Insults()
     rows = stored(measured(docs, insults, id_col, text_col), "measures")
-    sample = smallest_hashes(rows, fit_rows, "id", "key").select("votes", "buckets", "weights", "civil_votes", "civil_buckets", "civil_weights").collect()
+    sample = smallest_hashes(rows, fit_rows, "id", "key").select("votes", "buckets", "weights", "civil_votes", "civil_buckets", "civil_weights").toArrow()
     good, w = [], []
-    for votes, buckets, weights in (("votes", "buckets", "weights"), ("civil_votes", "civil_buckets", "civil_weights")):
+    for lead in ("", "civil_"):
+        votes = f"{lead}votes"
         counts = {r[votes]: r["n"] for r in rows.groupBy(votes).agg(F.count("*").alias("n")).collect()}  # at most 3^10 rows
         good.append(posteriors(counts))
-        w.append(fit([(r[buckets], r[weights], good[-1][r[votes]]) for r in sample]))
+        w.append(fit(*features_of(sample, lead), np.array([good[-1][v] for v in sample.column(votes).to_pylist()])))
+    del sample
 
     def chance(batch: pa.RecordBatch, lead: str, w: np.ndarray) -> np.ndarray:
-        pairs = zip(batch.column(f"{lead}buckets").to_pylist(), batch.column(f"{lead}weights").to_pylist(), strict=True)
-        return 1 / (1 + np.exp(-np.array([w[-1] + float(np.dot(w[index], value)) for index, value in pairs])))
+        index, value, owner = features_of(batch, lead)
+        return 1 / (1 + np.exp(-(np.bincount(owner, w[index] * value, batch.num_rows) + w[-1])))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
