@@ -7,7 +7,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -218,6 +218,20 @@ def fit(index: np.ndarray, value: np.ndarray, owner: np.ndarray, good: np.ndarra
     return w
 
 
+def fit_task(good: dict[str, dict[str, float]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The weights of each scorer (lead of its columns, posteriors of its patterns), fitted by the one task that holds the sample,
+    so that the driver gets the weights alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(some) if (some := list(batches)) else None
+        if table is None or not table.num_rows:
+            return
+        w = [fit(*features_of(table, lead), np.array([of[v] for v in table.column(f"{lead}votes").to_pylist()])) for lead, of in good.items()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(good)), pa.array(w, pa.list_(pa.float64()))], names=["lead", "w"])
+
+    return run
+
+
 def score_quality(
     docs: DataFrame, labels: DataFrame | None = None, threshold: float = 0.5, toxic_threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", fit_rows: int = FIT_ROWS, fit_labels: int = FIT_LABELS
 ) -> DataFrame:
@@ -234,14 +248,11 @@ def score_quality(
     """
     insults = learn_insults(docs, labels, id_col, text_col, fit_labels=fit_labels) if labels is not None else Insults()
     rows = stored(measured(docs, insults, id_col, text_col), "measures")
-    sample = smallest_hashes(rows, fit_rows, "id", "key").select("votes", "buckets", "weights", "civil_votes", "civil_buckets", "civil_weights").toArrow()
-    good, w = [], []
-    for lead in ("", "civil_"):
-        votes = f"{lead}votes"
-        counts = {r[votes]: r["n"] for r in rows.groupBy(votes).agg(F.count("*").alias("n")).collect()}  # at most 3^10 rows
-        good.append(posteriors(counts))
-        w.append(fit(*features_of(sample, lead), np.array([good[-1][v] for v in sample.column(votes).to_pylist()])))
-    del sample
+    sample = smallest_hashes(rows, fit_rows, "id", "key").select("votes", "buckets", "weights", "civil_votes", "civil_buckets", "civil_weights")
+    leads = ["", "civil_"]
+    good = [posteriors({r["v"]: r["n"] for r in rows.groupBy(F.col(f"{x}votes").alias("v")).agg(F.count("*").alias("n")).collect()}) for x in leads]  # at most 3^10 rows
+    told = {r["lead"]: np.array(r["w"]) for r in mapped(sample, fit_task(dict(zip(leads, good, strict=True))), "lead string, w array<double>").collect()}
+    w = [told.get(x, np.zeros(BUCKETS + 1)) for x in leads]
 
     def chance(batch: pa.RecordBatch, lead: str, w: np.ndarray) -> np.ndarray:
         index, value, owner = features_of(batch, lead)
