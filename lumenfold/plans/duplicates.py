@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import rules, text
-from ..operators import browse, dedup, insights
-from ..sources.store import stored
+from ..operators import browse, dedup, forest, insights
+from ..sources.store import shared_dir, stored
 from .tables import ARTICLES, GROUPS, LINKS, NEAREST, NORMAL, PRINTS, articles, contents
 
 
@@ -82,6 +83,17 @@ def group_primary(spark, sf_dir):  # noqa: ANN001, ANN201
     return dedup.elect(members(spark, sf_dir))
 
 
+def incremental_groups(spark, sf_dir):  # noqa: ANN001, ANN201
+    """All groups after the links came in four batches, in order of id, each united with the stored groups."""
+    kept = forest.state(spark, f"{shared_dir(spark)}/groups-{uuid.uuid4().hex}", 16)
+    looked_at = stored(forest.candidates(articles(spark, sf_dir)), "candidates")
+    links = linked(spark, sf_dir).select("id", "parent")
+    last = links.agg(F.max("id")).first()[0] or 0
+    for n in range(4):
+        forest.absorb(kept, links.where(F.floor(F.col("id") * 4 / (last + 1)) == n), looked_at)
+    return forest.groups(kept)
+
+
 def group_reelection(spark, sf_dir):  # noqa: ANN001, ANN201
     """All groups after toxic sources became inaccessible; the primaries before were the groups' first members."""
     rows = stored(members(spark, sf_dir), "members")
@@ -187,7 +199,7 @@ def inaccessible_reelection(spark, sf_dir):  # noqa: ANN001, ANN201
 
 
 QUERIES = {f.__name__: f for f in (
-    content_fingerprint, simhash64, simhash64_native, exact_duplicate_groups, exact_hidden_members, nearest_near, nearest_related, dedup_links, dedup_groups, group_primary, group_reelection, relation_rows, group_sizes,
+    content_fingerprint, simhash64, simhash64_native, exact_duplicate_groups, exact_hidden_members, nearest_near, nearest_related, dedup_links, dedup_groups, group_primary, incremental_groups, group_reelection, relation_rows, group_sizes,
     group_overview, related_bidirectional, related_edges, threshold_preview, threshold_preview_stricter, threshold_preview_changes, hit_report, visible_documents_page, visible_total, insights_dedup_stats, insights_category_distribution, article_list, article_detail, inaccessible_reelection,
 )}
 ELECTION = "is_accessible DESC, weight DESC, published_at ASC NULLS LAST, length(content) DESC, length(trim(title)) - CASE WHEN regexp_matches(lower(title), '首页|无标题|untitled|404|导航|目录') THEN 100 ELSE 0 END DESC, crawled_at, id"
@@ -210,6 +222,7 @@ SQL = {
     "dedup_links": f"WITH {LINKS} SELECT id, parent, relation_type, similarity FROM l",
     "dedup_groups": f"WITH RECURSIVE {GROUPS} SELECT group_key, root, id FROM g",
     "group_primary": f"WITH RECURSIVE {GROUPS}, {ELECTED} SELECT group_key, id AS primary_id FROM e WHERE n = 1",
+    "incremental_groups": f"WITH RECURSIVE {GROUPS}, {ELECTED} SELECT e.group_key, e.root, e.id, f.id AS primary_id FROM e JOIN e f ON e.group_key = f.group_key AND f.n = 1",
     "group_reelection": f"WITH RECURSIVE {GROUPS}, {ELECTED} SELECT group_key, root AS previous, id AS chosen, root <> id AS changed FROM e WHERE n = 1",
     "group_sizes": f"WITH RECURSIVE {GROUPS} SELECT group_key, count(*) AS sources FROM g GROUP BY 1",
     "related_bidirectional": f"WITH {LINKS}, f AS ({NEAREST.format(d=32)}), r AS (SELECT id AS article_id, nearest AS related_id FROM f WHERE id NOT IN (SELECT id FROM l)) SELECT * FROM r UNION SELECT related_id, article_id FROM r",

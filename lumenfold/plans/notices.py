@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import rules, text
-from ..operators import browse, crawl, digests, insights, knowledge, state
+from ..operators import browse, crawl, delivery, digests, insights, knowledge, state
+from ..sources.store import natural_id
 from .tables import ARTICLES, NOW, articles, now, table
 
 STATUS = {"click": "sent", "purchase": "sent", "error": "failed", "view": "pending"}
@@ -136,6 +138,37 @@ def deleted_subscriptions(spark, sf_dir):  # noqa: ANN001, ANN201
     return kept.select("id").join(own.groupBy(F.col("subscription_id").alias("id")).agg(F.count("*").alias("topics")), "id", "full")
 
 
+def mail_log(spark, sf_dir):  # noqa: ANN001, ANN201
+    """Clicks, errors and purchases as tries to deliver the user's digest of the day; purchases are taken."""
+    e = logged(spark, sf_dir).where("event_type in ('click', 'error', 'purchase')")
+    e = e.withColumn("digest_id", F.col("user_id").cast("long") * 1000 + F.dayofyear("ts")).withColumn("attempt", F.row_number().over(Window.partitionBy("digest_id").orderBy("ts", "event_id")))
+    mail_id, ok = natural_id("mail", F.col("digest_id").cast("string"), F.col("attempt").cast("string")), F.col("event_type") == "purchase"
+    return e.select(mail_id.alias("mail_id"), "digest_id", F.col("user_id").cast("long").alias("subscription_id"), "attempt", text.hash_token(delivery.token(F.lit("s"), mail_id)).alias("token_hash"), ok.alias("ok"), F.when(~ok, F.col("event_type")).alias("error"), F.col("ts").alias("at"))
+
+
+def mail_digests(spark, sf_dir):  # noqa: ANN001, ANN201
+    """A digest for each user and day; every fifth user's were empty."""
+    e = logged(spark, sf_dir).select(F.col("user_id").cast("long").alias("subscription_id"), F.dayofyear("ts").alias("day")).distinct()
+    none = lambda kind: F.lit(None).cast(kind)
+    return e.select((F.col("subscription_id") * 1000 + F.col("day")).alias("id"), "subscription_id", F.when(F.col("subscription_id") % 5 == 0, "skipped_empty").otherwise("pending").alias("status"), none("timestamp").alias("sent_at"), F.lit(0).cast("long").alias("retry_count"), none("string").alias("error"))
+
+
+def due_mails(spark, sf_dir):  # noqa: ANN001, ANN201
+    """What is to be sent, given all tries so far and at most three."""
+    return delivery.due_mails(mail_digests(spark, sf_dir), mail_log(spark, sf_dir), 3, "s")
+
+
+def settled_digests(spark, sf_dir):  # noqa: ANN001, ANN201
+    """All digests as the log leaves them."""
+    return delivery.settled_digests(mail_digests(spark, sf_dir), mail_log(spark, sf_dir))
+
+
+def rotated_tokens(spark, sf_dir):  # noqa: ANN001, ANN201
+    """Each user's last mail and the token that counts."""
+    s = logged(spark, sf_dir).select(F.col("user_id").cast("long").alias("id")).distinct().withColumns({"unsubscribe_token_hash": F.lit("first"), "last_sent_at": F.lit(None).cast("timestamp")})
+    return delivery.settled_subscriptions(s, mail_log(spark, sf_dir))
+
+
 def send_windows(spark, sf_dir):  # noqa: ANN001, ANN201
     e = logged(spark, sf_dir)
     open_ = digests.in_window(F.lit(9), F.lit(21), F.col("ts"))
@@ -336,7 +369,7 @@ def topic_labels(spark, sf_dir):  # noqa: ANN001, ANN201
 QUERIES = {f.__name__: f for f in (
     period_bucket_daily, period_bucket_weekly, topic_match_reasons, digest_entries, digest_plan, rendered_digests, digest_topn_per_user, digest_unsent, rate_limit_hour, usage_today, delivery_health, backlog_zero_filled, run_report, due_sources,
     interval_map, crawl_finalize, settings_history_lag, settings_current, settings_rollback, settings_overlay, knowledge_stats, push_blocked, knowledge_candidates, latest_decision_per_article, decided_articles, subscription_states,
-    equal_topic_sets, typed_points, masked_subscriptions, topic_labels, digest_actions, confirmations, unsubscriptions, deleted_subscriptions, send_windows, delivery_outcomes, sent_marks, digest_detail, valid_requests, knowledge_run,
+    due_mails, settled_digests, rotated_tokens, equal_topic_sets, typed_points, masked_subscriptions, topic_labels, digest_actions, confirmations, unsubscriptions, deleted_subscriptions, send_windows, delivery_outcomes, sent_marks, digest_detail, valid_requests, knowledge_run,
 )}
 TOPIC = """t AS (SELECT item_id AS subscription_id, unnest([{'o': 0, 'k': 'keyword', 'v': string_split(text, ' ')[2]}, {'o': 1, 'k': 'category', 'v': CASE WHEN contains(text, 'ñ') THEN 'es' WHEN contains(text, 'é') THEN 'fr' END},
   {'o': 2, 'k': 'source', 'v': 'src' || length(text)}, {'o': 3, 'k': 'tag', 'v': CASE WHEN contains(text, 'ñ') THEN 'es' WHEN contains(text, 'é') THEN 'fr' END}]) AS s FROM benchmark),
@@ -355,6 +388,11 @@ def ESC(c: str) -> str:  # noqa: N802
 
 
 ENTRIES = "n AS (SELECT subscription_id, article_id, position FROM (SELECT subscription_id, article_id, row_number() OVER (PARTITION BY subscription_id ORDER BY coalesce(published_at, TIMESTAMP '2024-01-01 12:00:00') DESC, crawled_at DESC, article_id DESC) AS position FROM (SELECT DISTINCT subscription_id, article_id FROM m) JOIN a ON a.id = article_id WHERE status NOT IN ('filtered', 'error', 'knowledge_duplicate') AND (knowledge_status IS NULL OR knowledge_status NOT IN ('covered', 'pending')) AND crawled_at >= TIMESTAMP '2024-01-01' AND n_chars % 5 <> 0 AND NOT (subscription_id = 3 AND n_chars > 2000)) WHERE position <= 5)"
+MAIL_ID = "'mail_' || md5(digest_id || chr(31) || attempt)"
+MAILS = f"""w AS (SELECT DISTINCT user_id::BIGINT * 1000 + dayofyear(ts) AS id, user_id::BIGINT AS subscription_id, CASE WHEN user_id % 5 = 0 THEN 'skipped_empty' ELSE 'pending' END AS status FROM events),
+  n AS (SELECT user_id::BIGINT * 1000 + dayofyear(ts) AS digest_id, user_id::BIGINT AS subscription_id, event_type = 'purchase' AS ok, CASE WHEN event_type <> 'purchase' THEN event_type END AS error, ts::TIMESTAMP AS tried, row_number() OVER (PARTITION BY user_id, dayofyear(ts) ORDER BY ts, event_id)::INT AS attempt FROM events WHERE event_type IN ('click', 'error', 'purchase')),
+  m AS (SELECT *, {MAIL_ID} AS mail_id FROM n),
+  t AS (SELECT digest_id, max(attempt) AS tries, count(*) FILTER (WHERE NOT ok) AS failures, bool_or(ok) AS sent, min(CASE WHEN ok THEN tried END) AS sent_at, arg_max(error, attempt) AS error FROM m GROUP BY 1)"""
 SQL = {
     "period_bucket_daily": "SELECT date_trunc('day', ts)::TIMESTAMP AS start, date_trunc('day', ts)::TIMESTAMP + INTERVAL 1 DAY AS end, count(*) AS n FROM events GROUP BY 1, 2",
     "period_bucket_weekly": "SELECT date_trunc('week', ts)::TIMESTAMP AS start, date_trunc('week', ts)::TIMESTAMP + INTERVAL 7 DAY AS end, count(*) AS n FROM events GROUP BY 1, 2",
@@ -403,4 +441,7 @@ SQL = {
     "typed_points": "SELECT conv_id, turn, CASE WHEN turn <> 1 THEN role END AS name, CASE WHEN turn = 1 THEN -1 ELSE 1 END::BIGINT AS n FROM conversations",
     "masked_subscriptions": "SELECT item_id AS id, 're' || repeat('*', length('reader' || item_id) - 2) || '@example.org' AS email, CASE WHEN length(text) > 120 THEN 'confirmed' ELSE 'unsubscribed' END AS status FROM benchmark",
     "topic_labels": f"WITH {TOPIC} SELECT subscription_id, o::INT AS ord, reason AS label FROM u",
+    "due_mails": f"WITH {MAILS}, q AS (SELECT w.id AS digest_id, subscription_id, (coalesce(tries, 0) + 1)::INT AS attempt FROM w LEFT JOIN t ON w.id = t.digest_id WHERE status = 'pending' AND (tries IS NULL OR (NOT sent AND failures < 3))), k AS (SELECT *, {MAIL_ID} AS mail_id FROM q), z AS (SELECT *, sha256('s' || sha256('s' || mail_id)) AS token FROM k) SELECT mail_id, digest_id, subscription_id, attempt, token, sha256(token) AS token_hash FROM z",
+    "settled_digests": f"WITH {MAILS} SELECT id, subscription_id, CASE WHEN sent THEN 'sent' WHEN NOT sent THEN 'failed' ELSE status END AS status, t.sent_at, coalesce(failures, 0)::BIGINT AS retry_count, CASE WHEN NOT sent THEN t.error END AS error FROM w LEFT JOIN t ON w.id = t.digest_id",
+    "rotated_tokens": f"WITH {MAILS} SELECT user_id::BIGINT AS id, coalesce(max_by(sha256(sha256('s' || sha256('s' || mail_id))), (tried, digest_id, attempt)), 'first') AS unsubscribe_token_hash, max(CASE WHEN ok THEN tried END) AS last_sent_at FROM (SELECT DISTINCT user_id FROM events) LEFT JOIN m ON m.subscription_id = user_id GROUP BY 1",
 }

@@ -35,22 +35,28 @@ def manifest(spark: SparkSession, path: str, version: int) -> dict:
     return json.loads(spark.read.option("wholetext", True).text(f"{path}/versions/{version:010d}.json").first()[0])
 
 
+def publish(spark: SparkSession, path: str, version: int, told: dict) -> None:
+    """Create a version's manifest; Conflict if that version is there already."""
+    fs, at = _fs(spark, path)
+    name = at(f"{path}/versions/{version:010d}.json")
+    try:
+        out = fs.create(name, False)
+    except Exception as e:
+        if fs.exists(name):
+            raise Conflict(f"version {version} of {path} is there already") from e
+        raise
+    out.write(bytearray(json.dumps(told).encode()))
+    out.close()
+
+
 def commit(df: DataFrame, path: str, expected: int | None = None, note: str = "") -> int:
     """Write the rows as the version after `expected` (the newest one now, if not given); its number. Conflict if that is there."""
     spark = df.sparkSession
-    fs, at = _fs(spark, path)
     if expected is None:
         expected = max(versions(spark, path), default=0)
     data = f"data/{uuid.uuid4().hex}"
     df.write.parquet(f"{path}/{data}")
-    try:
-        out = fs.create(at(f"{path}/versions/{expected + 1:010d}.json"), False)
-    except Exception as e:
-        if fs.exists(at(f"{path}/versions/{expected + 1:010d}.json")):
-            raise Conflict(f"version {expected + 1} of {path} is there already") from e
-        raise
-    out.write(bytearray(json.dumps({"data": data, "schema": df.schema.json(), "note": note}).encode()))
-    out.close()
+    publish(spark, path, expected + 1, {"data": data, "schema": df.schema.json(), "note": note})
     return expected + 1
 
 

@@ -12,7 +12,8 @@ from pyspark.sql.types import StructType
 
 from ..operators import limits
 from ..operators.dedup import fingerprints
-from ..sources.store import latest, stored
+from ..sources import tiers
+from ..sources.store import stored
 
 
 def read_stream(spark: SparkSession, path: str, schema: StructType, files: int = 100) -> DataFrame:
@@ -96,13 +97,9 @@ def limit_requests(stream: DataFrame, target: str, checkpoint: str, limit: int,
 
 
 def upsert_pages(stream: DataFrame, target: str, checkpoint: str, keys: list[str], version: str) -> StreamingQuery:
-    """Every version is appended; pages_now() reads the newest of each key. So a failed batch leaves no half state."""
-
-    def each(batch: DataFrame, n: int) -> None:
-        latest(batch, keys, [F.desc(version)]).write.mode("overwrite").parquet(f"{target}/batch={n}")
-
-    return run_available(stream, checkpoint, each)
+    """Each batch is a run of tiers.py, merged with others of its size. A batch that is run again adds nothing."""
+    return run_available(stream, checkpoint, lambda batch, n: tiers.add(stored(batch, "batch-pages"), n, target, keys, version))
 
 
 def pages_now(spark: SparkSession, target: str, keys: list[str], version: str) -> DataFrame:
-    return latest(spark.read.parquet(target), keys, [F.desc(version), F.desc("batch")])
+    return tiers.now(spark, target, keys, version)
