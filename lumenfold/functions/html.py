@@ -92,6 +92,8 @@ def tree(html: str) -> Node:
     return builder.root
 
 
+# Why a page gives no article.
+NO_HTML, NO_TITLE, NO_CONTENT = "原始 HTML 为空", "未能提取标题", "未能提取有效正文"
 STRIP = frozenset(rules.STRIPPED_TAGS)
 CODE = frozenset(("script", "style"))
 CONTAINERS = [
@@ -171,15 +173,15 @@ def author_of(root: Node, data: dict) -> str | None:
 def parse_page(html: str | None) -> dict:
     out = dict.fromkeys(("title", "content", "published_at", "author", "error"))
     if not html or not html.strip():
-        return out | {"error": "原始 HTML 为空"}
+        return out | {"error": NO_HTML}
     root = tree(html)
     data = structured(root)
     title = title_of(root) or said(data, "headline")
     if not title:
-        return out | {"error": "未能提取标题"}
+        return out | {"error": NO_TITLE}
     content = content_of(root)
     if len(content) < rules.LEAST_CONTENT:
-        return out | {"error": "未能提取有效正文"}
+        return out | {"error": NO_CONTENT}
     when = published_of(root, data)
     if when is not None and when.tzinfo is None:
         from datetime import UTC

@@ -164,6 +164,30 @@ BARE = "CASE WHEN regexp_replace(path, '/+$', '') = '' THEN '/' ELSE regexp_repl
 PAIRS = "q AS (SELECT a.vec_id AS point_id, b.vec_id AS entry_id, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS similarity FROM embeddings a CROSS JOIN (SELECT * FROM embeddings WHERE label < 5) b)"
 BEST = f"{PAIRS}, m AS (SELECT point_id, entry_id, similarity, row_number() OVER (PARTITION BY point_id ORDER BY similarity DESC, entry_id) AS r FROM q WHERE point_id <> entry_id)"
 TOPK = f"WITH {PAIRS} SELECT point_id, entry_id, round(similarity, 5) AS similarity, rank FROM (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY similarity DESC, entry_id) AS rank FROM q) WHERE rank <= 3"
+UNESCAPED = "replace(replace(replace(replace(replace(replace(replace({}, '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#39;', chr(39)), '&amp;', '&')"
+TRIMMED = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
+STRINGS = f"list_filter(list_transform(regexp_split_to_array({{}}, '<[^>]*>'), lambda s: {TRIMMED.format(UNESCAPED.format('s'))}), lambda s: s <> '')"
+PARSED = f"""h AS (SELECT page_id, url, html, regexp_replace(html, '<(script|style)[^>]*>.*?</(script|style)>', '', 'gs') AS bare, regexp_extract(html, '<article>(.*?)</article>', 1, 's') AS art FROM pages),
+b AS (SELECT page_id, url, html, {TRIMMED.format(UNESCAPED.format("regexp_extract(html, '<h1[^>]*>(.*?)</h1>', 1, 's')"))} AS head, list_filter(list_transform(string_split(art, '<p>')[2:], lambda x: array_to_string({STRINGS.format('x')}, ' ')), lambda x: x <> '') AS blocks,
+  length(array_to_string({STRINGS.format('bare')}, ' ')) AS total, list_sum(list_transform(regexp_extract_all(bare, '<a [^>]*>(.*?)</a>', 1, 's'), lambda x: length(array_to_string({STRINGS.format('x')}, ' ')))) AS linked FROM h),
+c AS (SELECT page_id, url, html, head, array_to_string(list_filter(list_transform(regexp_split_to_array(array_to_string(blocks, chr(10)), '[\r\n]+'), lambda x: {TRIMMED.format('x')}), lambda x: x <> ''), chr(10) || chr(10)) AS body, CASE WHEN coalesce(total, 0) = 0 THEN 1.0 ELSE coalesce(linked, 0) / total END::DOUBLE AS ratio FROM b),
+f AS (SELECT *, CASE WHEN coalesce(trim(html), '') = '' THEN '{html.NO_HTML}' WHEN head = '' THEN '{html.NO_TITLE}' WHEN length(body) < {rules.LEAST_CONTENT} THEN '{html.NO_CONTENT}' END AS error FROM c),
+pp AS (SELECT page_id, url, CASE WHEN error IS NULL THEN head END AS title, CASE WHEN error IS NULL THEN body END AS content, ratio, error FROM f)"""
+PAGE_HAY = "lower(title || chr(10) || content)"
+PAGE_ADS = "list_filter([" + ", ".join(f"'{x}'" for x in rules.AD_PHRASES) + "], lambda w: contains(content, w))"
+PAGE_REASON = (
+    f"CASE WHEN length(content) < {rules.LEAST_CONTENT} THEN '{rules.SHORT_REASON}' WHEN length(content) < {rules.SHORT_PAGE} AND regexp_matches({PAGE_HAY}, '{'|'.join(rules.NAV_PHRASES)}') THEN '{rules.NAV_REASON}' "
+    f"WHEN len({PAGE_ADS}) >= 2 THEN '{rules.AD_REASON}' || array_to_string({PAGE_ADS}, '{rules.LIST_SEPARATOR}') WHEN ratio >= {rules.LEAST_LINK_RATIO} THEN '{rules.LINKS_REASON}' END"
+)
+LINK_PATH = "CASE WHEN regexp_replace(regexp_replace(link, '^[a-zA-Z]+://[^/?#]*', ''), '[?#].*$', '') = '' THEN '/' ELSE lower(regexp_replace(regexp_replace(link, '^[a-zA-Z]+://[^/?#]*', ''), '[?#].*$', '')) END"
+FOUND = f"""g AS (SELECT page_id, url, regexp_extract_all(html, '<a href="([^"]*)">[^<]*</a>', 1) AS hrefs, regexp_extract_all(html, '<a href="[^"]*">([^<]*)</a>', 1) AS texts FROM pages),
+l AS (SELECT page_id, url, unnest(hrefs) AS href, unnest(texts) AS t, unnest(range(len(hrefs))) AS pos FROM g),
+r AS (SELECT page_id, pos, regexp_extract(url, '^[a-zA-Z]+://[^/?#]*') || regexp_replace({UNESCAPED.format('href')}, '#.*$', '') AS link, {TRIMMED.format(UNESCAPED.format('t'))} AS t FROM l WHERE starts_with(href, '/')),
+o AS (SELECT page_id, link, min(pos) AS pos, arg_min(t, pos) AS t FROM r GROUP BY 1, 2),
+n AS (SELECT *, {LINK_PATH} AS p FROM o QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY pos) <= {rules.MOST_LINKS * rules.COLLECT_TIMES}),
+k AS (SELECT *, list_filter(string_split(p, '/'), lambda x: x <> '') AS s FROM n),
+w AS (SELECT *, (CASE WHEN regexp_matches(p, '{rules.DATE_PATH}') THEN 3 ELSE 0 END + CASE WHEN {_segments(rules.ARTICLE_SEGMENTS)} THEN 3 ELSE 0 END + CASE WHEN regexp_matches(p, '\\.(html|htm|shtml)$') THEN 2 ELSE 0 END + CASE WHEN length(t) >= 8 THEN 2 WHEN length(t) BETWEEN 1 AND 3 THEN -2 ELSE 0 END
+  - CASE WHEN lower(t) IN ({', '.join(f"'{x}'" for x in rules.GENERIC_ANCHORS)}) THEN 3 ELSE 0 END + CASE WHEN len(s) >= 2 THEN 1 ELSE 0 END - CASE WHEN {_segments(rules.NAV_SEGMENTS)} THEN 3 ELSE 0 END)::INT AS score FROM k)"""
 GRAMS = "CASE WHEN length({0}) >= 2 THEN list_distinct(list_transform(range(1, length({0})), lambda i: substr({0}, i::INT, 2))) ELSE [{0}] END"
 SQL = {
     "summaries": "SELECT doc_id AS id, CASE WHEN length(t) <= 200 THEN t ELSE rtrim(left(t, 200)) || '…' END AS summary FROM (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM documents)",
@@ -177,6 +201,10 @@ SQL = {
     "url_parts": f"SELECT page_id, scheme, host, {BARE} AS path FROM ({URL})",
     "url_scores": f"SELECT page_id, (CASE WHEN regexp_matches(p, '/(?:19|20)[0-9][0-9]') THEN 3 ELSE 0 END + CASE WHEN {_segments(rules.ARTICLE_SEGMENTS)} THEN 3 ELSE 0 END + CASE WHEN regexp_matches(p, '\\.(html|htm|shtml)$') THEN 2 ELSE 0 END + 2 + CASE WHEN len(s) >= 2 THEN 1 ELSE 0 END - CASE WHEN {_segments(rules.NAV_SEGMENTS)} THEN 3 ELSE 0 END)::BIGINT AS score FROM (SELECT page_id, lower(path) AS p, list_filter(string_split(lower(path), '/'), lambda x: x <> '') AS s FROM ({URL}))",
     "html_titles": "SELECT page_id, trim(replace(replace(replace(replace(replace(regexp_extract(html, '<h1[^>]*>(.*?)</h1>', 1, 's'), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#39;', chr(39)), '&amp;', '&')) AS title FROM pages",
+    "html_extract": f"WITH {PARSED} SELECT page_id, title, length(content)::INT AS n_content, NULL::TIMESTAMP AS published_at, NULL::VARCHAR AS author, error FROM pp",
+    "parsed_articles": f"WITH {PARSED}, q AS (SELECT *, coalesce(error, {PAGE_REASON}) AS reason, trim(regexp_replace(content, '\\s+', ' ', 'g')) AS t FROM pp) SELECT page_id, title, CASE WHEN length(t) <= 200 THEN t ELSE rtrim(left(t, 200)) || '…' END AS summary, CASE WHEN error IS NOT NULL THEN 'error' WHEN reason IS NOT NULL THEN 'filtered' ELSE 'pending' END AS status, reason FROM q",
+    "link_density": f"WITH {PARSED} SELECT page_id, round(ratio, 6) AS ratio FROM c",
+    "link_discovery": f"WITH {FOUND} SELECT page_id, rank, link, score FROM (SELECT page_id, link, score, row_number() OVER (PARTITION BY page_id ORDER BY score DESC, pos)::INT AS rank FROM w) WHERE rank <= {rules.MOST_LINKS}",
     "robots_allowed": f"SELECT page_id, CASE WHEN length(host) % 3 = 0 THEN true WHEN length(host) % 2 = 0 THEN starts_with(path, '/en/7') OR NOT (starts_with(path, '/en/') OR starts_with(path, '/fr/')) ELSE NOT starts_with(path, '/en/') END AS allowed FROM ({URL})",
     "throttle_schedule": f"SELECT page_id, (row_number() OVER (PARTITION BY host ORDER BY page_id) - 1)::DOUBLE AS not_before FROM ({URL})",
     "cosine_topk": TOPK,
