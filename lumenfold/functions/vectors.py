@@ -28,6 +28,14 @@ def sane_thresholds(high: float | None, low: float | None) -> tuple[float, float
     return (rules.NEW_SIMILARITY, rules.COVERED_SIMILARITY) if low > high else (low, high)
 
 
+def sane_threshold_columns(high: Column, low: Column) -> Column:
+    """The same of columns: struct(low, high)."""
+    unset = lambda c, default: F.coalesce(F.nullif(c.cast("double"), F.lit(0.0)), F.lit(default))
+    high, low = unset(high, rules.COVERED_SIMILARITY), unset(low, rules.NEW_SIMILARITY)
+    crossed = low > high
+    return F.struct(F.when(crossed, rules.NEW_SIMILARITY).otherwise(low).alias("low"), F.when(crossed, rules.COVERED_SIMILARITY).otherwise(high).alias("high"))
+
+
 def coverage(similarity: Column, low: float, high: float) -> Column:
     """covered, judge (a second opinion decides) or new."""
     return F.when(similarity >= high, "covered").when(similarity >= low, "judge").otherwise("new")

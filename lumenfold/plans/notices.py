@@ -303,10 +303,22 @@ def settings_rollback(spark, sf_dir):  # noqa: ANN001, ANN201
     return state.rollback(h, last, "admin", now()).select("key", F.col("old_value").cast("double").alias("old_value"), F.col("new_value").cast("double").alias("new_value"), "actor")
 
 
+#: Which setting an event type's last value stands for.
+STORED_SETTINGS = {"click": "max_items_per_digest", "error": "max_retries", "purchase": "bounce_pause_threshold", "signup": "unknown"}
+
+
+def stored_settings(spark, sf_dir):  # noqa: ANN001, ANN201
+    """key, value: whole numbers below 50 (a threshold: hundredths) from the last value of each event type."""
+    last = state.current_settings(history(spark, sf_dir).withColumn("new_value", (F.floor(F.col("new_value").cast("double")) % 50).cast("long")))
+    key = F.element_at(F.create_map(*[F.lit(x) for pair in STORED_SETTINGS.items() for x in pair]), F.col("key"))
+    value = F.when(F.col("key") == "purchase", (F.col("value") / 100).cast("string")).otherwise(F.col("value").cast("string"))
+    return last.select(key.alias("key"), value.alias("value")).where("key is not null")
+
+
 def settings_overlay(spark, sf_dir):  # noqa: ANN001, ANN201
+    """Effective settings, when the log's last values are stored under the names of some; one name is no setting."""
     base = spark.createDataFrame(list(rules.SETTING_DEFAULTS.items()), "key string, value string")
-    kv = spark.createDataFrame([("max_items_per_digest", "20"), ("sends_paused", "true"), ("unknown", "1")], "key string, value string")
-    return state.overlay(base, kv)
+    return state.overlay(base, stored_settings(spark, sf_dir))
 
 
 def knowledge_stats(spark, sf_dir):  # noqa: ANN001, ANN201
@@ -379,6 +391,8 @@ MATCH = f"""{ARTICLES}, {TOPIC}, m AS (SELECT u.subscription_id, a.id AS article
 STATUS_SQL = "CASE event_type WHEN 'click' THEN 'sent' WHEN 'purchase' THEN 'sent' WHEN 'error' THEN 'failed' WHEN 'view' THEN 'pending' ELSE 'skipped_empty' END"
 SOURCES = "s AS (SELECT user_id AS id, max(ts) AS last_crawled_at, arg_max(event_type, (ts, event_id)) AS kind, count(*) AS n FROM events GROUP BY 1), i AS (SELECT *, CASE kind WHEN 'view' THEN 10800 WHEN 'click' THEN 604800 WHEN 'error' THEN n * 60 ELSE 86400 END::BIGINT AS seconds FROM s)"
 HISTORY = "h AS (SELECT event_id AS id, event_type AS key, round(value, 2) AS new_value, ts, lag(round(value, 2)) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS old_value FROM events)"
+STORED = f"""{HISTORY}, v AS (SELECT key AS k, arg_max(floor(new_value)::BIGINT % 50, (ts, id)) AS x FROM h GROUP BY 1),
+e AS (SELECT CASE k {' '.join(f"WHEN '{a}' THEN '{b}'" for a, b in STORED_SETTINGS.items())} END AS key, CASE WHEN k = 'purchase' THEN (x / 100)::DOUBLE::VARCHAR ELSE x::VARCHAR END AS value FROM v WHERE k IN ({', '.join(f"'{a}'" for a in STORED_SETTINGS)}))"""
 DECISIONS = "d AS (SELECT conv_id AS article_id, arg_max(conv_id * 100000 + turn, turn) AS id, arg_max(CASE WHEN role = 'user' THEN 'covered' WHEN length(text) > 200 THEN 'partial' ELSE 'new_knowledge' END, turn) AS decision FROM conversations GROUP BY 1)"
 TOKENS = "k AS (SELECT item_id AS id, item_id // 4 AS e, CASE item_id % 3 WHEN 0 THEN 'pending_confirmation' WHEN 1 THEN 'confirmed' ELSE 'unsubscribed' END AS status, item_id % 2 = 0 AS late FROM benchmark)"
 
@@ -430,7 +444,7 @@ SQL = {
     "settings_history_lag": f"WITH {HISTORY} SELECT id, old_value::VARCHAR AS old_value FROM h",
     "settings_current": f"WITH {HISTORY} SELECT key, arg_max(new_value, (ts, id)) AS value FROM h GROUP BY 1",
     "settings_rollback": f"WITH {HISTORY} SELECT key, new_value AS old_value, old_value AS new_value, 'admin' AS actor FROM h WHERE id = (SELECT max(id) FROM h)",
-    "settings_overlay": "SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{dict(max_items_per_digest='20', sends_paused='true').get(k, v)}')" for k, v in rules.SETTING_DEFAULTS.items()) + ") t(key, value)",
+    "settings_overlay": f"WITH {STORED}, b AS (SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in rules.SETTING_DEFAULTS.items()) + ") t(key, value)) SELECT b.key, coalesce(e.value, b.value) AS value FROM b LEFT JOIN e USING (key)",
     "knowledge_stats": f"WITH {ARTICLES} SELECT 'archived' AS kind, CASE category WHEN 'en' THEN 'English' WHEN 'fr' THEN 'French' ELSE '{rules.UNCATEGORIZED_LABEL}' END AS name, count(*) AS n FROM a WHERE status = 'knowledge_duplicate' GROUP BY 2",
     "push_blocked": f"WITH {ARTICLES} SELECT id FROM a WHERE status = 'knowledge_duplicate' OR knowledge_status IN ('covered', 'pending')",
     "knowledge_candidates": f"WITH {ARTICLES} SELECT id FROM a WHERE status NOT IN ('filtered', 'error', 'knowledge_duplicate') AND knowledge_status IS NULL ORDER BY crawled_at DESC, id DESC LIMIT 50",
@@ -443,5 +457,12 @@ SQL = {
     "topic_labels": f"WITH {TOPIC} SELECT subscription_id, o::INT AS ord, reason AS label FROM u",
     "due_mails": f"WITH {MAILS}, q AS (SELECT w.id AS digest_id, subscription_id, (coalesce(tries, 0) + 1)::INT AS attempt FROM w LEFT JOIN t ON w.id = t.digest_id WHERE status = 'pending' AND (tries IS NULL OR (NOT sent AND failures < 3))), k AS (SELECT *, {MAIL_ID} AS mail_id FROM q), z AS (SELECT *, sha256('s' || sha256('s' || mail_id)) AS token FROM k) SELECT mail_id, digest_id, subscription_id, attempt, token, sha256(token) AS token_hash FROM z",
     "settled_digests": f"WITH {MAILS} SELECT id, subscription_id, CASE WHEN sent THEN 'sent' WHEN NOT sent THEN 'failed' ELSE status END AS status, t.sent_at, coalesce(failures, 0)::BIGINT AS retry_count, CASE WHEN NOT sent THEN t.error END AS error FROM w LEFT JOIN t ON w.id = t.digest_id",
+    "knowledge_run": f"""WITH RECURSIVE {ARTICLES}, c AS (SELECT id, title FROM a WHERE status = 'normal' ORDER BY crawled_at DESC, id DESC LIMIT 40), e AS (SELECT id, trim(title) AS name FROM a WHERE weight = 1),
+  p AS (SELECT c.id, trim(title) AS name, [unicode(title[k])::DOUBLE FOR k IN [1, 2, 3]] AS v, trim(title) IN (SELECT name FROM e) AS named, row_number() OVER (ORDER BY id) AS n FROM c WHERE id % 11 <> 0 AND length(title) > 8),
+  q AS (SELECT *, CASE WHEN EXISTS (SELECT 1 FROM e) THEN list_cosine_similarity(v, [1.0, 0.0, 0.0]::DOUBLE[]) ELSE 0 END AS known FROM p),
+  g AS (SELECT 0::BIGINT AS n, []::DOUBLE[][] AS kept, []::VARCHAR[] AS names, NULL::BIGINT AS id, false AS covered
+    UNION ALL SELECT z.n, CASE WHEN z.hit OR z.named OR list_contains(z.names, z.name) THEN z.kept ELSE list_append(z.kept, z.v) END, CASE WHEN z.hit OR z.named OR list_contains(z.names, z.name) THEN z.names ELSE list_append(z.names, z.name) END, z.id, z.hit
+    FROM (SELECT q.n, q.id, q.name, q.v, q.named, g.kept, g.names, greatest(q.known, coalesce(list_max(list_transform(g.kept, lambda w: list_cosine_similarity(w, q.v))), 0)) >= 0.999 AS hit FROM g JOIN q ON q.n = g.n + 1) z)
+  SELECT CASE WHEN c.id % 11 = 0 THEN 'pending' WHEN covered THEN 'covered' ELSE 'new_knowledge' END AS decision, count(*) AS n FROM c LEFT JOIN g ON c.id = g.id GROUP BY 1""",
     "rotated_tokens": f"WITH {MAILS} SELECT user_id::BIGINT AS id, coalesce(max_by(sha256(sha256('s' || sha256('s' || mail_id))), (tried, digest_id, attempt)), 'first') AS unsubscribe_token_hash, max(CASE WHEN ok THEN tried END) AS last_sent_at FROM (SELECT DISTINCT user_id FROM events) LEFT JOIN m ON m.subscription_id = user_id GROUP BY 1",
 }

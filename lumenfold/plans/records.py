@@ -7,10 +7,11 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import rules, text, vectors
-from ..operators import browse, crawl, insights, knowledge, state
+from ..operators import browse, crawl, dedup, insights, knowledge, state
 from ..sources import store
 from ..streaming import ingest
 from .streams import streamed
+from .notices import STORED
 from .tables import ARTICLES, articles, now, table
 
 
@@ -54,7 +55,10 @@ def robots_gates(spark, sf_dir):  # noqa: ANN001, ANN201
 
 
 def default_categories(spark, sf_dir):  # noqa: ANN001, ANN201
-    return store.default_categories(spark.createDataFrame([], "name string")).select("ord", "name", "status")
+    """What is made where there are categories (the languages of documents) and where there are none (blank languages)."""
+    d = table(spark, sf_dir, "documents").select(F.trim("lang").alias("name")).distinct()
+    made = lambda kind, df: store.default_categories(df).select(F.lit(kind).alias("kind"), "ord", "name", "status")
+    return made("blank", d.where("name = ''")).unionByName(made("some", d.where("name <> ''")))
 
 
 def outbox_mails(spark, sf_dir):  # noqa: ANN001, ANN201
@@ -148,7 +152,9 @@ def category_changes(spark, sf_dir):  # noqa: ANN001, ANN201
 
 def settings_patch(spark, sf_dir):  # noqa: ANN001, ANN201
     """Settings after a patch, and its history: what is as it was makes none."""
-    kv = spark.createDataFrame([("max_items_per_digest", "20"), ("max_retries", "3")], "key string, value string")
+    from .notices import stored_settings
+
+    kv = stored_settings(spark, sf_dir)
     new, log = state.patch_settings(kv, {"max_items_per_digest": 30, "max_retries": "3", "sends_paused": "yes", "unknown": 1}, "admin", now())
     return new.select("key", "value", F.lit("now").alias("kind")).unionByName(log.select("key", F.concat("old_value", F.lit(">"), "new_value").alias("value"), F.col("actor").alias("kind")))
 
@@ -175,10 +181,10 @@ def entries_by_name(spark, sf_dir):  # noqa: ANN001, ANN201
 
 
 def nearest_by_text(spark, sf_dir):  # noqa: ANN001, ANN201
-    """Nearest parts by the likeness of names, as no side has a vector."""
+    """Nearest brands (each known by its first part) by the likeness of names, as no side has a vector."""
     none = F.lit(None).cast("array<double>")
     p = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("point_id"), none.alias("embedding"), F.concat(F.lit("Brand#"), F.col("s_nationkey")).alias("text"))
-    e = table(spark, sf_dir, "part").where("p_retailprice < 901").select(F.col("p_partkey").alias("entry_id"), none.alias("embedding"), F.col("p_brand").alias("name"), F.lit("").alias("summary"), F.lit("active").alias("status"))
+    e = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.min("p_partkey").alias("p_partkey")).select(F.col("p_partkey").alias("entry_id"), none.alias("embedding"), F.col("p_brand").alias("name"), F.lit("").alias("summary"), F.lit("active").alias("status"))
     return knowledge.nearest_vectors(p, e, 0.1).select("point_id", "entry_id", F.round("similarity", 6).alias("similarity"))
 
 
@@ -199,15 +205,19 @@ def scalar_functions(spark, sf_dir):  # noqa: ANN001, ANN201
 
 
 def threshold_sanity(spark, sf_dir):  # noqa: ANN001, ANN201
-    """The thresholds (low, high) that a pair of settings gives."""
-    rows = [(n, *vectors.sane_thresholds(*x)) for n, x in enumerate([(None, None), (0.7, 0.3), (0.3, 0.7), (0.0, 0.5), (0.95, 0.0)])]
-    return spark.createDataFrame(rows, "n int, low double, high double")
+    """The thresholds (low, high) that pairs of settings give: an order line's discount and tax, tenfold; many are 0 or
+    crossed, those of returned lines unset."""
+    high, low = F.when(F.col("l_returnflag") != "R", F.round(F.col("l_discount") * 10, 2)), F.round(F.col("l_tax") * 10, 2)
+    t = vectors.sane_threshold_columns(high, low)
+    return table(spark, sf_dir, "lineitem").select(t.alias("t")).groupBy("t.low", "t.high").agg(F.count("*").alias("n"))
 
 
 def usage_by_kind(spark, sf_dir):  # noqa: ANN001, ANN201
-    """Filtered and shown articles of every category, those without articles too."""
+    """Shown articles of every category, those without articles too; later copies of a text are hidden."""
     c = spark.createDataFrame([(x, x.upper()) for x in ("de", "en", "es", "fr", "it")], "id string, name string")
-    shown = insights.category_distribution(c, articles(spark, sf_dir), spark.createDataFrame([], "article_id long"))
+    a = articles(spark, sf_dir)
+    texts = a.select("id", F.sha2("content", 256).alias("content_hash"))
+    shown = insights.category_distribution(c, a, dedup.exact_parents(texts).select(F.col("id").alias("article_id")))
     return shown.select("name", F.col("articles").alias("n"))
 
 
@@ -234,7 +244,7 @@ SQL = {
   o AS (SELECT source_id, CASE WHEN starts_with(regexp_replace(url, '^[a-zA-Z]+://[^/?#]*', ''), '/en/') THEN 'd' WHEN contains(url, '#') OR contains(url, '?') THEN 'f' ELSE 'k' END AS x FROM w)
   SELECT source_id, count(*) AS total, count(*) FILTER (WHERE x = 'k') AS fetched, count(*) FILTER (WHERE x = 'f') AS failed, count(*) FILTER (WHERE x = 'd') AS robots_denied FROM o GROUP BY 1""",
     "robots_gates": "SELECT unnest([true, false]) AS allowed, count(*) AS n FROM pages",
-    "default_categories": "SELECT * FROM (VALUES " + ", ".join(f"({i}, '{x}', 'active')" for i, x in enumerate(rules.DEFAULT_CATEGORIES)) + ") t(ord, name, status)",
+    "default_categories": "SELECT kind, ord, t.name, status FROM (VALUES " + ", ".join(f"({i}, '{x}', 'active')" for i, x in enumerate(rules.DEFAULT_CATEGORIES)) + ") t(ord, name, status), (SELECT 'blank' AS kind, count(*) FILTER (WHERE trim(lang) = '') AS n FROM documents UNION ALL SELECT 'some', count(*) FILTER (WHERE trim(lang) <> '') FROM documents) WHERE n = 0",
     "outbox_mails": "SELECT 'r' || item_id || '@example.org' AS to, text AS body FROM benchmark",
     "pages_to_parse": "SELECT page_id FROM pages WHERE page_id % 4 <> 1 AND page_id % 3 <> 0",
     "extraction_run": f"WITH {ARTICLES} SELECT id AS article_id, true AS ok, CASE WHEN trim(title) <> '' THEN 1 ELSE 0 END::BIGINT AS n_points, CASE WHEN trim(title) <> '' THEN left(trim(title), 300) END AS name, (least(length(content), 8000) // 4)::BIGINT AS tokens FROM a ORDER BY id LIMIT 200",
@@ -248,14 +258,15 @@ SQL = {
     "source_tiers": f"WITH {SOURCES} SELECT id, CASE WHEN n < 8 THEN 'blacklist' ELSE 'whitelist' END AS list_type, kind <> 'signup' AS is_active, CASE kind WHEN 'view' THEN 10800 WHEN 'click' THEN 604800 WHEN 'error' THEN n * 60 ELSE 86400 END::BIGINT AS seconds FROM s",
     "source_freshness": f"WITH {SOURCES} SELECT id, 's' || id AS name, last_crawled_at, NULL::TIMESTAMP AS last_success_at FROM s WHERE kind <> 'signup'",
     "category_changes": "SELECT r_regionkey AS id, CASE r_regionkey WHEN 1 THEN 'Renamed' ELSE r_name END AS name, CASE r_regionkey WHEN 2 THEN 'inactive' ELSE 'active' END AS status FROM region UNION ALL SELECT r_regionkey, CASE r_regionkey WHEN 1 THEN 'admin rename ' || r_name || ' Renamed' ELSE 'system deactivate ' || r_name END, 'history' FROM region WHERE r_regionkey IN (1, 2)",
-    "settings_patch": "SELECT * FROM (VALUES ('max_items_per_digest', '30', 'now'), ('max_retries', '3', 'now'), ('sends_paused', 'true', 'now'), ('max_items_per_digest', '20>30', 'admin'), ('sends_paused', 'false>true', 'admin')) t(key, value, kind)",
+    "settings_patch": f"""WITH {STORED}, o AS (SELECT * FROM (VALUES ('max_items_per_digest', '30', '10'), ('max_retries', '3', '3'), ('sends_paused', 'true', 'false')) t(key, new, base)),
+  x AS (SELECT o.key, new, coalesce(e.value, base) AS old FROM o LEFT JOIN e USING (key)) SELECT key, old || '>' || new AS value, 'admin' AS kind FROM x WHERE old <> new UNION ALL SELECT key, new, 'now' FROM x WHERE old <> new UNION ALL SELECT key, value, 'now' FROM e WHERE key NOT IN (SELECT key FROM x WHERE old <> new)""",
     "wiki_entries": "SELECT n_nationkey::BIGINT AS entry_id, CASE n_nationkey WHEN 9 THEN 'New name' ELSE n_name END AS name, 'in ' || n_regionkey AS summary, CASE WHEN n_nationkey IN (2, 4) THEN 'merged' WHEN n_nationkey = 7 THEN 'retired' ELSE 'active' END AS status, CASE n_nationkey WHEN 9 THEN '9,1' ELSE n_nationkey::VARCHAR END AS articles, CASE WHEN n_nationkey IN (2, 4) THEN 100 END::BIGINT AS merged_into_id FROM nation UNION ALL SELECT 100, 'Both', (SELECT string_agg('in ' || n_regionkey, '；' ORDER BY n_nationkey DESC) FROM nation WHERE n_nationkey IN (2, 4)), 'active', '2,4', NULL UNION ALL SELECT 200, 'Fresh', '', 'active', NULL, NULL",
     "entry_links": "SELECT n_regionkey AS entry_id, n_nationkey AS article_id FROM nation UNION SELECT 0, n_nationkey FROM nation",
     "entries_by_name": "SELECT c_custkey AS point_id, n_nationkey AS entry_id FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 2 = 0 AND n_nationkey % 6 <> 0",
-    "nearest_by_text": f"WITH x AS (SELECT s_suppkey AS point_id, 'brand#' || s_nationkey AS a FROM supplier), y AS (SELECT p_partkey AS entry_id, lower(p_brand) AS b FROM part WHERE p_retailprice < 901), z AS (SELECT point_id, entry_id, {GRAMS.format('a')} AS g, {GRAMS.format('b')} AS h FROM x, y), q AS (SELECT point_id, entry_id, len(list_intersect(g, h)) / len(list_distinct(g || h))::DOUBLE AS s FROM z) SELECT point_id, entry_id, round(s, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY s DESC, entry_id) AS r FROM q WHERE s >= 0.1) WHERE r = 1",
+    "nearest_by_text": f"WITH x AS (SELECT s_suppkey AS point_id, 'brand#' || s_nationkey AS a FROM supplier), y AS (SELECT p_partkey AS entry_id, lower(p_brand) AS b FROM (SELECT p_brand, min(p_partkey) AS p_partkey FROM part GROUP BY 1)), z AS (SELECT point_id, entry_id, {GRAMS.format('a')} AS g, {GRAMS.format('b')} AS h FROM x, y), q AS (SELECT point_id, entry_id, len(list_intersect(g, h)) / len(list_distinct(g || h))::DOUBLE AS s FROM z) SELECT point_id, entry_id, round(s, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY s DESC, entry_id) AS r FROM q WHERE s >= 0.1) WHERE r = 1",
     "held_for_push": f"WITH {ARTICLES}, b AS (SELECT status, CASE WHEN id % 3 = 0 THEN 'pending' ELSE knowledge_status END AS k FROM a) SELECT status = 'normal' AND coalesce(k NOT IN ('covered', 'pending'), true) AS pushable, status = 'normal' AND coalesce(k <> 'covered', true) AS visible, count(*) AS n FROM b GROUP BY 1, 2",
     "scalar_functions": "SELECT c_custkey, sha256(c_name) AS token_hash, c_name || chr(10) || chr(10) || c_mktsegment AS point, CASE WHEN c_custkey % 2 = 0 THEN c_name ELSE sha256(c_name || chr(10) || 'x') END AS fingerprint, c_custkey % 3 <> 1 AS flag, CASE WHEN c_custkey % 2 = 0 THEN strftime(make_timestamp(c_custkey * 86461 * 1000000), '%Y-%m-%d %H:%M') ELSE '" + rules.UNKNOWN_TIME + "' END AS label, 'https://x.org/confirm?token=' || c_name AS link, '10.0.0.' || c_nationkey AS ip, c_name || '|' || c_mktsegment AS cleaned, 'art_' || md5(c_name || chr(31) || c_nationkey) AS natural_id, lower(c_name) || ' strasse strasse ab1' AS folded FROM customer",
-    "threshold_sanity": f"SELECT * FROM (VALUES (0, {rules.NEW_SIMILARITY}::DOUBLE, {rules.COVERED_SIMILARITY}::DOUBLE), (1, 0.3, 0.7), (2, {rules.NEW_SIMILARITY}, {rules.COVERED_SIMILARITY}), (3, 0.5, {rules.COVERED_SIMILARITY}), (4, {rules.NEW_SIMILARITY}, 0.95)) t(n, low, high)",
-    "usage_by_kind": f"WITH {ARTICLES} SELECT upper(c) AS name, count(id) AS n FROM (SELECT unnest(['de', 'en', 'es', 'fr', 'it']) AS c) LEFT JOIN (SELECT * FROM a WHERE status <> 'filtered') ON category = c GROUP BY 1",
+    "threshold_sanity": f"WITH x AS (SELECT coalesce(nullif(CASE WHEN l_returnflag <> 'R' THEN round(l_discount * 10, 2) END::DOUBLE, 0), {rules.COVERED_SIMILARITY}) AS hi, coalesce(nullif(round(l_tax * 10, 2)::DOUBLE, 0), {rules.NEW_SIMILARITY}) AS lo FROM lineitem) SELECT CASE WHEN lo > hi THEN {rules.NEW_SIMILARITY} ELSE lo END::DOUBLE AS low, CASE WHEN lo > hi THEN {rules.COVERED_SIMILARITY} ELSE hi END::DOUBLE AS high, count(*) AS n FROM x GROUP BY 1, 2",
+    "usage_by_kind": f"WITH {ARTICLES} SELECT upper(c) AS name, count(id) AS n FROM (SELECT unnest(['de', 'en', 'es', 'fr', 'it']) AS c) LEFT JOIN (SELECT * FROM a WHERE status <> 'filtered' AND id NOT IN (SELECT id FROM (SELECT id, content, min(id) OVER (PARTITION BY content) AS f FROM a) WHERE f < id AND content IS NOT NULL)) ON category = c GROUP BY 1",
     "stream_page_upserts": "SELECT user_id, event_type, arg_max(event_id, (ts, event_id)) AS event_id FROM events GROUP BY 1, 2",
 }
