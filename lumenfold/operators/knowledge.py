@@ -99,22 +99,33 @@ def roll_up(points: DataFrame, articles: DataFrame | None = None) -> DataFrame:
     return out.select("article_id", decision.alias("decision"), F.when(F.col("ok") & ~none, s).alias("similarity"), F.when(F.col("ok"), F.col("matched_entry_id")).alias("matched_entry_id"), "new_points", "covered_points", why.alias("rationale"))
 
 
-def greedy_entries(points: DataFrame, low: float, high: float, judge: Callable[[str, int], bool] | None = None, limit: int = 200) -> DataFrame:
-    """point_id, article_id, pos, entry_id, similarity, is_new, created, rationale: a run's points judged in order.
+#: Points of one article that an ordered run takes at most, on average; a model is asked for five.
+ARTICLE_POINTS = 50
+
+
+def greedy_entries(points: DataFrame, low: float, high: float, judge: Callable[[str, int], bool] | None = None, limit: int = 200, client=None) -> DataFrame:  # noqa: ANN001
+    """point_id, article_id, pos, entry_id, similarity, is_new, created, rationale, tokens, error: a run's points judged in order.
 
     points: point_id, article_id, pos, name, embedding, and, where known, what the stored entries say: stored_id and
-    stored_similarity (the most similar one at `low` or above) and named_id (the one with the point's name). A point is
-    covered by the most similar entry, stored or made before in this run, from `high` on, or between the thresholds if the
+    stored_similarity (the most similar one at `low` or above), stored_covered (what the judge says of it, asked before) and
+    named_id (the one with the point's name). With a `client` (see models.py) it is asked about entries made in this run, and
+    points have summary and claims too; tokens and error are of that call. A point is covered by the most similar entry, stored or made before in this run, from `high` on, or between the thresholds if the
     judge (name, entry_id) says so; any doubt or error is new. A new point joins the entry with its name or makes one.
-    Each point can be covered by those before it, so a run is one ordered group; it takes at most `limit` articles."""
-    for name, kind in (("stored_id", "long"), ("stored_similarity", "double"), ("named_id", "long")):
+    Each point can be covered by those before it, so a run is one ordered group; it takes at most `limit` articles with
+    ARTICLE_POINTS points each, and more are an error."""
+    from .models import opinion
+
+    for name, kind in (("stored_id", "long"), ("stored_similarity", "double"), ("stored_covered", "boolean"), ("named_id", "long"), ("summary", "string"), ("claims", "array<string>")):
         if name not in points.columns:
             points = points.withColumn(name, F.lit(None).cast(kind))
     if points.select("article_id").distinct().limit(limit + 1).count() > limit:
         raise ValueError(f"a run takes at most {limit} articles")
+    if points.limit(limit * ARTICLE_POINTS + 1).count() > limit * ARTICLE_POINTS:
+        raise ValueError(f"a run takes at most {limit * ARTICLE_POINTS} points")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         names: dict[str, int] = {}
+        about: dict[int, tuple[str, str]] = {}
         kept: list[tuple[int, np.ndarray]] = []
         out = []
         for row in pdf.sort_values(["article_id", "pos"]).itertuples():
@@ -123,16 +134,21 @@ def greedy_entries(points: DataFrame, low: float, high: float, judge: Callable[[
             if not pd.isna(row.stored_id):
                 sims.append((float(row.stored_similarity), 0, int(row.stored_id)))
             s, _, found = max(sims, default=(0.0, 0, None))
-            covered, why = False, rules.NO_SIMILAR
+            covered, why, tokens, error = False, rules.NO_SIMILAR, 0, None
             if found is None or s < low:
                 s, found = 0.0, None
             elif s >= high:
                 covered, why = True, rules.COVERED_BY % (s, high)
             else:
-                try:
-                    covered = bool(judge and judge(row.name, found))
-                except Exception:  # noqa: BLE001
-                    covered = False
+                if found not in about and not pd.isna(row.stored_covered):
+                    covered = bool(row.stored_covered)
+                elif client is not None and found in about:
+                    covered, tokens, error = opinion(client, row.name, row.summary or "", [] if row.claims is None else row.claims, *about[found])
+                else:
+                    try:
+                        covered = bool(judge and judge(row.name, found))
+                    except Exception:  # noqa: BLE001
+                        covered = False
                 why = (rules.JUDGED_COVERED if covered else rules.TAKEN_AS_NEW) % s
             entry, made = found, False
             if not covered:
@@ -141,13 +157,13 @@ def greedy_entries(points: DataFrame, low: float, high: float, judge: Callable[[
                 entry = names.get(name) if entry is None else entry
                 if entry is None:
                     entry, made = int(row.point_id), True
-                    names[name] = entry
+                    names[name], about[entry] = entry, (name, row.summary or "")
                     kept.append((entry, v))
-            out.append((row.point_id, row.article_id, row.pos, entry, s, not covered, made, why))
-        return pd.DataFrame(out, columns=["point_id", "article_id", "pos", "entry_id", "similarity", "is_new", "created", "rationale"])
+            out.append((row.point_id, row.article_id, row.pos, entry, s, not covered, made, why, tokens, error))
+        return pd.DataFrame(out, columns=["point_id", "article_id", "pos", "entry_id", "similarity", "is_new", "created", "rationale", "tokens", "error"])
 
-    some = points.select("point_id", "article_id", "pos", "name", "embedding", "stored_id", "stored_similarity", "named_id")
-    return some.withColumn("__one", F.lit(1)).groupBy("__one").applyInPandas(run, "point_id long, article_id long, pos int, entry_id long, similarity double, is_new boolean, created boolean, rationale string")
+    some = points.select("point_id", "article_id", "pos", "name", "summary", "claims", "embedding", "stored_id", "stored_similarity", "stored_covered", "named_id")
+    return some.withColumn("__one", F.lit(1)).groupBy("__one").applyInPandas(run, "point_id long, article_id long, pos int, entry_id long, similarity double, is_new boolean, created boolean, rationale string, tokens long, error string")
 
 
 def judge_run(articles: DataFrame, extractions: DataFrame, entries: DataFrame, embed: Column, low: float, high: float, now: Column, judge: Callable[[str, int], bool] | None = None, limit: int = 200) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -162,9 +178,21 @@ def judge_run(articles: DataFrame, extractions: DataFrame, entries: DataFrame, e
     rows = own.where("ok").select("article_id", F.posexplode("points").alias("pos", "p")).select("article_id", "pos", "p.*")
     rows = rows.withColumn("point_id", F.xxhash64("article_id", "pos")).withColumn("text", text.point_text(F.col("name"), F.col("summary"), F.col("claims"))).withColumn("embedding", embed)
     rows = stored(rows, "run-points")
-    near = nearest_vectors(rows, entries, low).select("point_id", F.col("entry_id").alias("stored_id"), F.col("similarity").alias("stored_similarity"))
+    return decide_run(articles, own, rows, nearest_vectors(rows, entries, low), entries, low, high, now, limit, judge)[:3]
+
+
+def decide_run(
+    articles: DataFrame, own: DataFrame, rows: DataFrame, near: DataFrame, entries: DataFrame, low: float, high: float, now: Column, limit: int = 200, judge: Callable[[str, int], bool] | None = None, client=None,  # noqa: ANN001
+) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The second half of a run: (decisions, articles, entries, usage of the calls it made: kind, tokens, error).
+
+    own: article_id, ok, error of the run's articles; rows: their points with vectors; near: point_id, entry_id, similarity and,
+    where a judge was asked before, covered."""
+    near = near if "covered" in near.columns else near.withColumn("covered", F.lit(None).cast("boolean"))
+    near = near.select("point_id", F.col("entry_id").alias("stored_id"), F.col("similarity").alias("stored_similarity"), F.col("covered").alias("stored_covered"))
     named = entry_by_name(entries, rows).select("point_id", F.col("entry_id").alias("named_id"))
-    judged = stored(greedy_entries(rows.join(near, "point_id", "left").join(named, "point_id", "left"), low, high, judge, limit), "run-verdicts")
+    judged = stored(greedy_entries(rows.join(near, "point_id", "left").join(named, "point_id", "left"), low, high, judge, limit, client), "run-verdicts")
+    usage = judged.where("tokens > 0 or error is not null").select(F.lit("judge").alias("kind"), "tokens", "error")
     decided = roll_up(judged, own.select("article_id", "ok", "error"))
     made = judged.where("created").select("point_id", "entry_id").join(rows, "point_id").select("entry_id", F.substring(F.trim("name"), 1, 300).alias("name"), "summary", F.lit("active").alias("status"), "embedding")
     links = judged.where("is_new").groupBy("entry_id").agg(F.array_sort(F.collect_set("article_id")).alias("__new"))
@@ -172,7 +200,7 @@ def judge_run(articles: DataFrame, extractions: DataFrame, entries: DataFrame, e
     none = F.array().cast("array<bigint>")
     united = every.withColumn("article_ids", F.array_distinct(F.concat(F.coalesce("article_ids", none), F.coalesce("__new", none)))).drop("__new")
     states = decided.select("article_id", "decision")
-    return decided.withColumn("created_at", now), apply_decisions(articles, states), united
+    return decided.withColumn("created_at", now), apply_decisions(articles, states), united, usage
 
 
 def latest_decisions(decisions: DataFrame) -> DataFrame:
