@@ -94,6 +94,8 @@ def tree(html: str) -> Node:
 
 # Why a page gives no article.
 NO_HTML, NO_TITLE, NO_CONTENT = "原始 HTML 为空", "未能提取标题", "未能提取有效正文"
+#: Years that a timestamp of a pandas batch can hold for sure; a date beyond them is no date of publication.
+FIRST_YEAR, LAST_YEAR = 1678, 2261
 STRIP = frozenset(rules.STRIPPED_TAGS)
 CODE = frozenset(("script", "style"))
 CONTAINERS = [
@@ -183,6 +185,8 @@ def parse_page(html: str | None) -> dict:
     if len(content) < rules.LEAST_CONTENT:
         return out | {"error": NO_CONTENT}
     when = published_of(root, data)
+    if when is not None and not FIRST_YEAR <= when.year <= LAST_YEAR:
+        when = None
     if when is not None and when.tzinfo is None:
         from datetime import UTC
 
@@ -190,13 +194,21 @@ def parse_page(html: str | None) -> dict:
     return out | {"title": title.strip(), "content": content, "published_at": pd.Timestamp(when).tz_convert("UTC").tz_localize(None) if when is not None else None, "author": author_of(root, data)}
 
 
+def parse_safely(html: str | None) -> dict:
+    """parse_page(), but a page that breaks the parser has an error like any other; it never stops the job."""
+    try:
+        return parse_page(html)
+    except Exception as e:  # noqa: BLE001
+        return dict.fromkeys(("title", "content", "published_at", "author")) | {"error": f"{type(e).__name__}: {e}"}
+
+
 PARSED = T.StructType([T.StructField(x, T.TimestampType() if x == "published_at" else T.StringType()) for x in ("title", "content", "published_at", "author", "error")])
 LINKS = T.ArrayType(T.StructType([T.StructField("pos", T.IntegerType()), T.StructField("url", T.StringType()), T.StructField("text", T.StringType())]))
 
 
 @F.pandas_udf(PARSED)
 def _parse(html: pd.Series) -> pd.DataFrame:
-    out = pd.DataFrame([parse_page(x) for x in html], columns=["title", "content", "published_at", "author", "error"])
+    out = pd.DataFrame([parse_safely(x) for x in html], columns=["title", "content", "published_at", "author", "error"])
     out["published_at"] = pd.to_datetime(out["published_at"])
     return out
 
@@ -207,7 +219,10 @@ def parse_html(html: Column) -> Column:
 
 
 def link_ratio_of(html: str | None) -> float:
-    root = tree(html or "")
+    try:
+        root = tree(html or "")
+    except Exception:  # noqa: BLE001
+        return 1.0
     total = len(root.text(" ", CODE))
     return sum(len(x.text(" ", CODE)) for x in root.walk(CODE) if x.tag == "a") / total if total else 1.0
 
@@ -218,7 +233,8 @@ def _link_ratio(html: pd.Series) -> pd.Series:
 
 
 def link_text_ratio(html: Column) -> Column:
-    """Characters of link texts by those of the whole page without scripts; 1 for a page without text."""
+    """Characters of link texts by those of the whole page without scripts; 1 for a page without text and one that breaks
+    the parser."""
     return _link_ratio(html)
 
 
@@ -227,7 +243,12 @@ def _links(html: pd.Series, base: pd.Series) -> pd.Series:
     out = []
     for page, own in zip(html, base, strict=True):
         found = []
-        for x in tree(page or "").walk():
+        try:
+            root = tree(page or "")
+        except Exception:  # noqa: BLE001
+            out.append(None)
+            continue
+        for x in root.walk():
             href = x.attrs.get("href", "").strip() if x.tag == "a" else ""
             if href and not href.startswith(rules.SKIPPED_LINKS):
                 try:
@@ -241,5 +262,5 @@ def _links(html: pd.Series, base: pd.Series) -> pd.Series:
 
 
 def page_links(html: Column, base: Column) -> Column:
-    """Web links of a page in document order, absolute and without fragments."""
+    """Web links of a page in document order, absolute and without fragments; null for a page that breaks the parser."""
     return _links(html, base)

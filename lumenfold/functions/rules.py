@@ -68,6 +68,7 @@ MAIL_WHY, MAIL_LEAVE_TEXT = "你收到这封邮件是因为你订阅了本站的
 NO_SIMILAR, COVERED_BY, JUDGED_COVERED, TAKEN_AS_NEW = "Wiki 中暂无相似知识点", "与条目相似度 %.2f ≥ %.2f，判定已被覆盖", "相似度 %.2f 处于中间区间，模型二次判定为已覆盖", "相似度 %.2f 未达到覆盖阈值，保守判定为新增知识"
 ALL_COVERED, SOME_COVERED, NONE_COVERED = "%d 个知识点均已在 Wiki 中覆盖（最高相似度 %.2f），判定为知识重复", "%d 个知识点已覆盖、%d 个为新增（最高相似度 %.2f），按部分新增处理", "%d 个知识点均为新增（最高相似度 %.2f）"
 NO_POINTS, EXTRACTION_FAILED, UNKNOWN_REASON = "未提炼出可复用的知识点，视为全新内容", "知识点提炼失败，待后续重试：", "未知原因"
+BROKEN_PAGE, NO_PAGE = "the page breaks the parser", "no page"
 # Why a model gave no answer.
 MODEL_TIMEOUT, MODEL_DOWN, MODEL_QUOTA, MODEL_STATUS = "LLM 调用超时：%s", "LLM 调用失败：%s", "LLM 限流或配额不足（HTTP 429）", "LLM 返回错误状态：HTTP %d"
 MODEL_NO_JSON, MODEL_SHAPE, MODEL_VECTOR = "LLM 返回内容不是合法 JSON", "LLM 输出无法解析为约定 JSON：%s", "embedding 响应结构异常：%s"

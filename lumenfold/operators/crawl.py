@@ -113,15 +113,20 @@ def by_host(pages: DataFrame, order: str) -> DataFrame:
 
 
 def index_links(sources: DataFrame, robots: DataFrame, fetch: Callable[[DataFrame], DataFrame], limit: int = rules.MOST_LINKS, agent: str = "*") -> tuple[DataFrame, DataFrame]:
-    """(source_id, url, position of what the index pages link to; source_id, outcome of each index page). Sources that are
-    not crawled are passed over; an index page that is denied or fails has no links."""
+    """(source_id, url, position of what the index pages link to; source_id, outcome, error of each index page). Sources that
+    are not crawled are passed over; an index page that is denied, fails or breaks the parser has no links, and the other
+    sources go on."""
     live = crawlable(sources).where("outcome is null").select(F.col("id").alias("source_id"), F.col("site_url").alias("url"))
     checked = allowed_by_robots(live, robots, agent)
     got = fetch(by_host(checked.where("allowed"), "source_id"))
     pages = stored(checked.join(got, "url", "left"), "index-pages")
+    got_one = F.coalesce("ok", F.lit(False))
+    broken = got_one & html.page_links(F.col("html"), F.col("url")).isNull()
+    why = F.when(broken, rules.BROKEN_PAGE).when(F.col("allowed") & ~got_one, F.coalesce("error", F.concat(F.lit("HTTP "), "http_status"), F.lit(rules.NO_PAGE)))
+    pages = stored(pages.withColumns({"ok": got_one & ~broken, "error": why}), "index-outcomes")
     outcome = F.when(~F.col("allowed"), "robots_denied").when(F.col("ok"), "fetched").otherwise("failed")
     links = discover(pages.where("allowed and ok"), key="source_id", limit=limit)
-    return links.select("source_id", F.col("link").alias("url"), F.col("rank").alias("position")), pages.select("source_id", outcome.alias("outcome"))
+    return links.select("source_id", F.col("link").alias("url"), F.col("rank").alias("position")), pages.select("source_id", outcome.alias("outcome"), "error")
 
 
 def crawl(
@@ -130,7 +135,8 @@ def crawl(
 ) -> tuple[DataFrame, DataFrame]:
     """(page snapshot, report by source). page_urls: source_id, url, position; without it, what the sources' index pages
     link to. Pages of skipped sources are not fetched; denied ones are recorded; failures never stop the run; at most
-    `most` pages of a source. An index page counts in its source's report. Requests of one host are `seconds` apart, by one
+    `most` pages of a source. An index page counts in its source's report, and
+    why it gave nothing is the report's `error`. Requests of one host are `seconds` apart, by one
     task, in the order of `schedule`; see fetch_politely() for the clock and the waiting."""
     fetch = lambda pages: fetch_politely(pages, fetcher, seconds, clock, sleep).drop("host", "at")
     index = None
@@ -144,9 +150,9 @@ def crawl(
     rows = checked.join(got, "url", "left").select(
         "source_id", "url", F.when(F.col("ok"), F.col("html")).alias("raw_html"), "http_status", F.when(~F.col("allowed"), "robots_denied").when(F.col("ok"), "fetched").otherwise("failed").alias("status"), F.col("error").alias("error_message"), now.alias("fetched_at"),
     )
-    outcomes = rows.select("source_id", F.col("status").alias("outcome"))
+    outcomes = rows.select("source_id", F.col("status").alias("outcome"), F.lit(None).cast("string").alias("error"))
     outcomes = outcomes if index is None else outcomes.unionByName(index)
-    report = outcomes.groupBy("source_id").agg(F.count("*").alias("total"), *[F.count_if(F.col("outcome") == s).alias(s) for s in ("fetched", "failed", "robots_denied")])
+    report = outcomes.groupBy("source_id").agg(F.count("*").alias("total"), *[F.count_if(F.col("outcome") == s).alias(s) for s in ("fetched", "failed", "robots_denied")], F.min("error").alias("error"))
     return upsert(stored_pages, rows, ["source_id", "url"], "fetched_at", "status"), report
 
 

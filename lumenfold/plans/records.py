@@ -242,7 +242,7 @@ SQL = {
     "fetch_outcomes": "SELECT DISTINCT url, CASE WHEN contains(url, '#') THEN NULL ELSE upper(url) END AS html, CASE WHEN contains(url, '#') THEN NULL WHEN contains(url, '?') THEN 404 ELSE 200 END::INT AS http_status, CASE WHEN contains(url, '#') THEN 'down' END AS error, NOT contains(url, '#') AND NOT contains(url, '?') AS ok FROM pages",
     "crawl_run": f"""WITH d AS (SELECT DISTINCT source_id, url, pos FROM (SELECT {HOST} AS source_id, url, min(page_id) AS pos FROM pages GROUP BY 1, 2)), w AS (SELECT source_id, url FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY pos) AS n FROM d) WHERE n <= {rules.MOST_LINKS} AND length(source_id) % 5 <> 0 AND length(source_id) % 7 <> 0),
   o AS (SELECT source_id, CASE WHEN starts_with(regexp_replace(url, '^[a-zA-Z]+://[^/?#]*', ''), '/en/') THEN 'd' WHEN contains(url, '#') OR contains(url, '?') THEN 'f' ELSE 'k' END AS x FROM w)
-  SELECT source_id, count(*) AS total, count(*) FILTER (WHERE x = 'k') AS fetched, count(*) FILTER (WHERE x = 'f') AS failed, count(*) FILTER (WHERE x = 'd') AS robots_denied FROM o GROUP BY 1""",
+  SELECT source_id, count(*) AS total, count(*) FILTER (WHERE x = 'k') AS fetched, count(*) FILTER (WHERE x = 'f') AS failed, count(*) FILTER (WHERE x = 'd') AS robots_denied, NULL::VARCHAR AS error FROM o GROUP BY 1""",
     "robots_gates": "SELECT unnest([true, false]) AS allowed, count(*) AS n FROM pages",
     "default_categories": "SELECT kind, ord, t.name, status FROM (VALUES " + ", ".join(f"({i}, '{x}', 'active')" for i, x in enumerate(rules.DEFAULT_CATEGORIES)) + ") t(ord, name, status), (SELECT 'blank' AS kind, count(*) FILTER (WHERE trim(lang) = '') AS n FROM documents UNION ALL SELECT 'some', count(*) FILTER (WHERE trim(lang) <> '') FROM documents) WHERE n = 0",
     "outbox_mails": "SELECT 'r' || item_id || '@example.org' AS to, text AS body FROM benchmark",

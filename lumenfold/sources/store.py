@@ -74,21 +74,38 @@ def append_log(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
-def read_jdbc(spark: SparkSession, url: str, table: str, key: str | None = None, bounds: tuple[int, int, int] | None = None) -> DataFrame:
-    """A table of a relational database; with key and bounds (low, high, parts) read in parallel ranges."""
-    reader = spark.read.format("jdbc").option("url", url).option("dbtable", table)
+def read_jdbc(spark: SparkSession, url: str, table: str, key: str | None = None, bounds: tuple[int, int, int] | None = None, parts: int = 1) -> DataFrame:
+    """A table of a relational database. With a whole-number key it is read in parallel ranges: of bounds (low, high, parts),
+    or in `parts` ranges between the key's least and largest value, which the database is asked for. Rows beyond the bounds
+    are in the outer ranges, null keys in the first; none is lost."""
+    reader = spark.read.format("jdbc").option("url", url)
+    if key and bounds is None and parts > 1:
+        name = spark._jvm.org.apache.spark.sql.jdbc.JdbcDialects.get(url).quoteIdentifier(key)  # as Spark itself quotes it
+        low, high = reader.option("dbtable", f"(SELECT MIN({name}) AS low, MAX({name}) AS high FROM {table}) ends").load().first()
+        bounds = None if low is None else (int(low), int(high) + 1, parts)
+    reader = reader.option("dbtable", table)
     if key and bounds:
         reader = reader.option("partitionColumn", key).option("lowerBound", bounds[0]).option("upperBound", bounds[1]).option("numPartitions", bounds[2])
     return reader.load()
 
 
+def write_jdbc(df: DataFrame, url: str, table: str, parts: int = 8, mode: str = "append") -> None:
+    """Rows into a table of a relational database over at most `parts` connections. Each task commits on its own, so a run
+    that broke off leaves some rows: write to a staging table, and let the database move them."""
+    df.write.format("jdbc").option("url", url).option("dbtable", table).option("numPartitions", parts).mode(mode).save()
+
+
 def fetched(fetcher: Callable[[str], dict], url: str) -> dict:
+    """What a fetcher gives, as a row; whatever it raises, or gives that is no page, is the row's error."""
     try:
         got = fetcher(url)
+        status, page, error = got.get("http_status"), got.get("html"), got.get("error")
+        status = None if status is None else int(status)
+        page = page.decode(errors="replace") if isinstance(page, bytes) else None if page is None else str(page)
+        error = str(error) if error else None
     except Exception as e:  # noqa: BLE001
-        got = {"error": str(e)}
-    status, error = got.get("http_status"), got.get("error")
-    return {"url": url, "html": got.get("html"), "http_status": status, "error": error, "ok": not error and status is not None and 200 <= status < 300}
+        status, page, error = None, None, str(e) or type(e).__name__
+    return {"url": url, "html": page, "http_status": status, "error": error, "ok": not error and status is not None and 200 <= status < 300}
 
 
 def fetch_pages(urls: DataFrame, fetcher: Callable[[str], dict]) -> DataFrame:

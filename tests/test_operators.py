@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lumenfold.functions import rules, text
+from lumenfold.functions import html, rules, text
 from lumenfold.operators import browse, classify, crawl, dedup, digests, hamming, insights, knowledge, state
 from lumenfold.sources import store
 
@@ -239,7 +239,7 @@ def test_crawl(spark):
     pages, report = crawl.crawl(src, urls_, robots, fetcher, old, F.lit(T0 + timedelta(hours=1)), seconds=0.01)
     got = {r["url"]: (r["status"], r["raw_html"]) for r in pages.collect()}
     assert got == {"https://x.org/p": ("fetched", "<p>https://x.org/p</p>"), "https://x.org/no/q": ("robots_denied", None), "https://x.org/bad": ("failed", None)}
-    assert report.first().asDict() == {"source_id": "s", "total": 3, "fetched": 1, "failed": 1, "robots_denied": 1}
+    assert report.first().asDict() == {"source_id": "s", "total": 3, "fetched": 1, "failed": 1, "robots_denied": 1, "error": None}
     assert [r["url"] for r in crawl.fetched_pages(pages).collect()] == ["https://x.org/p"]
 
 
@@ -285,6 +285,46 @@ def test_crawl_from_index_pages(spark):
     assert {r["source_id"]: (r["total"], r["fetched"], r["failed"], r["robots_denied"]) for r in report.collect()} == {"s": (4, 3, 0, 1), "d": (1, 0, 0, 1), "f": (1, 0, 1, 0)}
 
 
+def test_a_bad_source_stops_no_other(spark):
+    """Fetchers that raise, give no dict, bytes or odd statuses, index pages that break the parser, sites that are no URL."""
+    sites = {"good": "https://g.org/", "broken": "https://b.org/", "none": "https://n.org/", "bytes": "https://y.org/", "odd": "https://o.org/", "gone": "https://x.org/", "no-url": "::::", "null": None}
+    src = spark.createDataFrame([(k, True, "neutral", v) for k, v in sites.items()], "id string, is_active boolean, list_type string, site_url string")
+    robots = crawl.robots_rules(spark.createDataFrame([], "origin string, text string"))
+
+    def fetcher(url):
+        page = '<a href="/posts/1">A first article</a>'
+        if url.endswith("/posts/1"):
+            return {"http_status": 200, "html": "<![foo[ an article ]]>"}
+        return {"https://g.org/": {"http_status": "200", "html": page}, "https://b.org/": {"http_status": 200, "html": page + "<![foo[ x ]]>"}, "https://y.org/": {"http_status": 200, "html": page.encode()}, "https://o.org/": {"http_status": "teapot"}, "https://x.org/": {"http_status": 410}, "https://n.org/": None}[url]
+
+    none = spark.createDataFrame([], "source_id string, url string, raw_html string, http_status int, status string, error_message string, fetched_at timestamp")
+    pages, report = crawl.crawl(src, None, robots, fetcher, none, F.lit(T0), seconds=0.01)
+    got = {r["source_id"]: (r["total"], r["fetched"], r["failed"], r["error"] is None) for r in report.collect()}
+    assert got == {"good": (2, 2, 0, True), "bytes": (2, 2, 0, True)} | {k: (1, 0, 1, False) for k in ("broken", "none", "odd", "gone", "no-url", "null")}
+    assert {r["source_id"]: r["error"] for r in report.collect()}["broken"] == rules.BROKEN_PAGE
+    parsed = classify.parse_pages(crawl.fetched_pages(pages).select("url", "raw_html"), F.lit("https://g.org/")).collect()
+    assert [(r["status"], r["reason"].split(":")[0]) for r in parsed] == [("error", "AssertionError")] * 2
+
+
+def test_odd_dates_are_no_dates():
+    page = '<meta property="article:published_time" content="0900-01-01"><h1>T</h1><article><p>' + "word " * 60 + "</p></article>"
+    got = html.parse_page(page)
+    assert got["error"] is None and got["published_at"] is None
+
+
+def test_jdbc(spark):
+    """A table written to and read from a database in the JVM's memory, in ranges; none of its rows is lost."""
+    url = "jdbc:derby:memory:lumenfold;create=true"
+    rows = [(k, k * 7 % 1000, f"n{k}") for k in range(500)] + [(500, None, "none")]
+    df = spark.createDataFrame(rows, "id int, k int, name string")
+    store.write_jdbc(df, url, "things", 3)
+    for got in (store.read_jdbc(spark, url, "things"), store.read_jdbc(spark, url, "things", "k", parts=4), store.read_jdbc(spark, url, "things", "k", (100, 200, 3))):
+        assert sorted((r["ID"], r["K"] if r["K"] is not None else -1, r["NAME"]) for r in got.toDF("ID", "K", "NAME").collect()) == sorted((a, -1 if b is None else b, c) for a, b, c in rows)
+    assert store.read_jdbc(spark, url, "things", "k", parts=4).rdd.getNumPartitions() == 4
+    store.write_jdbc(df.limit(0), url, "empty_things")
+    assert store.read_jdbc(spark, url, "empty_things", "k", parts=4).count() == 0
+
+
 def test_discovery(spark):
     page = "".join(f'<a href="/{x}">{x}</a>' for x in ("about", "login", "tags", "home")) + '<a href="/posts/1">A first article</a><a href="/posts/2.html">second one here</a><a href="/posts/1">again</a>'
     df = spark.createDataFrame([(1, "https://h.org/", page)], "page_id long, url string, html string")
