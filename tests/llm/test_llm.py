@@ -101,15 +101,20 @@ def test_binary_pieces():
         assert sum(x for _, x in pieces) == n and all(x & (x - 1) == 0 and x <= 32 for _, x in pieces)
 
 
-def test_packing(docs, rows, nothing):
+def packed(rows, longest):
+    """The pieces of each (doc_id, text), by the tokenizer itself."""
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(tokenizer_path())
-    want = Counter()
-    for i, t, _ in rows:
+    tokenizer, want = Tokenizer.from_file(tokenizer_path()), Counter()
+    for i, t in rows:
         ids = np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 1], "<u4")
-        for start, n in packing.binary_pieces(len(ids), 256):
+        for start, n in packing.binary_pieces(len(ids), longest):
             want[i, start, n, zlib.crc32(ids[start : start + n].tobytes()), len(ids), 0] += 1
+    return want
+
+
+def test_packing(docs, rows, nothing):
+    want = packed([r[:2] for r in rows], 256)
     got = packing.pack(docs, tokenizer_path(), longest=256)
     assert counted(got, "doc_id", "start", "length", "ids_crc32", "doc_tokens", "offset") == want
     ids = sorted((r["sequence_id"], r["length"]) for r in got.collect())
@@ -859,11 +864,9 @@ def test_votes_on_civility():
     assert quality.uncivil("Eres IMBÉCIL".encode(), quality.Insults())[0][3] == 0
 
 
-def test_quality_against_plain_python(spark):
-    """EM and both scorers written out in plain Python over the votes and features of every text."""
-    rng = random.Random(21)
-    rows = [(k, words(rng, rng.randrange(1, 40)) + rng.choice(["", " idiot", " you stupid scum", " a filthy trash clown", " | | | ###"])) for k in range(120)] + [(7, None), (None, ""), (9, "a a a a a a a a a a a a a")]
-    got = quality.score_quality(spark.createDataFrame(rows, "doc_id long, text string").withColumn("votes", F.lit("x")), threshold=0.6)
+def plain_quality(spark, rows):
+    """EM and both scorers written out in plain Python over the votes and features of every (doc_id, text): the posteriors and
+    scores of form and of civility by row."""
     insults = quality.Insults()
     key = {(r["id"], r["text"]): (r["h"], r["key"]) for r in spark.createDataFrame(rows, "id long, text string").selectExpr("id", "text", "xxhash64(id, xxhash64(text)) AS h", "xxhash64(text) AS key").collect()}
     in_order = sorted(rows, key=lambda r: (key[r][0], r[0] is not None, r[0] or 0, key[r][1]))
@@ -893,7 +896,15 @@ def test_quality_against_plain_python(spark):
                 w[k] -= 0.1 * v / math.sqrt(seen[k])
         return {r: (good[votes[r]], 1 / (1 + math.exp(-sum(w[k] * v for k, v in {**of(raw(r[1]))[1], quality.BUCKETS: 1.0}.items())))) for r in rows}
 
-    form, civil = chances(quality.measure), chances(lambda x: quality.uncivil(x, insults))
+    return chances(quality.measure), chances(lambda x: quality.uncivil(x, insults))
+
+
+def test_quality_against_plain_python(spark):
+    """Posteriors, scores and decisions of every text."""
+    rng = random.Random(21)
+    rows = [(k, words(rng, rng.randrange(1, 40)) + rng.choice(["", " idiot", " you stupid scum", " a filthy trash clown", " | | | ###"])) for k in range(120)] + [(7, None), (None, ""), (9, "a a a a a a a a a a a a a")]
+    got = quality.score_quality(spark.createDataFrame(rows, "doc_id long, text string").withColumn("votes", F.lit("x")), threshold=0.6)
+    form, civil = plain_quality(spark, rows)
     want = Counter((r[0], round(form[r][0], 4), round(form[r][1], 4), round(1 - civil[r][1], 4), civil[r][1] <= 0.5, form[r][1] >= 0.6 and civil[r][1] > 0.5) for r in rows)
     assert Counter((r["doc_id"], round(r["posterior"], 4), round(r["quality_score"], 4), round(r["toxicity"], 4), r["toxic"], r["kept"]) for r in got.collect()) == want
     assert {k[4] for k in want} == {True, False} == {k[5] for k in want}
@@ -928,4 +939,21 @@ def test_pipeline(spark):
     assert kept[3] == {(i, t) for i, t in kept[2] if any(k[0] == i == k[2] for k in linked([(a, b, None) for a, b in kept[2]]))}
     assert kept[4] == {(i, t) for i, t in kept[3] if not any(x in decontaminate.normal(raw(t)) for _, x in bench)}
     final = corpus_pipeline.run(spark, SF)
-    assert {r["doc_id"] for r in final.select("doc_id").distinct().collect()} == {i for i, _ in kept[4]}
+    assert counted(final, "doc_id", "start", "length", "ids_crc32", "doc_tokens", "offset") == packed(kept[4], 2048)
+    ids = sorted((r["sequence_id"], r["length"]) for r in final.collect())
+    assert [x for x, _ in ids] == list(range(len(ids))) and [n for _, n in ids] == sorted(n for _, n in ids)
+
+
+def test_first_stage_against_plain_python(spark, tmp_path):
+    """What the classifier's stage keeps, by plain Python, of a table with nulls, repeats and clashing columns; no labels."""
+    import corpus_pipeline
+
+    rng = random.Random(22)
+    rows = [(k, words(rng, rng.randrange(1, 60)) + rng.choice(["", "", " you idiot", " you stupid scum", " | | | ###"])) for k in range(150)] + [(7, None), (None, ""), (9, "a a a a a a a a a a a a a"), (3, "The end.")]
+    spark.read.parquet(f"{SF}/labels.parquet").limit(0).write.parquet(f"file://{tmp_path}/labels.parquet")
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("x") for c in ("votes", "kept", "id")})
+    out = corpus_pipeline.classify(spark, docs, f"file://{tmp_path}")
+    form, civil = plain_quality(spark, rows)
+    want = Counter(r for r in rows if form[r][1] >= 0.5 and civil[r][1] > 0.5)
+    assert out.columns == docs.columns and Counter((r["doc_id"], r["text"]) for r in out.collect()) == want
+    assert 0 < sum(want.values()) < len(rows)
