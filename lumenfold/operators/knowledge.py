@@ -14,44 +14,49 @@ from ..sources.store import stored
 from . import vector_index
 
 
-def similarity(a: Column, b: Column, a_text: Column, b_text: Column) -> Column:
-    """Cosine where both have a vector, else the likeness of the texts."""
-    both = (F.size(F.coalesce(a, F.array().cast("array<double>"))) > 0) & (F.size(F.coalesce(b, F.array().cast("array<double>"))) > 0)
-    return F.when(both, vectors.cosine(a, b)).otherwise(text.keyword_similarity(a_text, b_text))
+def by_text(points: DataFrame, entries: DataFrame, least: float, k: int) -> DataFrame:
+    """point_id, entry_id, similarity of pairs of which one has no vector, by their texts, pair by pair."""
+    e = entries.select("entry_id", F.concat_ws("\n", F.coalesce("name", F.lit("")), F.coalesce("summary", F.lit(""))).alias("e_text"))
+    pairs = points.select("point_id", F.col("text").alias("p_text")).crossJoin(e)
+    pairs = pairs.select("point_id", "entry_id", text.keyword_similarity(F.col("p_text"), F.col("e_text")).alias("similarity")).where(F.col("similarity") >= least)
+    return vector_index.best(pairs, k).drop("rank")
 
 
-def nearest_entries(points: DataFrame, entries: DataFrame, least: float, k: int = 1) -> DataFrame:
-    """point_id, entry_id, similarity, rank: of the active entries the k most similar at `least` or above, of equals the
-    first by id. Entries are the bounded side (a curated table); the best k are kept by an aggregate, pair by pair."""
-    e = entries.where("status = 'active'").select("entry_id", F.col("embedding").alias("e_vec"), F.concat_ws("\n", F.coalesce("name", F.lit("")), F.coalesce("summary", F.lit(""))).alias("e_text"))
-    p = points.select("point_id", F.col("embedding").alias("p_vec"), F.col("text").alias("p_text"))
-    pairs = p.crossJoin(e).select("point_id", "entry_id", similarity(F.col("p_vec"), F.col("e_vec"), F.col("p_text"), F.col("e_text")).alias("similarity")).where(F.col("similarity") >= least)
-    w = Window.partitionBy("point_id").orderBy(F.desc("similarity"), "entry_id")
-    return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-
-def nearest_vectors(points: DataFrame, entries: DataFrame, least: float, k: int = 1, index: vector_index.Cells | None = None) -> DataFrame:
-    """The same through an index of cells (built here, unless given): exact, and entries never pass the driver.
-
-    Vectors of other dimensions have similarity 0, as those of zero length; such pairs count where `least` lets them, the
-    first k by id for each point. Points or entries without a vector are compared by their texts, as nearest_entries()
-    does; where points have no text, such pairs have similarity 0."""
+def found_by(search: Callable[[DataFrame, DataFrame], DataFrame], points: DataFrame, entries: DataFrame, least: float, k: int) -> DataFrame:
+    """The best k of a search over vectors, of pairs of unlike vectors, and of pairs without one."""
     points = points if "text" in points.columns else points.withColumn("text", F.lit(""))
     size = F.size(vector_index.vector("embedding"))
     active = entries.where("status = 'active'")
     real, known = points.where(size > 0), active.where(size > 0)
-    index = index or vector_index.build(known)
-    out = vector_index.nearest(real, index, least, k)
+    out = search(real, known)
     if least <= 0:
         out = out.unionByName(unlike(real, known, k))
     bare = points.where(size == 0), active.where(size == 0)
     if not bare[0].isEmpty():
-        out = out.unionByName(nearest_entries(bare[0], active, least, k).drop("rank"))
+        out = out.unionByName(by_text(bare[0], active, least, k))
     if not bare[1].isEmpty():
-        out = out.unionByName(nearest_entries(real, bare[1], least, k).drop("rank"))
+        out = out.unionByName(by_text(real, bare[1], least, k))
     return vector_index.best(out, k)
 
 
+def nearest_entries(points: DataFrame, entries: DataFrame, least: float, k: int = 1) -> DataFrame:
+    """point_id, entry_id, similarity, rank: of the active entries the k most similar at `least` or above, of equals the
+    first by id. Every vector meets every other, in blocks; no index.
+
+    Vectors of other dimensions have similarity 0, as those of zero length; such pairs count where `least` lets them, the
+    first k by id for each point. Points or entries without a vector are compared by their texts; where points have no text,
+    such pairs have similarity 0."""
+    return found_by(lambda real, known: vector_index.products(real, known, least, k), points, entries, least, k)
+
+
+def nearest_vectors(points: DataFrame, entries: DataFrame, least: float, k: int = 1, index: vector_index.Cells | None = None) -> DataFrame:
+    """The same through an index of cells (built here, unless given): exact, and entries never pass the driver. Without a given
+    index and a least similarity above zero, cells would leave little out, so vectors meet in blocks."""
+    if index is None and least <= 0:
+        return nearest_entries(points, entries, least, k)
+    return found_by(lambda real, known: vector_index.nearest(real, index or vector_index.build(known), least, k), points, entries, least, k)
+
+
 def unlike(points: DataFrame, entries: DataFrame, k: int) -> DataFrame:
     """(point_id, entry_id, similarity 0): for each point the first k entries by id whose vector has another dimension or norm
     zero, or any where its own norm is zero. Only the first k of each kind of vector are looked at."""

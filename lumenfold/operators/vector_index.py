@@ -3,7 +3,10 @@
 Of unit vectors, cosine c is distance sqrt(2 - 2c). An entry of a cell with centre m and radius r is at least |q - m| - r from a
 point q. So a point first searches the nearest cells that hold k entries; its k-th distance there, or that of the least
 similarity, bounds all other cells that it must visit. No entry goes through the driver: only centres, radii and counts of
-cells do, of which there are MOST_CELLS at most for each dimension. Cells with many entries or many visits are split."""
+cells do, of which there are MOST_CELLS at most for each dimension. Cells with many entries or many visits are split.
+
+Where no least similarity bounds the search, a point visits most cells, and products() costs less: blocks of points meet blocks
+of entries, so that a vector is sent once for each block of the other side, and not once for each cell."""
 
 from __future__ import annotations
 
@@ -26,6 +29,10 @@ ROUNDS = 6
 ENTRIES, VISITS = 8192, 65_536
 #: Distances are compared with this much to spare, so that rounding loses nothing.
 SLACK = 1e-6
+#: Of products(): bytes of vectors in a block, numbers in one product, and tasks that a search is dealt to at least.
+BLOCK_BYTES, AT_ONCE, TASKS = 16 << 20, 1 << 18, 24
+#: Rows of visits that leave a task at once.
+VISIT_ROWS = 4096
 
 
 @dataclass
@@ -132,7 +139,9 @@ def visits(points: DataFrame, index: Cells, k: int, first: bool, farthest: float
                     kth = np.minimum(b["kth"].to_numpy(np.float64)[at], farthest)
                     take = ~lead & (away - radii[d] <= np.where(np.isnan(kth), farthest, kth)[:, None] + SLACK)
                 p, c = np.nonzero(take & (counts[d] > 0))
-                yield pd.DataFrame({"point_id": b["point_id"].to_numpy()[at[p]], "dim": d, "cell": c, "unit": pd.Series(list(m[p]), dtype=object)})
+                for n in range(0, len(p), VISIT_ROWS):
+                    i = p[n : n + VISIT_ROWS]
+                    yield pd.DataFrame({"point_id": b["point_id"].to_numpy()[at[i]], "dim": d, "cell": c[n : n + VISIT_ROWS], "unit": pd.Series(list(m[i]), dtype=object)})
 
     return points.mapInPandas(run, "point_id long, dim int, cell int, unit array<double>")
 
@@ -148,10 +157,6 @@ def search_cells(asked: DataFrame, index: Cells, least: float, k: int) -> DataFr
     e = index.entries.join(plan, ["dim", "cell"]).withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
     keys, schema = ["dim", "cell", "part", "slice"], pa.schema([("point_id", pa.int64()), ("entry_id", pa.int64()), ("similarity", pa.float64())])
 
-    def matrix(table: pa.Table) -> np.ndarray:
-        column = table.column("unit").combine_chunks()
-        return column.values.to_numpy(zero_copy_only=False).reshape(len(column), -1) if len(column) else np.zeros((0, 1))
-
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         points, ids = left.column("point_id").to_numpy(), right.column("entry_id").to_numpy()
         if not len(points) or not len(ids):
@@ -170,6 +175,98 @@ def search_cells(asked: DataFrame, index: Cells, least: float, k: int) -> DataFr
     return one.applyInArrow(run, "point_id long, entry_id long, similarity double")
 
 
+def matrix(table: pa.Table) -> np.ndarray:
+    column = table.column("unit").combine_chunks()
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1) if len(column) else np.zeros((0, 1))
+
+
+def in_order(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inner products of the rows of a and b, summed in one order, so that equal vectors have equal products wherever they lie."""
+    return (a * b).sum(1)
+
+
+def best_products(points: np.ndarray, a: np.ndarray, ids: np.ndarray, b: np.ndarray, least: float, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(point, entry, similarity): of each point the best k entries, of equals the first by id. Products in single precision show
+    which entries may be among them; those alone are computed in double precision."""
+    order = np.argsort(ids, kind="stable")
+    ids, b = ids[order], b[order]
+    slack = 4e-7 * (a.shape[1] + 8)
+    fast_a, fast_b = a.astype(np.float32), np.ascontiguousarray(b.astype(np.float32).T)
+    rows = max(1, min(1024, AT_ONCE // max(1, min(len(ids), 1024))))
+    out = []
+    for at in range(0, len(a), rows):
+        x, i_all, j_all = fast_a[at : at + rows], [], []
+        top = np.full((len(x), k), -2.0, np.float32)  # the best k so far, the smallest first
+        for lo in range(0, len(ids), 1024):
+            s = x @ fast_b[:, lo : lo + 1024]
+            some = np.flatnonzero(s.max(1) >= top[:, 0] - slack)
+            if not len(some):
+                continue
+            own = s[some]
+            high = own if own.shape[1] <= k else np.partition(own, own.shape[1] - k, axis=1)[:, -k:]
+            top[some] = np.sort(np.concatenate([top[some], high], axis=1), axis=1)[:, -k:]
+            hit = np.flatnonzero((own >= np.maximum(top[some, :1], least) - slack).ravel())
+            i, j = np.divmod(hit, own.shape[1])
+            i_all.append(some[i])
+            j_all.append(j + lo)
+        if not i_all:
+            continue
+        i, j = np.concatenate(i_all), np.concatenate(j_all)
+        for lo in range(0, len(x), 64):  # bounds what is compared at once where many entries are alike
+            own = (i >= lo) & (i < lo + 64)
+            p, e = i[own], j[own]
+            value = np.concatenate([in_order(a[at + p[n : n + 16_384]], b[e[n : n + 16_384]]) for n in range(0, len(p), 16_384)]) if len(p) else np.zeros(0)
+            by = np.lexsort((e, -value, p))
+            p, e, value = p[by], e[by], value[by]
+            place = np.arange(len(p)) - np.searchsorted(p, p)
+            keep = (place < k) & (value >= least)
+            out.append((points[at + p[keep]], ids[e[keep]], value[keep]))
+    if not out:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def products(points: DataFrame, entries: DataFrame, least: float, k: int = 1) -> DataFrame:
+    """As nearest(), without an index: every block of points meets every block of entries in a task of its own, which sends its best
+    k of each point. A block holds BLOCK_BYTES of vectors. Of entries with one vector the first k by id alone can be found, so
+    copies beyond them are left out before."""
+    spark = points.sparkSession
+    ship(spark)
+
+    def unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for d, (at, m) in units(batch.column("embedding").to_pandas()).items():
+                flat = pa.ListArray.from_arrays(pa.array(np.arange(0, m.size + 1, d, dtype=np.int32)), pa.array(m.ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(at)), pa.array(np.full(len(at), d, np.int32)), flat], names=["id", "dim", "unit"])
+
+    def made(df: DataFrame, key: str, tag: str) -> DataFrame:
+        rows = df.select(F.col(key).alias("id"), vector("embedding").alias("embedding")).where(F.size("embedding") > 0)
+        if key == "entry_id":
+            rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("embedding").orderBy("id"))).where(F.col("n") <= k).drop("n")
+        return stored(rows.mapInArrow(unit, "id long, dim int, unit array<double>"), tag)
+
+    p, e = made(points, "point_id", "points"), made(entries, "entry_id", "entries")
+    told = {x: {r["dim"]: r["n"] for r in df.groupBy("dim").agg(F.count("*").alias("n")).collect()} for x, df in (("p", p), ("e", e))}  # a row for each dimension
+    plan = []
+    for d in told["p"].keys() & told["e"].keys():
+        each = max(64, BLOCK_BYTES // (8 * d))
+        right = -(-told["e"][d] // each)
+        left = max(-(-told["p"][d] // each), min(-(-TASKS // right), -(-told["p"][d] // 256)))
+        plan.append((d, left, right))
+    blocks = F.broadcast(spark.createDataFrame(plan, "dim int, lefts int, rights int"))
+    deal = lambda df, own, other: df.join(blocks, "dim").withColumn(own, F.pmod(F.xxhash64("id"), F.col(f"{own}s")).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.col(f"{other}s") - 1)))
+    keys, schema = ["dim", "left", "right"], pa.schema([("point_id", pa.int64()), ("entry_id", pa.int64()), ("similarity", pa.float64())])
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not len(left) or not len(right):
+            return schema.empty_table()
+        return pa.table(list(best_products(left.column("id").to_numpy(), matrix(left), right.column("id").to_numpy(), matrix(right), least, k)), schema=schema)
+
+    q = deal(p, "left", "right").select(*keys, "id", "unit").groupBy(*keys)
+    one = q.cogroup(deal(e, "right", "left").select(*keys, "id", "unit").groupBy(*keys))
+    return best(one.applyInArrow(run, "point_id long, entry_id long, similarity double"), k).drop("rank")
+
+
 def best(found: DataFrame, k: int) -> DataFrame:
     w = Window.partitionBy("point_id").orderBy(F.desc("similarity"), "entry_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

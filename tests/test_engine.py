@@ -49,6 +49,29 @@ def test_vector_cells(spark, monkeypatch, least, k):
     assert 0 < made < every / 2  # clusters are told apart
 
 
+def test_vector_blocks(spark, monkeypatch):
+    """Small blocks and products, many copies and near ties: the same as brute force, and no more copies than can be found."""
+    monkeypatch.setattr(vector_index, "BLOCK_BYTES", 64 * 8 * 5)
+    rng = random.Random(5)
+    entries = [(i, [rng.gauss(0, 1) for _ in range(5)]) for i in range(200)] + [(1000 - i, [0.5, 0.25, 0.0, 1.0, 2.0]) for i in range(300)] + [(2000, [1.0, 0.5, 0.0, 2.0, 4.0])]
+    points = [(i, [rng.gauss(0, 1) for _ in range(5)]) for i in range(150)] + [(500, [0.5, 0.25, 0.0, 1.0, 2.0]), (501, [-0.5, 0.25, 0.0, 1.0, 2.0])]
+    e, p = (spark.createDataFrame(x, f"{n} long, embedding array<double>").repartition(3) for x, n in ((entries, "entry_id"), (points, "point_id")))
+    got = {}
+    for r in vector_index.best(vector_index.products(p, e, -1.0, 3), 3).collect():
+        got.setdefault(r["point_id"], {})[r["rank"]] = (r["entry_id"], round(r["similarity"], 9))
+    for i, v in points:
+        want = sorted((-round(cosine(v, w), 9), n) for n, w in entries)[:3]
+        assert got[i] == {r + 1: (n, -s + 0.0) for r, (s, n) in enumerate(want)}, i
+
+
+def test_native_search_makes_no_list_of_pairs(spark):
+    """nearest_entries() multiplies blocks of vectors; it does not send each pair through a row of its own."""
+    p = spark.createDataFrame([(1, [1.0, 0.0])], "point_id long, embedding array<double>")
+    e = spark.createDataFrame([(7, "active", [1.0, 0.1], "n", "s")], "entry_id long, status string, embedding array<double>, name string, summary string")
+    plan = knowledge.nearest_entries(p, e, 0.5)._jdf.queryExecution().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
 # Keywords
 
 
