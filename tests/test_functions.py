@@ -141,3 +141,15 @@ def test_links(spark):
 
 def test_unicode_form():
     assert unicodedata.normalize("NFKC", "ﬁ") == "fi"
+
+
+def test_batches_and_tokens_stay_small(spark):
+    """Texts go to Python as texts, a thousand rows at a time, and not as lists of their tokens; what a worker remembers is bounded."""
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "1000"
+    plan = spark.range(1).select(text.simhash(F.concat(F.col("id").cast("string"), F.lit(" b")))).select("*")._jdf.queryExecution().toString()
+    assert "regexp_extract_all" not in plan
+    bits, words = text.TokenBits(), ["ab", "b_1", "ab", "x"]
+    assert text.simhash_of_text("ab b_1, ab-x", bits) == text.simhash_of(words)
+    bits.index = {str(k): k for k in range(text.REMEMBERED)}
+    assert text.simhash_of_text("ab b_1, ab-x", bits) == text.simhash_of(words) and len(bits.index) == 3
+    assert text.simhash_of_text("日本 x 語", bits) == text.simhash_of(["x", "日本", "本語"])
