@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import html, rules, text, urls
 
 
-def quality_reason(title: Column, content: Column, raw_html: Column | None = None, exclude: Column | None = None, page_url: Column | None = None, site_url: Column | None = None) -> Column:
+def quality_reason(title: Column, content: Column, raw_html: Column | None = None, exclude: Column | None = None, page_url: Column | None = None, site_url: Column | None = None, terminated: bool = False) -> Column:
     """Why a page is no article; null if it is one. The first rule that hits counts."""
     clean = F.regexp_replace(F.coalesce(content, F.lit("")), r"(?U)^\s+|\s+$", "")
     haystack = F.lower(F.concat(F.coalesce(title, F.lit("")), F.lit("\n"), clean))
@@ -22,7 +22,7 @@ def quality_reason(title: Column, content: Column, raw_html: Column | None = Non
     out = out.when((F.length(clean) < rules.SHORT_PAGE) & text.contains_any(haystack, rules.NAV_PHRASES), rules.NAV_REASON)
     out = out.when(F.size(ads) >= 2, F.concat(F.lit(rules.AD_REASON), listed(ads)))
     if raw_html is not None:
-        out = out.when((raw_html != "") & (html.link_text_ratio(raw_html) >= rules.LEAST_LINK_RATIO), rules.LINKS_REASON)
+        out = out.when((raw_html != "") & (html.link_text_ratio(raw_html, terminated) >= rules.LEAST_LINK_RATIO), rules.LINKS_REASON)
     return out
 
 
@@ -58,14 +58,15 @@ def write_back(articles: DataFrame, classified: str = "classified", fallback: bo
     }).drop(classified)
 
 
-def parse_pages(pages: DataFrame, site_url: Column, exclude: Column | None = None, parser=html.parse_html) -> DataFrame:  # noqa: ANN001
+def parse_pages(pages: DataFrame, site_url: Column, exclude: Column | None = None, parser=html.parse_html, terminated: bool = False) -> DataFrame:  # noqa: ANN001
     """Articles of fetched pages (url, raw_html, ...): entry pages are filtered before parsing; then no HTML or no
-    article is an error; then the quality cascade; what is left is pending. `parser` makes the struct of parse_html()."""
+    article is an error; then the quality cascade; what is left is pending. `parser` makes the struct of parse_html().
+    terminated: see html.tree()."""
     entry = urls.is_entry_page(F.col("url"), site_url)
     plain = pages.withColumn("entry", entry)
     blank = F.lit(None).cast("struct<title:string,content:string,published_at:timestamp,author:string,error:string>")
-    done = plain.where("entry").withColumn("parsed", blank).unionByName(plain.where("not entry").withColumn("parsed", parser(F.col("raw_html"))))
+    done = plain.where("entry").withColumn("parsed", blank).unionByName(plain.where("not entry").withColumn("parsed", parser(F.col("raw_html"), terminated) if terminated else parser(F.col("raw_html"))))
     p = F.col("parsed")
-    reason = F.when(F.col("entry"), rules.ENTRY_REASON).otherwise(F.coalesce(p["error"], quality_reason(p["title"], p["content"], F.col("raw_html"), exclude)))
+    reason = F.when(F.col("entry"), rules.ENTRY_REASON).otherwise(F.coalesce(p["error"], quality_reason(p["title"], p["content"], F.col("raw_html"), exclude, terminated=terminated)))
     status = F.when(F.col("entry"), "filtered").when(p["error"].isNotNull(), "error").when(reason.isNotNull(), "filtered").otherwise("pending")
     return done.select(*[c for c in pages.columns if c != "raw_html"], p["title"].alias("title"), p["content"].alias("content"), text.summarize(p["content"]).alias("summary"), p["author"].alias("author"), p["published_at"].alias("published_at"), status.alias("status"), reason.alias("reason"))

@@ -90,12 +90,12 @@ def first_seen(df: DataFrame, keys: list[str], position: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.min(F.struct(position, *rest)).alias("m")).select(*keys, *[F.col(f"m.{c}").alias(c) for c in (position, *rest)])
 
 
-def discover(pages: DataFrame, url: str = "url", page_html: str = "html", key: str = "page_id", same_domain: bool = True, limit: int = rules.MOST_LINKS, prefer_articles: bool = True) -> DataFrame:
+def discover(pages: DataFrame, url: str = "url", page_html: str = "html", key: str = "page_id", same_domain: bool = True, limit: int = rules.MOST_LINKS, prefer_articles: bool = True, terminated: bool = False) -> DataFrame:
     """key, rank, link, score: the links of each page that look most like articles.
 
     Each link once, at its first place; of the first COLLECT_TIMES * limit of a page the best by score, then place.
-    Without `prefer_articles` the first `limit` in order of place."""
-    rows = pages.select(key, F.col(url).alias("__base"), F.explode(html.page_links(F.col(page_html), F.col(url))).alias("x"))
+    Without `prefer_articles` the first `limit` in order of place. terminated: see html.tree()."""
+    rows = pages.select(key, F.col(url).alias("__base"), F.explode(html.page_links(F.col(page_html), F.col(url), terminated)).alias("x"))
     rows = rows.select(key, "__base", F.col("x.pos").alias("pos"), F.col("x.url").alias("link"), F.col("x.text").alias("anchor"))
     if same_domain:
         rows = rows.where(urls.authority(F.col("link")) == urls.authority(F.col("__base")))

@@ -153,3 +153,16 @@ def test_batches_and_tokens_stay_small(spark):
     bits.index = {str(k): k for k in range(text.REMEMBERED)}
     assert text.simhash_of_text("ab b_1, ab-x", bits) == text.simhash_of(words) and len(bits.index) == 3
     assert text.simhash_of_text("日本 x 語", bits) == text.simhash_of(["x", "日本", "本語"])
+
+
+def test_references_without_a_semicolon():
+    """The queries' SQL takes references with a semicolon alone; browsers, and the parser unless asked otherwise, others too."""
+    page = "<title>a&amp;&amp</title><h1>a&amp;&amp</h1><script>x='&amp'</script><p>" + "word " * 60 + "&lt;&copy &x; &#39;&#39 AT&T</p><a href='/q?a=1&lt=2&amp;b'>b&gt</a>"
+    loose, strict = html.parse_page(page), html.parse_page(page, True)
+    assert loose["title"] == "a&&" and strict["title"] == "a&&amp"
+    assert strict["content"].endswith("<&copy &x; '&#39 AT&T") and "© " in loose["content"]
+    root = html.tree(page, True)
+    link = root.first(lambda x: x.tag == "a")
+    assert link.attrs["href"] == "/q?a=1&lt=2&b" and link.text() == "b&gt"
+    assert root.first(lambda x: x.tag == "script").text() == "x='&amp'"
+    assert html.link_ratio_of("<a href=x>&amp</a>bcd") == 1 / 5 and html.link_ratio_of("<a href=x>&amp</a>bcd", True) == 4 / 8
