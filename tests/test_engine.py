@@ -7,11 +7,12 @@ import threading
 from collections import Counter
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lumenfold.functions import rules
-from lumenfold.operators import dedup, digests, keywords, knowledge, limits, vector_index
+from lumenfold.operators import dedup, digests, hamming, keywords, knowledge, limits, vector_index
 from lumenfold.sources import store, versions
 from lumenfold.streaming import arrivals, ingest
 
@@ -72,6 +73,42 @@ def test_native_search_makes_no_list_of_pairs(spark):
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 
+# Pairs by distance
+
+
+def test_stored_preview_is_counted_without_pairs(spark, monkeypatch):
+    """Weights, copies, groups of several parts and of one, related edges inside and outside of groups: as the list of pairs has it."""
+    monkeypatch.setattr(hamming, "PART", 40)
+    rng = random.Random(9)
+    base = [rng.getrandbits(64) for _ in range(4)]
+    flip = lambda v, n: v ^ sum(1 << k for k in rng.sample(range(64), n))
+    values = [flip(base[k % 4], rng.randrange(12)) for k in range(220)]
+    rows = [(i, f"h{v}{i % 3 if i % 5 == 0 else ''}", v - (1 << 64) if v >> 63 else v) for i, v in enumerate(values + values[:40])]
+    prints = spark.createDataFrame(rows, "id long, content_hash string, simhash long")
+    group = {i: "big" if i % 220 < 150 else f"g{i % 220 % 7}" for i, _, _ in rows if i % 220 < 200}
+    members = spark.createDataFrame([(g, i) for i, g in group.items()], "group_key string, id long")
+    edges = spark.createDataFrame([(rng.randrange(260), rng.randrange(260)) for _ in range(60)], "article_id long, target_article_id long")
+    for proposed in (0.85, 0.97):
+        want = Counter(r["change"] for r in dedup.preview_stored(prints, members, edges, proposed).collect())
+        assert {r["change"]: r["pairs"] for r in dedup.preview_stored_counts(prints, members, edges, proposed).collect()} == want and len(want) >= 3
+
+
+def test_sums_by_distance():
+    rng = random.Random(4)
+    make = lambda n: hamming.Rows(np.array([rng.getrandbits(8) for _ in range(n)], np.uint64), np.arange(n), np.array([rng.choice([1, 1, 1, 3]) for _ in range(n)]))
+    x, y = make(50), make(70)
+    want = Counter()
+    for v, n in zip(x.v.tolist(), x.n.tolist(), strict=True):
+        for w, m in zip(y.v.tolist(), y.n.tolist(), strict=True):
+            want[(v ^ w).bit_count()] += n * m
+    assert hamming.sums_by_distance(x, y, 4).tolist() == [want[d] if d <= 4 else 0 for d in range(65)]
+    below = Counter()
+    for k in range(50):
+        for j in range(k):
+            below[(int(x.v[k]) ^ int(x.v[j])).bit_count()] += int(x.n[k] * x.n[j])
+    assert hamming.sums_below(x, 64).tolist() == [below[d] for d in range(65)]
+
+
 # Keywords
 
 
