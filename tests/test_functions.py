@@ -166,3 +166,10 @@ def test_references_without_a_semicolon():
     assert link.attrs["href"] == "/q?a=1&lt=2&b" and link.text() == "b&gt"
     assert root.first(lambda x: x.tag == "script").text() == "x='&amp'"
     assert html.link_ratio_of("<a href=x>&amp</a>bcd") == 1 / 5 and html.link_ratio_of("<a href=x>&amp</a>bcd", True) == 4 / 8
+
+
+def test_native_simhash_shuffles_texts_not_tokens(spark):
+    """One shuffle by the text's key: tokens do not leave the task that reads them."""
+    rows = spark.createDataFrame([(1, "a b c"), (2, "")], "id long, normal string")
+    plan = text.simhash_native(rows, "id", "normal")._jdf.queryExecution().executedPlan().toString()
+    assert "token" not in "".join(x for x in plan.splitlines() if "Exchange" in x)
