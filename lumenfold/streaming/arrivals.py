@@ -1,85 +1,31 @@
 """Duplicates of articles as they arrive: exact, near and related ones, against everything that came before.
 
-A persistent index of what is known lies in keyed state: one key for each content, and one for each table of a block scheme
-(see operators.hamming) and its bits. A new article probes its own keys alone, so a batch costs what its own articles and
-the rows under their keys cost, however much is stored. Every value is held once under a key, with its first article.
-
-The related tier has no index by its definition: articles of a batch that joined no group are sent (the batch is bounded by
-its files) to the stored distinct values, which are compared where they lie."""
+What is known is two tables that each batch adds to: contents (hash, first article) and distinct SimHash values (value, first
+article). The related tier has no index by its definition: a value that is new is compared with all known ones. The nearest of
+them tells near from related, so one pass finds both. New values are sent, in bounded blocks, to the known ones, which are
+dealt over the tasks and compared where they lie."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import rules, text
 from ..operators.dedup import fingerprints, most_distance
-from ..operators.hamming import signed
+from ..operators.hamming import AT_ONCE
 from ..session import ship
 from ..sources.store import stored
 from .ingest import existing, run_available
 
-ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-FOUND = "id long, simhash long, other long, distance int"
-#: distance of an article's own row: it has an exact parent (other), or none (other is null).
-OWN = -1
-#: Unlinked values of a batch that are sent to the stored ones at once: 16 bytes each.
+#: New values of a batch that are sent to the known ones at once: 16 bytes each.
 SENT = 1 << 20
-
-
-def block_masks(distance: int, blocks: int) -> list[int]:
-    """Masks of the tables: all choices of `blocks - distance` blocks of 64 / blocks bits. Fixed for a state's life."""
-    edges = [64 * k // blocks for k in range(blocks + 1)]
-    bits = [(1 << edges[k + 1]) - (1 << edges[k]) for k in range(blocks)]
-    return [sum(c) for c in combinations(bits, blocks - distance)]
-
-
-class Known(StatefulProcessor):
-    """What is known under one key. Keys of contents begin with x, keys of blocks with b."""
-
-    def __init__(self, distance: int) -> None:
-        self.distance = distance
-
-    def init(self, handle) -> None:  # noqa: ANN001
-        self.seen = handle.getListState("seen", "simhash long, id long")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
-        new = pd.concat(rows).sort_values("id")
-        stored_rows = list(self.seen.get()) if self.seen.exists() else []
-        if key[0].startswith("x"):
-            first = int(stored_rows[0][1]) if stored_rows else int(new["id"].iloc[0])
-            if not stored_rows:
-                self.seen.appendValue((int(new["simhash"].iloc[0]), first))
-            other = new["id"].map(lambda i: None if i == first else first).astype("Int64")
-            yield pd.DataFrame({"id": new["id"], "simhash": new["simhash"], "other": other, "distance": np.full(len(new), OWN, np.int32)})
-            return
-        ids, values = new["id"].to_numpy(np.int64), new["simhash"].to_numpy(np.int64).view(np.uint64)
-        old = np.array([v for v, _ in stored_rows], np.int64).view(np.uint64), np.array([i for _, i in stored_rows], np.int64)
-        _, lead = np.unique(values, return_index=True)  # ids ascend: the first of each value
-        lead = np.sort(lead)
-        fresh = lead[~np.isin(values[lead], old[0])]
-        if len(fresh):
-            self.seen.appendList([(int(v), int(i)) for v, i in zip(values[fresh].view(np.int64), ids[fresh], strict=True)])
-        have, have_ids = np.concatenate([old[0], values[fresh]]), np.concatenate([old[1], ids[fresh]])
-        earlier = np.concatenate([np.full(len(old[0]), -1, np.int64), fresh])  # place in the batch; before it all that is stored
-        step = max(1, (1 << 22) // max(1, len(have)))
-        for at in range(0, len(ids), step):
-            d = np.bitwise_count(values[at : at + step, None] ^ have[None, :]).astype(np.int32)
-            d[earlier[None, :] >= np.arange(at, min(at + step, len(ids)))[:, None]] = 255
-            order = np.lexsort((np.broadcast_to(have_ids, d.shape), d), axis=1)[:, 0]
-            best = d[np.arange(len(d)), order]
-            some = best <= self.distance
-            yield pd.DataFrame({"id": ids[at : at + step][some], "simhash": values[at : at + step][some].view(np.int64), "other": pd.array(have_ids[order][some], "Int64"), "distance": best[some]})
-
-    def close(self) -> None:
-        pass
+#: Tasks over which known values are dealt, at least.
+TASKS = 24
 
 
 def nearest_stored(block, low: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:  # noqa: ANN001
@@ -90,17 +36,20 @@ def nearest_stored(block, low: int) -> Callable[[Iterator[pa.RecordBatch]], Iter
         best, other = np.full(len(ids), 255, np.int32), np.zeros(len(ids), np.int64)
         for b in batches:
             have, first, old = (b.column(n).to_numpy(zero_copy_only=False).astype(np.int64) for n in ("simhash", "first_id", "old"))
-            order = np.argsort(first, kind="stable")
-            have, first, old = have[order].view(np.uint64), first[order], old[order]
-            step = max(1, (1 << 22) // max(1, len(have)))
-            for at in range(0, len(ids), step):
-                d = np.bitwise_count(values[at : at + step, None] ^ have[None, :])
-                d[(old == 0)[None, :] & (first[None, :] >= ids[at : at + step, None])] = 255
-                k = d.argmin(1)
-                low_d, low_id = d[np.arange(len(d)), k].astype(np.int32), first[k]
-                span = slice(at, at + len(d))
-                better = (low_d < best[span]) | ((low_d == best[span]) & (low_id < other[span]))
-                best[span][better], other[span][better] = low_d[better], low_id[better]
+            for earlier in (True, False):
+                order = np.flatnonzero((old == 1) == earlier)
+                order = order[np.argsort(first[order], kind="stable")]
+                y, own = have[order].view(np.uint64), first[order]
+                step = max(1, AT_ONCE // max(1, len(y)))
+                for at in range(0, len(ids) if len(y) else 0, step):
+                    d = np.bitwise_count(values[at : at + step, None] ^ y[None, :])
+                    if not earlier:
+                        d[own[None, :] >= ids[at : at + step, None]] = 255
+                    k = d.argmin(1)
+                    low_d, low_id = d[np.arange(len(d)), k].astype(np.int32), own[k]
+                    span = slice(at, at + len(d))
+                    better = (low_d < best[span]) | ((low_d == best[span]) & (low_id < other[span]))
+                    best[span][better], other[span][better] = low_d[better], low_id[better]
         some = best <= low
         yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(other[some]), pa.array(best[some])], names=["id", "other", "distance"])
 
@@ -111,6 +60,7 @@ def related_to(alone: DataFrame, values: DataFrame, low: float) -> DataFrame:
     """(id, other, distance) of articles `alone` (id, simhash) with the nearest of `values` (simhash, first_id, old); values
     that are not old count only if their first_id is smaller. Sent in blocks of SENT."""
     spark, total = alone.sparkSession, alone.count()
+    values = values.repartition(max(TASKS, int(spark.conf.get("spark.sql.shuffle.partitions"))), "simhash")
     parts, found = -(-total // SENT), None
     for n in range(parts):
         table = alone.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == n).toArrow()
@@ -122,43 +72,45 @@ def related_to(alone: DataFrame, values: DataFrame, low: float) -> DataFrame:
     return found.groupBy("id").agg(F.min(F.struct("distance", "other")).alias("m")).select("id", "m.other", "m.distance")
 
 
-def dedup_arrivals(stream: DataFrame, target: str, checkpoint: str, threshold: float = rules.NEAR_THRESHOLD, low: float = rules.RELATED_THRESHOLD, blocks: int = 8) -> StreamingQuery:
+def dedup_arrivals(stream: DataFrame, target: str, checkpoint: str, threshold: float = rules.NEAR_THRESHOLD, low: float = rules.RELATED_THRESHOLD) -> StreamingQuery:
     """Articles (id long, content) as they arrive. Written below `target`, a folder for each batch, overwritten if the batch is
-    run again: `links` (id, parent, relation_type, similarity, evidence) and `values` (simhash, first_id), the distinct
-    values that are new.
+    run again: `links` (id, parent, relation_type, similarity, evidence), `contents` (content_hash, first_id) and `values`
+    (simhash, first_id), the contents and distinct values that are new.
 
     An article is an exact duplicate of the first one with its content, else a near one of the most similar article before
     it (threshold), else related to that (low). Before it are all articles of earlier batches, and those of its own with a
     smaller id. Of equally similar ones the smallest id counts. Articles without content are left out."""
     spark = stream.sparkSession
     ship(spark)
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     distance = most_distance(threshold)
-    masks = block_masks(distance, max(blocks, distance + 1))
-    prints = fingerprints(stream)
-    keys = [F.concat(F.lit("x"), F.col("content_hash"))] + [F.concat(F.lit(f"b{t}:"), F.col("simhash").bitwiseAND(F.lit(signed(m))).cast("string")) for t, m in enumerate(masks)]
-    probes = prints.select("id", "simhash", F.explode(F.array(*keys)).alias("key"))
-    found = probes.groupBy("key").transformWithStateInPandas(Known(distance), FOUND, "append", "none")
+    contents_schema = spark.createDataFrame([], "content_hash string, first_id long, batch int").schema
     values_schema = spark.createDataFrame([], "simhash long, first_id long, batch int").schema
     similarity = F.lit(1.0) - F.col("distance") / F.lit(64.0)
 
+    def firsts(rows: DataFrame, before: DataFrame, key: str) -> DataFrame:
+        """key, first_id, known: of each key of the batch its first article, in an earlier batch or in this one."""
+        old = before.select(key, F.col("first_id").alias("old_id"))
+        new = rows.groupBy(key).agg(F.min("id").alias("new_id")).join(old, key, "left")
+        return stored(new.select(key, F.coalesce("old_id", "new_id").alias("first_id"), F.col("old_id").isNotNull().alias("known")), f"arrivals-{key}")
+
     def each(batch: DataFrame, n: int) -> None:
-        rows = stored(batch, "arrivals")
-        own = rows.where(F.col("distance") == OWN).select("id", "simhash", F.col("other").alias("exact"))
-        near = rows.where(F.col("distance") != OWN).groupBy("id").agg(F.min(F.struct("distance", "other")).alias("m"))
-        told = stored(own.join(near, "id", "left").select("id", "simhash", "exact", "m.other", "m.distance"), "told")
+        rows = stored(fingerprints(batch), "arrivals")
+        contents = firsts(rows, existing(spark, f"{target}/contents", contents_schema).where(F.col("batch") < n), "content_hash")
         before = existing(spark, f"{target}/values", values_schema).where(F.col("batch") < n).select("simhash", "first_id")
-        fresh = told.groupBy("simhash").agg(F.min("id").alias("first_id"))
-        known = before.join(F.broadcast(fresh.select("simhash")) if fresh.count() <= SENT else fresh.select("simhash"), "simhash", "left_semi")
-        fresh = stored(fresh.join(known.select("simhash"), "simhash", "left_anti"), "fresh-values")
+        own = firsts(rows, before, "simhash")
+        fresh = own.where("not known").select("simhash", "first_id")
         values = before.withColumn("old", F.lit(1)).unionByName(fresh.withColumn("old", F.lit(0)))
+        found = stored(related_to(fresh.select(F.col("first_id").alias("id"), "simhash"), values, min(low, threshold)), "arrivals-nearest")
+        told = rows.join(contents.select("content_hash", F.col("first_id").alias("exact")), "content_hash").join(own.withColumnRenamed("first_id", "alike"), "simhash").join(found, "id", "left")
+        same = F.col("known") | (F.col("alike") != F.col("id"))  # its value was there before it
+        told = told.select("id", F.when(F.col("exact") != F.col("id"), F.col("exact")).alias("exact"), F.when(same, F.col("alike")).otherwise(F.col("other")).alias("parent"), F.when(same, F.lit(0)).otherwise(F.col("distance")).alias("distance"))
         exact = told.where("exact is not null").select("id", F.col("exact").alias("parent"), F.lit("exact_duplicate").alias("relation_type"), F.lit(1.0).alias("similarity"), F.lit(rules.EXACT_EVIDENCE).alias("evidence"))
-        close = told.where("exact is null and other is not null").select("id", F.col("other").alias("parent"), F.lit("near_duplicate").alias("relation_type"), similarity.alias("similarity"))
-        alone = told.where("exact is null and other is null").select("id", "simhash")
-        apart = related_to(alone, values, low).select("id", F.col("other").alias("parent"), F.lit("related").alias("relation_type"), similarity.alias("similarity"))
-        close = close.withColumn("evidence", text.near_evidence(F.col("similarity"), threshold))
-        apart = apart.withColumn("evidence", text.related_evidence(F.col("similarity"), threshold))
-        exact.unionByName(close).unionByName(apart).write.mode("overwrite").parquet(f"{target}/links/batch={n}")
+        near = F.col("distance") <= distance
+        close = told.where("exact is null and parent is not null").where(near | (F.col("distance") <= most_distance(low)))
+        close = close.select("id", "parent", F.when(near, "near_duplicate").otherwise("related").alias("relation_type"), similarity.alias("similarity"))
+        evidence = F.when(F.col("relation_type") == "near_duplicate", text.near_evidence(F.col("similarity"), threshold)).otherwise(text.related_evidence(F.col("similarity"), threshold))
+        exact.unionByName(close.withColumn("evidence", evidence)).write.mode("overwrite").parquet(f"{target}/links/batch={n}")
+        contents.where("not known").select("content_hash", "first_id").write.mode("overwrite").parquet(f"{target}/contents/batch={n}")
         fresh.write.mode("overwrite").parquet(f"{target}/values/batch={n}")
 
-    return run_available(found, checkpoint, each)
+    return run_available(stream, checkpoint, each)

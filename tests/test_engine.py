@@ -317,3 +317,14 @@ def test_dedup_on_arrival(spark, tmp_path):
     assert got == want and {"exact_duplicate", "near_duplicate", "related"} == {x[1] for x in got.values()}
     values = [r["simhash"] for r in spark.read.parquet(f"{tmp_path}/out/values").collect()]
     assert len(values) == len(set(values)) == prints.select("simhash").distinct().count()
+
+
+def test_arrivals_keep_tables_not_keyed_state(spark, tmp_path):
+    """A copy, a known value with another content, and a new article in a later batch; no state of its own for each key."""
+    schema = "id long, content string"
+    for n, docs in enumerate(([(5, "a b c d"), (7, "x y z")], [(1, "a b c d"), (2, "A b c d"), (3, "x y z")])):
+        spark.createDataFrame(docs, schema).coalesce(1).write.parquet(f"{tmp_path}/in/{n}")
+        arrivals.dedup_arrivals(spark.readStream.schema(schema).parquet(f"{tmp_path}/in/*"), f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination()
+    got = {r["id"]: (r["parent"], r["relation_type"]) for r in spark.read.parquet(f"{tmp_path}/out/links").collect() if r["id"] != 7}
+    assert got == {1: (5, "exact_duplicate"), 2: (5, "near_duplicate"), 3: (7, "exact_duplicate")}
+    assert not (tmp_path / "state" / "state").exists()
