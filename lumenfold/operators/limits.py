@@ -3,16 +3,20 @@ refused, and what is left is created.
 
 The rate limit is a decision in order of time: a request is refused if its address, or its network address, created `limit`
 subscriptions in the hour before. Refused requests create nothing and so do not count. Both keys depend on each other: a
-request that one refuses does not count for the other. Each round folds the requests of each address, and of each network
-address, given what the other fold refused in the round before; the earliest request that is not settled depends on earlier
-ones alone, so every round settles more of them, and a round that changes nothing is the sequential result."""
+request that one refuses does not count for the other. A round folds the requests of each network address given what the
+addresses refused in the round before, then those of each address given what that fold refused; rows go through both as they
+are, so nothing is joined. The earliest request that is not settled depends on earlier ones alone, so every round settles
+more of them, and a round in which no request changes that the other key let through is the sequential result. Where each
+address has one network address, and both have one limit, that is the first round."""
 
 from __future__ import annotations
 
 from collections import deque
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,47 +27,56 @@ from ..sources.store import natural_id, stored
 HOUR = 3600
 
 
-def fold(requests: DataFrame, key: str, limit: int, seconds: int = HOUR) -> DataFrame:
-    """(id, refused) by one key. requests: id, `key`, at_us (long), other (refused by the other key), fixed (created before).
-    Rows without a key are not limited. A key's requests are read in order of time by one task, as the decision asks; what a
-    task holds is the last `limit` creations of one key."""
+def fold(requests: DataFrame, key: str, other: str, name: str, limit: int, seconds: int = HOUR) -> DataFrame:
+    """The rows with another column: refused by `key`, given the column of what the other key refused. requests: id, `key`,
+    __at (long, microseconds), __fixed (created before), `other`. Rows without a key are not limited, and lie in any task. A
+    key's requests are read in order of time by one task, as the decision asks; what a task holds is a batch and the last
+    creations of one key."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, made = None, deque()
         for b in batches:
+            keys = b.column(key)
+            same = np.zeros(b.num_rows, bool)  # has the key of the row before
+            if b.num_rows:
+                same[0] = keys[0].as_py() == now
+                same[1:] = pc.fill_null(pc.equal(keys[1:], keys[:-1]), False).to_numpy(zero_copy_only=False)
+                now = keys[-1].as_py()
             out = []
-            for k, at, other, fixed in zip(b["key"], b["at_us"], b["other"], b["fixed"], strict=True):
-                if k != now:
-                    now, made = k, deque()
+            columns = (keys.is_null(), b.column("__at"), b.column(other), b.column("__fixed"))
+            for old, free, at, skip, fixed in zip(same.tolist(), *(c.to_numpy(zero_copy_only=False).tolist() for c in columns), strict=True):
+                if not old:
+                    made.clear()
                 while made and made[0] < at - seconds * 1_000_000:
                     made.popleft()
-                out.append(not fixed and len(made) >= limit)
-                if fixed or not (out[-1] or other):
+                out.append(not (free or fixed) and len(made) >= limit)
+                if fixed or not (out[-1] or skip):
                     made.append(at)
-            yield pd.DataFrame({"id": b["id"], "refused": out})[~b["fixed"].to_numpy(bool)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.bool_())], names=[*b.schema.names, name])
 
-    rows = requests.where(F.col(key).isNotNull()).select("id", F.col(key).cast("string").alias("key"), "at_us", "other", "fixed")
-    kind = requests.schema["id"].dataType.simpleString()
-    return rows.repartition("key").sortWithinPartitions("key", "at_us", F.desc("fixed"), "id").mapInPandas(run, f"id {kind}, refused boolean")
+    rows = requests.repartition(key, F.when(F.col(key).isNull(), F.xxhash64("id"))).sortWithinPartitions(key, "__at", F.desc("__fixed"), "id")
+    return rows.mapInArrow(run, requests.withColumn(name, F.lit(False)).schema)
 
 
-def rate_decisions(requests: DataFrame, limit: int, made: DataFrame | None = None, seconds: int = HOUR, keys: tuple[str, str] = ("email", "ip")) -> DataFrame:
-    """id, refused (the first of `keys` that refuses, null if the request is created). requests: id (distinct), both keys,
-    at; `made`: such rows that were created before. At one time the smaller id comes first; an hour ago still counts."""
+def decided(requests: DataFrame, limit: int, made: DataFrame | None = None, seconds: int = HOUR, keys: tuple[str, str] = ("email", "ip")) -> DataFrame:
+    """The requests with `refused`, as rate_decisions() has it; further columns stay with their rows."""
     ship(requests.sparkSession)
     a, b = keys
-    shape = lambda df, fixed: df.select("id", a, b, F.unix_micros("at").alias("at_us"), F.lit(fixed).alias("fixed"))
-    rows = shape(requests, False) if made is None else shape(requests, False).unionByName(shape(made, True))
-    rows = stored(rows, "requests")
-    now = rows.withColumns({"by_a": F.lit(False), "by_b": F.lit(False)})
+    now = requests.withColumn("__fixed", F.lit(False))
+    if made is not None:
+        now = now.unionByName(made.select("id", a, b, "at", F.lit(True).alias("__fixed")), allowMissingColumns=True)
+    now = now.withColumns({"__at": F.unix_micros("at"), "__was": F.lit(False)})
     while True:
-        one = fold(now.withColumn("other", F.col("by_b")), a, limit, seconds).withColumnRenamed("refused", "new_a")
-        two = fold(now.withColumn("other", F.col("by_a")), b, limit, seconds).withColumnRenamed("refused", "new_b")
-        told = now.join(one, "id", "left").join(two, "id", "left").select("id", a, b, "at_us", "fixed", (~F.col("fixed") & F.coalesce("new_a", F.lit(False))).alias("new_a"), (~F.col("fixed") & F.coalesce("new_b", F.lit(False))).alias("new_b"), "by_a", "by_b")
-        told = stored(told, "decisions")
-        if told.where("new_a <> by_a or new_b <> by_b").isEmpty():
-            return told.where("not fixed").select("id", F.when(F.col("by_a"), F.lit(a)).when(F.col("by_b"), F.lit(b)).alias("refused"))
-        now = told.select("id", a, b, "at_us", "fixed", F.col("new_a").alias("by_a"), F.col("new_b").alias("by_b"))
+        told = stored(fold(fold(now, b, "__was", "__b", limit, seconds), a, "__b", "__a", limit, seconds), "decisions")
+        if told.where("__a <> __was and not __b").isEmpty():
+            return told.where("not __fixed").select(*requests.columns, F.when(F.col("__a"), F.lit(a)).when(F.col("__b"), F.lit(b)).alias("refused"))
+        now = told.drop("__b", "__was").withColumnRenamed("__a", "__was")
+
+
+def rate_decisions(requests: DataFrame, limit: int, made: DataFrame | None = None, seconds: int = HOUR, keys: tuple[str, str] = ("email", "ip")) -> DataFrame:
+    """id, refused (the first of `keys` that refuses, null if the request is created). requests: id (distinct), both keys,
+    at; `made`: such rows that were created before. At one time the smaller id comes first; an hour ago still counts."""
+    return decided(requests.select("id", *keys, "at"), limit, made, seconds, keys).select("id", "refused")
 
 
 def resolved_topics(requests: DataFrame, categories: DataFrame, tags: DataFrame, sources: DataFrame) -> DataFrame:

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import limits
 from ..session import ship
@@ -54,21 +56,21 @@ def stream_exact_dedup(spark, sf_dir):  # noqa: ANN001, ANN201
     return spark.read.parquet(f"{path}/articles").select("id", "first_id")
 
 
-def in_order(spark: SparkSession, rows: DataFrame, key: str, batches: int, files: int = 1) -> DataFrame:
-    """Rows as a stream in so many batches, in order of a key: what would have arrived day by day."""
+def in_order(spark: SparkSession, rows: DataFrame, key: str, batches: int, run: Callable[[DataFrame], StreamingQuery]) -> None:
+    """Rows as a stream in so many batches, in order of a key: what would have arrived day by day. Each part is written by as
+    many tasks as the rows have, then the stream, started again, reads all its files as one batch."""
     path = f"{shared_dir(spark)}/arrivals-{uuid.uuid4().hex}"
     edges = rows.approxQuantile(key, [k / batches for k in range(1, batches)], 0.01)
     for low, high in zip([None, *edges], [*edges, None], strict=True):
         part = rows.where(F.lit(True) if low is None else F.col(key) > low).where(F.lit(True) if high is None else F.col(key) <= high)
-        part.coalesce(files).write.mode("append").parquet(path)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(path)
+        part.write.mode("append").parquet(path)
+        run(spark.readStream.schema(rows.schema).parquet(path)).awaitTermination()
 
 
 def stream_near_dedup(spark, sf_dir):  # noqa: ANN001, ANN201
     """Documents that arrive in five batches, each linked with what came before: exact, near or related."""
     path = f"{shared_dir(spark)}/arrivals-{uuid.uuid4().hex}"
-    docs = in_order(spark, contents(spark, sf_dir), "id", 5)
-    arrivals.dedup_arrivals(docs, path, f"{path}/state").awaitTermination()
+    in_order(spark, contents(spark, sf_dir), "id", 5, lambda docs: arrivals.dedup_arrivals(docs, path, f"{path}/state"))
     return spark.read.parquet(f"{path}/links").drop("batch").withColumn("similarity", F.round("similarity", 6))
 
 
@@ -90,8 +92,7 @@ def stream_rate_limits(spark, sf_dir):  # noqa: ANN001, ANN201
     """The same of requests that arrive in three batches."""
     path = f"{shared_dir(spark)}/requests-{uuid.uuid4().hex}"
     rows = requests(spark, sf_dir).withColumn("second", F.unix_seconds("at"))
-    arriving = in_order(spark, rows, "second", 3).drop("second")
-    ingest.limit_requests(arriving, path, f"{path}-state", REQUESTS).awaitTermination()
+    in_order(spark, rows, "second", 3, lambda arriving: ingest.limit_requests(arriving.drop("second"), path, f"{path}-state", REQUESTS))
     return spark.read.parquet(path).select("id", "refused")
 
 

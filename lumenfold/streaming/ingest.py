@@ -89,8 +89,9 @@ def limit_requests(stream: DataFrame, target: str, checkpoint: str, limit: int,
         if first is None:
             return
         since = existing(spark, target, schema).where((F.col("batch") < n) & (F.col("hour") >= (first - seconds) // 3600) & (F.unix_micros("at") >= (first - seconds) * 1_000_000))
-        told = limits.rate_decisions(rows, limit, since.where("refused is null").select("id", *keys, "at"), seconds, keys)
-        out = rows.join(told, "id").withColumn("hour", F.floor(F.unix_seconds("at") / 3600))
+        told = limits.decided(rows, limit, since.where("refused is null").select("id", *keys, "at"), seconds, keys)
+        # An hour's rows meet before they are written: not a file for each task and hour. Only a large hour is more tasks' work.
+        out = told.withColumn("hour", F.floor(F.unix_seconds("at") / 3600)).hint("rebalance", "hour")
         out.write.mode("overwrite").partitionBy("hour").parquet(f"{target}/batch={n}")
 
     return run_available(stream, checkpoint, each)

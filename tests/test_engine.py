@@ -181,6 +181,47 @@ def test_rate_limits_of_a_stream(spark, tmp_path):
     assert {r["id"]: r["refused"] for r in spark.read.parquet(f"{tmp_path}/out").collect()} == folded(rows, 3)
 
 
+def test_rate_limits_of_nested_keys_settle_at_once(spark, monkeypatch):
+    """Addresses that have one network address each, most of them refused: one round, one table is written."""
+    rng, tags = random.Random(4), []
+    users = [(u, rng.randrange(40)) for u in range(600)]
+    rows = [(i, f"u{u}@x.org", f"1.1.1.{u % 3}", T0 + timedelta(seconds=30 * s)) for i, (u, s) in enumerate((u % 12, s) for u, s in users)]
+    write = limits.stored
+    monkeypatch.setattr(limits, "stored", lambda df, tag: tags.append(tag) or write(df, tag))
+    got = limits.rate_decisions(spark.createDataFrame(rows, REQUEST).repartition(3), 4)
+    want = folded(rows, 4)
+    assert {r["id"]: r["refused"] for r in got.collect()} == want and {None, "ip"} <= set(want.values())
+    assert tags == ["decisions"]
+
+
+def test_limited_requests_keep_their_columns_in_a_file_an_hour(spark, tmp_path):
+    """Rows of six tasks: an hour of a batch is one file, further columns stay, and a request of no network address too."""
+    rows = [(*r, f"note {r[0]}") for r in some_requests(5)]
+    schema = f"{REQUEST}, note string"
+    spark.createDataFrame(rows, schema).repartition(6).write.parquet(f"{tmp_path}/in/0")
+    ingest.limit_requests(spark.readStream.schema(schema).parquet(f"{tmp_path}/in/*"), f"{tmp_path}/out", f"{tmp_path}/state", 3).awaitTermination()
+    got = {r["id"]: r for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert {i: r["refused"] for i, r in got.items()} == folded([r[:4] for r in rows], 3)
+    assert all((r["email"], r["ip"], r["note"]) == (x[1], x[2], x[4]) for x in rows for r in [got[x[0]]])
+    hours = [len(list(h.glob("*.parquet"))) for h in (tmp_path / "out" / "batch=0").glob("hour=*")]
+    assert hours == [1] * 6
+
+
+def test_arrivals_in_order_of_many_files(spark, tmp_path):
+    """Each batch is all rows of its part, read from the files of several tasks."""
+    from lumenfold.plans import streams
+
+    seen = []
+
+    def run(stream):
+        each = lambda batch, n: seen.append((n, sorted(r[0] for r in batch.collect()), batch.select(F.input_file_name()).distinct().count()))
+        return ingest.run_available(stream, f"{tmp_path}/state", each)
+
+    streams.in_order(spark, spark.range(300).repartition(4), "id", 3, run)
+    assert [n for n, _, _ in seen] == [0, 1, 2] and sum((ids for _, ids, _ in seen), []) == list(range(300))
+    assert all(files == 4 for _, _, files in seen)
+
+
 def test_registered_rate_limits(spark):
     from lumenfold.plans import streams
 
