@@ -43,8 +43,8 @@ def match_topics(articles: DataFrame, topics: DataFrame, sources: DataFrame | No
     b = pick(articles.select("id", F.explode("tags").alias("topic_value")).distinct().join(of("tag"), "topic_value"))
     c = pick(articles.select("id", F.col("source_id").cast("string").alias("topic_value")).join(of("source"), "topic_value"))
     words = of("keyword").select("topic_value").distinct().withColumn("needle", text.fold_text(F.col("topic_value"))).where("needle <> ''")
-    folded = articles.select("id", text.fold_text(F.concat(F.coalesce("title", F.lit("")), F.lit("\n"), F.coalesce("summary", F.lit("")))).alias("haystack"))
-    d = pick(keywords.containing(folded, words).join(words, "needle").select("id", "topic_value").join(of("keyword"), "topic_value"))
+    plain = articles.select("id", F.concat(F.coalesce("title", F.lit("")), F.lit("\n"), F.coalesce("summary", F.lit(""))).alias("haystack"))
+    d = pick(keywords.containing(plain, words, text.folded).join(words, "needle").select("id", "topic_value").join(of("keyword"), "topic_value"))
     every = a.unionByName(b).unionByName(c).unionByName(d)
     return every.groupBy("subscription_id", "article_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "reason"))), lambda x: x["reason"]).alias("reasons"))
 

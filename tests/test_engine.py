@@ -135,6 +135,23 @@ def test_many_keyword_topics(spark):
     assert got == want | {(30_000, 1): ["关键词：ALPHA"], (30_001, 1): ["关键词：alpha"], (30_002, 1): ["关键词：Ａlpha"]}
 
 
+def test_topics_are_folded_where_they_are_searched(spark, monkeypatch):
+    """Articles go through one Python step, not one that folds and one that searches, and found keywords leave in small batches."""
+    search, plans = keywords.search, []
+    monkeypatch.setattr(keywords, "search", lambda texts, *x: plans.append(texts._jdf.queryExecution().executedPlan().toString()) or search(texts, *x))
+    monkeypatch.setattr(keywords, "MOST_FOUND", 5)
+    words = [f"w{i}" for i in range(40)]
+    texts = [(i, f"Ｗ{i} W{i + 1} Straße", None if i % 2 else f"w{i + 2}", "c", [], "s") for i in range(30)] + [(30, None, None, "c", [], "s")]
+    a = spark.createDataFrame(texts, "id long, title string, summary string, category string, tags array<string>, source_id string")
+    t = spark.createDataFrame([(k, 0, "keyword", x) for k, x in enumerate([*words, "STRASSE"])], "subscription_id long, ord int, topic_type string, topic_value string")
+    df = digests.match_topics(a, t)
+    assert len(plans) == 1 and "Python" not in plans[0]
+    fold = lambda s: (s or "").replace("Ｗ", "w").casefold()
+    want = {(k, r[0]) for k, x in enumerate([*words, "strasse"]) for r in texts if x in fold(r[1]) + "\n" + fold(r[2])}
+    got = [(r["subscription_id"], r["article_id"]) for r in df.collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
 # Rate limits
 
 
