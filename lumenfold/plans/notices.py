@@ -52,7 +52,7 @@ def topics(spark, sf_dir):  # noqa: ANN001, ANN201
 
 
 def topic_match_reasons(spark, sf_dir):  # noqa: ANN001, ANN201
-    a = articles(spark, sf_dir)
+    a = articles(spark, sf_dir, whole=False)
     return digests.match_topics(a, topics(spark, sf_dir)).select("subscription_id", "article_id", F.array_join("reasons", ";").alias("reasons"))
 
 

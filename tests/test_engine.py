@@ -152,6 +152,19 @@ def test_topics_are_folded_where_they_are_searched(spark, monkeypatch):
     assert len(got) == len(want) and set(got) == want
 
 
+def test_articles_without_texts(spark):
+    """The rows are those of whole articles; what is joined with the labels has no texts."""
+    from lumenfold.plans import tables
+
+    sf = "/root/testdata/sf0.001"
+    cut, all_ = tables.articles(spark, sf, whole=False), tables.articles(spark, sf).drop("content")
+    node = cut._jdf.queryExecution().optimizedPlan()
+    while node.nodeName() != "Join":
+        node = node.children().head()
+    assert "title#" in (joined := node.children().head().output().mkString(",")) and "text#" not in joined
+    assert cut.columns == all_.columns and sorted(cut.collect(), key=repr) == sorted(all_.collect(), key=repr)
+
+
 # Rate limits
 
 
