@@ -60,8 +60,8 @@ def write_back(articles: DataFrame, classified: str = "classified", fallback: bo
 
 def parse_pages(pages: DataFrame, site_url: Column, exclude: Column | None = None, parser=html.parse_html, terminated: bool = False) -> DataFrame:  # noqa: ANN001
     """Articles of fetched pages (url, raw_html, ...): entry pages are filtered before parsing; then no HTML or no
-    article is an error; then the quality cascade; what is left is pending. `parser` makes the struct of parse_html().
-    terminated: see html.tree()."""
+    article is an error; then the quality cascade; what is left is pending. A page without an article has no summary, rather
+    than an empty one. `parser` makes the struct of parse_html(). terminated: see html.tree()."""
     entry = urls.is_entry_page(F.col("url"), site_url)
     plain = pages.withColumn("entry", entry)
     blank = F.lit(None).cast("struct<title:string,content:string,published_at:timestamp,author:string,error:string>")
@@ -69,4 +69,4 @@ def parse_pages(pages: DataFrame, site_url: Column, exclude: Column | None = Non
     p = F.col("parsed")
     reason = F.when(F.col("entry"), rules.ENTRY_REASON).otherwise(F.coalesce(p["error"], quality_reason(p["title"], p["content"], F.col("raw_html"), exclude, terminated=terminated)))
     status = F.when(F.col("entry"), "filtered").when(p["error"].isNotNull(), "error").when(reason.isNotNull(), "filtered").otherwise("pending")
-    return done.select(*[c for c in pages.columns if c != "raw_html"], p["title"].alias("title"), p["content"].alias("content"), text.summarize(p["content"]).alias("summary"), p["author"].alias("author"), p["published_at"].alias("published_at"), status.alias("status"), reason.alias("reason"))
+    return done.select(*[c for c in pages.columns if c != "raw_html"], p["title"].alias("title"), p["content"].alias("content"), F.when(p["content"].isNotNull(), text.summarize(p["content"])).alias("summary"), p["author"].alias("author"), p["published_at"].alias("published_at"), status.alias("status"), reason.alias("reason"))

@@ -485,3 +485,10 @@ def test_envelope(spark):
     body = json.loads(browse.envelope(spark.range(5), spark.range(2), 1, 2).first()["body"])
     assert body == {"total": 5, "page": 1, "page_size": 2, "items": [{"id": 0}, {"id": 1}]}
     assert {r["allowed"] for r in crawl.gate(spark.range(2), False).collect()} == {False}
+
+
+def test_a_page_without_an_article_has_no_summary(spark):
+    rows = [(1, "http://s.org/a/1", "<h1>Short</h1><article><p>few</p></article>"), (2, "http://s.org/a/2", f"<h1>Long</h1><article><p>{'word ' * 60}</p></article>"), (3, "http://s.org/a/3", ""), (4, "http://s.org/", "<h1>Home</h1>")]
+    df = classify.parse_pages(spark.createDataFrame(rows, "page_id long, url string, raw_html string"), F.lit("http://s.org"))
+    got = {r["page_id"]: (r["status"], r["summary"]) for r in df.collect()}
+    assert got == {1: ("error", None), 2: ("pending", ("word " * 40).rstrip() + "…"), 3: ("error", None), 4: ("filtered", None)}
