@@ -26,13 +26,12 @@ def state(spark: SparkSession, path: str, buckets: int = 256) -> Parts:
 
 
 def candidates(articles: DataFrame) -> DataFrame:
-    """Articles (id, title, content, ...) with the columns that an election looks at."""
-    length = F.length(F.coalesce("content", F.lit(""))).cast("long")
-    return articles.select("id", "is_accessible", F.col("weight").cast("double").alias("weight"), "published_at", length.alias("length"), text.title_quality(F.col("title")).cast("long").alias("quality"), "created_at")
+    """Articles (id, title, content or length, ...) with the columns that an election looks at."""
+    return articles.select("id", "is_accessible", F.col("weight").cast("double").alias("weight"), "published_at", dedup.length_of(articles).cast("long").alias("length"), text.title_quality(F.col("title")).cast("long").alias("quality"), "created_at")
 
 
 def elected(members: DataFrame) -> DataFrame:
-    """root, group_key, primary_id by the order of dedup.election_order(), as a minimum that is found before the shuffle."""
+    """root, group_key, primary_id by the order of dedup.election_key(), as a minimum that is found before the shuffle."""
     order = [~F.coalesce("is_accessible", F.lit(False)), -F.coalesce("weight", F.lit(0.0)), F.col("published_at").isNull(), F.col("published_at"), -F.col("length"), -F.col("quality"), F.col("created_at"), F.col("id")]
     best = F.min(F.struct(*[c.alias(f"c{n}") for n, c in enumerate(order)]))
     return members.groupBy("root").agg(best.alias("best")).select("root", F.concat(F.lit("group_"), F.md5(F.col("root").cast("string"))).alias("group_key"), F.col(f"best.c{len(order) - 1}").alias("primary_id"))

@@ -165,6 +165,25 @@ def test_articles_without_texts(spark):
     assert cut.columns == all_.columns and sorted(cut.collect(), key=repr) == sorted(all_.collect(), key=repr)
 
 
+def test_elections_join_no_texts(spark):
+    """Members of groups have their content's length, so that no join of theirs reads texts, and elect as whole articles do."""
+    from lumenfold.plans import duplicates, tables
+
+    sf = "/root/testdata/sf0.001"
+    rows, todo, joined = duplicates.members(spark, sf), [], []
+    todo.append(rows._jdf.queryExecution().optimizedPlan())
+    while todo:
+        node = todo.pop()
+        below = [node.children().apply(k) for k in range(node.children().size())]
+        joined += [x.output().mkString(",") for x in below] if node.nodeName() == "Join" else []
+        todo += below
+    assert len(joined) >= 4 and not any("text#" in x for x in joined)
+    whole = duplicates.dedup_groups(spark, sf).join(tables.articles(spark, sf), "id")
+    elected = lambda x: sorted(map(tuple, dedup.elect(x).collect()))
+    assert elected(rows) == elected(whole) and len(elected(rows)) > 0
+    assert sorted(dedup.relation_rows(rows, duplicates.linked(spark, sf)).collect(), key=repr) == sorted(dedup.relation_rows(whole, duplicates.linked(spark, sf)).collect(), key=repr)
+
+
 # Rate limits
 
 
