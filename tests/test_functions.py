@@ -179,3 +179,17 @@ def test_titles_of_pages_without_an_article(spark):
     rows = [("<h1>Éaux.</h1><article><p>few</p></article>",), ("<title>A</title><h1> A &amp b&lt; </h1>",), ("<p>no title</p>",), ("",), (None,), ("<script type='application/ld+json'>{\"headline\": \"H\"}</script>",)]
     got = [r[0] for r in spark.createDataFrame(rows, "h string").select(html.page_title(F.col("h"), terminated=True)).collect()]
     assert got == ["Éaux.", "A &amp b<", "", "", None, "H"]
+
+
+def test_fingerprints_in_one_step(spark):
+    """A text goes to Python once, and hash and SimHash are those of the functions that take one step each."""
+    from lumenfold.operators import dedup
+
+    texts = ["", " ", "plain  Text_1\n a\x1cb", "ＡＩ　x\u200b y\ufeff", "é\xa0 É\x85z", "日本 X 語 ﬁ K İstanbul", "\u200b", "a\u2028\u2029b \t", "x" * 5000, "ß ſ ① ½", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, content string")
+    plain = text.with_normal(rows.where(F.trim(F.coalesce("content", F.lit(""))) != ""), "content", "n")
+    want = plain.select("id", F.sha2("n", 256).alias("content_hash"), text.simhash(F.col("n")).alias("simhash"))
+    got = dedup.fingerprints(rows)
+    assert sorted(got.collect()) == sorted(want.collect())
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "regexp_replace" not in plan
