@@ -184,6 +184,36 @@ def test_elections_join_no_texts(spark):
     assert sorted(dedup.relation_rows(rows, duplicates.linked(spark, sf)).collect(), key=repr) == sorted(dedup.relation_rows(whole, duplicates.linked(spark, sf)).collect(), key=repr)
 
 
+def test_pairs_between_bounds():
+    """Pairs counted between bounds are those of the histogram by distance; weights common and rare."""
+    rng = np.random.default_rng(5)
+    rows = lambda k: hamming.Rows(rng.integers(0, 1 << 63, k, dtype=np.uint64) & np.uint64(0xFFFFFFFF0F), np.arange(k), rng.choice([1, 1, 1, 2, 3, 7, 1000], k).astype(np.int64))
+    for a, b in ((300, 1000), (1, 70), (90, 1), (700, 40)):
+        x, y = rows(a), rows(b)
+        for bounds in ((9, 32), (12,), (0, 15), (9, 64)):
+            fold = lambda sums, t=bounds: [int(sums[(low + 1) : high + 1].sum()) for low, high in zip((-1, *t), t, strict=False)]
+            assert sums_at(hamming.sums_by_bound(x, y, bounds), bounds) == fold(hamming.sums_by_distance(x, y, bounds[-1]))
+            assert sums_at(hamming.sums_below(x, bounds[-1], bounds), bounds) == fold(hamming.sums_below(x, bounds[-1]))
+
+
+def sums_at(sums, bounds):
+    assert sums.sum() == sums[list(bounds)].sum()
+    return [int(sums[b]) for b in bounds]
+
+
+def test_pairs_within_groups_between_bounds(spark):
+    """Small groups and large ones; what large ones cost does not show in their bytes, so their tasks are not merged."""
+    rng = np.random.default_rng(6)
+    rows = [(g, int(v), int(n)) for g, size in (("a", 2), ("b", 60), ("c", 300), ("d", 1)) for v, n in zip(np.unique(rng.integers(-(1 << 20), 1 << 20, size)), rng.choice([1, 1, 2, 9], size), strict=False)]
+    values = spark.createDataFrame(rows, "g string, simhash long, n long")
+    exact = {r["distance"]: r["w"] for r in hamming.counts_within(values).collect()}
+    found = hamming.counts_within(values, (9, 64))
+    total = lambda got, low, high: sum(w for d, w in got.items() if low < d <= high)
+    got = {r["distance"]: r["w"] for r in found.collect()}
+    assert total(exact, -1, 9) > 0 and [total(got, *x) for x in ((-1, 9), (9, 64))] == [total(exact, *x) for x in ((-1, 9), (9, 64))]
+    assert "REPARTITION_BY_NUM" in found._jdf.queryExecution().executedPlan().toString()
+
+
 # Rate limits
 
 
